@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, quality, simhash, tokens, toxicity
+from tidemark.llm import decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_embedding_dedup": embeddings.op3_embedding_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_token_counts": tokens.op8_token_counts,
