@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity
+from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, quality, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op3_embedding_dedup": embeddings.op3_embedding_dedup,
+        "op4_main_text": pages.op4_main_text,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_token_counts": tokens.op8_token_counts,
         "op9_decontaminate": decontaminate.op9_decontaminate,
