@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, quality, simhash, tokens, toxicity
+from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, quality, simhash, substrings, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_embedding_dedup": embeddings.op3_embedding_dedup,
         "op4_main_text": pages.op4_main_text,
         "op5_toxicity": toxicity.op5_toxicity,
