@@ -91,6 +91,7 @@ def mix(
     docs = sized.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("size")
     ).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    docs = cut(docs)  # narrow; sizes are counted once
     buckets = cut(docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     if weights is None:
