@@ -131,6 +131,20 @@ def mix(
     )
 
 
+def repeat_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: every document as often as ``mix`` takes it.
+
+    All columns stay and ``repetition`` (1, 2, ...) is added; documents not taken and
+    those without words are left out.
+    """
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    times = mix(sized, **options).where("times > 0 AND size > 0").select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("times").alias("__times")
+    ).distinct()
+    same = docs[doc_id].eqNullSafe(times["__id"]) & docs[source].eqNullSafe(times["__source"]) & (word_count(docs[text]) == times["__size"])
+    return docs.join(times, same).withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns, "repetition")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -204,6 +204,12 @@ def quality_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents judged bad; all columns stay."""
+    classifier = learn_classifier(quality_sample(docs, labels))
+    return classify(docs, classifier, **options).where("__keep").select(*docs.columns)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classifier = learn_classifier(quality_sample(docs, table(spark, sf_dir, "labels")))

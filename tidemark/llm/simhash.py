@@ -122,6 +122,18 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each component; all columns stay.
+
+    Of rows that repeat an id one stays. Rows with a null id stay as they are.
+    """
+    named = docs.where(F.col(doc_id).isNotNull())
+    found = simhash_components(named, doc_id, text)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    one = named.join(kept, named[doc_id] == kept["__kept"], "left_semi").dropDuplicates([doc_id])
+    return one.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
