@@ -169,7 +169,7 @@ def monthly_returns(returns: DataFrame, r: str, *, key: list[str], ts: str = "ts
 
 def month_table(monthly: DataFrame, *, key: list[str]) -> DataFrame:
     """One row per year with columns m1 to m12."""
-    wide = monthly.groupBy(*key, F.year("month").alias("year")).pivot("__m", list(range(1, 13))) if "__m" in monthly.columns else monthly.withColumn("__m", F.month("month")).groupBy(*key, F.year("month").alias("year")).pivot("__m", list(range(1, 13)))
+    wide = monthly.withColumn("__m", F.month("month")).groupBy(*key, F.year("month").alias("year")).pivot("__m", list(range(1, 13)))
     out = wide.agg(F.first("ret"))
     return out.select(*key, "year", *[F.col(str(i)).alias(f"m{i}") for i in range(1, 13)])
 

@@ -100,11 +100,12 @@ def pair_trades(resid: DataFrame, z: str, entry: float, target: float, stop: flo
 def leave_one_out(trades: DataFrame, pnl: str, group: list[str]) -> DataFrame:
     """Mean pnl without each group, its share, and a t with errors clustered by group."""
     g = trades.groupBy(*group).agg(F.sum(pnl).alias("s"), F.count(pnl).alias("n"))
-    total = g.agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
-    g = g.join(F.broadcast(total)).withColumn("mean", F.col("S") / F.col("N"))
-    se = g.agg((F.sqrt(F.sum(F.pow(F.col("s") - F.col("n") * F.col("mean"), 2))) / F.first("N")).alias("se"))
+    total = g.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    g = g.join(F.broadcast(total)).withColumn("mean", F.col("all_s") / F.col("all_n"))
+    se = g.agg((F.sqrt(F.sum(F.pow(F.col("s") - F.col("n") * F.col("mean"), 2))) / F.first("all_n")).alias("se"))
     g = g.join(F.broadcast(se))
-    return g.select(*group, "n", ((F.col("S") - F.col("s")) / F.nullif(F.col("N") - F.col("n"), F.lit(0))).alias("mean_without"), F.try_divide(F.col("s"), F.abs("S")).alias("share"), (F.col("mean") / F.nullif(F.col("se"), F.lit(0.0))).alias("cluster_t"))
+    without = (F.col("all_s") - F.col("s")) / F.nullif(F.col("all_n") - F.col("n"), F.lit(0))
+    return g.select(*group, "n", without.alias("mean_without"), F.try_divide(F.col("s"), F.abs("all_s")).alias("share"), (F.col("mean") / F.nullif(F.col("se"), F.lit(0.0))).alias("cluster_t"))
 
 
 def top_pairs(stats: DataFrame, t_cut: Column, lo: float, hi: float, k: int, *, by: str = "t", window: list[str] | None = None) -> DataFrame:

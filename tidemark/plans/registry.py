@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import base
 
-MODULES = ["grid_queries", "window_queries"]
+MODULES = ["grid_queries", "window_queries", "metric_queries", "event_queries"]
 
 for _name in MODULES:
     import_module(f"tidemark.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["ohlcv_hourly"](spark, sf_dir)
+    return base.QUERIES["latched_reversion_performance"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
