@@ -8,7 +8,8 @@ id and position.
 
 Equal lines are one node, known by two 64-bit hashes. Signing dedups inside a task,
 so a line that fills a third of the corpus sends one row per band and task. Only
-lines that share a band with a different line fetch their text. Groups are compared
+lines that share a band with a different line fetch their text, through a Bloom
+filter of fixed size: when it fills up more lines travel, none is lost. Groups are compared
 leader first and pairs already connected are skipped, so a group of near-identical
 lines costs about one comparison per line; hot groups are dealt out as block pairs.
 """
@@ -31,6 +32,9 @@ BANDS, BAND_ROWS = 10, 4
 THRESHOLD = 0.8
 #: Characters that one step of signing holds, and hashes that a task remembers.
 CHUNK_CHARS, SEEN = 1 << 20, 1 << 20
+#: Bits of the filter that keeps lines from being fetched in vain (16 MB), and the
+#: largest group in which pairs are dealt to their smallest shared key.
+BITMAP_BITS, SMALL_GROUP = 1 << 27, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)  # xxhash64(1, line) continues from the hash of 1
 
@@ -76,53 +80,103 @@ def band_keys(lines: list[str], q: int = SHINGLE_CHARS, bands: int = BANDS, rows
     for band in range(bands):
         acc = np.full(n, band + 1, np.uint64)
         for r in range(band * rows, band * rows + rows):
-            x = h * a[r] + b[r]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
+            x = h * a[r]
+            x += b[r]
             acc = (acc ^ np.minimum.reduceat(x, first).astype(np.uint64)) * _BASE
             acc ^= acc >> np.uint64(29)
         keys[:, band] = acc
     return keys
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
+    """(line, its bytes, first hash) of lines that are not blank, each once while remembered."""
     seen: set[int] = set()
-
-    def emit(hashes: list[tuple[int, int]], lines: list[str]) -> pa.RecordBatch:
-        keys = band_keys(lines)
-        h = np.repeat(np.array(hashes, np.uint64), BANDS, axis=0).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["key", "h1", "h2"])
-
-    hashes: list[tuple[int, int]] = []
-    lines: list[str] = []
-    held = 0
     for b in batches:
         for text in b.column(0).to_pylist():
             for line in (text or "").split("\n"):
                 if not line or line.isspace():
                     continue
-                h = line_hash(line.encode("utf-8", "surrogatepass"))
-                if h[0] in seen:
+                raw = line.encode("utf-8", "surrogatepass")
+                h = xxhash.xxh64_intdigest(raw, 42)
+                if h in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(h[0])
-                hashes.append(h)
-                lines.append(line)
-                held += len(line)
-                if held > CHUNK_CHARS:
-                    yield emit(hashes, lines)
-                    hashes, lines, held = [], [], 0
+                seen.add(h)
+                yield line, raw, h
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h1): a row for each band of each line."""
+
+    def emit(hashes: list[int], lines: list[str]) -> pa.RecordBatch:
+        h = np.repeat(np.array(hashes, np.uint64), BANDS).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(band_keys(lines).ravel().view(np.int64)), pa.array(h)], ["key", "h1"])
+
+    hashes: list[int] = []
+    lines: list[str] = []
+    held = 0
+    for line, _, h in _lines_once(batches):
+        hashes.append(h)
+        lines.append(line)
+        held += len(line)
+        if held > CHUNK_CHARS:
+            yield emit(hashes, lines)
+            hashes, lines, held = [], [], 0
     if lines:
         yield emit(hashes, lines)
 
 
+def _fetch(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, line) of lines whose first hash may be wanted."""
+    out: list[list] = [[], [], []]
+    bits = bitmap.tobytes()
+    for line, raw, h in _lines_once(batches):
+        at = h & (BITMAP_BITS - 1)
+        if bits[at >> 3] >> (at & 7) & 1:
+            out[0].append(h)
+            out[1].append(xxhash.xxh64_intdigest(raw, _SECOND))
+            out[2].append(line)
+            if len(out[0]) >= 5_000:
+                yield _line_batch(out)
+                out = [[], [], []]
+    if out[0]:
+        yield _line_batch(out)
+
+
+def _line_batch(out: list[list]) -> pa.RecordBatch:
+    h1, h2 = (pa.array(np.array(h, np.uint64).view(np.int64)) for h in out[:2])
+    return pa.RecordBatch.from_arrays([h1, h2, pa.array(out[2], pa.string())], ["h1", "h2", "line"])
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter of ``h1``, of a fixed size whatever the input."""
+    at = F.col("h1").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    words = hashes.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h1 & 31 AS int))")).alias("b"))
+    found = words.toPandas()  # at most BITMAP_BITS / 32 rows
+    out = np.zeros(BITMAP_BITS // 32, np.uint32)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
 def _verify(groups: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links within groups. In small groups a pair is verified under its smallest shared key only."""
     for whole, starts in groups:
-        ids, texts = whole.column("id").to_numpy(), whole.column("line").to_pylist()
-        blk, diag = whole.column("blk").to_numpy(), whole.column("diag").to_numpy()
+        ids, texts, shared = whole.column("id").to_numpy(), whole.column("line").to_pylist(), whole.column("keys").to_pylist()
+        key, blk, diag = whole.column("key").to_pylist(), whole.column("blk").to_numpy(), whole.column("diag").to_numpy()
         links: list[tuple[int, int]] = []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if hi - lo <= SMALL_GROUP:
+                sets: dict[int, set] = {}
+                keys = [set(k) for k in shared[lo:hi]]
+                for i in range(lo + 1, hi):
+                    for j in range(lo, i):
+                        if min(keys[i - lo] & keys[j - lo]) == key[lo]:
+                            for x in (i, j):
+                                if x not in sets:
+                                    sets[x] = shingles(texts[x])
+                            _alike(sets[i], sets[j], links, ids[i], ids[j])
+                continue
             parts: list[list[tuple[int, set]]] = []  # components of this group, leader first
             for i in range(lo, hi):
                 own = shingles(texts[i])
@@ -158,13 +212,16 @@ def exploded_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(h1, h2, comp): components of different lines that are alike; others are absent."""
-    keyed = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_sign, "key long, h1 long, h2 long").repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"))
-    shared = shared.where("a1 <> b1 OR a2 <> b2").select("key")
+    texts = docs.select(F.col(text).cast("string").alias("t"))
+    keyed = texts.mapInArrow(_sign, "key long, h1 long").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     posted = cut(keyed.join(shared, "key").distinct())
-    named = cut(posted.select("h1", "h2").distinct().withColumn("id", F.monotonically_increasing_id()))
-    texts = exploded_lines(docs, doc_id, text).select("h1", "h2", "line").join(named, ["h1", "h2"]).groupBy("id", "h1", "h2").agg(F.first("line").alias("line"))
-    rows = posted.join(texts, ["h1", "h2"]).select("key", "id", "line")
+    wanted = posted.groupBy("h1").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(posted.select("h1")))
+    found = texts.mapInArrow(lambda it: _fetch(it, bitmap.value), "h1 long, h2 long, line string")
+    named = found.join(wanted, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("keys").alias("keys"))
+    named = cut(named.withColumn("id", F.monotonically_increasing_id()))
+    rows = named.select("id", "line", "keys", F.explode("keys").alias("key"))
     links = map_groups(rows, ["key"], "id", _verify, "src long, dst long", block_rows=2048)
     comps = connected_components(links)
     return named.join(comps, "id").select("h1", "h2", F.col("component_id").alias("comp"))
