@@ -140,10 +140,10 @@ def reversion_curve(spark, sf):
     return pairs.reversion_curve(residuals(spark, sf), "z", [1, 6], 0.5, key=["a", "b"])
 
 
-@query("pair_persistence", out(BARS + ", s AS (SELECT x.symbol AS a, y.symbol AS b, x.t // 432000 AS w, corr(x.close, y.close) > 0 AS chosen FROM bars x JOIN bars y ON x.t = y.t AND x.symbol < y.symbol GROUP BY 1, 2, 3)", "n", "survival base_rate", "SELECT count(*) AS n, avg(l.chosen::INT) FILTER (s.chosen) AS survival, avg(l.chosen::INT) AS base_rate FROM s JOIN s l ON l.a = s.a AND l.b = s.b AND l.w = s.w + 1"))
+@query("pair_persistence", out(BARS + ", s AS (SELECT x.symbol AS a, y.symbol AS b, x.t // 432000 AS w, coalesce(CASE WHEN isnan(corr(x.close, y.close)) THEN 0 ELSE corr(x.close, y.close) END, 0) > 0 AS chosen FROM bars x JOIN bars y ON x.t = y.t AND x.symbol < y.symbol GROUP BY 1, 2, 3)", "n", "survival base_rate", "SELECT count(*) AS n, avg(l.chosen::INT) FILTER (s.chosen) AS survival, avg(l.chosen::INT) AS base_rate FROM s JOIN s l ON l.a = s.a AND l.b = s.b AND l.w = s.w + 1"))
 def pair_persistence(spark, sf):
     p = joins.symbol_pairs(bars(spark, sf), "close").withColumn("w", F.floor(F.unix_timestamp("ts") / 432000))
-    return pairs.persistence(p.groupBy("a", "b", "w").agg((F.corr("va", "vb") > 0).alias("chosen")), 1)
+    return pairs.persistence(p.groupBy("a", "b", "w").agg((F.coalesce(F.nanvl(F.corr("va", "vb"), F.lit(0.0)), F.lit(0.0)) > 0).alias("chosen")), 1)
 
 
 @query("leave_one_out", out(TRADES + ", g AS (SELECT symbol, sum(pnl) AS s, count(pnl) AS n FROM trades GROUP BY 1), x AS (SELECT *, sum(s) OVER () AS st, sum(n) OVER () AS nt FROM g)", "symbol n", "mean_without share cluster_t", "SELECT symbol, n, (st - s) / (nt - n) AS mean_without, s / abs(st) AS share, (st / nt) / (sqrt(sum(pow(s - n * (st / nt), 2)) OVER ()) / nt) AS cluster_t FROM x", 4))

@@ -235,7 +235,7 @@ def spearman_volume_return(spark, sf):
     return x.groupBy("symbol").agg(F.corr("a", "b").alias("rho"))
 
 
-@query("quantile_surface", out(BARS + ", x AS (SELECT symbol, volume, high - low AS rng, lead(close) OVER w - close AS f FROM bars " + W + "), e AS (SELECT quantile_cont(volume, 0.2) a1, quantile_cont(volume, 0.4) a2, quantile_cont(volume, 0.6) a3, quantile_cont(volume, 0.8) a4, quantile_cont(rng, 0.2) b1, quantile_cont(rng, 0.4) b2, quantile_cont(rng, 0.6) b3, quantile_cont(rng, 0.8) b4 FROM x)", "vq rq n", "mean", "SELECT (volume > a1)::INT + (volume > a2)::INT + (volume > a3)::INT + (volume > a4)::INT AS vq, (rng > b1)::INT + (rng > b2)::INT + (rng > b3)::INT + (rng > b4)::INT AS rq, count(f) AS n, avg(f) AS mean FROM x CROSS JOIN e GROUP BY 1, 2"))
+@query("quantile_surface", out(BARS + ", x AS (SELECT symbol, volume, high - low AS rng, lead(close) OVER w - close AS f FROM bars " + W + "), e AS (SELECT quantile_cont(volume, 0.2) a1, quantile_cont(volume, 0.4) a2, quantile_cont(volume, 0.6) a3, quantile_cont(volume, 0.8) a4, quantile_cont(rng, 0.2) b1, quantile_cont(rng, 0.4) b2, quantile_cont(rng, 0.6) b3, quantile_cont(rng, 0.8) b4, min(volume) va, max(volume) vb, min(rng) ra, max(rng) rb FROM x)", "vq rq n", "mean", "SELECT len(list_filter(list_distinct([a1, a2, a3, a4]), lambda e: e > va AND e < vb AND volume > e)) AS vq, len(list_filter(list_distinct([b1, b2, b3, b4]), lambda e: e > ra AND e < rb AND rng > e)) AS rq, count(f) AS n, avg(f) AS mean FROM x CROSS JOIN e GROUP BY 1, 2"))
 def quantile_surface(spark, sf):
     x = bars(spark, sf).withColumns({"rng": F.col("high") - F.col("low"), "f": F.lead("close").over(ordered(KEY)) - F.col("close")})
     x = rolling.quantile_cut(rolling.quantile_cut(x, "volume", 5, "vq", []), "rng", 5, "rq", [])

@@ -119,9 +119,9 @@ def stream_trailing_flow(spark, sf):
     return drained(live.trailing_flow(trade_stream(spark, sf), "2 hours", "1 hour"))
 
 
-@query("stream_clusters", "WITH " + TICKS + ", c AS (SELECT symbol, ts, s, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM ticks WHERE price > 50), g AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM c) SELECT symbol, min(s) AS first, max(s) AS last, count(*) AS k FROM g GROUP BY symbol, c HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)")
+@query("stream_clusters", "WITH " + TICKS + ", c AS (SELECT symbol, ts, s, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM ticks WHERE price > 50), g AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM c) SELECT symbol, min(s) AS first, max(s) AS last, count(*) AS k FROM g GROUP BY symbol, c HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks WHERE price > 50)")
 def stream_clusters(spark, sf):
-    """Session windows over large prints; the watermark is that of all ticks."""
+    """Session windows over large prints; the filter runs before the watermark, which follows these prints."""
     return drained(live.trigger_clusters(trade_stream(spark, sf).where("price > 50"), "1 hour"))
 
 
