@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, map_groups, table
@@ -247,8 +247,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select("k", "text")
     dealt = texts.mapInArrow(lambda it: _contexts(it, length, True), schema).repartition("m")
     contexts = dealt.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "at", "n")).alias("one"))
-    shared = contexts.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"))
-    contexts = cut(contexts.join(shared, "m").where("times > 1 OR kinds > 1"))
+    kinds = F.count(F.lit(1)).over(Window.partitionBy("m"))  # the rows lie together already
+    contexts = cut(contexts.withColumn("kinds", kinds).where("times > 1 OR kinds > 1"))
     wanted = (
         contexts.where("kinds > 1").select("m", "c", F.col("one.k").alias("k"), F.col("one.at").alias("at"), F.col("one.n").alias("n"))
         .groupBy("k").agg(F.collect_list(F.struct("m", "c", "at", "n")).alias("wanted"))
