@@ -1,9 +1,11 @@
 """Recurrences that depend on the row before.
 
-``affine_scan`` runs y = a * y_before + b as a block scan: blocks of a key run
-apart, and one short pass over block summaries hands the carry on, so a long key is
-many tasks. ``ordered_scan`` streams sorted rows of a key through a small state
-machine; its memory does not grow with the key.
+``affine_scan`` runs y = a * y_before + b. It streams sorted rows, one number of state
+for each key; with ``block`` it is a block scan instead: blocks of a key run apart and
+one short pass over block summaries hands the carry on, so one very long key is many
+tasks. A block scan reads its input twice, so chains of them should be cut between.
+``ordered_scan`` streams sorted rows of a key through a small state machine; its
+memory does not grow with the key.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 4096
 
-
-def affine_scan(df: DataFrame, a: str, b: str, out: str, *, key: list[str], ts: str = "ts", block: int = BLOCK) -> DataFrame:
+def affine_scan(df: DataFrame, a: str, b: str, out: str, *, key: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
     """``df`` with y_i = a_i * y_(i-1) + b_i, y_(-1) = 0, per key in time order."""
+    if block is None:
+        return _streamed_affine(df, a, b, out, key=key, ts=ts)
     w = Window.partitionBy(*key).orderBy(ts)
     numbered = df.withColumn("__blk", F.floor((F.row_number().over(w) - 1) / block))
     schema = T.StructType([*numbered.schema.fields, T.StructField("__scan_y", T.DoubleType()), T.StructField("__scan_a", T.DoubleType())])
@@ -51,6 +53,23 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, *, key: list[str], ts:
     return scanned.join(carries, [*key, "__blk"]).withColumn(out, F.col("__scan_y") + F.col("__scan_a") * F.col("__carry")).drop("__blk", "__scan_y", "__scan_a", "__carry")
 
 
+def _streamed_affine(df: DataFrame, a: str, b: str, out: str, *, key: list[str], ts: str) -> DataFrame:
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, y = None, 0.0
+        for pdf in parts:
+            x, c, made = pdf[a].to_numpy(float), pdf[b].to_numpy(float), np.empty(len(pdf))
+            for i, k in enumerate(zip(*[pdf[k] for k in key])):
+                if k != at:
+                    at, y = k, 0.0
+                y = x[i] * y + c[i]
+                made[i] = y
+            yield pdf.assign(**{out: made})
+
+    return df.repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(run, schema)
+
+
 def ewm(df: DataFrame, x: str, alpha: float, out: str, *, key: list[str], ts: str = "ts", least: int = 1) -> DataFrame:
     """Recursive exponential mean (no bias adjustment); nulls carry the value and age it."""
     w = Window.partitionBy(*key).orderBy(ts)
