@@ -168,14 +168,17 @@ def _verify(groups: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.Record
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if hi - lo <= SMALL_GROUP:
                 sets: dict[int, set] = {}
-                keys = [set(k) for k in shared[lo:hi]]
-                for i in range(lo + 1, hi):
-                    for j in range(lo, i):
-                        if min(keys[i - lo] & keys[j - lo]) == key[lo]:
-                            for x in (i, j):
-                                if x not in sets:
-                                    sets[x] = shingles(texts[x])
-                            _alike(sets[i], sets[j], links, ids[i], ids[j])
+                smaller = [{k for k in keys if k < key[lo]} for keys in shared[lo:hi]]
+                forest = Forest(hi - lo)
+                for i in range(1, hi - lo):
+                    for j in range(i):
+                        if forest.root(i) == forest.root(j) or not smaller[i].isdisjoint(smaller[j]):
+                            continue
+                        for x in (i, j):
+                            if x not in sets:
+                                sets[x] = shingles(texts[lo + x])
+                        if _alike(sets[i], sets[j], links, ids[lo + i], ids[lo + j]):
+                            forest.join(i, j)
                 continue
             parts: list[list[tuple[int, set]]] = []  # components of this group, leader first
             for i in range(lo, hi):
