@@ -57,6 +57,30 @@ def probabilistic_sharpe(returns: DataFrame, r: str, benchmark: float = 0.0, *,
     return m.withColumn("psr", normal_cdf(F.col("z"))).select(*key, "n", "sr", "z", "psr")
 
 
+def permuted(rows: DataFrame, cols: list[str], *, key: list[str], order: str, seed: int = 1) -> DataFrame:
+    """``cols`` dealt anew to the rows of each key, by a seeded order of ``order``, which is unique in a key.
+
+    Marginals stay and links with the other columns are cut: the null of a matched
+    control. Both rankings stream over sorted rows, so no key is held in memory.
+    """
+    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string")))
+    kept = rows.drop(*cols).withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+    dealt = rows.select(
+        *[F.col(k).alias(f"__k{n}") for n, k in enumerate(key)], *[F.col(c).alias(f"__c{n}") for n, c in enumerate(cols)],
+        F.row_number().over(Window.partitionBy(*key).orderBy(rank, order)).alias("__j"),
+    )
+    same = F.col("__i") == F.col("__j")
+    for n, k in enumerate(key):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    return kept.join(dealt, same).select(*[F.col(f"__c{cols.index(c)}").alias(c) if c in cols else c for c in rows.columns])
+
+
+def displaced(rows: DataFrame, col: str, by: str, *, share: float = 0.02, seed: int = 1) -> DataFrame:
+    """``col`` moved by a seeded factor within 1 +- ``share``, from a hash of ``by``; no shuffle."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967295.0
+    return rows.withColumn(col, F.col(col) * (1 + share * (2 * u - 1)))
+
+
 def haircut(tests: DataFrame, p: str, *, key: list[str]) -> DataFrame:
     """Bonferroni, Holm and BHY adjusted p-values over all rows of a key."""
     w = Window.partitionBy(*key)

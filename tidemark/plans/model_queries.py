@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, folds, joins, meta, metrics, rolling, sweep
+from tidemark.operators import events, folds, inference, joins, meta, metrics, rolling, sweep
 from tidemark.operators.grid import ordered
 from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, bars, out, query, table, with_returns
 from tidemark.streaming import live
@@ -86,11 +86,16 @@ def trade_stream(spark, sf) -> DataFrame:
     ).withWatermark("ts", "10 minutes")
 
 
+def shared_paths(spark, *kinds: str) -> list[str]:
+    """New paths in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    return [f"{root}/{kind}-{uuid.uuid4().hex}" for kind in kinds]
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into a table in the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    path, state = (f"{root}/{kind}-{uuid.uuid4().hex}" for kind in ("stream", "state"))
+    path, state = shared_paths(spark, "stream", "state")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
     else:
@@ -137,3 +142,57 @@ def stream_throttle(spark, sf):
     """One snapshot per symbol in ten minutes since the last one."""
     b = trade_stream(spark, sf).select("symbol", F.unix_millis("ts").alias("ts_exchange"))
     return drained(live.throttle(b, 600_000)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ticker_stream(spark, sf) -> DataFrame:
+    return trade_stream(spark, sf).select("symbol", "ts", F.col("price").alias("last"), (F.col("id") % 1000).cast("double").alias("open_interest"))
+
+
+CLOSED = f"HAVING s // 3600 * 3600 + 3600 <= {LATE}"
+
+
+@query("stream_bridge", out(SIDED, "symbol t", "cvd price open_interest", f"SELECT symbol, (s // 3600 * 3600)::BIGINT AS t, sum(sv) AS cvd, last(price ORDER BY ts) AS price, last(event_id % 1000 ORDER BY ts)::DOUBLE AS open_interest FROM tr GROUP BY symbol, s // 3600 {CLOSED}"))
+def stream_bridge(spark, sf):
+    """Trade flow beside the ticker's state, window by window, from two streams."""
+    return drained(live.bridge(trade_stream(spark, sf), ticker_stream(spark, sf), "1 hour"))
+
+
+@query("stream_regime", out(TICKS + ", g AS (SELECT symbol, s // 3600 AS h, count(*) AS n, last(price ORDER BY ts) - first(price ORDER BY ts) AS dp, (last(event_id % 1000 ORDER BY ts) - first(event_id % 1000 ORDER BY ts))::DOUBLE AS doi FROM ticks GROUP BY symbol, s // 3600 " + CLOSED + ")", "symbol t", "d_price d_open_interest", "SELECT symbol, (h * 3600)::BIGINT AS t, CASE WHEN n >= 2 THEN dp END AS d_price, CASE WHEN n >= 2 THEN doi END AS d_open_interest FROM g"))
+def stream_regime(spark, sf):
+    return drained(live.open_interest_regime(ticker_stream(spark, sf), "1 hour")).drop("regime")
+
+
+@query("stream_tee", "WITH " + TICKS + " SELECT symbol, count(*) AS recorded, round(sum(amount), 6) AS amount, count(*) AS served FROM ticks GROUP BY 1")
+def stream_tee(spark, sf):
+    """Rows recorded and rows served from one stream agree."""
+    recorded, served, state = shared_paths(spark, "recorded", "served", "state")
+
+    def serve(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy("symbol").agg(F.count(F.lit(1)).alias("served")).write.mode("overwrite").parquet(f"{served}/epoch={epoch}")
+
+    live.tee(trade_stream(spark, sf), recorded, state, serve).trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(recorded).groupBy("symbol").agg(F.count(F.lit(1)).alias("recorded"), F.sum("amount").alias("amount"))
+    return kept.join(spark.read.parquet(served).groupBy("symbol").agg(F.sum("served").alias("served")), "symbol")
+
+
+NULLED = RETS + ", x AS (SELECT * FROM (SELECT symbol, t, sign(r) AS side, lead(r) OVER (PARTITION BY symbol ORDER BY t) AS f FROM rets) WHERE side IS NOT NULL AND f IS NOT NULL), a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM x), b AS (SELECT symbol, side, row_number() OVER (PARTITION BY symbol ORDER BY md5('1:' || t), t) AS i FROM x)"
+
+
+@query("matched_null", out(NULLED, "symbol n", "mean null_mean", "SELECT a.symbol, count(*) AS n, avg(a.side * f) AS mean, avg(b.side * f) AS null_mean FROM a JOIN b ON a.symbol = b.symbol AND a.i = b.i GROUP BY 1"))
+def matched_null(spark, sf):
+    """A signal's mean return beside that of the same signals dealt to other bars."""
+    d = with_returns(spark, sf).withColumns({"side": F.signum("r"), "f": F.lead("r").over(ordered(KEY)), "t": F.unix_timestamp("ts")}).where("side IS NOT NULL AND f IS NOT NULL").select("symbol", "t", "side", "f")
+    null = inference.permuted(d.withColumn("null_side", F.col("side")), ["null_side"], key=KEY, order="t")
+    return null.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("side") * F.col("f")).alias("mean"), F.avg(F.col("null_side") * F.col("f")).alias("null_mean"))
+
+
+@query("matched_null_levels", out(BARS + ", d AS (SELECT *, lag(high, 1) OVER w AS level FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)), e AS (SELECT *, level * (1 + 0.02 * (2 * (('0x' || substr(md5('1:' || t), 1, 8))::BIGINT / 4294967295.0) - 1)) AS moved FROM d WHERE level IS NOT NULL)", "symbol n touched moved_touched", "", "SELECT symbol, count(*) AS n, count(*) FILTER (level BETWEEN low AND high) AS touched, count(*) FILTER (moved BETWEEN low AND high) AS moved_touched FROM e GROUP BY 1"))
+def matched_null_levels(spark, sf):
+    """Bars that touch the last bar's high, and those that touch it moved at random."""
+    d = bars(spark, sf).withColumns({"level": F.lag("high").over(ordered(KEY)), "t": F.unix_timestamp("ts")}).where("level IS NOT NULL")
+    d = inference.displaced(d.withColumn("moved", F.col("level")), "moved", "t")
+
+    def touched(c: str):
+        return F.count(F.when(F.col(c).between(F.col("low"), F.col("high")), 1))
+
+    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), touched("level").alias("touched"), touched("moved").alias("moved_touched"))

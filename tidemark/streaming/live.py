@@ -131,11 +131,14 @@ def windowed_metrics(trades: DataFrame, names: list[str], width: str = "60 secon
 
 
 def tee(stream: DataFrame, path: str, checkpoint: str, serve: Callable[[DataFrame, int], None]):
-    """Record every batch as Parquet and serve it, from one stream."""
+    """Record every batch as Parquet and serve it, from one stream.
+
+    A batch has a folder of its own, so one that runs again replaces its rows.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        batch.write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         serve(batch, epoch)
         batch.unpersist()
 
