@@ -13,7 +13,9 @@ is kept. A pair is counted in the first table in which it meets.
 
 All rows are indexed. Equal vectors are one entry with a count. Buckets are compared
 as blocks of a matrix product; only counts per vector and the links that join two
-parts leave a task, and hot buckets are dealt out as block pairs.
+parts leave a task, and hot buckets are dealt out as block pairs. Vectors travel as
+they are stored (float components as 4 bytes) and are normalised in double precision
+where they are compared.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Forest, connected_components, cut, map_groups, table
 
@@ -52,10 +55,22 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5, rounds: int =
     return mean, np.hstack(out)[:, :bits]
 
 
+def _floats(vectors: DataFrame, embedding: str) -> bool:
+    kind = vectors.schema[embedding].dataType
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length one, in double precision; very large components do not overflow."""
+    v = v.astype(float)
+    v = v / np.abs(v).max(1)[:, None]
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def unit_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, usable, v): v has a usable vector's components as doubles, raw."""
+    """(vec_id, usable, v): v has a usable vector's components, raw, as floats if stored so, else as doubles."""
     e = F.col(embedding)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.cast("array<float>" if _floats(vectors, embedding) else "array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("v", lambda x: x != 0)
     return rows.withColumn("usable", F.coalesce(F.col("v").isNotNull() & ~bad & some, F.lit(False)))
@@ -90,9 +105,7 @@ def near_vectors(
     for d in dims:
         own = reps.where(F.size("v") == d)
         sample = np.array([r["v"] for r in own.orderBy(F.xxhash64(F.lit(seed), F.col("vh"))).limit(sample_rows).select("v").collect()], float)
-        sample = sample / np.abs(sample).max(1)[:, None]  # so that very large components do not overflow
-        sample /= np.linalg.norm(sample, axis=1)[:, None]
-        found.append(_links(spark, own, sample, least_cosine, tables, table_bits, seed))
+        found.append(_links(spark, own, _unit(sample), least_cosine, tables, table_bits, seed, "<f4" if _floats(vectors, embedding) else "<f8"))
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
@@ -114,10 +127,11 @@ def near_vectors(
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosine: float, tables: int, table_bits: int, seed: int) -> DataFrame:
+def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosine: float, tables: int, table_bits: int, seed: int, width: str) -> DataFrame:
     mean, projection = learn_rotations(sample, tables * table_bits, seed)
     model = spark.sparkContext.broadcast((mean, projection))
     weights = (1 << np.arange(table_bits)).astype(np.int64)
+    code_width = "<u2" if table_bits <= 16 else "<u4"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection = model.value
@@ -125,13 +139,11 @@ def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosin
             n = b.num_rows
             if not n:
                 continue
-            v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1)
-            v = v / np.abs(v).max(1)[:, None]
-            v = v / np.linalg.norm(v, axis=1)[:, None]
-            keys = ((v - mean) @ projection >= 0).reshape(n, tables, table_bits) @ weights
-            raw = v.astype("<f8").tobytes()
+            v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), width).reshape(n, -1)
+            keys = ((_unit(v) - mean) @ projection >= 0).reshape(n, tables, table_bits) @ weights
+            raw = v.tobytes()
             w = len(raw) // n
-            codes = keys.astype("<u4").tobytes()
+            codes = keys.astype(code_width).tobytes()
             cw = len(codes) // n
             vec = pa.array([raw[i * w : (i + 1) * w] for i in range(n)], pa.binary())
             code = pa.array([codes[i * cw : (i + 1) * cw] for i in range(n)], pa.binary())
@@ -148,8 +160,8 @@ def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosin
             n = whole.num_rows
             key, copies = whole.column("rep_key").to_numpy(), whole.column("copies").to_numpy()
             tab, blk, diag = whole.column("tab").to_numpy(), whole.column("blk").to_numpy(), whole.column("diag").to_numpy()
-            x = np.frombuffer(b"".join(whole.column("vec").to_pylist()), "<f8").reshape(n, -1)
-            codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), "<u4").reshape(n, -1)
+            x = _unit(np.frombuffer(b"".join(whole.column("vec").to_pylist()), width).reshape(n, -1))
+            codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), code_width).reshape(n, -1)
             linked, forest = np.zeros(n, np.int64), Forest(n)
             for lo, hi in zip(starts[:-1], starts[1:]):
                 for a in range(lo, hi - 1, 512):
