@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import book, folds, inference, joins, returns, scans
+from tidemark.operators import book, events, folds, inference, joins, returns, scans
 from tidemark.operators.grid import forward_fill
 from tidemark.sources import market
 
@@ -119,3 +119,29 @@ def test_round_trips_counts_spells(spark):
     got = returns.round_trips(df, key=["symbol"]).orderBy("entry").collect()
     assert [(r["bars"], r["direction"]) for r in got] == [(2, "long"), (2, "short"), (1, "long")]
     assert abs(got[0]["pnl"] - (1.1**2 - 1)) < 1e-12
+
+
+def test_permuted_keeps_marginals_and_cuts_links(spark):
+    rows = [(k, i, float(i), "x") for k in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, t long, v double, w string")
+    got = [tuple(r) for r in inference.permuted(df, ["v"], key=["symbol"], order="t").collect()]
+    assert [len(got), got == rows] == [len(rows), False]
+    assert sorted((str(k), v) for k, _, v, _ in got) == sorted((str(k), v) for k, _, v, _ in rows)
+    assert sorted((str(k), t) for k, t, _, _ in got) == sorted((str(k), t) for k, t, _, _ in rows)
+    assert sorted(map(str, got)) == sorted(map(str, (tuple(r) for r in inference.permuted(df.repartition(3), ["v"], key=["symbol"], order="t").collect())))
+    assert inference.permuted(df.limit(0), ["v"], key=["symbol"], order="t").count() == 0
+    moved = inference.displaced(df, "v", "t", share=0.1).collect()
+    assert all(0.9 * r["t"] - 1e-9 <= r["v"] <= 1.1 * r["t"] + 1e-9 for r in moved) and any(r["v"] != r["t"] for r in moved)
+
+
+def test_stop_breaker_counts_kept_stops_only(spark):
+    at_ = [0, 1, 2, 3, 11, 12, 13, 30]
+    df = spark.createDataFrame([("a", s, i, True) for i, s in enumerate(at_)] + [("b", 5, 0, None), ("b", 5, 1, True)], "symbol string, s long, id long, stopped boolean")
+    kept, recent = [], []
+    for s in at_:
+        if len([x for x in recent if s - x <= 10]) < 2:
+            kept.append(s)
+            recent.append(s)
+    got = events.stop_breaker(df, 10, 2, key=["symbol"], at="s", stopped="stopped", tie=["id"]).collect()
+    assert sorted(r["s"] for r in got if r["symbol"] == "a") == kept
+    assert sorted(r["id"] for r in got if r["symbol"] == "b") == [0, 1]

@@ -157,8 +157,11 @@ def trendline_breaks(bars: DataFrame, lines: DataFrame, *, key: list[str], width
     return j.groupBy(*key, "i1").agg(F.first("break_idx").alias("break_idx"), F.count(F.when(touch, 1)).alias("touches"))
 
 
-def stop_breaker(events: DataFrame, seconds: float, most: int, *, key: list[str], at: str, stopped: str) -> DataFrame:
-    """Drop an event while ``most`` or more kept events of its key stopped in the last ``seconds``."""
+def stop_breaker(events: DataFrame, seconds: float, most: int, *, key: list[str], at: str, stopped: str, tie: list[str] | None = None) -> DataFrame:
+    """Drop an event while ``most`` or more kept events of its key stopped in the last ``seconds``.
+
+    ``seconds`` is in the unit of ``at``; events of equal ``at`` follow in the order of ``tie``.
+    """
     from pyspark.sql import types as T
 
     from tidemark.operators.scans import ordered_scan
@@ -175,4 +178,4 @@ def stop_breaker(events: DataFrame, seconds: float, most: int, *, key: list[str]
 
         return step
 
-    return ordered_scan(events, [at], [at, stopped], machine, T.StructType([T.StructField("__k", T.BooleanType())]), key=key).where("__k").drop("__k")
+    return ordered_scan(events, [at, *(tie or [])], [at, stopped], machine, T.StructType([T.StructField("__k", T.BooleanType())]), key=key).where("__k").drop("__k")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, events, joins, metrics, orderflow, pairs, returns, rolling, scans
@@ -100,13 +99,15 @@ def trendline_breaks(spark, sf):
     return events.trendline_breaks(indexed(spark, sf), lines, key=KEY, width=48).withColumn("i1", F.col("i1").cast("long"))
 
 
-@query("stop_breaker", "SELECT 1::BIGINT AS ok")
+# the three last kept stops of a symbol are a (latest), b and c; an event stays unless c is within a day
+BREAKER = "n AS (SELECT event_type AS symbol, event_id, epoch_us(ts) AS s, value > 80 AS stopped, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events), k AS (SELECT symbol, rn, event_id, stopped, TRUE AS ok, CASE WHEN stopped THEN s END AS a, NULL::BIGINT AS b, NULL::BIGINT AS c FROM n WHERE rn = 1 UNION ALL SELECT symbol, rn, event_id, stopped, ok, CASE WHEN ok AND stopped THEN s ELSE a END, CASE WHEN ok AND stopped THEN a ELSE b END, CASE WHEN ok AND stopped THEN b ELSE c END FROM (SELECT n.*, k.a, k.b, k.c, k.c IS NULL OR n.s - k.c > 86400000000 AS ok FROM k JOIN n ON n.symbol = k.symbol AND n.rn = k.rn + 1))"
+
+
+@query("stop_breaker", f"WITH RECURSIVE {BREAKER} SELECT symbol, event_id, stopped FROM k WHERE ok")
 def stop_breaker(spark, sf):
-    """No key keeps more than its limit of stopped events within the window."""
-    t = ticks(spark, sf).select("symbol", F.unix_timestamp("ts").alias("s"), (F.col("price") > 80).alias("stopped"))
-    kept = events.stop_breaker(t, 86400.0, 3, key=KEY, at="s", stopped="stopped").where("stopped")
-    w = Window.partitionBy("symbol").orderBy("s").rangeBetween(-86400, 0)
-    return kept.withColumn("n", F.count(F.lit(1)).over(w)).agg((F.max("n") <= 3).cast("long").alias("ok"))
+    """Events kept when a symbol pauses after three stops in a day."""
+    t = ticks(spark, sf).select("symbol", "event_id", F.unix_micros("ts").alias("s"), (F.col("price") > 80).alias("stopped"))
+    return events.stop_breaker(t, 86_400_000_000, 3, key=KEY, at="s", stopped="stopped", tie=["event_id"]).drop("s")
 
 
 @query("pair_regressions", out(BARS, "a b n", "beta alpha r2 resid_sd", "SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, regr_slope(ln(x.close + 1), ln(y.close + 1)) AS beta, regr_intercept(ln(x.close + 1), ln(y.close + 1)) AS alpha, regr_r2(ln(x.close + 1), ln(y.close + 1)) AS r2, sqrt(var_pop(ln(x.close + 1)) * (1 - regr_r2(ln(x.close + 1), ln(y.close + 1)))) AS resid_sd FROM bars x JOIN bars y ON x.t = y.t AND x.symbol < y.symbol GROUP BY 1, 2"))
@@ -140,6 +141,22 @@ def reversion_curve(spark, sf):
     return pairs.reversion_curve(residuals(spark, sf), "z", [1, 6], 0.5, key=["a", "b"])
 
 
+WEEKS = PAIR + ", fm AS (SELECT a, b, t // 604800 AS w, regr_slope(va, vb) AS beta, regr_intercept(va, vb) AS alpha FROM pp GROUP BY 1, 2, 3), rw AS (SELECT pp.a, pp.b, w, t, va - alpha - beta * vb AS resid FROM pp JOIN fm ON pp.a = fm.a AND pp.b = fm.b AND t // 604800 = w), d AS (SELECT a, b, w, resid - lag(resid) OVER k AS d, lag(resid) OVER k AS l FROM rw WINDOW k AS (PARTITION BY a, b, w ORDER BY t)), s AS (SELECT a, b, w, count(*) AS n, sum(l * l) AS sxx, sum(l * d) AS sxy, sum(d * d) AS syy FROM d WHERE l IS NOT NULL GROUP BY 1, 2, 3), st AS (SELECT a, b, w, sxy / sxx / sqrt((syy - sxy / sxx * sxy) / (n - 1) / sxx) AS score, CASE WHEN sxy / sxx < 0 AND sxy / sxx > -1 THEN -ln(2) / ln(1 + sxy / sxx) END AS half_life FROM s WHERE n >= 20), ch AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score, a, b) AS rank FROM st WHERE score <= -3 AND half_life BETWEEN 0.05 AND 24)"
+
+
+@query("pair_formation", out(WEEKS, "a b trade_week rank n", "half_life drift", "SELECT ch.a, ch.b, (ch.w + 1)::BIGINT AS trade_week, rank, count(*) AS n, any_value(half_life) AS half_life, avg(va - alpha - beta * vb) AS drift FROM ch JOIN fm ON fm.a = ch.a AND fm.b = ch.b AND fm.w = ch.w JOIN pp ON pp.a = ch.a AND pp.b = ch.b AND t // 604800 = ch.w + 1 WHERE rank <= 3 GROUP BY ch.a, ch.b, ch.w, rank"))
+def pair_formation(spark, sf):
+    """Pairs formed on each week and followed through the next with the coefficients frozen."""
+    p = joins.symbol_pairs(bars(spark, sf).withColumn("lp", F.log1p("close")), "lp").withColumn("w", F.floor(F.unix_timestamp("ts") / 604800))
+    fits = pairs.regress(p, ["w"])
+    r = pairs.residuals(p, fits, on=["a", "b", "w"]).withColumnsRenamed({"a": "pa", "b": "pb"})
+    stats = pairs.dickey_fuller(r, "resid", key=["pa", "pb", "w"]).where("n >= 20").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "w", F.col("t").alias("score"), "half_life")
+    chosen = pairs.top_pairs(stats, F.lit(-3.0), 0.05, 24.0, 3, by="score", window=["w"])
+    frozen = chosen.join(fits.select("a", "b", "w", "alpha", "beta"), ["a", "b", "w"]).withColumn("w", F.col("w") + 1)
+    d = p.join(frozen, ["a", "b", "w"]).groupBy("a", "b", F.col("w").alias("trade_week"), "rank")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.first("half_life").alias("half_life"), F.avg(F.col("va") - F.col("alpha") - F.col("beta") * F.col("vb")).alias("drift"))
+
+
 @query("pair_persistence", out(BARS + ", s AS (SELECT x.symbol AS a, y.symbol AS b, x.t // 432000 AS w, coalesce(CASE WHEN isnan(corr(x.close, y.close)) THEN 0 ELSE corr(x.close, y.close) END, 0) > 0 AS chosen FROM bars x JOIN bars y ON x.t = y.t AND x.symbol < y.symbol GROUP BY 1, 2, 3)", "n", "survival base_rate", "SELECT count(*) AS n, avg(l.chosen::INT) FILTER (s.chosen) AS survival, avg(l.chosen::INT) AS base_rate FROM s JOIN s l ON l.a = s.a AND l.b = s.b AND l.w = s.w + 1"))
 def pair_persistence(spark, sf):
     p = joins.symbol_pairs(bars(spark, sf), "close").withColumn("w", F.floor(F.unix_timestamp("ts") / 432000))
