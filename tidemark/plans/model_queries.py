@@ -157,9 +157,9 @@ def stream_bridge(spark, sf):
     return drained(live.bridge(trade_stream(spark, sf), ticker_stream(spark, sf), "1 hour"))
 
 
-@query("stream_regime", out(TICKS + ", g AS (SELECT symbol, s // 3600 AS h, count(*) AS n, last(price ORDER BY ts) - first(price ORDER BY ts) AS dp, (last(event_id % 1000 ORDER BY ts) - first(event_id % 1000 ORDER BY ts))::DOUBLE AS doi FROM ticks GROUP BY symbol, s // 3600 " + CLOSED + ")", "symbol t", "d_price d_open_interest", "SELECT symbol, (h * 3600)::BIGINT AS t, CASE WHEN n >= 2 THEN dp END AS d_price, CASE WHEN n >= 2 THEN doi END AS d_open_interest FROM g"))
+@query("stream_regime", out(TICKS + ", g AS (SELECT symbol, s // 3600 AS h, count(*) AS n, last(price ORDER BY ts) - first(price ORDER BY ts) AS dp, (last(event_id % 1000 ORDER BY ts) - first(event_id % 1000 ORDER BY ts))::DOUBLE AS doi FROM ticks GROUP BY symbol, s // 3600 " + CLOSED + ")", "symbol t regime", "d_price d_open_interest", "SELECT symbol, (h * 3600)::BIGINT AS t, CASE WHEN n >= 2 THEN dp END AS d_price, CASE WHEN n >= 2 THEN doi END AS d_open_interest, CASE WHEN n < 2 THEN NULL WHEN dp > 0 AND doi > 0 THEN 'new longs' WHEN dp > 0 THEN 'short covering' WHEN doi > 0 THEN 'new shorts' ELSE 'long unwinding' END AS regime FROM g"))
 def stream_regime(spark, sf):
-    return drained(live.open_interest_regime(ticker_stream(spark, sf), "1 hour")).drop("regime")
+    return drained(live.open_interest_regime(ticker_stream(spark, sf), "1 hour"))
 
 
 @query("stream_tee", "WITH " + TICKS + " SELECT symbol, count(*) AS recorded, round(sum(amount), 6) AS amount, count(*) AS served FROM ticks GROUP BY 1")
