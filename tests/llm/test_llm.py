@@ -139,6 +139,15 @@ def test_pages():
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<nav>x</nav>") == ""
 
 
+def test_pages_main_beside_an_unmarked_article():
+    main = "<p>" + "Long text with many words that goes on. " * 12 + "</p>"
+    reply = "<p>" + "I disagree with all of this, and at length. " * 3 + "</p>"
+    want = "\n\n".join([("Long text with many words that goes on. " * 12).strip()] * 4)
+    assert pages.main_text(f"<body><nav>x</nav><main>{main * 4}</main><article>{reply}</article></body>") == want
+    assert pages.main_text(f"<body><nav>x</nav><main>{main * 4}<article>{reply}</article></main></body>").startswith(want)
+    assert pages.main_text(f"<body><main><p>Links and more</p><article>{main * 4}</article></main><article>{reply}</article></body>") == want
+
+
 def test_pages_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a</p>", "y"), (2, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in pages.extract(df).collect()) == [(1, ""), (2, "a"), (2, "a")]

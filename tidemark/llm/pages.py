@@ -4,11 +4,12 @@ The standard library's parser streams start, end and text events; blocks of text
 ("lines") end where block-level elements begin or end. Every line has a text-to-tag
 ratio, its characters over its tags. The ratios are smoothed by a Gaussian over
 neighbouring lines and split in two clusters by a threshold between the cluster
-means; the upper cluster marks the content. The content region is the element that
-holds the marked lines: the article (or main) with most of them where the page has
-one, else the innermost element that no marked line lies outside of. All lines of
-the region are the text, but for those inside boilerplate elements: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+means; the upper cluster marks the content. Lines count by their characters, marked
+ones in full, unmarked prose by half. The content region is the innermost article or
+main that holds most of this mass; where none does, it is the innermost element that
+no marked line lies outside of. All lines of the region are the text, but for those
+inside boilerplate elements: menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments.
 
 Pages are handled one by one inside tasks, as large batches; nothing is shuffled.
 """
@@ -48,6 +49,8 @@ MARKED = re.compile(
     r"skip-?link|tags|toolbar|paywall|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.I,
 )
+#: Characters of a line of prose and its text-to-tag ratio at least.
+PROSE_CHARS, PROSE_RATIO = 80, 20.0
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -163,6 +166,15 @@ def content_cluster(chars: np.ndarray, tags: np.ndarray, sigma: float = 1.0) ->
     return smooth >= min(threshold, smooth.max())
 
 
+def _weights(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(marked, mass) of lines: characters of marked lines, half of other prose, next to nothing else."""
+    chars = np.array([len(t) for t, *_ in lines], float)
+    tags = np.array([n for _, n, *_ in lines], float)
+    marked = content_cluster(chars, tags)
+    prose = (chars >= PROSE_CHARS) & (chars / tags >= PROSE_RATIO)
+    return marked, chars * np.where(marked, 1.0, np.where(prose, 0.5, 0.001))
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by blank lines; "" for none or null."""
     if not html:
@@ -174,19 +186,15 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    chars = np.array([len(t) for t, _, _ in lines], float)
-    marked = content_cluster(chars, np.array([n for _, n, _ in lines], float))
-    mass: dict[int, float] = {}
-    for (_, _, path), c, m in zip(lines, chars, marked):
+    marked, weight = _weights(lines)
+    mass: dict[int | None, float] = {None: float(weight.sum())}  # None: the whole page
+    for (_, _, path), m in zip(lines, weight):
         for i in path:
-            mass[i] = mass.get(i, 0.0) + (c if m else 0.001 * c)
-    region = None
-    for kind in ("article", "main"):
-        own = [i for i in mass if parser.kinds[i] == kind]
-        if own:
-            region = max(own, key=lambda i: (mass[i], -i))
-            break
-    if region is None:  # the innermost element that holds every marked line
+            mass[i] = mass.get(i, 0.0) + m
+    named = [i for i in mass if i is not None and parser.kinds[i] in ("article", "main") and mass[i] > mass[None] / 2]
+    if named:
+        region = min(named, key=lambda i: (mass[i], -i))
+    else:  # the innermost element that holds every marked line
         paths = [p for (_, _, p), m in zip(lines, marked) if m]
         common = paths[0]
         for p in paths[1:]:
