@@ -148,6 +148,23 @@ def test_pages_main_beside_an_unmarked_article():
     assert pages.main_text(f"<body><main><p>Links and more</p><article>{main * 4}</article></main><article>{reply}</article></body>") == want
 
 
+def test_pages_keeps_sibling_sections_and_wrappers():
+    def words(n):
+        return ("word " * n)[: n - 1] + "."
+
+    first, second = [words(30), words(2000), words(400), words(400), words(400)], [words(30)] + [words(200)] * 6
+    for kind in ("section", "div"):
+        page = "<body><nav>x</nav><div>" + "".join(f"<{kind}><h2>{part[0]}</h2>" + "".join(f"<p>{t}</p>" for t in part[1:]) + f"</{kind}>" for part in (first, second)) + "</div></body>"
+        assert pages.main_text(page) == "\n\n".join(first + second)
+    body, want = f"<p>{words(500)}</p>" * 4, "\n\n".join([words(500)] * 4)
+    side = f'<div class="sidebar"><p>{words(100)}</p></div>'
+    for wrapper in ('div class="content with-sidebar"', 'div id="search-page"', 'form action="/page"', 'div class="post comments-open"'):
+        assert pages.main_text(f"<body><nav>x</nav><{wrapper}>{body}{side}</{wrapper.split()[0]}></body>") == want, wrapper
+    replies = f'<div class="comments"><p>{words(90)}</p><p>{words(90)}</p></div><div class="ad">{words(600)}</div>'
+    assert pages.main_text(f"<body><div>{body}</div>{replies}</body>") == want
+    assert pages.main_text(f"<body><article><p>{words(120)}</p></article>{replies}</body>") == words(120)
+
+
 def test_pages_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a</p>", "y"), (2, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in pages.extract(df).collect()) == [(1, ""), (2, "a"), (2, "a")]

@@ -7,9 +7,11 @@ neighbouring lines and split in two clusters by a threshold between the cluster
 means; the upper cluster marks the content. Lines count by their characters, marked
 ones in full, unmarked prose by half. The content region is the innermost article or
 main that holds most of this mass; where none does, it is the innermost element that
-no marked line lies outside of. All lines of the region are the text, but for those
-inside boilerplate elements: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments.
+no marked line lies outside of, grown to each ancestor that adds prose beside it. All
+lines of the region are the text, but for those inside boilerplate elements: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+A block that only its class, id or role (or a form tag) makes boilerplate is kept when
+it outweighs the rest of the page: it is then a wrapper of the content.
 
 Pages are handled one by one inside tasks, as large batches; nothing is shuffled.
 """
@@ -33,7 +35,7 @@ BLOCK = frozenset(
 )
 #: Elements whose text is never content.
 DROPPED = frozenset(
-    "head title script style noscript template iframe object svg math canvas video audio nav aside footer form fieldset button select textarea "
+    "head title script style noscript template iframe object svg math canvas video audio nav aside footer fieldset button select textarea "
     "label input dialog menu datalist".split()
 )
 #: Elements that close an open paragraph, and pairs in which a new one closes the old.
@@ -49,29 +51,35 @@ MARKED = re.compile(
     r"skip-?link|tags|toolbar|paywall|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.I,
 )
-#: Characters of a line of prose and its text-to-tag ratio at least.
-PROSE_CHARS, PROSE_RATIO = 80, 20.0
+#: Of these, the words for readers' texts, which can be longer than the page's own.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Characters of a line of prose and its text-to-tag ratio at least; characters of the only line of a wrapper.
+PROSE_CHARS, PROSE_RATIO, WRAPPED_CHARS = 80, 20.0, 200
+#: A region grows to an ancestor that has so much of the region's mass beside it.
+BESIDE = 0.05
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path of region elements, in boilerplate)."""
+    """Collects (text, tags, path of region elements, wrappers that look like boilerplate)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple]] = []
+        self.stack: list[tuple[str, bool, tuple, tuple]] = []
         self.dropped = False
         self.path: tuple = ()
         self.texts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.lines: list[tuple[str, int, tuple, tuple]] = []
         self.kinds: list[str] = []  # of region elements, by number
+        self.doubts: tuple = ()
+        self.readers: list[bool] = []  # of doubtful wrappers, by number
 
     def end_line(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.path))
+                self.lines.append((text, max(1, self.tags), self.path, self.doubts))
             self.texts = []
         self.tags = 0
 
@@ -88,21 +96,25 @@ class _Lines(HTMLParser):
             if tag in SIBLINGS or tag in CLOSES_P:
                 self._close_implied(tag)
         self.tags += 1
-        dropped, path = self.dropped, self.path
-        if tag in ("article", "main") and dropped and not self._inside("script", "style", "template", "noscript", "aside", "dialog") and not _marks(attrs):
-            dropped = False  # an element left open before the content
-        if not dropped and (tag in DROPPED or (attrs and tag not in ("body", "html") and _marks(attrs))):
+        dropped, path, doubts = self.dropped, self.path, self.doubts
+        marks = _marks(attrs) if attrs and tag not in ("body", "html") else None
+        if tag in ("article", "main") and (dropped or doubts) and not marks and not self._inside("script", "style", "template", "noscript", "aside", "dialog"):
+            dropped, doubts = False, tuple(i for i in doubts if self.readers[i])  # an element left open before the content
+        if not dropped and (tag in DROPPED or marks == "hidden" or (marks and tag not in BLOCK)):
             dropped = tag not in HEADINGS
+        elif not dropped and (marks or tag == "form") and tag not in HEADINGS:
+            doubts = (*doubts, len(self.readers))
+            self.readers.append(marks == "readers")
         if not dropped and tag == "header" and not any(self.kinds[i] == "article" for i in path):
             dropped = True
         if tag in REGIONS and not dropped:
             path = (*path, len(self.kinds))
             self.kinds.append(tag)
-        self.stack.append((tag, self.dropped, self.path))
-        self.dropped, self.path = dropped, path
+        self.stack.append((tag, self.dropped, self.path, self.doubts))
+        self.dropped, self.path, self.doubts = dropped, path, doubts
 
     def _inside(self, *tags: str) -> bool:
-        return any(t in tags for t, _, _ in self.stack)
+        return any(t in tags for t, *_ in self.stack)
 
     def _close_implied(self, tag: str) -> None:
         closed = SIBLINGS.get(tag, frozenset())
@@ -115,7 +127,9 @@ class _Lines(HTMLParser):
                 return
 
     def _pop(self, i: int) -> None:
-        _, self.dropped, self.path = self.stack[i]
+        if self.stack[i][3] != self.doubts:
+            self.end_line()
+        _, self.dropped, self.path, self.doubts = self.stack[i]
         del self.stack[i:]
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -139,13 +153,15 @@ class _Lines(HTMLParser):
             self.texts.append(data)
 
 
-def _marks(attrs: list) -> bool:
+def _marks(attrs: list) -> str | None:
+    """"hidden", "readers" or "named" for attributes of boilerplate."""
+    found = None
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if value and (name in ("class", "id", "role") and MARKED.search(value) or name == "style" and _STYLE_HIDDEN.search(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (value and name == "style" and _STYLE_HIDDEN.search(value)):
+            return "hidden"
+        if value and name in ("class", "id", "role") and MARKED.search(value):
+            found = "readers" if found == "readers" or READERS.search(value) else "named"
+    return found
 
 
 def content_cluster(chars: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -175,6 +191,28 @@ def _weights(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return marked, chars * np.where(marked, 1.0, np.where(prose, 0.5, 0.001))
 
 
+def _without_boilerplate(lines: list[tuple], readers: list[bool]) -> list[tuple]:
+    """Lines outside doubtful wrappers, and of those that outweigh the lines outside."""
+    if not any(d for *_, d in lines):
+        return lines
+    _, mass = _weights(lines)
+    kept: set[int] = set()
+    while True:
+        rest = sum(m for (*_, d), m in zip(lines, mass) if kept.issuperset(d))
+        inside: dict[int, list] = {}
+        for (text, _, _, d), m in zip(lines, mass):
+            for i in d:
+                if i not in kept:
+                    one = inside.setdefault(i, [0.0, 0, 0])
+                    one[0] += m
+                    one[1] += 1
+                    one[2] = max(one[2], len(text))
+        wrappers = [(m, -i) for i, (m, n, longest) in inside.items() if m > rest * (2 if readers[i] else 1) and (n > 1 or (longest >= WRAPPED_CHARS and not rest))]
+        if not wrappers:
+            return [x for x in lines if kept.issuperset(x[3])]
+        kept.add(-max(wrappers)[1])
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by blank lines; "" for none or null."""
     if not html:
@@ -183,19 +221,19 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = _without_boilerplate(parser.lines, parser.readers)
     if not lines:
         return ""
     marked, weight = _weights(lines)
     mass: dict[int | None, float] = {None: float(weight.sum())}  # None: the whole page
-    for (_, _, path), m in zip(lines, weight):
+    for (_, _, path, _), m in zip(lines, weight):
         for i in path:
             mass[i] = mass.get(i, 0.0) + m
     named = [i for i in mass if i is not None and parser.kinds[i] in ("article", "main") and mass[i] > mass[None] / 2]
     if named:
         region = min(named, key=lambda i: (mass[i], -i))
-    else:  # the innermost element that holds every marked line
-        paths = [p for (_, _, p), m in zip(lines, marked) if m]
+    else:  # the innermost element that holds every marked line, and what lies beside it
+        paths = [p for (_, _, p, _), m in zip(lines, marked) if m]
         common = paths[0]
         for p in paths[1:]:
             n = 0
@@ -203,7 +241,10 @@ def main_text(html: str | None) -> str:
                 n += 1
             common = common[:n]
         region = common[-1] if common else None
-    return "\n\n".join(t for t, _, p in lines if region is None or region in p)
+        for above in (*common[-2::-1], None):
+            if mass[above] - mass[region] >= BESIDE * mass[region]:
+                region = above
+    return "\n\n".join(t for t, _, p, _ in lines if region is None or region in p)
 
 
 def extract(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataFrame:
