@@ -125,6 +125,28 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def off_centre(norm, n=2200, d=64, near=300):
+    """Unit vectors whose mean has about that norm, then ``near`` more at cosine 0.95 to 0.97 to the first."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, d))
+    x = np.sqrt(1 - norm**2) * x / np.linalg.norm(x, axis=1)[:, None]
+    x[:, 0] += norm
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = rng.normal(size=(near, d))
+    w -= (w * x[:near]).sum(1)[:, None] * x[:near]
+    c = rng.uniform(0.9501, 0.97, near)[:, None]
+    return np.vstack([x, c * x[:near] + np.sqrt(1 - c**2) * w / np.linalg.norm(w, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("norm", [0.8, 0.9, 0.97])
+def test_embeddings_off_centre(spark, norm):
+    x = off_centre(norm)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = int((x @ x.T >= 0.95).sum()) - len(x)
+    found = sum(r["n_links"] for r in embeddings.near_vectors(df).collect())
+    assert 0.95 * want <= found <= want
+
+
 def test_pages():
     body = "<p>" + "Long text with many words that goes on. " * 5 + "</p><p>Short.</p><p>A &amp; b&nbsp; c<br>d</p>"
     want = ("Long text with many words that goes on. " * 5).strip() + "\n\nShort.\n\nA & b c d"

@@ -6,10 +6,13 @@ the least error (ITQ alternates between signs and the orthogonal Procrustes
 rotation), which balances the bits. Several rotations from different starts give one
 long binary code, cut into disjoint substrings, one Hamming table for each. Vectors
 that agree in a substring meet in that table's bucket; by the pigeonhole principle
-every pair with fewer differing bits than tables meets, and beyond that a pair at
-cosine 0.95 misses all tables with a probability below one per cent. Within buckets
-pairs are reranked with the original vectors in double precision, so no wrong link
-is kept. A pair is counted in the first table in which it meets.
+every pair with fewer differing bits than tables meets. Centring turns pairs of
+off-centre vectors further apart, so the bits of a substring are set from the sample:
+as many as let 98 per cent of pairs at the least cosine meet, on pairs made in random
+directions and between sample vectors and on the sample's own. If that leaves too few
+to save comparisons, all pairs are compared. Within buckets pairs are reranked with the
+original vectors in double precision, so no wrong link is kept. A pair is counted in
+the first table in which it meets.
 
 All rows are indexed. Equal vectors are one entry with a count. Buckets are compared
 as blocks of a matrix product; only counts per vector and the links that join two
@@ -31,9 +34,11 @@ from pyspark.sql import types as T
 from tidemark.llm.common import Forest, connected_components, cut, map_groups, table
 
 SAMPLE_ROWS = 10_000
-#: Hamming tables and bits of a substring: at cosine 0.95 a bit agrees with 0.9, a
-#: 16-bit substring with 0.185, and all of 26 tables miss with 0.005.
+#: Hamming tables and most bits of a substring: at cosine 0.95 a bit of centred vectors
+#: agrees with 0.9, a 16-bit substring with 0.185, and all of 26 tables miss with 0.005.
 TABLES, TABLE_BITS = 26, 16
+#: Share of pairs at the least cosine that meet, and sample pairs to measure it on.
+LEAST_RECALL, TRIAL_PAIRS = 0.98, 2000
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +60,37 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5, rounds: int =
     return mean, np.hstack(out)[:, :bits]
 
 
+def fitting_bits(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int, most_bits: int, least_cosine: float, seed: int = 5) -> int:
+    """Bits of a substring, ``most_bits`` at most, with which pairs of unit vectors at ``least_cosine`` meet."""
+    rng = np.random.default_rng(seed)
+    n = len(sample)
+    side = np.sqrt(max(0.0, 1 - least_cosine**2))
+    u = sample[rng.integers(0, n, TRIAL_PAIRS)]
+    trials = []
+    for w in (rng.standard_normal(u.shape), sample[rng.integers(0, n, TRIAL_PAIRS)] - sample[rng.integers(0, n, TRIAL_PAIRS)]):
+        w = w - (w * u).sum(1)[:, None] * u
+        norm = np.linalg.norm(w, axis=1)
+        some = norm > 1e-6
+        trials.append((u[some], least_cosine * u[some] + side * w[some] / norm[some, None]))
+    own: list[tuple[np.ndarray, np.ndarray]] = []
+    for a in range(0, n, 512):
+        cosine = sample[a : a + 512] @ sample[a:].T
+        i, j = np.nonzero((cosine >= least_cosine) & (cosine < least_cosine + 0.2 * (1 - least_cosine)))
+        own.append((i[j > i] + a, j[j > i] + a))
+        if sum(len(i) for i, _ in own) >= TRIAL_PAIRS:
+            break
+    i, j = (np.concatenate(x)[:TRIAL_PAIRS] for x in zip(*own))
+    trials.append((sample[i], sample[j]))
+    bits = most_bits
+    for a, b in trials:
+        if len(a) < 100:
+            continue
+        same = ((a - mean) @ projection >= 0) == ((b - mean) @ projection >= 0)
+        lead = np.cumprod(same.reshape(len(a), tables, most_bits), axis=2).sum(2).max(1)
+        bits = min(bits, int(np.quantile(lead, 1 - LEAST_RECALL, method="lower")))
+    return bits
+
+
 def _floats(vectors: DataFrame, embedding: str) -> bool:
     kind = vectors.schema[embedding].dataType
     return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
@@ -129,9 +165,13 @@ def near_vectors(
 
 def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosine: float, tables: int, table_bits: int, seed: int, width: str) -> DataFrame:
     mean, projection = learn_rotations(sample, tables * table_bits, seed)
+    bits = fitting_bits(sample, mean, projection, tables, table_bits, least_cosine, seed)
+    if tables >= 1 << bits:
+        return _met(_post_all(reps, width), least_cosine, width, "<u2")
+    projection = projection[:, np.arange(tables * table_bits) % table_bits < bits]
     model = spark.sparkContext.broadcast((mean, projection))
-    weights = (1 << np.arange(table_bits)).astype(np.int64)
-    code_width = "<u2" if table_bits <= 16 else "<u4"
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    code_width = "<u2" if bits <= 16 else "<u4"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection = model.value
@@ -140,7 +180,7 @@ def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosin
             if not n:
                 continue
             v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), width).reshape(n, -1)
-            keys = ((_unit(v) - mean) @ projection >= 0).reshape(n, tables, table_bits) @ weights
+            keys = ((_unit(v) - mean) @ projection >= 0).reshape(n, tables, bits) @ weights
             raw = v.tobytes()
             w = len(raw) // n
             codes = keys.astype(code_width).tobytes()
@@ -154,19 +194,43 @@ def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosin
                 )
 
     posted = reps.select("rep_key", "copies", "v").mapInArrow(post, "tab int, bucket int, rep_key long, copies long, code binary, vec binary")
+    return _met(posted, least_cosine, width, code_width)
+
+
+def _post_all(reps: DataFrame, width: str) -> DataFrame:
+    """Every vector in one bucket for its length, for exact comparison."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            vec = [np.array(v, width).tobytes() for v in b.column("v").to_pylist()]
+            size = np.array([len(v) // np.dtype(width).itemsize for v in vec], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(n, np.int32)), pa.array(size), b.column("rep_key"), b.column("copies"), pa.array([b"\0\0"] * n, pa.binary()), pa.array(vec, pa.binary())],
+                ["tab", "bucket", "rep_key", "copies", "code", "vec"],
+            )
+
+    return reps.select("rep_key", "copies", "v").mapInArrow(post, "tab int, bucket int, rep_key long, copies long, code binary, vec binary")
+
+
+def _met(posted: DataFrame, least_cosine: float, width: str, code_width: str) -> DataFrame:
+    """(a, b, n): links (n null) and counts (b null) of vectors that meet in a bucket and pass the rerank."""
 
     def compare(groups: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for whole, starts in groups:
             n = whole.num_rows
             key, copies = whole.column("rep_key").to_numpy(), whole.column("copies").to_numpy()
             tab, blk, diag = whole.column("tab").to_numpy(), whole.column("blk").to_numpy(), whole.column("diag").to_numpy()
-            x = _unit(np.frombuffer(b"".join(whole.column("vec").to_pylist()), width).reshape(n, -1))
+            vecs = whole.column("vec").to_pylist()
+            alike = len({len(v) for v in vecs}) == 1
+            x = _unit(np.frombuffer(b"".join(vecs), width).reshape(n, -1)) if alike else None
             codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), code_width).reshape(n, -1)
             linked, forest = np.zeros(n, np.int64), Forest(n)
             for lo, hi in zip(starts[:-1], starts[1:]):
+                own = x[lo:hi] if alike else _unit(np.frombuffer(b"".join(vecs[lo:hi]), width).reshape(hi - lo, -1))
                 for a in range(lo, hi - 1, 512):
                     b = min(hi, a + 512)
-                    i, j = np.nonzero(x[a:b] @ x[a:hi].T >= least_cosine)
+                    i, j = np.nonzero(own[a - lo : b - lo] @ own[a - lo :].T >= least_cosine)
                     keep = j > i
                     i, j = i[keep] + a, j[keep] + a
                     if not len(i):
