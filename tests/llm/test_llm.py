@@ -147,6 +147,19 @@ def test_embeddings_off_centre(spark, norm):
     assert 0.95 * want <= found <= want
 
 
+@pytest.mark.parametrize("direct_rows", [256, 3])
+def test_embeddings_of_many_lengths(spark, direct_rows):
+    lengths = range(2, 72) if direct_rows == 256 else range(30, 42)
+    vs = [v for d in lengths for v in off_centre(0.0, 3, d, 1)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    want = [0] * len(vs)
+    for i, v in enumerate(vs):
+        want[i] = sum(len(u) == len(v) and u @ v >= 0.95 for u in vs) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df, direct_rows=direct_rows, least_cosine=0.95).collect()}
+    assert [got[i] for i in range(len(vs))] == want
+    assert all(want[k * 4] for k in range(len(lengths)))
+
+
 def test_pages():
     body = "<p>" + "Long text with many words that goes on. " * 5 + "</p><p>Short.</p><p>A &amp; b&nbsp; c<br>d</p>"
     want = ("Long text with many words that goes on. " * 5).strip() + "\n\nShort.\n\nA & b c d"

@@ -14,7 +14,8 @@ to save comparisons, all pairs are compared. Within buckets pairs are reranked w
 original vectors in double precision, so no wrong link is kept. A pair is counted in
 the first table in which it meets.
 
-All rows are indexed. Equal vectors are one entry with a count. Buckets are compared
+All rows are indexed; vectors of a length that few have are compared directly, all such
+lengths in one pass. Equal vectors are one entry with a count. Buckets are compared
 as blocks of a matrix product; only counts per vector and the links that join two
 parts leave a task, and hot buckets are dealt out as block pairs. Vectors travel as
 they are stored (float components as 4 bytes) and are normalised in double precision
@@ -24,6 +25,7 @@ where they are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ SAMPLE_ROWS = 10_000
 TABLES, TABLE_BITS = 26, 16
 #: Share of pairs at the least cosine that meet, and sample pairs to measure it on.
 LEAST_RECALL, TRIAL_PAIRS = 0.98, 2000
+#: Vectors of one length that are compared with each other without codes; lengths with more are indexed, so many in one plan.
+DIRECT_ROWS, LENGTHS_AT_ONCE = 256, 8
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +125,7 @@ def near_vectors(
     tables: int = TABLES,
     table_bits: int = TABLE_BITS,
     sample_rows: int = SAMPLE_ROWS,
+    direct_rows: int = DIRECT_ROWS,
     seed: int = 5,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
@@ -136,18 +141,22 @@ def near_vectors(
         rows.where("usable").groupBy("vh").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
         .withColumn("rep_key", F.monotonically_increasing_id())
     )
-    dims = [r["d"] for r in reps.groupBy(F.size("v").alias("d")).count().orderBy("d").limit(64).collect()]
+    large = F.col("n") > direct_rows
+    sizes = reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.when(large, F.col("d")))).alias("large"), F.count(F.when(~large, 1)).alias("small")).first()
+    width = "<f4" if _floats(vectors, embedding) else "<f8"
     found = []
-    for d in dims:
+    if sizes["small"]:
+        own = reps.where(~F.size("v").isin(sizes["large"])) if sizes["large"] else reps
+        found.append(_met(_post_all(own, width), least_cosine, width, "<u2"))
+    for d in sizes["large"]:
         own = reps.where(F.size("v") == d)
         sample = np.array([r["v"] for r in own.orderBy(F.xxhash64(F.lit(seed), F.col("vh"))).limit(sample_rows).select("v").collect()], float)
-        found.append(_links(spark, own, _unit(sample), least_cosine, tables, table_bits, seed, "<f4" if _floats(vectors, embedding) else "<f8"))
+        found.append(_links(spark, own, _unit(sample), least_cosine, tables, table_bits, seed, width))
+        if len(found) == LENGTHS_AT_ONCE:
+            found = [cut(reduce(DataFrame.unionByName, found))]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionByName(f)
-    links = cut(links)  # (a, b, n): b is null in counts; n is null in links
+    links = cut(reduce(DataFrame.unionByName, found))  # (a, b, n): b is null in counts; n is null in links
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("c_key")).agg(F.sum("n").alias("linked"))
     joins = links.where("b IS NOT NULL").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = connected_components(joins)
