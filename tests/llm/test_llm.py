@@ -216,6 +216,16 @@ def test_toxicity_folding_and_exceptions():
     assert lex.measure("call 555-1234 or 2024-01-01")[1] == 0
 
 
+def test_toxicity_substitutes_in_long_runs():
+    lex = toxicity.Lexicon({"idiot": 5.0, "trash": 4.0}).build()
+    for sep in (",", "/", "-", ";", "...", "_", "!!!!", "~" * 50):
+        assert lex.measure(sep.join(["1d10t", "tr4sh"] * 5))[1] == 10, sep
+    assert lex.measure("1d10t!," * 10)[1] == 10
+    assert lex.measure("x" * 60 + "/1d10t?tr4sh")[1] == 2
+    assert lex.measure("see/1d107")[1] == 1
+    assert lex.measure("3fa85f64-5717-4562-b3fc-2c963f66afa6" * 3)[1] == 0
+
+
 def test_toxicity_held_out_accuracy(spark):
     got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").select("predicted", "toxic").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.9

@@ -63,16 +63,31 @@ _CHUNK = re.compile(r"[^\s]*[0-9@$!|€£][^\s]*")
 _SUB = str.maketrans(SUBSTITUTES)
 
 
+#: Word parts of a run without spaces: letters, digits and substitutes, which three signs in a row end.
+_PART = re.compile(r"(?:[^\W_]|(?<![@$!|€£])[@$!|€£]{1,2}(?![@$!|€£]))+")
+_TAIL = "@$!|€£"
+
+
+def _readable(part: str) -> bool:
+    letters = sum(c.isalpha() for c in part)
+    return 0 < letters and sum(c.isdigit() for c in part) <= letters + 1
+
+
 def _unmask(m: re.Match) -> str:
-    """Read substitutes as letters in a chunk whose core has a letter.
+    """Read substitutes as letters in the parts of a run that have a letter.
 
-    Signs at the end are punctuation; so are chunks with more digits than letters.
+    Signs at the end of a part are punctuation. Parts with more digits than letters
+    stay, unless the run as a whole has letters enough.
     """
-    chunk = m.group().rstrip("!|.,;:?$@€£#%&*\"')]}")
-    letters = sum(c.isalpha() for c in chunk)
-    if not letters or sum(c.isdigit() for c in chunk) > letters + 1 or len(chunk) > 40:
-        return m.group()
-    return chunk.translate(_SUB)
+    run = _readable(m.group().rstrip("!|.,;:?$@€£#%&*\"')]}"))
+
+    def one(p: re.Match) -> str:
+        part = p.group().rstrip(_TAIL)
+        if _readable(part) or (run and any(c.isalpha() for c in part)):
+            return part.translate(_SUB) + " " * (len(p.group()) - len(part))
+        return p.group()
+
+    return _PART.sub(one, m.group())
 
 
 @dataclass
