@@ -113,6 +113,22 @@ def test_noise_is_not_called_skill(spark):
     assert only["a"]["p_spa_lower"] <= only["a"]["p_spa"] <= only["a"]["p_spa_upper"]
 
 
+def test_bootstrap_of_every_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(x)) for k, n, mu in (("a", 300, 0.002), ("b", 120, -0.002), (None, 60, 0.0)) for i, x in enumerate(rng.normal(mu, 0.01, n))] + [("one", 0, 0.5), ("a", 999, None)]
+    df = spark.createDataFrame(rows, "symbol string, i int, r double")
+    drawn = inference.bootstrap_by_key(df, "r", ["i"], 200, 365.0, key=["symbol"]).cache()
+    got = {r["symbol"]: r for r in inference.interval(drawn, "sharpe", key=["symbol"]).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {"a": 200, "b": 200, None: 200, "one": 200}
+    for k in ("a", "b"):
+        old = inference.interval(inference.bootstrap(spark, df.where(F.col("symbol") == k), "r", ["i"], 200, 365.0), "sharpe").first()
+        width = old["hi"] - old["lo"]
+        assert all(abs(got[k][c] - old[c]) < 0.25 * width for c in ("lo", "median", "hi"))
+    only = drawn.where("symbol = 'one'").first()
+    assert (only["sharpe"], only["max_drawdown"]) == (0.0, 0.0) and abs(only["total_return"] - 0.5) < 1e-12
+    assert 0 < drawn.where("symbol = 'b'").agg(F.min("max_drawdown")).first()[0] < 1
+
+
 def test_round_trips_counts_spells(spark):
     pos = [0, 1, 1, 0, -1, -1, 1, 0]
     df = spark.createDataFrame([("a", at(i), float(p), 0.1) for i, p in enumerate(pos)], "symbol string, ts timestamp, position double, net double")

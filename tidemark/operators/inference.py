@@ -136,9 +136,55 @@ def bootstrap(spark: SparkSession, returns: DataFrame, r: str, order: list[str],
     return spark.range(replicates).mapInPandas(run, "replicate long, sharpe double, total_return double, max_drawdown double")
 
 
-def interval(replicates: DataFrame, x: str, level: float = 0.95) -> DataFrame:
+def bootstrap_by_key(returns: DataFrame, r: str, order: list[str], replicates: int, ppy: float, *, key: list[str], seed: int = 1) -> DataFrame:
+    """(key, replicate, sharpe, total_return, max_drawdown) of every key's series, resampled on Spark.
+
+    Tasks draw the blocks of a (key, replicate), not its rows; blocks meet the numbered
+    rows by index, so no series is collected or broadcast and none is too long.
+    """
+    spark, names = returns.sparkSession, [f"__k{i}" for i in range(len(key))]
+    rows = returns.where(F.col(r).isNotNull()).withColumn("__at", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long") - 1)
+    rows = rows.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("__at").alias("__row"), F.col(r).cast("double").alias("__x"))
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).withColumn("__h", F.pmod(F.xxhash64(*names), F.lit(1 << 31)))
+    asked = counts.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *names, "replicate")
+    kept = [*names, "replicate", "n"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for i in range(len(pdf)):
+                n = int(pdf["n"].iloc[i])
+                rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[i]), int(pdf["__h"].iloc[i])])
+                share, lengths, left = 1 / max(1.0, n ** (1 / 3)), [], n
+                while left > 0:
+                    got = rng.geometric(share, max(16, int(left * share)))
+                    lengths.append(got)
+                    left -= int(got.sum())
+                length = np.concatenate(lengths)
+                first = np.cumsum(length) - length
+                length, first = length[first < n], first[first < n]
+                length = np.minimum(length, n - first)
+                out = pdf[kept].iloc[np.full(len(first), i)].reset_index(drop=True)
+                yield out.assign(first=first, start=rng.integers(0, n, len(first)), length=length)
+
+    schema = ", ".join(f"`{c}` {dict(asked.dtypes)[c]}" for c in kept) + ", first long, start long, length long"
+    blocks = asked.mapInPandas(run, schema).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    picked = blocks.select(*[F.col(c).alias(f"__b{c}") for c in names], "replicate", (F.col("first") + F.col("__i")).alias("__p"), F.pmod(F.col("start") + F.col("__i"), F.col("n")).alias("__at"))
+    same = F.col("__at") == F.col("__row")
+    for c in names:
+        same &= F.col(c).eqNullSafe(F.col(f"__b{c}"))
+    drawn = picked.hint("merge").join(rows, same).select(*names, "replicate", "__p", "__x")
+    upto = Window.partitionBy(*names, "replicate").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.withColumn("__e", F.product(1 + F.col("__x")).over(upto))
+    drawn = drawn.withColumn("__d", 1 - F.col("__e") / F.greatest(F.lit(1.0), F.max("__e").over(upto)))
+    sd = F.stddev_samp("__x")
+    sharpe = F.when(sd > 0, F.avg("__x") / sd * math.sqrt(ppy)).otherwise(0.0)
+    out = drawn.groupBy(*names, "replicate").agg(sharpe.alias("sharpe"), (F.product(1 + F.col("__x")) - 1).alias("total_return"), F.max("__d").alias("max_drawdown"))
+    return out.withColumnsRenamed(dict(zip(names, key)))
+
+
+def interval(replicates: DataFrame, x: str, level: float = 0.95, key: tuple[str, ...] | list[str] = ()) -> DataFrame:
     a = (1 - level) / 2
-    return replicates.agg(F.percentile(x, F.lit(a)).alias("lo"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(1 - a)).alias("hi"), F.count(x).alias("n"))
+    return replicates.groupBy(*key).agg(F.percentile(x, F.lit(a)).alias("lo"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(1 - a)).alias("hi"), F.count(x).alias("n"))
 
 
 def reality_check(spark: SparkSession, returns: DataFrame, names: list[str], order: list[str], replicates: int, *, seed: int = 1) -> DataFrame:

@@ -185,15 +185,15 @@ def probabilistic_sharpe(spark, sf):
 
 @query("bootstrap_interval", None)
 def bootstrap_interval(spark, sf):
-    """Interval of the first symbol's daily Sharpe ratio under the stationary bootstrap."""
-    d = daily(spark, sf).where("symbol = 'click'")
-    return inference.interval(inference.bootstrap(spark, d, "ret", ["ts"], 500, 365.0), "sharpe")
+    """Interval of every symbol's daily Sharpe ratio under the stationary bootstrap."""
+    return inference.interval(inference.bootstrap_by_key(daily(spark, sf), "ret", ["ts"], 500, 365.0, key=KEY), "sharpe", key=KEY)
 
 
 @query("reality_check", None)
 def reality_check(spark, sf):
-    names = ["click", "error", "purchase", "signup", "view"]
-    wide = daily(spark, sf).groupBy("ts").pivot("symbol", names).agg(F.first("ret"))
+    d = daily(spark, sf).where("symbol IS NOT NULL")
+    names = sorted(r["symbol"] for r in d.select("symbol").distinct().collect())
+    wide = d.groupBy("ts").pivot("symbol", names).agg(F.first("ret"))
     return inference.reality_check(spark, wide, names, ["ts"], 300)
 
 
