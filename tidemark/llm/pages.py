@@ -6,10 +6,12 @@ ratio, its characters over its tags. The ratios are smoothed by a Gaussian over
 neighbouring lines and split in two clusters by a threshold between the cluster
 means; the upper cluster marks the content. Lines count by their characters, marked
 ones in full, unmarked prose by half. The content region is the innermost article or
-main that holds most of this mass; where none does, it is the innermost element that
-no marked line lies outside of, grown to each ancestor that adds prose beside it. All
-lines of the region are the text, but for those inside boilerplate elements: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+main that holds most of this mass, with the articles beside it that have a quarter of
+its mass or more; where these hold no more than half, it is the innermost element that
+no marked line lies outside of, grown to each ancestor that adds prose beside it,
+without runs of unmarked lines of links. All lines of the region are the text, but for
+those inside boilerplate elements: menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments.
 A block that only its class, id or role (or a form tag) makes boilerplate is kept when
 it outweighs the rest of the page: it is then a wrapper of the content.
 
@@ -57,31 +59,42 @@ READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respo
 PROSE_CHARS, PROSE_RATIO, WRAPPED_CHARS = 80, 20.0, 200
 #: A region grows to an ancestor that has so much of the region's mass beside it.
 BESIDE = 0.05
+#: Articles count beside the chosen one from so much of its mass.
+ALONGSIDE = 0.25
+#: A menu on a page that names no content: so many lines in a row, each with so much of its text in links.
+MENU_LINES, LINKED = 3, 0.6
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, path of region elements, wrappers that look like boilerplate)."""
+    """Collects lines: (text, tags, characters in links, region element, chain of doubtful wrappers).
+
+    Region elements and doubtful wrappers are trees of numbers with a parent each, so
+    that a line costs the same at every depth. A wrapper is part of two chains: of all
+    wrappers around a line, and of those around readers' texts alone.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple, tuple]] = []
-        self.dropped = False
-        self.path: tuple = ()
+        self.stack: list[tuple[str, tuple]] = []
+        self.open: dict[str, int] = {}
+        # dropped, region, in an article, chain of doubts, chain of readers' doubts
+        self.state: tuple[bool, int, bool, int, int] = (False, -1, False, -1, -1)
         self.texts: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, tuple, tuple]] = []
-        self.kinds: list[str] = []  # of region elements, by number
-        self.doubts: tuple = ()
-        self.readers: list[bool] = []  # of doubtful wrappers, by number
+        self.tags = self.linked = 0
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.kinds: list[str] = []  # of region elements
+        self.parents: list[int] = []
+        self.readers: list[bool] = []  # of doubtful wrappers
+        self.chains: list[tuple[int, int]] = []  # (wrapper, chain before it)
 
     def end_line(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.path, self.doubts))
+                self.lines.append((text, max(1, self.tags), self.linked, self.state[1], self.state[3]))
             self.texts = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -96,28 +109,34 @@ class _Lines(HTMLParser):
             if tag in SIBLINGS or tag in CLOSES_P:
                 self._close_implied(tag)
         self.tags += 1
-        dropped, path, doubts = self.dropped, self.path, self.doubts
+        dropped, region, in_article, doubt, readers = self.state
         marks = _marks(attrs) if attrs and tag not in ("body", "html") else None
-        if tag in ("article", "main") and (dropped or doubts) and not marks and not self._inside("script", "style", "template", "noscript", "aside", "dialog"):
-            dropped, doubts = False, tuple(i for i in doubts if self.readers[i])  # an element left open before the content
+        if tag in ("article", "main") and (dropped or doubt >= 0) and not marks and not any(self.open.get(t) for t in ("script", "style", "template", "noscript", "aside", "dialog")):
+            dropped, doubt = False, readers  # an element left open before the content
         if not dropped and (tag in DROPPED or marks == "hidden" or (marks and tag not in BLOCK)):
             dropped = tag not in HEADINGS
         elif not dropped and (marks or tag == "form") and tag not in HEADINGS:
-            doubts = (*doubts, len(self.readers))
+            self.chains.append((len(self.readers), doubt))
+            doubt = len(self.chains) - 1
+            if marks == "readers":
+                self.chains.append((len(self.readers), readers))
+                readers = len(self.chains) - 1
             self.readers.append(marks == "readers")
-        if not dropped and tag == "header" and not any(self.kinds[i] == "article" for i in path):
+        if not dropped and tag == "header" and not in_article:
             dropped = True
         if tag in REGIONS and not dropped:
-            path = (*path, len(self.kinds))
             self.kinds.append(tag)
-        self.stack.append((tag, self.dropped, self.path, self.doubts))
-        self.dropped, self.path, self.doubts = dropped, path, doubts
-
-    def _inside(self, *tags: str) -> bool:
-        return any(t in tags for t, *_ in self.stack)
+            self.parents.append(region)
+            region = len(self.kinds) - 1
+            in_article = in_article or tag == "article"
+        self.stack.append((tag, self.state))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.state = (dropped, region, in_article, doubt, readers)
 
     def _close_implied(self, tag: str) -> None:
         closed = SIBLINGS.get(tag, frozenset())
+        if not self.open.get("p") and not any(self.open.get(t) for t in closed):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i][0]
             if name in closed or (name == "p" and tag in CLOSES_P):
@@ -127,9 +146,12 @@ class _Lines(HTMLParser):
                 return
 
     def _pop(self, i: int) -> None:
-        if self.stack[i][3] != self.doubts:
+        state = self.stack[i][1]
+        if state[3] != self.state[3]:
             self.end_line()
-        _, self.dropped, self.path, self.doubts = self.stack[i]
+        self.state = state
+        for tag, _ in self.stack[i:]:
+            self.open[tag] -= 1
         del self.stack[i:]
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -143,14 +165,17 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
+        if self.open.get(tag):
+            i = len(self.stack) - 1
+            while self.stack[i][0] != tag:
+                i -= 1
+            self._pop(i)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped:
+        if not self.state[0]:
             self.texts.append(data)
+            if self.open.get("a"):
+                self.linked += len(data)
 
 
 def _marks(attrs: list) -> str | None:
@@ -191,26 +216,102 @@ def _weights(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return marked, chars * np.where(marked, 1.0, np.where(prose, 0.5, 0.001))
 
 
-def _without_boilerplate(lines: list[tuple], readers: list[bool]) -> list[tuple]:
+def _without_boilerplate(lines: list[tuple], readers: list[bool], chains: list[tuple[int, int]]) -> list[tuple]:
     """Lines outside doubtful wrappers, and of those that outweigh the lines outside."""
-    if not any(d for *_, d in lines):
+    if all(c < 0 for *_, c in lines):
         return lines
     _, mass = _weights(lines)
+    n = len(chains)
+    inside, count, longest = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)  # lines below each link of a chain
+    for (text, *_, c), m in zip(lines, mass):
+        if c >= 0:
+            inside[c] += m
+            count[c] += 1
+            longest[c] = max(longest[c], len(text))
+    for c in range(n - 1, -1, -1):
+        up = chains[c][1]
+        if up >= 0:
+            inside[up] += inside[c]
+            count[up] += count[c]
+            longest[up] = max(longest[up], longest[c])
+    wrapper = np.array([w for w, _ in chains])
+    top = wrapper.copy()  # wrappers that hold the same lines as the one around them are judged with it
+    for c, (w, up) in enumerate(chains):
+        if up >= 0 and count[up] == count[c] and readers[w] == readers[wrapper[up]]:
+            top[c] = top[up]
+    groups: dict[int, list] = {}
+    for c in range(n):
+        if top[c] == wrapper[c]:
+            one = groups.setdefault(int(top[c]), [0.0, 0, 0])
+            one[0] += inside[c]
+            one[1] += count[c]
+            one[2] = max(one[2], longest[c])
     kept: set[int] = set()
     while True:
-        rest = sum(m for (*_, d), m in zip(lines, mass) if kept.issuperset(d))
-        inside: dict[int, list] = {}
-        for (text, _, _, d), m in zip(lines, mass):
-            for i in d:
-                if i not in kept:
-                    one = inside.setdefault(i, [0.0, 0, 0])
-                    one[0] += m
-                    one[1] += 1
-                    one[2] = max(one[2], len(text))
-        wrappers = [(m, -i) for i, (m, n, longest) in inside.items() if m > rest * (2 if readers[i] else 1) and (n > 1 or (longest >= WRAPPED_CHARS and not rest))]
-        if not wrappers:
-            return [x for x in lines if kept.issuperset(x[3])]
-        kept.add(-max(wrappers)[1])
+        free = np.ones(n + 1, bool)  # links all of whose wrappers are kept; the last one stands for none
+        for c, (_, up) in enumerate(chains):
+            free[c] = free[up] and int(top[c]) in kept
+        rest = sum(m for (*_, c), m in zip(lines, mass) if free[c])
+        open_ = [
+            (m, -w) for w, (m, k, most) in groups.items()
+            if w not in kept and m > rest * (2 if readers[w] else 1) and (k > 1 or (most >= WRAPPED_CHARS and not rest))
+        ]
+        if not open_:
+            return [x for x in lines if free[x[-1]]]
+        kept.add(-max(open_)[1])
+
+
+def _regions(lines: list[tuple], kinds: list[str], parents: list[int]) -> tuple[set[int] | None, bool, np.ndarray]:
+    """(elements that hold the content or None for the page, named as content, marked lines)."""
+    marked, weight = _weights(lines)
+    n = len(kinds)
+    mass = np.zeros(n + 1)  # of each region element; the last one stands for the page
+    some = np.zeros(n + 1, np.int64)  # marked lines in it
+    for (*_, region, _), m, x in zip(lines, weight, marked):
+        mass[region] += m
+        some[region] += x
+    for i in range(n - 1, -1, -1):
+        mass[parents[i]] += mass[i]
+        some[parents[i]] += some[i]
+    content = [i for i in range(n) if kinds[i] in ("article", "main")]
+    heavy = [i for i in content if mass[i] > mass[-1] / 2]
+    if heavy:
+        first = min(heavy, key=lambda i: (mass[i], -i))
+    else:
+        first = max(content, key=lambda i: (mass[i], -i), default=None)
+    if first is not None:
+        around, i = {first}, parents[first]
+        while i >= 0:
+            around.add(i)
+            i = parents[i]
+        within = np.zeros(n + 1, bool)  # elements in a chosen one
+        chosen = {first}
+        for i in range(n):
+            within[i] = within[parents[i]] or i in chosen
+            if not within[i] and i not in around and kinds[i] in ("article", "main") and mass[i] >= ALONGSIDE * mass[first]:
+                chosen.add(i)
+                within[i] = True
+        if sum(mass[i] for i in chosen) > mass[-1] / 2:
+            return chosen, True, marked
+    # the innermost element that holds every marked line, and what lies beside it
+    all_marked = int(some[-1])
+    region = max((i for i in range(n) if some[i] == all_marked), default=-1)
+    above, held = region, mass[region]
+    while above >= 0:
+        above = parents[above]
+        if mass[above] - held >= BESIDE * held:
+            region, held = above, mass[above]
+    return (None if region < 0 else {region}), False, marked
+
+
+def _menus(lines: list[tuple], marked: np.ndarray) -> np.ndarray:
+    """True for runs of unmarked lines that are mostly links."""
+    linked = np.array([k >= LINKED * len(t) for t, _, k, *_ in lines]) & ~marked
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False])).astype(np.int8)))
+    out = np.zeros(len(lines), bool)
+    for a, b in zip(edges[::2], edges[1::2]):
+        out[a:b] = b - a >= MENU_LINES
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -221,30 +322,18 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = _without_boilerplate(parser.lines, parser.readers)
+    lines = _without_boilerplate(parser.lines, parser.readers, parser.chains)
     if not lines:
         return ""
-    marked, weight = _weights(lines)
-    mass: dict[int | None, float] = {None: float(weight.sum())}  # None: the whole page
-    for (_, _, path, _), m in zip(lines, weight):
-        for i in path:
-            mass[i] = mass.get(i, 0.0) + m
-    named = [i for i in mass if i is not None and parser.kinds[i] in ("article", "main") and mass[i] > mass[None] / 2]
-    if named:
-        region = min(named, key=lambda i: (mass[i], -i))
-    else:  # the innermost element that holds every marked line, and what lies beside it
-        paths = [p for (_, _, p, _), m in zip(lines, marked) if m]
-        common = paths[0]
-        for p in paths[1:]:
-            n = 0
-            while n < min(len(common), len(p)) and common[n] == p[n]:
-                n += 1
-            common = common[:n]
-        region = common[-1] if common else None
-        for above in (*common[-2::-1], None):
-            if mass[above] - mass[region] >= BESIDE * mass[region]:
-                region = above
-    return "\n\n".join(t for t, _, p, _ in lines if region is None or region in p)
+    chosen, named, marked = _regions(lines, parser.kinds, parser.parents)
+    inside = np.zeros(len(parser.kinds) + 1, bool)
+    if chosen is None:
+        inside[:] = True
+    else:
+        for i, up in enumerate(parser.parents):
+            inside[i] = inside[up] or i in chosen
+    menus = np.zeros(len(lines), bool) if named else _menus(lines, marked)
+    return "\n\n".join(x[0] for x, menu in zip(lines, menus) if inside[x[3]] and not menu)
 
 
 def extract(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataFrame:
