@@ -3,6 +3,9 @@
 ``cut``                  ends lineage in the shared checkpoint folder.
 ``map_groups``           runs a vectorised function over complete key groups,
                          splitting hot groups into block pairs.
+``link_groups``          the same where only the components of the links count:
+                         hot groups cost in proportion to their rows.
+``bitmap``               a filter of fixed size for values that later steps want.
 ``connected_components`` distributed union-find over an edge table.
 """
 
@@ -11,15 +14,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key that a single task compares with each other; larger groups
 #: are dealt to several tasks, one for each pair of blocks.
 BLOCK_ROWS = 4096
+#: Bits of a filter that keeps rows from travelling in vain (16 MB).
+BITMAP_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir; a local one only where none is set and Spark runs on this machine."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -48,6 +56,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bitmap(values: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter of the column ``v``, of a fixed size whatever the input."""
+    at = F.col("v").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    words = values.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v & 31 AS int))")).alias("b"))
+    found = words.toPandas()  # at most BITMAP_BITS / 32 rows
+    out = np.zeros(BITMAP_BITS // 32, np.uint32)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def set_bits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """True where a ``bitmap`` may hold the value."""
+    at = values & (BITMAP_BITS - 1)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Ids that never train: crc32 of the id as text is divisible by 5."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
+    """(text, label) of at most ``rows`` labelled documents, written once.
+
+    The labels are drawn by a seeded hash of the id, at most ``rows`` of them, and
+    broadcast, so documents are only scanned. An id that repeats gives one row, of its
+    smallest text and label. Null labels, null ids and ids held out give none.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.min(label).alias(label)).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(rows)
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    return cut(drawn.select("text", label))
+
+
 def complete_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Yield (table, starts): tables holding only whole groups of ``keys``.
 
@@ -133,6 +175,85 @@ def map_groups(
     return small.unionByName(big)
 
 
+def link_groups(
+    rows: DataFrame,
+    keys: list[str],
+    node: str,
+    fn: Callable[[Iterator[tuple[pa.Table, np.ndarray]]], Iterator[pa.RecordBatch]],
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(src, dst): links with the same components as all links ``fn`` finds in groups of ``keys``.
+
+    ``node`` names the rows (a long; src and dst are of its values) and ``fn`` is as in
+    ``map_groups``. Groups of more than ``block_rows`` rows are first linked block by
+    block. Two rows of a hot group that are still apart are not both in its largest
+    component, so only rows outside that component visit the other blocks of their
+    group, in parts of at most about ``block_rows``. A hot group of rows that belong
+    together costs about one copy a row, whatever its size.
+    """
+    dealt = rows.repartition(*keys)
+    counted = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1")
+    met = dealt.join(counted, keys)
+    nb = F.ceil(F.col("n_key") / block_rows).cast("int")
+    hot = met.where(F.col("n_key") > block_rows).withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch], by: list[str], mark: bool = False) -> Iterator[pa.RecordBatch]:
+        if mark:  # a row without dst tells that there are hot groups
+            first = next(batches, None)
+            if first is None:
+                return
+            yield pa.RecordBatch.from_arrays([first.column(node).slice(0, 1), pa.nulls(1, pa.int64())], ["src", "dst"])
+            batches = chain([first], batches)
+        yield from fn(complete_groups(batches, by))
+
+    schema = "src long, dst long"
+    small = (
+        met.where(F.col("n_key") <= block_rows)
+        .drop("n_key")
+        .withColumns({"blk": F.lit(0), "diag": F.lit(True)})
+        .sortWithinPartitions(*keys)
+        .mapInArrow(lambda it: run(it, keys), schema)
+    )
+    by_block = [*keys, "blk"]
+    blocks = (
+        hot.drop("n_key", "nb")
+        .withColumn("diag", F.lit(True))
+        .repartition(*by_block)
+        .sortWithinPartitions(*by_block)
+        .mapInArrow(lambda it: run(it, by_block, True), schema)
+    )
+    found = cut(small.unionByName(blocks))
+    links = found.where("dst IS NOT NULL")
+    if found.where("dst IS NULL").limit(1).count() == 0:
+        return links
+    comps = connected_components(links)
+    named = hot.join(comps.withColumnsRenamed({"id": "__id", "component_id": "__comp"}), F.col(node) == F.col("__id"), "left")
+    named = cut(named.withColumn("__comp", F.coalesce("__comp", node)).drop("__id", "n_key"))
+    sizes = named.groupBy(*keys, "nb", "__comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(*keys, "nb").agg(F.max_by("__comp", "n").alias("__main"), (F.sum("n") - F.max("n")).alias("away"))
+    main = main.where("away > 0").withColumn("nv", F.ceil(F.col("away") / block_rows).cast("int"))
+    spread = main.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("away", "nb")
+    placed = named.join(spread, by_block)
+    visits = (
+        placed.where("__comp <> __main")
+        .withColumn("part", F.pmod(F.xxhash64(F.lit(1), node), F.col("nv")).cast("int"))
+        .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .where("cell <> blk")
+        .withColumn("blk", F.lit(-1))
+    )
+    hosts = placed.withColumn("cell", F.col("blk")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
+    by_cell = [*keys, "cell", "part"]
+    late = (
+        hosts.unionByName(visits)
+        .drop("nb", "nv", "__comp", "__main")
+        .withColumn("diag", F.lit(False))
+        .repartition(*by_cell)
+        .sortWithinPartitions(*by_cell)
+        .mapInArrow(lambda it: run(it, by_cell), schema)
+    )
+    return links.unionByName(late)
+
+
 def pairs_of_groups(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j), i < j, of rows in one group, about ``most`` at a time."""
     sizes = np.diff(starts)
@@ -176,20 +297,19 @@ class Forest:
             self.links.append((a, b))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node: (src, dst) longs -> (id, component_id).
 
     Alternating large-star and small-star rounds: every round connects nodes to
     the smallest neighbour known so far, so the number of rounds grows with the
     logarithm of a component's diameter and each round is two grouped minima and
-    two joins. Nodes without edges do not appear. Empty edges give an empty table.
+    two joins; rounds go on until every component is a star. Nodes without edges do
+    not appear. Empty edges give an empty table.
     """
     links = cut(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
-    for _ in range(most_rounds):
-        if not _unsettled(links):
-            break
+    while _unsettled(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
