@@ -1,16 +1,18 @@
 """Operator 10: SimHash near-duplicates by a byte-position inverted index.
 
 A fingerprint is eight positional bytes. Two fingerprints at distance 4 or less
-differ in at most four bytes, so they share at least four positional bytes. The
-index therefore posts every distinct fingerprint under each choice of four byte
-positions; two postings meet exactly when their tally of shared positional bytes
-reaches that guaranteed minimum, and never below it. A pair that shares more is
-looked at only under the first choice that it shares. Survivors are verified by
-the Hamming distance of whole fingerprints.
-
-Equal fingerprints (copies) are one entry with the smallest document id. Inside
-a posting list only links that join two parts are kept, so a large group of near
-copies yields a tree, not all its pairs; hot lists are cut into block pairs.
+differ in at most four bytes, so they share at least four positional bytes. Lists of
+single positional bytes would each hold 1/256 of all fingerprints; the index therefore
+posts every distinct fingerprint under each choice of four byte positions, the
+guaranteed minimum of matches, and lists stay short at any size. For the pairs of a
+list the positional bytes that they share are tallied; pairs below the minimum go,
+the others are verified by the Hamming distance of whole fingerprints. A pair that
+meets in several lists is linked under the first choice that it shares.
+
+Equal fingerprints (copies) are one entry with the smallest document id. Inside a
+list only links that join two parts are kept, so a large group of near copies yields
+a tree, not all its pairs; hot lists are dealt out in blocks, of which only
+fingerprints outside the largest component visit each other's.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Forest, connected_components, cut, map_groups, pairs_of_groups, table
+from tidemark.llm.common import BLOCK_ROWS, Forest, connected_components, cut, link_groups, pairs_of_groups, table
 
 #: Choices of four of the eight byte positions, as bit masks; 0 is the lowest byte.
 CHOICES = list(combinations(range(8), 4))
@@ -56,19 +58,20 @@ def fingerprint(text: bytes | None, shingle_words: int = 4, seed: int = 42) -> i
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per document, fp as a signed long; null text gives 0."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, carried: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) and the ``carried`` longs: a row per document, fp as a signed long; null text gives 0."""
+    carried = carried or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle_words) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *carried])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *carried)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *carried]))
 
 
-def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, max_bits: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst): links that connect all distinct ``fp`` within ``max_bits`` <= 4.
 
     Every two fingerprints within the distance end in one component.
@@ -87,7 +90,9 @@ def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
             forest = Forest(len(fp))
             for i, j in pairs_of_groups(starts):
                 x = fp[i] ^ fp[j]
-                near = np.flatnonzero((np.bitwise_count(x) <= max_bits) & (diag[i] | (blk[i] != blk[j])))
+                tally = np.count_nonzero(x.view(np.uint8).reshape(-1, 8) == 0, axis=1)
+                near = np.flatnonzero((tally >= 8 - max_bits) & (diag[i] | (blk[i] != blk[j])))
+                near = near[np.bitwise_count(x[near]) <= max_bits]
                 if not len(near):
                     continue
                 i, j, x = i[near], j[near], x[near]
@@ -98,7 +103,7 @@ def near_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
                 a, b = np.array(forest.links).T
                 yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["src", "dst"])
 
-    return map_groups(posted, ["choice", "posting"], "fp", run, "src long, dst long")
+    return link_groups(posted, ["choice", "posting"], "fp", run, block_rows)
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -110,27 +115,34 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     and text columns are read, so other columns cannot clash.
     """
     fps = cut(fingerprints(docs, doc_id, text, shingle_words))
+    groups = fingerprint_groups(fps, max_bits)
+    return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def fingerprint_groups(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(fp, group, component_id) of each distinct ``fp``: its component's smallest fingerprint and id."""
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = near_links(reps.select("fp"), max_bits)
-    named = (
-        links.join(reps.select(F.col("fp").alias("src"), F.col("rep").alias("a")), "src")
-        .join(reps.select(F.col("fp").alias("dst"), F.col("rep").alias("b")), "dst")
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    )
-    comps = connected_components(named)
-    by_fp = reps.join(comps, reps.rep == comps.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    comps = connected_components(near_links(reps.select("fp"), max_bits))
+    grouped = reps.join(comps, reps.fp == comps.id, "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return grouped.select("fp", "group").join(least, "group").select("fp", "group", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component; all columns stay.
+    """``docs`` with one row of each component; all columns stay.
 
-    Of rows that repeat an id one stays. Rows with a null id stay as they are.
+    The row with the smallest id stays, of rows with that id the one whose text and
+    then whose whole row has the smallest hash. Rows that share an id but no near text
+    are judged apart. Rows with a null id stay as they are.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    found = simhash_components(named, doc_id, text)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    one = named.join(kept, named[doc_id] == kept["__kept"], "left_semi").dropDuplicates([doc_id])
+    key = F.xxhash64(F.col(text).cast("string"))
+    fps = cut(fingerprints(named.withColumn("__key", key), doc_id, text, carried=["__key"]))
+    placed = fps.join(fingerprint_groups(fps), "fp")
+    kept = placed.groupBy("group").agg(F.min(F.struct("doc_id", "__key")).alias("one")).select(F.col("one.doc_id").alias("__kept"), F.col("one.__key").alias("__text")).distinct()
+    rows = named.join(kept, (named[doc_id] == kept["__kept"]) & (key == kept["__text"]))
+    whole = F.struct(*[named[c] for c in named.columns])
+    one = rows.groupBy("__kept", "__text").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("__row")).select("__row.*")
     return one.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
