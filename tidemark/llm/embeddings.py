@@ -5,25 +5,31 @@ principal axes and rotated so that the signs of the projections quantise them wi
 the least error (ITQ alternates between signs and the orthogonal Procrustes
 rotation), which balances the bits. Several rotations from different starts give one
 long binary code, cut into disjoint substrings, one Hamming table for each. Vectors
-that agree in a substring meet in that table's bucket; by the pigeonhole principle
-every pair with fewer differing bits than tables meets. Centring turns pairs of
-off-centre vectors further apart, so the bits of a substring are set from the sample:
-as many as let 98 per cent of pairs at the least cosine meet, on pairs made in random
-directions and between sample vectors and on the sample's own. If that leaves too few
-to save comparisons, all pairs are compared. Within buckets pairs are reranked with the
-original vectors in double precision, so no wrong link is kept. A pair is counted in
-the first table in which it meets.
+that agree in a substring meet in that table's bucket.
+
+Substrings have as many bits as keep buckets at ``BUCKET_ROWS`` vectors on average,
+whatever the number of vectors, and tables are as many as let 98 per cent of pairs at
+the least cosine meet: on pairs made from the sample in random directions and between
+sample vectors, and on the sample's own. Centring turns pairs of off-centre vectors
+further apart; where the most tables do not reach that share, substrings get shorter,
+and if that leaves too few bits to save comparisons, all pairs are compared.
+
+Postings carry codes, not vectors: in a bucket, pairs whose sketches (bits of the same
+code) are near enough, again by the sample, are candidates. Only vectors with a
+candidate go to the rerank of their bucket, which takes the original vectors in double
+precision, so no wrong link is kept. A pair is counted in the first table in which it
+meets.
 
 All rows are indexed; vectors of a length that few have are compared directly, all such
 lengths in one pass. Equal vectors are one entry with a count. Buckets are compared
-as blocks of a matrix product; only counts per vector and the links that join two
-parts leave a task, and hot buckets are dealt out as block pairs. Vectors travel as
-they are stored (float components as 4 bytes) and are normalised in double precision
-where they are compared.
+as blocks; only counts per vector and the links that join two parts leave a task, and
+hot buckets are dealt out as block pairs. Vectors travel as they are stored (float
+components as 4 bytes) and are normalised in double precision where they are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,14 +39,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Forest, connected_components, cut, map_groups, table
+from tidemark.llm.common import Forest, connected_components, cut, map_groups, pairs_of_groups, table
 
 SAMPLE_ROWS = 10_000
-#: Hamming tables and most bits of a substring: at cosine 0.95 a bit of centred vectors
-#: agrees with 0.9, a 16-bit substring with 0.185, and all of 26 tables miss with 0.005.
-TABLES, TABLE_BITS = 26, 16
+#: Vectors of a bucket on average, and the most Hamming tables and bits of a substring.
+#: At cosine 0.95 a bit of centred vectors agrees with 0.9, so 8 bits need 8 tables, 16 bits 20.
+BUCKET_ROWS, TABLES, TABLE_BITS = 512, 40, 28
+#: Bits of a sketch, and the share of pairs at the least cosine whose sketches must be near enough.
+SKETCH_BITS, SKETCH_RECALL = 256, 0.999
 #: Share of pairs at the least cosine that meet, and sample pairs to measure it on.
-LEAST_RECALL, TRIAL_PAIRS = 0.98, 2000
+LEAST_RECALL, TRIAL_PAIRS = 0.98, 4000
 #: Vectors of one length that are compared with each other without codes; lengths with more are indexed, so many in one plan.
 DIRECT_ROWS, LENGTHS_AT_ONCE = 256, 8
 
@@ -64,8 +72,8 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5, rounds: int =
     return mean, np.hstack(out)[:, :bits]
 
 
-def fitting_bits(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int, most_bits: int, least_cosine: float, seed: int = 5) -> int:
-    """Bits of a substring, ``most_bits`` at most, with which pairs of unit vectors at ``least_cosine`` meet."""
+def trial_pairs(sample: np.ndarray, least_cosine: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sets of pairs of unit vectors at or just above ``least_cosine``, of 100 pairs or more each."""
     rng = np.random.default_rng(seed)
     n = len(sample)
     side = np.sqrt(max(0.0, 1 - least_cosine**2))
@@ -85,14 +93,24 @@ def fitting_bits(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, t
             break
     i, j = (np.concatenate(x)[:TRIAL_PAIRS] for x in zip(*own))
     trials.append((sample[i], sample[j]))
-    bits = most_bits
-    for a, b in trials:
-        if len(a) < 100:
-            continue
-        same = ((a - mean) @ projection >= 0) == ((b - mean) @ projection >= 0)
-        lead = np.cumprod(same.reshape(len(a), tables, most_bits), axis=2).sum(2).max(1)
-        bits = min(bits, int(np.quantile(lead, 1 - LEAST_RECALL, method="lower")))
-    return bits
+    return [t for t in trials if len(t[0]) >= 100]
+
+
+def fitting_tables(same: list[np.ndarray], most_tables: int, most_bits: int) -> tuple[int, int]:
+    """(tables, bits of a substring) with which the pairs meet.
+
+    ``same`` holds per set of pairs the bits that agree, ``most_tables`` substrings of
+    ``most_bits`` each. Bits are kept as long as the tables suffice.
+    """
+    bits, lead = most_bits, []
+    for x in same:
+        lead.append(np.cumprod(x.reshape(len(x), most_tables, most_bits), axis=2).sum(2))  # leading bits that agree
+        bits = min(bits, int(np.quantile(lead[-1].max(1), 1 - LEAST_RECALL, method="lower")))
+    tables = 1
+    for x in lead:
+        met = np.maximum.accumulate(x >= bits, axis=1).mean(0)
+        tables = max(tables, int(np.argmax(met >= LEAST_RECALL)) + 1 if met[-1] >= LEAST_RECALL else most_tables)
+    return tables, bits
 
 
 def _floats(vectors: DataFrame, embedding: str) -> bool:
@@ -123,7 +141,7 @@ def near_vectors(
     embedding: str = "embedding",
     least_cosine: float = 0.95,
     tables: int = TABLES,
-    table_bits: int = TABLE_BITS,
+    bucket_rows: int = BUCKET_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     direct_rows: int = DIRECT_ROWS,
     seed: int = 5,
@@ -131,9 +149,10 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Null or zero vectors and vectors with null or non-finite components link with
-    nothing; vectors of different lengths do not link. Rows with the same id and
-    vector are one vector to others but keep their rows. Empty input gives an empty
-    table. Other columns are ignored.
+    nothing; vectors of different lengths do not link. Every row is a vector of its
+    own: rows with equal vectors link with each other, also under one id, and each
+    counts in ``n_links`` of the others. Empty input gives an empty table. Other
+    columns are ignored.
     """
     spark = vectors.sparkSession
     rows = cut(unit_vectors(vectors, vec_id, embedding).withColumn("vh", F.when(F.col("usable"), F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))))
@@ -142,16 +161,16 @@ def near_vectors(
         .withColumn("rep_key", F.monotonically_increasing_id())
     )
     large = F.col("n") > direct_rows
-    sizes = reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.when(large, F.col("d")))).alias("large"), F.count(F.when(~large, 1)).alias("small")).first()
+    sizes = reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.when(large, F.struct("d", "n")))).alias("counts"), F.count(F.when(~large, 1)).alias("small")).first()
     width = "<f4" if _floats(vectors, embedding) else "<f8"
     found = []
     if sizes["small"]:
-        own = reps.where(~F.size("v").isin(sizes["large"])) if sizes["large"] else reps
+        own = reps.where(~F.size("v").isin(sorted(sizes["counts"]))) if sizes["counts"] else reps
         found.append(_met(_post_all(own, width), least_cosine, width, "<u2"))
-    for d in sizes["large"]:
+    for d in sorted(sizes["counts"]):
         own = reps.where(F.size("v") == d)
         sample = np.array([r["v"] for r in own.orderBy(F.xxhash64(F.lit(seed), F.col("vh"))).limit(sample_rows).select("v").collect()], float)
-        found.append(_links(spark, own, _unit(sample), least_cosine, tables, table_bits, seed, width))
+        found.append(_links(spark, own, _unit(sample), least_cosine, tables, bucket_rows, sizes["counts"][d], seed, width))
         if len(found) == LENGTHS_AT_ONCE:
             found = [cut(reduce(DataFrame.unionByName, found))]
     if not found:
@@ -172,38 +191,75 @@ def near_vectors(
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosine: float, tables: int, table_bits: int, seed: int, width: str) -> DataFrame:
-    mean, projection = learn_rotations(sample, tables * table_bits, seed)
-    bits = fitting_bits(sample, mean, projection, tables, table_bits, least_cosine, seed)
-    if tables >= 1 << bits:
+def _links(spark: SparkSession, reps: DataFrame, sample: np.ndarray, least_cosine: float, tables: int, bucket_rows: int, n_vectors: int, seed: int, width: str) -> DataFrame:
+    wanted = min(TABLE_BITS, max(2, math.ceil(math.log2(max(1, n_vectors / bucket_rows)))))
+    mean, projection = learn_rotations(sample, max(tables * wanted, SKETCH_BITS), seed)
+    trials = [(((a - mean) @ projection >= 0), ((b - mean) @ projection >= 0)) for a, b in trial_pairs(sample, least_cosine, seed)]
+    used, bits = fitting_tables([(a == b)[:, : tables * wanted] for a, b in trials], tables, wanted) if trials else (tables, wanted)
+    if used >= 1 << bits:
         return _met(_post_all(reps, width), least_cosine, width, "<u2")
-    projection = projection[:, np.arange(tables * table_bits) % table_bits < bits]
-    model = spark.sparkContext.broadcast((mean, projection))
+    reach = max((int(np.quantile((a != b)[:, :SKETCH_BITS].sum(1), SKETCH_RECALL, method="higher")) for a, b in trials), default=SKETCH_BITS)
+    columns = (np.arange(used)[:, None] * wanted + np.arange(bits)).ravel()
+    model = spark.sparkContext.broadcast((mean, projection[:, :SKETCH_BITS], projection[:, columns]))
     weights = (1 << np.arange(bits)).astype(np.int64)
     code_width = "<u2" if bits <= 16 else "<u4"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projection = model.value
+        mean, sketching, coding = model.value
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), width).reshape(n, -1)
-            keys = ((_unit(v) - mean) @ projection >= 0).reshape(n, tables, bits) @ weights
-            raw = v.tobytes()
-            w = len(raw) // n
-            codes = keys.astype(code_width).tobytes()
-            cw = len(codes) // n
-            vec = pa.array([raw[i * w : (i + 1) * w] for i in range(n)], pa.binary())
-            code = pa.array([codes[i * cw : (i + 1) * cw] for i in range(n)], pa.binary())
-            for t in range(tables):
+            v = _unit(np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), width).reshape(n, -1)) - mean
+            keys = (v @ coding >= 0).reshape(n, used, bits) @ weights
+            code = _fixed(keys.astype(code_width))
+            sketch = _fixed(np.packbits(v @ sketching >= 0, axis=1))
+            for t in range(used):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t].astype(np.int32)), b.column("rep_key"), b.column("copies"), code, vec],
-                    ["tab", "bucket", "rep_key", "copies", "code", "vec"],
+                    [pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t].astype(np.int32)), b.column("rep_key"), code, sketch],
+                    ["tab", "bucket", "rep_key", "code", "sketch"],
                 )
 
-    posted = reps.select("rep_key", "copies", "v").mapInArrow(post, "tab int, bucket int, rep_key long, copies long, code binary, vec binary")
-    return _met(posted, least_cosine, width, code_width)
+    def near(groups: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Members of buckets with a partner whose sketch is near and that they meet first here."""
+        for whole, starts in groups:
+            n = whole.num_rows
+            tab, blk, diag = whole.column("tab").to_numpy(), whole.column("blk").to_numpy(), whole.column("diag").to_numpy()
+            sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+            codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), code_width).reshape(n, -1)
+            some = np.zeros(n, bool)
+            for i, j in pairs_of_groups(starts):
+                open_ = diag[i] | (blk[i] != blk[j])
+                i, j = i[open_], j[open_]
+                close = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= reach
+                i, j = i[close], j[close]
+                first = np.argmax(codes[i] == codes[j], axis=1) == tab[i]
+                some[i[first]] = some[j[first]] = True
+            if some.any():
+                yield from whole.select(["tab", "bucket", "rep_key", "code"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    posted = reps.select("rep_key", "v").mapInArrow(post, "tab int, bucket int, rep_key long, code binary, sketch binary")
+    candidates = map_groups(posted, ["tab", "bucket"], "rep_key", near, "tab int, bucket int, rep_key long, code binary", block_rows=2048)
+    candidates = cut(candidates.dropDuplicates(["tab", "rep_key"]))
+    wanted_vectors = reps.select("rep_key", "copies", "v").join(candidates, "rep_key").mapInArrow(
+        lambda it: _packed(it, width), "tab int, bucket int, rep_key long, copies long, code binary, vec binary"
+    )
+    return _met(wanted_vectors, least_cosine, width, code_width)
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a matrix."""
+    raw = np.ascontiguousarray(rows)
+    step = raw.nbytes // max(1, len(raw))
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * step).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
+    """Vectors of one length as bytes."""
+    for b in batches:
+        if b.num_rows:
+            vec = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), width).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tab", "bucket", "rep_key", "copies", "code")), _fixed(vec)], ["tab", "bucket", "rep_key", "copies", "code", "vec"])
 
 
 def _post_all(reps: DataFrame, width: str) -> DataFrame:
