@@ -13,7 +13,8 @@ near to the target as whole documents allow. A two-level running sum finds where
 to stop: sums of hash buckets per source first, single documents only inside the
 one bucket that the target falls into, so no window ever holds a whole source.
 
-Everything is DataFrame code; texts are never shuffled, only (id, source, size).
+Everything is DataFrame code; texts are never shuffled, only (id, source, size). The
+sources themselves are ordered in one task: use sources, not hosts or pages.
 """
 
 from __future__ import annotations
@@ -90,7 +91,9 @@ def mix(
     """
     docs = sized.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("size")
-    ).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    )
+    name = F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("size"))
+    docs = docs.withColumn("h", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     docs = cut(docs)  # narrow; sizes are counted once
     buckets = cut(docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -134,17 +137,55 @@ def mix(
 def repeat_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: every document as often as ``mix`` takes it.
 
-    All columns stay and ``repetition`` (1, 2, ...) is added; documents not taken and
-    those without words are left out.
+    All columns stay and ``repetition`` (1, 2, ...) is added, in place of a column of
+    that name; documents not taken and those without words are left out.
     """
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     times = mix(sized, **options).where("times > 0 AND size > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("times").alias("__times")
     ).distinct()
     same = docs[doc_id].eqNullSafe(times["__id"]) & docs[source].eqNullSafe(times["__source"]) & (word_count(docs[text]) == times["__size"])
-    return docs.join(times, same).withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns, "repetition")
+    return docs.join(times, same).withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[c for c in docs.columns if c != "repetition"], "repetition")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: DuckDB: the same fixed point and the same seeded order, without the two levels of the running sum.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), keyed AS (
+  SELECT *, CAST('0x' || substr(md5(concat_ws(':', 7, doc_id, size)), 1, 15) AS BIGINT) AS h FROM d
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), live AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * CAST(3.0 AS DOUBLE) AS cap FROM sizes
+), stepped AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(cap) OVER w, 0.0) AS clamped, coalesce(sum(weight) OVER w, 0.0) AS passed
+  FROM live WHERE source_size > 0
+  WINDOW w AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT first((total - clamped) / (weights - passed) ORDER BY cap / weight, source IS NULL, source) AS level
+  FROM stepped WHERE (total - clamped) / (weights - passed) * weight <= cap
+), targets AS (
+  SELECT source, source_size, coalesce(CASE WHEN source_size = 0 THEN 0.0 WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END, 0.0) AS target
+  FROM live CROSS JOIN (SELECT max(level) AS level FROM level)
+), parts AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM targets
+), placed AS (
+  SELECT doc_id, size, h, p.*, target - whole * source_size AS left_over FROM keyed k JOIN parts p ON k.source IS NOT DISTINCT FROM p.source
+), summed AS (
+  SELECT *, h % 4096 AS bucket, sum(size) OVER (PARTITION BY source, h % 4096) AS words,
+    sum(size) OVER (PARTITION BY source ORDER BY h % 4096) - sum(size) OVER (PARTITION BY source, h % 4096) AS before,
+    sum(size) OVER (PARTITION BY source ORDER BY h % 4096, h) AS upto, sum(size) OVER (PARTITION BY source, h) AS own
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE
+    WHEN before + words <= left_over THEN 1 WHEN before >= left_over THEN 0
+    WHEN upto - own / 2 <= left_over THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM summed
+"""

@@ -13,8 +13,10 @@ occurrence; a run's bytes are its context. So
     skip and the branching byte of each node, order the groups with long common
     prefixes. Suffixes that end in one leaf at depth ``length`` are repeated strings.
 
-Starts found are turned into byte spans of their documents, merged and removed. All
-steps are keyed by content: a passage in a third of the corpus sends at most two rows
+Starts found are turned into byte spans of their documents, by a second scan that
+sends only contexts a filter of fixed size may hold, merged and removed. A context is
+known by the 64-bit hash of its minimizer and the 64-bit hash of its bytes, a row by
+128 bits of its id and text. All steps are keyed by content: a passage in a third of the corpus sends at most two rows
 per context and task to step 1, is sorted once in step 2, and hot minimizers are
 dealt out as block pairs.
 """
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_groups, table
+from tidemark.llm.common import bitmap, cut, map_groups, set_bits, table
 
 LENGTH, GRAM = 200, 24
 #: Bytes that one vectorised step holds, and contexts that a task remembers.
@@ -78,41 +80,47 @@ def document_runs(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarra
         yield first + lo, last + lo, m
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, dedup: bool) -> Iterator[pa.RecordBatch]:
-    """(m, c, k, at, n): contexts by minimizer and hash, of row k, n starts from at."""
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(m, c, k, k2, at, n): contexts by minimizer and hash, of row (k, k2), n starts from at.
+
+    Without ``bits`` a context comes at most twice from what the task remembers; with
+    ``bits`` every one comes that the filter of wanted ``c`` may hold.
+    """
     seen: dict[int, int] = {}
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for k, text in zip(b.column(0).to_pylist(), b.column(1)):
+        cols: list[list] = [[], [], [], [], [], []]
+        for k, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             t = text.as_py()
             if t is None or len(t) < length:
                 continue
             for first, last, m in document_runs(t, length):
-                for s, e, h in zip(first.tolist(), last.tolist(), m.view(np.int64).tolist()):
-                    c = digest(t[s : e + length])
-                    if dedup:
-                        times = seen.get(c, 0)
+                c = np.array([digest(t[s : e + length]) for s, e in zip(first.tolist(), last.tolist())], np.uint64).view(np.int64)
+                if bits is not None:
+                    keep = np.flatnonzero(set_bits(c, bits))
+                else:
+                    keep = []
+                    for i, h in enumerate(c.tolist()):
+                        times = seen.get(h, 0)
                         if times > 1:
                             continue
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen[c] = times + 1
-                    for col, v in zip(cols, (h, c, k, s, e - s + 1)):
+                        seen[h] = times + 1
+                        keep.append(i)
+                if len(keep):
+                    for col, v in zip(cols, (m.view(np.int64)[keep], c[keep], np.full(len(keep), k), np.full(len(keep), k2), first[keep], (last - first + 1)[keep])):
                         col.append(v)
-            if len(cols[0]) > 50_000:
+            if sum(len(x) for x in cols[0]) > 50_000:
                 yield _batch(cols)
-                cols = [[], [], [], [], []]
+                cols = [[], [], [], [], [], []]
         if cols[0]:
             yield _batch(cols)
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:
-    m, c, k, at, n = cols
-    return pa.RecordBatch.from_arrays(
-        [pa.array(m, pa.int64()), pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32())],
-        ["m", "c", "k", "at", "n"],
-    )
+    whole = [np.concatenate(c) for c in cols]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in whole[:5]), pa.array(whole[5].astype(np.int32))], ["m", "c", "k", "k2", "at", "n"])
 
 
 def _word_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -238,28 +246,26 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k, spans): byte spans [a, b) of row ``k`` covered by repeated strings, unmerged.
+    """(k, k2, spans): byte spans [a, b) of row (k, k2) covered by repeated strings, unmerged.
 
-    ``docs`` is (k, text): a 64-bit row key and the text as bytes. Rows that agree in
-    key have the same bytes.
+    ``docs`` is (k, k2, text): a 128-bit row key and the text as bytes. Rows that agree
+    in the key have the same bytes; they give one row with the spans of one of them.
     """
-    schema = "m long, c long, k long, at long, n int"
-    texts = docs.select("k", "text")
-    dealt = texts.mapInArrow(lambda it: _contexts(it, length, True), schema).repartition("m")
-    contexts = dealt.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "at", "n")).alias("one"))
+    schema = "m long, c long, k long, k2 long, at long, n int"
+    texts = docs.select("k", "k2", "text")
+    dealt = texts.mapInArrow(lambda it: _contexts(it, length), schema).repartition("m")
+    contexts = dealt.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "k2", "at", "n")).alias("one"))
     kinds = F.count(F.lit(1)).over(Window.partitionBy("m"))  # the rows lie together already
     contexts = cut(contexts.withColumn("kinds", kinds).where("times > 1 OR kinds > 1"))
-    wanted = (
-        contexts.where("kinds > 1").select("m", "c", F.col("one.k").alias("k"), F.col("one.at").alias("at"), F.col("one.n").alias("n"))
-        .groupBy("k").agg(F.collect_list(F.struct("m", "c", "at", "n")).alias("wanted"))
-    )
-    pieces = texts.join(wanted, "k").select("text", "wanted").mapInArrow(lambda it: _fetch(it, length), "m long, c long, n int, bytes binary")
+    wanted = contexts.where("kinds > 1").select("m", "c", "one.*").groupBy("k", "k2").agg(F.collect_list(F.struct("m", "c", "at", "n")).alias("wanted"))
+    pieces = texts.join(wanted, ["k", "k2"]).select("text", "wanted").mapInArrow(lambda it: _fetch(it, length), "m long, c long, n int, bytes binary")
     part = map_groups(pieces, ["m"], "c", lambda g: _sort_suffixes(g, length), "m long, c long, a int, b int", block_rows=2048)
     starts = part.unionByName(contexts.where("times > 1").select("m", "c", F.lit(0).alias("a"), F.col("one.n").alias("b")))
     starts = cut(starts.groupBy("m", "c").agg(F.collect_set(F.struct("a", "b")).alias("starts")))
-    places = texts.mapInArrow(lambda it: _contexts(it, length, False), schema)
-    hit = places.join(starts, ["m", "c"]).select("k", F.expr(f"transform(starts, x -> struct(at + x.a AS a, at + x.b + {length - 1} AS b))").alias("s"))
-    return hit.groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(starts.select(F.col("c").alias("v"))))
+    places = texts.mapInArrow(lambda it: _contexts(it, length, bits.value), schema)
+    hit = places.join(starts, ["m", "c"]).select("k", "k2", F.expr(f"transform(starts, x -> struct(at + x.a AS a, at + x.b + {length - 1} AS b))").alias("s"))
+    return hit.groupBy("k", "k2").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -291,7 +297,7 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumns({"k": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "doc_id", "text")})
     spans = repeated_spans(rows, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +310,7 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, span), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
 
-    joined = rows.join(spans, "k", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["k", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, spans array<struct<a:long,b:long>>, kept binary")
 
 
@@ -318,3 +324,29 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: DuckDB: every 200-byte string that starts twice, as gaps and islands of starts.
+OP2_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT r, p, md5(array_slice(b, p + 1, p + 200)) AS k FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS p FROM d)
+), twice AS (
+  SELECT k FROM starts GROUP BY k HAVING count(*) > 1
+), hit AS (
+  SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS step FROM starts SEMI JOIN twice USING (k)
+), run AS (
+  SELECT r, p, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS g FROM hit
+), span AS (
+  SELECT r, min(p) AS a, max(p) + 200 AS z FROM run GROUP BY r, g
+), piece AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM span
+), cuts AS (
+  SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) AS kept
+  FROM piece JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(array_slice(b, coalesce(last, 0) + 1, octet_length(b))))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (r)
+"""
