@@ -9,7 +9,8 @@ Bayes), so sparse hosts and paths shrink to what is above them. A document's fin
 probability is its own odds shifted by the log odds of its path against the global
 mean.
 
-All documents enter the posteriors. Only (host, path, probability) is shuffled.
+All documents enter the posteriors. Texts are measured once; only (host, path,
+probability) and row keys are shuffled for the judgement.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, labelled_sample, table
 
 SAMPLE_ROWS = 20_000
+#: Sites that are broadcast at most; more are joined by a shuffle of narrow rows.
+BROADCAST_SITES = 100_000
 #: Bounds of a prior's strength, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
 _EPS = 1e-4
@@ -129,7 +132,7 @@ def _probability(model):
     return run
 
 
-def _posterior(groups: DataFrame, prior: Column, by: list[str]) -> DataFrame:
+def _posterior(groups: DataFrame, prior: Column) -> DataFrame:
     """Beta-binomial shrinkage of ``good`` / ``n`` to ``prior``, one strength for all.
 
     The strength comes from the method of moments: expected binomial variance over
@@ -162,9 +165,9 @@ def site_posteriors(scored: DataFrame, *, host: str, path: str, evidence: str =
     total = paths.agg(F.sum("good").alias("g"), F.sum("n").alias("n")).first()
     mean = (float(total["g"] or 0) + 1) / (float(total["n"] or 0) + 2)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    hosts = _posterior(hosts, F.lit(mean), ["host"]).select(F.col("host").alias("h_host"), F.col("posterior").alias("host_posterior"))
+    hosts = _posterior(hosts, F.lit(mean)).select(F.col("host").alias("h_host"), F.col("posterior").alias("host_posterior"))
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).drop("h_host")
-    return _posterior(joined, F.col("host_posterior"), ["host", "path"]).select(
+    return _posterior(joined, F.col("host_posterior")).select(
         "host", "path", "n", "host_posterior", F.col("posterior").alias("path_posterior"), F.lit(mean).alias("global_mean")
     )
 
@@ -174,34 +177,44 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def classify(docs: DataFrame, classifier: Classifier, *, host: str = "source", path: str = "lang", text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with ``__evidence``, ``__quality`` and ``__keep`` added.
+def judge(docs: DataFrame, classifier: Classifier, *, keys: list[str], host: str = "source", path: str = "lang", text: str = "text", least: float = 0.5) -> DataFrame:
+    """(keys, evidence, quality, keep), a row per row of ``docs``; texts are measured once.
 
     Null or empty texts get the classifier's value for zero measures. Repeated rows
-    are kept apart; they all count in their site. Columns of the input stay as they
-    are, whatever their names, unless they begin with two underscores.
+    are kept apart; they all count in their site.
     """
-    scored = document_evidence(docs.select(host, path, text), classifier, text=text)
-    sites = site_posteriors(scored, host=host, path=path).select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), (logit(F.col("path_posterior")) - logit(F.col("global_mean"))).alias("__shift")
+    named = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    narrow = docs.select(*named, F.col(host).alias("__host"), F.col(path).alias("__path"), F.col(text).alias("__text"))
+    scored = cut(document_evidence(narrow, classifier, text="__text", out="__evidence").drop("__text"))
+    sites = site_posteriors(scored, host="__host", path="__path", evidence="__evidence").select(
+        "host", "path", (logit(F.col("path_posterior")) - logit(F.col("global_mean"))).alias("shift")
     )
     sites = cut(sites)
-    own = document_evidence(docs, classifier, text=text, out="__evidence")
-    joined = own.join(sites, own[host].eqNullSafe(sites["__host"]) & own[path].eqNullSafe(sites["__path"]), "left")
-    odds = logit(F.col("__evidence")) + F.coalesce(F.col("__shift"), F.lit(0.0))
-    return (
-        joined.withColumn("__quality", 1 / (1 + F.exp(-odds)))
-        .withColumn("__keep", F.col("__quality") >= least)
-        .drop("__host", "__path", "__shift")
+    if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+        sites = F.broadcast(sites)
+    joined = scored.join(sites, F.col("__host").eqNullSafe(F.col("host")) & F.col("__path").eqNullSafe(F.col("path")), "left")
+    odds = logit(F.col("__evidence")) + F.coalesce("shift", F.lit(0.0))
+    return joined.withColumn("quality", 1 / (1 + F.exp(-odds))).select(
+        *[F.col(f"__key{i}").alias(k) for i, k in enumerate(keys)], F.col("__evidence").alias("evidence"), "quality", (F.col("quality") >= least).alias("keep")
     )
 
 
+def classify(docs: DataFrame, classifier: Classifier, *, host: str = "source", path: str = "lang", text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` with ``__evidence``, ``__quality`` and ``__keep`` added.
+
+    Rows are judged by host, path and text alone, as ``judge`` does. Columns of the
+    input stay as they are, whatever their names, unless they begin with two
+    underscores. Empty input gives an empty table.
+    """
+    keyed = docs.withColumns({"__k": F.xxhash64(host, path, text), "__k2": F.xxhash64(F.lit(1), host, path, text)})
+    judged = judge(keyed, classifier, keys=["__k", "__k2"], host=host, path=path, text=text, least=least)
+    judged = judged.dropDuplicates(["__k", "__k2"]).withColumnsRenamed({"evidence": "__evidence", "quality": "__quality", "keep": "__keep"})
+    return keyed.join(judged, ["__k", "__k2"], "left").drop("__k", "__k2")
+
+
 def quality_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, quality) of at most ``rows`` labelled documents; ids with crc32 % 5 = 0 never train."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).select("doc_id", "quality")
-    known = known.orderBy(F.xxhash64(F.lit(13), F.col("doc_id")), "doc_id", "quality").limit(rows).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")
+    return labelled_sample(docs, labels, "quality", rows, seed=13)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -213,5 +226,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classifier = learn_classifier(quality_sample(docs, table(spark, sf_dir, "labels")))
-    judged = classify(docs.select("doc_id", "source", "lang", "text"), classifier)
-    return judged.select("doc_id", F.col("__evidence").alias("evidence"), F.col("__quality").alias("quality"), F.col("__keep").alias("keep"))
+    return judge(docs, classifier, keys=["doc_id"])

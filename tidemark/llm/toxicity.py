@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import held_out, labelled_sample, table
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans(
@@ -36,8 +36,10 @@ HOMOGLYPHS = str.maketrans(
 )
 #: Digits and signs read as letters when they touch a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l"}
-#: Harmless phrases that hold words often found in lexicons.
+#: Harmless phrases that hold words often found in lexicons; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid simple", "idiot proof", "sore loser board")
+#: A pair of words is an exception from so many clean texts, copies aside, with so many for each toxic one.
+PHRASE_TEXTS, PHRASE_ODDS = 5, 3
 SAMPLE_ROWS = 20_000
 LEXICON_TERMS = 2_000
 #: Letters of a stem; one that is a whole word also matches longer words.
@@ -114,17 +116,30 @@ class Lexicon:
         words = folded.count(" ") + 1 if folded else 0
         if not words or not len(self.automaton):
             return 0.0, 0, words
+        hits = self.hits(f" {folded} ")
+        return float(sum(hits.values())), len(hits), words
+
+    def hits(self, padded: str) -> dict[int, float]:
+        """Weight by the place before the word, of words outside exception phrases."""
         hits: dict[int, float] = {}
         spared = []
-        for end, (n, w) in self.automaton.iter(f" {folded} "):
+        for end, (n, w) in self.automaton.iter(padded):
             at = end - n + 1  # of the space before the match
             if w is None:
                 spared.append((at, end))
             else:
                 hits[at] = max(w, hits.get(at, 0.0))
-        if spared:
-            hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spared)}
-        return float(sum(hits.values())), len(hits), words
+        if not spared:
+            return hits
+        out, covered, i = {}, -1, 0
+        spared.sort()
+        for at in sorted(hits):  # both in order; ``covered`` is the furthest end of the phrases that began
+            while i < len(spared) and spared[i][0] <= at:
+                covered = max(covered, spared[i][1])
+                i += 1
+            if at >= covered:
+                out[at] = hits[at]
+        return out
 
     def score(self, total: float, words: int) -> float:
         x = self.bias + self.by_sum * math.log1p(max(0.0, total)) + self.by_rate * math.log1p(max(0.0, 100.0 * total / max(1, words)))
@@ -155,8 +170,10 @@ def learn_lexicon(
     """A lexicon from labelled rows (a bounded sample; the caller bounds it).
 
     A term enters with ``least_texts`` (and 0.4 %) of the toxic texts, copies aside, and smoothed log odds of at least
-    ``least_odds``; at most ``terms``, by odds times the root of its toxic texts. No
-    labels give an empty lexicon that scores every text below one half.
+    ``least_odds``; at most ``terms``, by odds times the root of its toxic texts (rarer
+    and weaker terms beyond that are not learned). Pairs of words around a term that
+    are typical of clean texts become exceptions. No labels give an empty lexicon that
+    scores every text below one half.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -176,12 +193,44 @@ def learn_lexicon(
         .collect()
     )
     lexicon = Lexicon({r["word"]: float(r["w"]) for r in best}, exceptions).build()
+    phrases = rows.dropDuplicates(["t"]).mapInArrow(_phrases(lexicon), "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    learned = phrases.where((F.col("b") >= PHRASE_TEXTS) & (F.col("b") / n0 >= PHRASE_ODDS * (F.col("a") + 0.5) / n1))
+    learned = learned.orderBy(F.col("b").desc(), "phrase").limit(terms).collect()
+    lexicon = Lexicon(lexicon.weights, (*exceptions, *(r["phrase"] for r in learned))).build()
     measured = rows.mapInArrow(_measure(lexicon), "total double, words long, y int")
     m = np.array([tuple(r) for r in measured.collect()], float)  # bounded by the sample
     _fit(lexicon, m)
     return lexicon
 
 
+def _phrases(lexicon: Lexicon):
+    """Pairs of neighbouring words of which one is in the lexicon, each once a text."""
+    model = (lexicon.weights, lexicon.exceptions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(*model).build()
+        for b in batches:
+            ys, ps = [], []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                padded = f" {fold(t)} "
+                if padded == "  " or not len(own.automaton):
+                    continue
+                found = set()
+                for at in own.hits(padded):
+                    end = padded.index(" ", at + 1)
+                    before = padded.rfind(" ", 0, at)
+                    after = padded.find(" ", end + 1)
+                    if before >= 0:
+                        found.add(padded[before + 1 : end])
+                    if after >= 0:
+                        found.add(padded[at + 1 : after])
+                ps.extend(found)
+                ys.extend([y] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(ys, pa.int32())], ["phrase", "y"])
+
+    return run
+
+
 def _measure(lexicon: Lexicon):
     model = (lexicon.weights, lexicon.exceptions)
 
@@ -235,19 +284,9 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", te
     return rows.mapInArrow(run, "doc_id long, score double, n_hits long, n_words long")
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, label) of at most about ``rows`` labelled documents, seeded by id.
-
-    Rows whose crc32 of the id is divisible by 5 never train. The sample of labels is
-    bounded, so it is broadcast and the documents are only scanned.
-    """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", label)
-    known = known.orderBy(F.xxhash64(F.lit(11), F.col("doc_id")), "doc_id", label).limit(rows).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", label)
+    """(text, label) of at most ``rows`` labelled documents; ids held out never train."""
+    return labelled_sample(docs, labels, label, rows, seed=11)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
