@@ -6,7 +6,8 @@ partitioned by their number of distinct shingles; the signature of a partition
 holds the smallest hashes of an item, as many as its largest member needs so that
 an item of which at least ``threshold`` lies in a document cannot have all of its
 signature outside that document: n - ceil(threshold * n) + 1. Documents look up
-their shingle hashes in the signatures; every hit is verified by the exact
+their shingle hashes in the signatures of each partition whose items they are long
+enough to hold; every hit is verified by the exact
 containment of the shingles themselves, so the result has neither misses nor
 false hits.
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-#: UTF-8 bytes of item text that one broadcast block may hold, on average.
-BLOCK_BYTES = 32 << 20
+#: UTF-8 bytes of item text that one broadcast block may hold, on average; as sets of
+#: shingles they take some twenty times that in each worker.
+BLOCK_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +71,7 @@ def _shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _index(items: list[tuple[int, bytes | None]], k_words: int, threshold: float) -> dict:
-    """Per shingle length: sorted signature hashes, their items, and item shingles."""
+    """Per shingle length a list of size partitions: (least shared shingles, sorted signature hashes, their items)."""
     sizes: dict[int, list] = {}
     for item_id, text in items:
         words = words_of(text)
@@ -81,16 +83,18 @@ def _index(items: list[tuple[int, bytes | None]], k_words: int, threshold: float
         parts: dict[int, list] = {}
         for m in members:
             parts.setdefault(len(m[2]).bit_length(), []).append(m)
-        hashes, owners = [], []
+        index[k] = []
         for part in parts.values():
             most = max(signature_size(len(m[2]), threshold) for m in part)
+            least = min(math.ceil(threshold * len(m[2]) - 1e-9) for m in part)
+            hashes, owners = [], []
             for item_id, words, sh in part:
                 h = np.unique(_shingle_hashes(_word_hashes(words, {}), k))[:most]
                 hashes.append(h)
                 owners.extend([(item_id, sh)] * len(h))
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        index[k] = (h[order], [owners[i] for i in order])
+            h = np.concatenate(hashes)
+            order = np.argsort(h, kind="stable")
+            index[k].append((least, h[order], [owners[i] for i in order]))
     return index
 
 
@@ -145,17 +149,22 @@ def _search(doc, words, index, threshold, seen, out) -> None:
     if not words:
         return
     hashes = _word_hashes(words, seen)
-    for k, (signature, owners) in index.items():
+    for k, parts in index.items():
         own = _shingle_hashes(hashes, k)
         if not len(own):
             continue
         own = np.unique(own)
-        at = np.minimum(np.searchsorted(signature, own), len(signature) - 1)
-        hit = own[signature[at] == own]
-        if not len(hit):
+        candidates: dict[int, tuple] = {}
+        for least, signature, owners in parts:
+            if len(own) < least:
+                continue  # too short for any item of this size
+            at = np.minimum(np.searchsorted(signature, own), len(signature) - 1)
+            hit = own[signature[at] == own]
+            if len(hit):
+                lo, hi = np.searchsorted(signature, hit, "left"), np.searchsorted(signature, hit, "right")
+                candidates |= {id(owners[j]): owners[j] for a, b in zip(lo, hi) for j in range(a, b)}
+        if not candidates:
             continue
-        lo, hi = np.searchsorted(signature, hit, "left"), np.searchsorted(signature, hit, "right")
-        candidates = {id(owners[j]): owners[j] for a, b in zip(lo, hi) for j in range(a, b)}
         mine = shingles_of(words, k)
         for item_id, sh in candidates.values():
             shared = len(sh & mine)

@@ -6,7 +6,8 @@ the forward (Viterbi) recurrence over the trie's nodes: the best score and token
 count of a prefix are computed once, however many pre-tokens share it, and the
 counts at the terminal nodes are stored. A document's count is the sum over its
 pre-tokens. Nothing is shuffled, and a task starts a new trie when the distinct
-pre-tokens at hand reach a bound, which changes no result.
+pre-tokens at hand reach a bound, which changes no result. Very long pre-tokens run
+the same recurrence alone. Pieces are found by hash and compared by character.
 
 The vocabulary is a public one, given by path; its pieces are ordered by rank and
 piece r has log probability -log((r + 1) * H), H making the sum one (a unigram
@@ -31,6 +32,9 @@ VOCABULARY = "piece_bpe_32k.model"
 WORD_START = "▁"
 #: Distinct pre-tokens that one trie holds at most.
 TRIE_WORDS = 400_000
+#: Pre-tokens of more characters run by themselves: they hardly share prefixes, and the
+#: recurrence over the trie takes its steps for all words at once.
+LONG_WORD = 512
 _BASE = np.uint64(0x100000001B3)
 _UNKNOWN = -1e4
 
@@ -55,16 +59,17 @@ class TrieCounter:
     """Best-path token counts of many distinct strings at once."""
 
     def __init__(self, scores: dict[str, float]):
-        by_length: dict[int, list[tuple[int, float]]] = {}
-        for piece, s in scores.items():
-            if piece:
-                by_length.setdefault(len(piece), []).append((_hash_of(piece), s))
+        self.scores = {piece: s for piece, s in scores.items() if piece}
+        by_length: dict[int, list[str]] = {}
+        for piece in self.scores:
+            by_length.setdefault(len(piece), []).append(piece)
         self.lengths = sorted(by_length)
         self.tables = {}
-        for n, rows in by_length.items():
-            h = np.array([r[0] for r in rows], np.uint64)
+        for n, pieces in by_length.items():
+            h = np.array([_hash_of(p) for p in pieces], np.uint64)
             order = np.argsort(h, kind="stable")
-            self.tables[n] = (h[order], np.array([r[1] for r in rows])[order])
+            chars = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            self.tables[n] = (h[order], np.array([self.scores[p] for p in pieces])[order], chars[order])
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Tokens of each word, by the highest sum of scores, then by fewest tokens.
@@ -75,15 +80,37 @@ class TrieCounter:
         out = np.zeros(len(words), np.int64)
         lens = np.array([len(w) for w in words], np.int64)
         # long strings apart, so that the character matrix stays near the text's size
-        edges = [0, 16, 64, 1024, 1 << 62]
+        edges = [0, 16, 64, LONG_WORD]
         for lo, hi in zip(edges, edges[1:]):
             at = np.flatnonzero((lens > lo) & (lens <= hi))
             step = max(1, (1 << 24) // max(1, int(lens[at].max()) if len(at) else 1))
             for a in range(0, len(at), step):
                 part = at[a : a + step]
                 out[part] = self._count([words[i] for i in part], lens[part])
+        for i in np.flatnonzero(lens > LONG_WORD):
+            out[i] = self._count_one(words[i])
         return out
 
+    def _count_one(self, word: str) -> int:
+        """The same recurrence over one word, without a trie."""
+        scores, lengths = self.scores, self.lengths
+        best, tokens = [0.0], [0]
+        for d in range(1, len(word) + 1):
+            n = len(word[d - 1].encode("utf-8", "surrogatepass"))
+            top, count = best[d - 1] + _UNKNOWN * n, tokens[d - 1] + n
+            for n in lengths:
+                if n > d:
+                    break
+                s = scores.get(word[d - n : d])
+                if s is None:
+                    continue
+                s += best[d - n]
+                if s > top + 1e-9 or (abs(s - top) <= 1e-9 and tokens[d - n] + 1 < count):
+                    top, count = s, tokens[d - n] + 1
+            best.append(top)
+            tokens.append(count)
+        return tokens[-1]
+
     def _count(self, words: list[str], lens: np.ndarray) -> np.ndarray:
         width = int(lens.max())
         chars = np.zeros((len(words), width), np.uint32)
@@ -117,10 +144,12 @@ class TrieCounter:
             for n in self.lengths:
                 if n > d:
                     break
-                h, s = self.tables[n]
+                h, s, pieces = self.tables[n]
                 own = prefix[-1][first] - prefix[-1 - n][first] * _power(n)
                 at = np.minimum(np.searchsorted(h, own), len(h) - 1)
                 hit = np.flatnonzero(h[at] == own)
+                if len(hit):
+                    hit = hit[(chars[live[first[hit]], d - n : d] == pieces[at[hit]]).all(axis=1)]
                 if not len(hit):
                     continue
                 n_old, s_old, c_old = history[-n]
@@ -164,28 +193,37 @@ def token_counts(docs: DataFrame, scores: dict[str, float], *, doc_id: str = "do
         ids: dict[str, int] = {}
         known = np.empty(0, np.int64)
         for b in batches:
-            if len(ids) > trie_words:
-                ids, known = {}, np.empty(0, np.int64)
-            per_doc, fresh = [], []
-            for t in b.column(1).to_pylist():
-                own = []
-                for w in (t or "").split():
-                    i = ids.get(w)
-                    if i is None:
-                        i = ids[w] = len(ids)
-                        fresh.append(WORD_START + w)
-                    own.append(i)
-                per_doc.append(own)
-            if fresh:
-                known = np.concatenate([known, count(fresh)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(o) for o in per_doc], pa.int64()),
-                    pa.array([int(known[o].sum()) if o else 0 for o in per_doc], pa.int64()),
-                ],
-                ["doc_id", "n_pretokens", "n_tokens"],
-            )
+            pretokens, n_tokens = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            at, held = [], []  # documents whose words are counted together
+            fresh: list[str] = []
+
+            def settle() -> None:
+                nonlocal known, at, held, fresh, ids
+                if fresh:
+                    known = np.concatenate([known, count(fresh)])
+                for row, own in zip(at, held):
+                    n_tokens[row] += int(known[own].sum()) if own else 0
+                at, held, fresh = [], [], []
+                if len(ids) > trie_words:
+                    ids, known = {}, np.empty(0, np.int64)
+
+            for row, t in enumerate(b.column(1)):
+                words = (t.as_py() or "").split()
+                pretokens[row] = len(words)
+                for a in range(0, len(words), trie_words):
+                    own = []
+                    for w in words[a : a + trie_words]:
+                        i = ids.get(w)
+                        if i is None:
+                            i = ids[w] = len(ids)
+                            fresh.append(WORD_START + w)
+                        own.append(i)
+                    at.append(row)
+                    held.append(own)
+                    if len(ids) > trie_words:
+                        settle()
+            settle()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pretokens), pa.array(n_tokens)], ["doc_id", "n_pretokens", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
