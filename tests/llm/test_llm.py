@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, quality, queries, simhash, substrings, tokens, toxicity
-from tidemark.llm.common import connected_components, table
+from tidemark.llm.common import connected_components, labelled_sample, table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -84,6 +85,28 @@ def test_substrings(spark, corpus):
     assert substrings.remove_repeated(df.limit(0)).count() == 0
 
 
+def test_substrings_of_long_repeated_and_clashing_rows(spark):
+    """A text of several pieces with repeats across their border; rows that repeat; other columns."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(substrings.CHUNK + 4000))
+    border = long[substrings.CHUNK - 300 : substrings.CHUNK + 300]
+    rows = [(1, long, 5, "x"), (2, "start " + border + " end", 6, "y")] + [(3, words(rng, 100), 7, "z")] * 40 + [(None, None, 8, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k long, spans string").repartition(4)
+    got = sorted(((r["doc_id"], [(s["a"], s["b"]) for s in r["spans"]], len(r["kept"])) for r in substrings.remove_repeated(df).collect()), key=str)
+    edge = substrings.CHUNK - 300
+    third = len(rows[2][1])
+    want = [(1, [(edge, edge + 600)], len(long) - 600), (2, [(6, 606)], 10)] + [(3, [(0, third)], 0)] * 40 + [(None, [], 0)]
+    assert got == sorted(want, key=str)
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("k"), F.lit(1).cast("long").alias("k2"), F.col("text").cast("binary").alias("text"))
+    assert max(len(r["spans"]) for r in substrings.repeated_spans(keyed.where("text IS NOT NULL")).collect()) < third
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op7_mix_sources"])
+def test_matches_sql(spark, duck, name):
+    ours, theirs = normal(queries.queries()[name](spark, SF).toPandas()), normal(duck.execute(queries.oracle_sql()[name]).df())
+    assert ours == theirs and len(ours[1]) > 0
+
+
 def test_suffix_order_on_random_bytes():
     rng = np.random.default_rng(0)
     raw = bytes(rng.integers(97, 99, 3000).astype(np.uint8))
@@ -147,6 +170,35 @@ def test_embeddings_off_centre(spark, norm):
     assert 0.95 * want <= found <= want
 
 
+def test_embeddings_recall_on_the_table(spark):
+    """The table at sf0.01 and near copies of a quarter of it, in eight buckets and more."""
+    rng = np.random.default_rng(3)
+    rows = table(spark, "/root/testdata/sf0.01", "embeddings").select("embedding").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    w = rng.normal(size=x[::4].shape)
+    near = x[::4] / np.linalg.norm(x[::4], axis=1)[:, None] + rng.uniform(0.2, 0.31, (len(w), 1)) * w / np.linalg.norm(w, axis=1)[:, None]
+    x = np.vstack([x, near])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df, bucket_rows=64).collect()}
+    assert len(got) == len(x) and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.95 * want.sum() > 100
+
+
+def test_embeddings_in_hot_buckets_and_many_tables(spark, monkeypatch):
+    """One group of near vectors in one bucket of each table, in blocks of 60 rows."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(1200, 32)), 3 * rng.normal(size=32) + rng.normal(scale=0.3, size=(200, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    groups = embeddings.map_groups
+    monkeypatch.setattr(embeddings, "map_groups", lambda *a, block_rows, **k: groups(*a, block_rows=60, **k))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(df, bucket_rows=8).collect()}
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum() > 1000
+
+
 @pytest.mark.parametrize("direct_rows", [256, 3])
 def test_embeddings_of_many_lengths(spark, direct_rows):
     lengths = range(2, 72) if direct_rows == 256 else range(30, 42)
@@ -200,6 +252,54 @@ def test_pages_keeps_sibling_sections_and_wrappers():
     assert pages.main_text(f"<body><article><p>{words(120)}</p></article>{replies}</body>") == words(120)
 
 
+LONG = ("Long text with many words that goes on. " * 12).strip()
+
+
+def test_pages_without_named_content():
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(20)) + "</ul>"
+    want = f"{LONG}\n\n{LONG}"
+    assert pages.main_text(f"<body><div>{links}</div><div><p>{LONG}</p><p>{LONG}</p></div></body>") == want
+    assert pages.main_text(f"<body>{links}<p>{LONG}</p><p>{LONG}</p></body>") == want
+
+
+def test_pages_two_articles_forms_and_class_names():
+    body = f"<p>{LONG}</p>" * 3
+    want = "\n\n".join([LONG] * 3)
+    assert pages.main_text(f"<body><article>{body}</article><div>x</div><article>{body[: 2 * len(body) // 3]}</article></body>") == "\n\n".join([LONG] * 5)
+    assert pages.main_text(f"<body><form action='/'><label>q</label><article>{body}</article></form></body>") == want
+    for name in ("content social", "post-tags-list", "main-nav-page"):
+        assert pages.main_text(f'<body><nav>a</nav><div class="{name}">{body}</div></body>') == want, name
+        assert pages.main_text(f'<body><nav>a</nav><article class="{name}">{body}</article></body>') == want, name
+
+
+def test_pages_clusters_choose_the_region(monkeypatch):
+    menu = "".join(f'<p><a href="/{i}">A link to page {i}</a></p>' for i in range(12))
+    page = f"<body><div>{menu}</div><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    two = f"<body><article><p>{LONG}</p></article><main>{menu}</main></body>"
+    right, right_two = pages.main_text(page), pages.main_text(two)
+    assert right == f"{LONG}\n\n{LONG}" and right_two == LONG
+    monkeypatch.setattr(pages, "content_cluster", lambda chars, tags, sigma=1.0: np.arange(len(chars)) % 2 == 0)
+    assert pages.main_text(page) != right
+    monkeypatch.setattr(pages, "content_cluster", lambda chars, tags, sigma=1.0: chars < 100)
+    assert pages.main_text(page) != right
+
+
+@pytest.mark.parametrize("tag", ["div", 'div class="content social"', "span", "article", "ul"])
+def test_pages_deep_nesting_takes_linear_time(tag):
+    began = time.time()
+    got = pages.main_text(f"<{tag}>" * 20_000 + f"<p>{LONG}</p>" + "</b>" * 20_000 + f"</{tag.split()[0]}>" * 20_000)
+    assert got == LONG and time.time() - began < 10
+
+
+def test_pages_tables(spark):
+    long = f"<article><p>{LONG}</p>" + f"<p>{LONG}</p>" * 2000 + "</article>"
+    df = spark.createDataFrame([(1, "u", long, 5), (None, None, "", 6), (1, "u", long, 5)], "page_id long, url string, html string, n_chars int")
+    got = pages.extract(df)
+    assert got.columns == ["page_id", "url", "html", "n_chars", "text"]
+    assert sorted(len(r["text"]) for r in got.collect()) == [0] + [2001 * len(LONG) + 4000] * 2
+    assert pages.extract(df.limit(0)).count() == 0
+
+
 def test_pages_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a</p>", "y"), (2, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in pages.extract(df).collect()) == [(1, ""), (2, "a"), (2, "a")]
@@ -226,6 +326,40 @@ def test_toxicity_substitutes_in_long_runs():
     assert lex.measure("3fa85f64-5717-4562-b3fc-2c963f66afa6" * 3)[1] == 0
 
 
+def test_toxicity_exceptions_are_found_and_cost_linear_time(spark):
+    rng = random.Random(2)
+    lex = toxicity.Lexicon({"bad": 2.0, "vile*": 3.0, "villa*": 1.0}, ("bad luck", "vile of bad")).build()
+    pool = ["bad", "luck", "vile", "vileness", "villain", "of", "good", "badly", "BAD!", "b4d"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        w = toxicity.fold(text).split()
+        spared = {i + j for i in range(len(w)) for phrase in (["bad", "luck"], ["vile", "of", "bad"]) if w[i : i + len(phrase)] == phrase for j in range(len(phrase))}
+        want = [max([2.0] * (x == "bad") + [3.0] * x.startswith("vile") + [1.0] * x.startswith("villa"), default=0) for i, x in enumerate(w) if i not in spared]
+        assert lex.measure(text) == (sum(want), sum(x > 0 for x in want), len(w)), text
+    began = time.time()
+    assert lex.measure("bad luck bad " * 30_000)[1] == 30_000 and time.time() - began < 5
+    labelled = [(f"you vermin {words(rng, 5)}", 1) for _ in range(200)] + [(f"the vermin count {words(rng, 5)}", 0) for _ in range(20)] + [(words(rng, 8), 0) for _ in range(1200)]
+    learned = toxicity.learn_lexicon(spark.createDataFrame(labelled, "text string, toxic int"), least_odds=1.0)
+    assert "vermin count" in learned.exceptions and learned.measure("the vermin count")[1] == 0 < learned.measure("you vermin")[1]
+
+
+def test_toxicity_tables(spark):
+    lex = toxicity.Lexicon({"idiot": 5.0}, bias=-4.0, by_sum=2.0, by_rate=1.0)
+    long = "word " * 200_000 + "idiot"
+    df = spark.createDataFrame([(1, "idiot", 1), (1, "idiot", 1), (2, None, 2), (3, "", 3), (None, "a", 4), (4, long, 5)], "doc_id long, text string, score int")
+    got = sorted(((r["doc_id"] or 0, r["n_hits"], r["n_words"]) for r in toxicity.score_texts(df, lex).collect()))
+    assert got == [(0, 0, 1), (1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 0, 0), (4, 1, 200_001)]
+    assert toxicity.score_texts(df.limit(0), lex).count() == 0
+
+
+def test_labelled_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(700)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 3, seed=1)
+    assert got.columns == ["text", "toxic"] and got.count() == 3
+    assert labelled_sample(docs, labels, "toxic", 100, seed=1).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(7))
+
+
 def test_toxicity_held_out_accuracy(spark):
     got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").select("predicted", "toxic").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.9
@@ -246,6 +380,45 @@ def test_quality_held_out_accuracy_and_shrinkage(spark, corpus):
     assert quality.classify(df.limit(0), model).count() == 0
 
 
+def test_quality_against_brute_force(spark, corpus, monkeypatch):
+    """Both posterior levels and the judgement, from the classifier's evidence."""
+    df, rows = corpus
+    rng = np.random.default_rng(4)
+    k = len(quality.MEASURES)
+    model = quality.Classifier(np.zeros(k), np.ones(k), rng.normal(size=2 * k + 1))
+    evidence = [float(model(quality.measure((r[1] or "").encode())[None, :])[0]) for r in rows]
+
+    def posterior(groups, prior):
+        n = sum(g[0] for g in groups.values())
+        v = sum(g[0] * prior[x] * (1 - prior[x]) for x, g in groups.items()) / n
+        spread = sum(g[0] * (g[1] / g[0] - prior[x]) ** 2 for x, g in groups.items())
+        between = (spread - len(groups) * v) / max(1e-9, n - sum(g[0] ** 2 for g in groups.values()) / n)
+        m = min(quality.MOST_STRENGTH, max(quality.LEAST_STRENGTH, v / between - 1)) if len(groups) > 1 and between > 0 else quality.MOST_STRENGTH
+        return {x: (g[1] + m * prior[x]) / (g[0] + m) for x, g in groups.items()}
+
+    def grouped(keys):
+        out = {}
+        for x, e in zip(keys, evidence):
+            n, good = out.get(x, (0, 0.0))
+            out[x] = (n + 1, good + e)
+        return out
+
+    mean = (sum(evidence) + 1) / (len(rows) + 2)
+    hosts, paths = grouped([r[3] for r in rows]), grouped([(r[3], r[2]) for r in rows])
+    by_host = posterior(hosts, {h: mean for h in hosts})
+    by_path = posterior(paths, {x: by_host[x[0]] for x in paths})
+
+    def logit(p):
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        return np.log(p / (1 - p))
+
+    want = sorted((r[0], 1 / (1 + np.exp(-(logit(e) + logit(by_path[r[3], r[2]]) - logit(mean))))) for r, e in zip(rows, evidence))
+    for most in (100_000, 0):  # sites broadcast, and joined
+        monkeypatch.setattr(quality, "BROADCAST_SITES", most)
+        got = sorted((r["doc_id"], r["quality"]) for r in quality.judge(df, model, keys=["doc_id"]).collect())
+        assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([q for _, q in got], [q for _, q in want])
+
+
 def test_lines(spark, corpus):
     df, rows = corpus
     by_id = {r[0]: (r[1] or "") for r in rows}
@@ -261,16 +434,62 @@ def test_lines(spark, corpus):
         seen.add(c)
     got = {r["doc_id"]: list(r["line_nos"]) for r in lines.repeated_lines(df).collect()}
     assert got == want
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    df.write.mode("overwrite").parquet(spark.conf.get("spark.checkpoint.dir") + "/lines_fixture/documents.parquet")
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], list(r["removed_lines"])) for r in lines.op6_line_dedup(spark, spark.conf.get("spark.checkpoint.dir") + "/lines_fixture").collect()}
+    assert found == {d: (t.count("\n") + 1 if r is not None else 0, len(want.get(d, [])), want.get(d, [])) for d, t in by_id.items() for r in [dict((x[0], x[1]) for x in rows)[d]]}
     kept = lines.drop_repeated_lines(df.withColumn("line_nos", F.lit(1)))
     assert kept.count() == len(rows) and kept.columns == [*df.columns, "line_nos"]
     assert {r["text"] for r in kept.where("doc_id = 0").collect()} == {None}
     assert lines.repeated_lines(df.limit(0)).count() == 0
 
 
-def test_line_hash_is_sparks(spark):
-    r = spark.createDataFrame([("äb c",)], "line string").select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).first()
-    a, b = lines.line_hash("äb c".encode())
-    assert (a, b) == (r["a"] % (1 << 64), r["b"] % (1 << 64))
+def test_lines_of_one_id_with_two_texts(spark):
+    rows = [(1, "alpha beta gamma\nonly here, in the first text\nshared line of both"), (1, "shared line of both\nonly here, in the second text, also"), (2, "shared line of both"), (None, "shared line of both")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines_left = sorted(line for r in lines.drop_repeated_lines(df).where("doc_id IS NOT NULL").collect() for line in r["text"].split("\n") if line)
+    assert lines_left == ["alpha beta gamma", "only here, in the first text", "only here, in the second text, also", "shared line of both"]
+    assert lines.drop_repeated_lines(df).where("doc_id IS NULL").first()["text"] == "shared line of both"
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefgh", "".join(chr(0x4E00 + i) for i in range(400))])
+def test_lines_in_large_groups(spark, alphabet, monkeypatch):
+    """Hundreds of variants of one line under one key, in blocks of 50 rows, and chains of variants."""
+    rng = random.Random(5)
+    base = [rng.choice(alphabet) for _ in range(300)]
+    texts = ["".join(base)]
+    for _ in range(180):
+        own = list(base)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(300)] = rng.choice(alphabet)
+        texts.append("".join(own))
+    step = list(base)
+    for i in range(40):  # each like the one before it, the last unlike the first
+        step[(i * 37) % 300] = rng.choice(alphabet)
+        texts.append("".join(step))
+    groups = lines.link_groups
+    monkeypatch.setattr(lines, "link_groups", lambda *a, block_rows, **k: groups(*a, block_rows=50, **k))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [lines.shingles(t) for t in texts]
+    comp = components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if lines.jaccard(sets[i], sets[j]) >= 0.8])
+    got = {r["doc_id"] for r in lines.repeated_lines(df).collect()}
+    assert got == {i for i in comp if comp[i] != i}
+
+
+def test_line_bands_keep_their_recall():
+    rng = random.Random(6)
+    met = n = 0
+    while n < 1500:
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(200))
+        b = list(a)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(200)] = "z"
+        b = "".join(b)
+        if 0.8 <= lines.jaccard(lines.shingles(a), lines.shingles(b)) <= 0.84:
+            n += 1
+            keys = lines.band_keys([a, b])
+            met += bool((keys[0] == keys[1]).any())
+    assert met >= 0.985 * n
 
 
 def test_mixing(spark, corpus):
@@ -319,6 +538,16 @@ def test_tokens(spark, corpus):
     assert got == sorted((r[0], len((r[1] or "").split()), sum(brute("▁" + w) for w in (r[1] or "").split())) for r in rows)
 
 
+def test_tokens_of_very_long_words():
+    scores = tokens.unigram_scores(tokens.load_pieces(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}"))
+    count = tokens.TrieCounter(scores)
+    rng = random.Random(1)
+    some = ["▁" + "".join(rng.choice("abcdeä猫 t") for _ in range(n)) for n in (1, 15, 16, 17, 63, 64, 300, 511)]
+    assert [count._count_one(w) for w in some] == count(some).tolist()
+    began = time.time()
+    assert count(["▁" + "ab" * 50_000])[0] > 1000 and time.time() - began < 10
+
+
 def test_decontamination(spark, corpus, duck):
     df, rows = corpus
     rng = random.Random(9)
@@ -353,15 +582,21 @@ def test_simhash(spark, corpus):
         h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
         return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
+    texts_apart = [words(random.Random(i), 80) for i in (1, 2)]
     fps = [(r[0], fp(r[1])) for r in rows]
     comp = components({d for d, _ in fps}, [(a, b) for a, x in fps for b, y in fps if a < b and (x ^ y).bit_count() <= 4])
     got = sorted((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.simhash_components(df).collect())
     assert got == sorted((d, x, comp[d]) for d, x in fps)
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == sorted({c for c in comp.values()})
     assert simhash.simhash_components(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, texts_apart[0], "a"), (1, texts_apart[1], "b"), (1, texts_apart[1], "c"), (2, texts_apart[0], "d"), (None, texts_apart[0], "e")], "doc_id long, text string, fp string")
+    kept = simhash.keep_one_of_each(twice)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, texts_apart[0]), (1, texts_apart[0]), (1, texts_apart[1])])
+    assert kept.columns == twice.columns
 
 
-def test_simhash_links_are_complete_for_close_fingerprints(spark):
+@pytest.mark.parametrize("block_rows", [4096, 20])
+def test_simhash_links_are_complete_for_close_fingerprints(spark, block_rows):
     rng = np.random.default_rng(2)
     centre = int(rng.integers(0, 1 << 63))
     fps = {centre}
@@ -373,7 +608,7 @@ def test_simhash_links_are_complete_for_close_fingerprints(spark):
             y ^= 1 << int(b)
         fps.add(y)
     fps = sorted(simhash._signed(x) for x in fps)
-    got = connected_components(simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long")))
+    got = connected_components(simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), block_rows=block_rows))
     found = {r["id"]: r["component_id"] for r in got.collect()}
     want = components(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) % (1 << 64)).bit_count() <= 4])
     assert {x: found.get(x, x) for x in fps} == want
