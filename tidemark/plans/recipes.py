@@ -17,6 +17,7 @@ from tidemark.operators.grid import daily_pivots, higher_timeframe, ordered, up_
 from tidemark.operators.joins import asof_join
 from tidemark.operators.rolling import last_k
 from tidemark.plans.base import KEY, bars, query
+from tidemark.plans.recipe_sql import RECIPE_SQL
 
 RECIPES: dict[str, Callable[..., DataFrame]] = {}
 _c = F.col
@@ -303,7 +304,7 @@ def price_reversion(b, k=48, z=1.5, leave=0.3):
 
 
 def _register(name: str) -> None:
-    @query(f"recipe_{name}")
+    @query(f"recipe_{name}", RECIPE_SQL.get(name))
     def run(spark, sf):
         return RECIPES[name](bars(spark, sf)).select("symbol", "ts", "position")
 

@@ -10,6 +10,7 @@ from tidemark.operators import rolling, scans
 from tidemark.operators.grid import ordered, up_to_now
 from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, W, bars, ewm_sql, out, query, ticks, with_returns
 from tidemark.operators.rolling import last_k
+from tidemark.plans.recipe_sql import FLAT_SQL
 
 TR = "tr AS (SELECT *, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM bars " + W + ")"
 
@@ -254,7 +255,7 @@ def fractional_difference(spark, sf):
     return ind.fractional_difference(bars(spark, sf), 0.4, 5).select("symbol", "ts", "ffd")
 
 
-@query("flat_regime_gate", None)
+@query("flat_regime_gate", FLAT_SQL)
 def flat_regime_gate(spark, sf):
     return ind.flat_gate(bars(spark, sf)).select("symbol", "ts", "flat")
 
