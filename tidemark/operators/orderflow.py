@@ -63,6 +63,24 @@ def regime_label(dp: Column, doi: Column) -> Column:
     )
 
 
+def plain_symbol(symbol: Column) -> Column:
+    """Upper case, without separators."""
+    return F.regexp_replace(F.upper(F.trim(symbol)), "[-/_:]", "")
+
+
+#: The names that users give the four streams.
+STREAM_NAMES = {"orderbook": ("orderbook", "book", "ob", "depth"), "trades": ("trades", "trade", "tape"), "ticker": ("ticker", "bbo", "tick"), "liquidations": ("liquidations", "liq", "liqs")}
+
+
+def stream_name(token: Column) -> Column:
+    """Canonical stream of an alias; null where there is none."""
+    t = F.lower(F.trim(token))
+    out = F.lit(None).cast("string")
+    for name, others in STREAM_NAMES.items():
+        out = F.when(t.isin(*others), name).otherwise(out)
+    return out
+
+
 def seconds_to_funding(ts: Column, every: int = 28_800) -> Column:
     return F.lit(every) - F.unix_timestamp(ts) % every
 

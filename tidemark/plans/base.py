@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_paths(spark: SparkSession, *kinds: str) -> list[str]:
+    """New paths in the folder that all executors share; a local one only where Spark runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return [f"{root}/{kind}-{uuid.uuid4().hex}" for kind in kinds]
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, ts, price, amount, user_id, event_id, props) from events."""
     e = table(spark, sf_dir, "events")

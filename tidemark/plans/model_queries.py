@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import events, folds, inference, joins, meta, metrics, rolling, sweep
 from tidemark.operators.grid import ordered
-from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, bars, out, query, table, with_returns
+from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, bars, out, query, shared_paths, table, with_returns
 from tidemark.streaming import live
 
 
@@ -86,12 +84,6 @@ def trade_stream(spark, sf) -> DataFrame:
     ).withWatermark("ts", "10 minutes")
 
 
-def shared_paths(spark, *kinds: str) -> list[str]:
-    """New paths in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return [f"{root}/{kind}-{uuid.uuid4().hex}" for kind in kinds]
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into a table in the shared folder."""
     spark = stream.sparkSession

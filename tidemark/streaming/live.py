@@ -145,6 +145,7 @@ def tee(stream: DataFrame, path: str, checkpoint: str, serve: Callable[[DataFram
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def capture(stream: DataFrame, path: str, checkpoint: str, every: str = "60 seconds"):
-    """Rolling Parquet capture by symbol."""
-    return stream.writeStream.format("parquet").partitionBy("symbol").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+def capture(stream: DataFrame, path: str, checkpoint: str, every: str | None = "60 seconds"):
+    """Rolling Parquet capture by symbol; without ``every`` what is there now, then it ends."""
+    writer = stream.writeStream.format("parquet").partitionBy("symbol").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
