@@ -105,14 +105,29 @@ def test_noise_is_not_called_skill(spark):
     rng = np.random.default_rng(3)
     noise = rng.normal(0, 0.01, (250, 4))
     noise[:, 3] += 0.006
-    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(noise)], "i int, a double, b double, c double, win double")
-    got = {r["strategy"]: r for r in inference.reality_check(spark, df, ["a", "b", "c", "win"], ["i"], 200).collect()}
+    names = ["a", "b", "c", "win"]
+    df = spark.createDataFrame([(i, names[j], float(x)) for i, r in enumerate(noise) for j, x in enumerate(r)], "i int, s string, x double")
+    got = {r["strategy"]: r for r in inference.reality_check(df, "s", "x", "i", 200).collect()}
     assert got["win"]["p_step"] < 0.05 and got["win"]["p_reality"] < 0.05
-    only = {r["strategy"]: r for r in inference.reality_check(spark, df, ["a", "b", "c"], ["i"], 200).collect()}
+    only = {r["strategy"]: r for r in inference.reality_check(df.where("s <> 'win'"), "s", "x", "i", 200).collect()}
     assert min(r["p_step"] for r in only.values()) > 0.05
+    assert min(r["p_step"] for r in got.values()) >= 1 / 201
     assert only["a"]["p_spa_lower"] <= only["a"]["p_spa"] <= only["a"]["p_spa_upper"]
 
 
+def resampled(x, rng):
+    """One stationary bootstrap sample, place by place."""
+    out, at = [], 0
+    for i in range(len(x)):
+        at = int(rng.integers(len(x))) if i == 0 or rng.random() < len(x) ** (-1 / 3) else (at + 1) % len(x)
+        out.append(x[at])
+    return np.array(out)
+
+
+def sharpe_of(x):
+    return x.mean() / x.std(ddof=1) * np.sqrt(365)
+
+
 def test_bootstrap_of_every_key(spark):
     rng = np.random.default_rng(4)
     rows = [(k, i, float(x)) for k, n, mu in (("a", 300, 0.002), ("b", 120, -0.002), (None, 60, 0.0)) for i, x in enumerate(rng.normal(mu, 0.01, n))] + [("one", 0, 0.5), ("a", 999, None)]
@@ -121,9 +136,12 @@ def test_bootstrap_of_every_key(spark):
     got = {r["symbol"]: r for r in inference.interval(drawn, "sharpe", key=["symbol"]).collect()}
     assert {k: r["n"] for k, r in got.items()} == {"a": 200, "b": 200, None: 200, "one": 200}
     for k in ("a", "b"):
-        old = inference.interval(inference.bootstrap(spark, df.where(F.col("symbol") == k), "r", ["i"], 200, 365.0), "sharpe").first()
-        width = old["hi"] - old["lo"]
-        assert all(abs(got[k][c] - old[c]) < 0.25 * width for c in ("lo", "median", "hi"))
+        x = np.array([r for s, _, r in rows if s == k and r is not None])
+        old = np.quantile([sharpe_of(resampled(x, rng)) for _ in range(2000)], [0.025, 0.5, 0.975])
+        assert all(abs(got[k][c] - o) < 0.25 * (old[2] - old[0]) for c, o in zip(("lo", "median", "hi"), old))
+    shuffled = inference.bootstrap_by_key(df, "r", ["i"], 50, 365.0, key=["symbol"], permute=True)
+    spread = shuffled.where("symbol = 'a'").agg((F.max("total_return") - F.min("total_return")).alias("d"), F.countDistinct("max_drawdown").alias("n")).first()
+    assert spread["d"] < 1e-9 and spread["n"] > 10
     only = drawn.where("symbol = 'one'").first()
     assert (only["sharpe"], only["max_drawdown"]) == (0.0, 0.0) and abs(only["total_return"] - 0.5) < 1e-12
     assert 0 < drawn.where("symbol = 'b'").agg(F.min("max_drawdown")).first()[0] < 1

@@ -179,3 +179,80 @@ def stop_breaker(events: DataFrame, seconds: float, most: int, *, key: list[str]
         return step
 
     return ordered_scan(events, [at, *(tie or [])], [at, stopped], machine, T.StructType([T.StructField("__k", T.BooleanType())]), key=key).where("__k").drop("__k")
+
+
+def trigger_features(bars: DataFrame, *, day: int, key: list[str], ts: str = "ts") -> DataFrame:
+    """Features of a trigger on every bar, from bars up to it; take the rows of the triggers.
+
+    Returns over several horizons, acceleration, volume surges against the median of the
+    ``day`` bars before, volatility, range, distance to the day's extremes, and the run
+    of falling closes that ends here.
+    """
+    w = ordered(key, ts)
+    back = lambda k: w.rowsBetween(-(k - 1), 0)
+    c = F.col("close")
+    ret = lambda k: F.try_divide(c, F.lag(c, k).over(w)) - 1
+    rn = F.row_number().over(w)
+    base = F.when(rn > day, F.percentile("volume", F.lit(0.5)).over(w.rowsBetween(-day, -1)))
+    d = bars.withColumns({"__base": F.nullif(base, F.lit(0.0)), "__lr": F.when((c > 0) & (F.lag(c).over(w) > 0), F.log(c / F.lag(c).over(w))), "__fall": F.coalesce(c < F.lag(c).over(w), F.lit(False))})
+    d = d.withColumn("__run", F.sum(F.when(F.col("__fall"), 0).otherwise(1)).over(up_to_now(key, ts)))
+    return d.select(
+        *bars.columns, *[ret(k).alias(f"r{k}") for k in (1, 3, 5, 15)], (ret(5) - (F.try_divide(F.lag(c, 5).over(w), F.lag(c, 10).over(w)) - 1)).alias("acceleration"),
+        (F.sum("volume").over(back(15)) / (F.col("__base") * 15)).alias("surge15"), (F.col("volume") / F.col("__base")).alias("surge1"),
+        F.when(F.count("__lr").over(back(60)) > 5, F.stddev_pop("__lr").over(back(60))).alias("volatility"), F.try_divide(F.max("high").over(back(5)) - F.min("low").over(back(5)), c).alias("range5"),
+        (F.try_divide(c, F.max("high").over(back(day + 1))) - 1).alias("from_high"), (F.try_divide(c, F.min("low").over(back(day + 1))) - 1).alias("from_low"),
+        (F.row_number().over(Window.partitionBy(*key, "__run").orderBy(ts)) - 1).alias("falls"),
+    )
+
+
+def price_step_fills(rows: DataFrame, step: float, *, key: list[str], at: str = "idx", price: str = "close") -> DataFrame:
+    """The first row of each key, and each row ``step`` or more under the last one taken."""
+    from pyspark.sql import types as T
+
+    from tidemark.operators.scans import ordered_scan
+
+    def machine():
+        last = [None]
+
+        def take(p):
+            if p is None or (last[0] is not None and p > last[0] * (1 - step)):
+                return (False,)
+            last[0] = p
+            return (True,)
+
+        return take
+
+    return ordered_scan(rows, [at], [price], machine, T.StructType([T.StructField("__k", T.BooleanType())]), key=key).where("__k").drop("__k")
+
+
+def min_gap_fills(rows: DataFrame, gap: float, most: int, *, key: list[str], at: str = "idx") -> DataFrame:
+    """Rows at least ``gap`` after the last one taken, at most ``most`` of a key."""
+    from tidemark.operators.scans import cooldown
+
+    kept = cooldown(rows, at, gap, key=key)
+    return kept.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(at))).where(F.col("__r") <= most).drop("__r")
+
+
+def run_up_fades(events: DataFrame, bars: DataFrame, horizon: int, levels: list[float], hold: int, stop: float, *, key: list[str], event_id: str) -> DataFrame:
+    """(event_id, level, cross_step, retracement, fade): a short sold where the run-up first reaches a level.
+
+    ``retracement`` is the deepest low under the running high until then. The short is
+    bought back ``hold`` bars later, or at the close of the bar whose high is ``stop``
+    above the sale, at a loss of ``stop`` at least; null where the path ends before.
+    """
+    p = forward_path(events.withColumn("__p0", F.col("close")), bars, horizon, key=key, cols=["high", "low", "close"])
+    upto = Window.partitionBy(event_id).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("__top", F.greatest(F.max("f_high").over(upto), F.col("__p0")))
+    p = p.withColumn("__deep", F.least(F.lit(0.0), F.min(F.try_divide(F.col("f_low"), F.col("__top")) - 1).over(upto)))
+    up = F.try_divide(F.col("f_high"), F.col("__p0")) - 1
+    long = p.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+    crossed = long.where(up >= F.col("level")).groupBy(event_id, "level").agg(F.min("step").alias("cross_step"), F.min_by("__deep", "step").alias("retracement"), F.min_by("f_close", "step").alias("__e"))
+    steps = p.select(F.col(event_id).alias("__id"), F.col("step").alias("__s"), F.col("f_close").alias("__c"), F.col("f_high").alias("__h"))
+    after = crossed.join(steps, (F.col(event_id) == F.col("__id")) & (F.col("__s") > F.col("cross_step")) & (F.col("__s") <= F.col("cross_step") + hold), "left")
+    hit = F.try_divide(F.col("__h"), F.col("__e")) - 1 >= stop
+    move = F.try_divide(F.col("__c"), F.col("__e")) - 1
+    g = after.groupBy(event_id, "level", "cross_step", "retracement").agg(
+        F.min_by(move, F.when(hit, F.col("__s"))).alias("__at_stop"), F.max(F.when(F.col("__s") == F.col("cross_step") + hold, move)).alias("__at_end"), F.count(F.when(hit, 1)).alias("__hits")
+    )
+    fade = F.when(F.col("__hits") > 0, F.least(F.lit(-stop), -F.col("__at_stop"))).otherwise(-F.col("__at_end"))
+    return g.select(event_id, "level", "cross_step", "retracement", fade.alias("fade"))

@@ -102,4 +102,5 @@ def overfit_statistics(trials: DataFrame, *, train: str, test: str, trial: str)
         F.first("__n").alias("n"), F.corr("__rt", "__ro").alias("spearman"), F.regr_slope(test, train).alias("slope"), F.regr_intercept(test, train).alias("intercept"),
         (F.avg(F.when(top, (F.col(test) < F.col("__mo")).cast("double"))) * 100).alias("top_below_median_pct"), F.log(omega / (1 - omega)).alias("logit"),
         (F.max(train) - F.max_by(test, F.struct(train, trial))).alias("best_gap"),
+        (F.max_by(test, F.struct(train, trial)) - F.first("__mo")).alias("best_over_median"), (F.max(test) - F.first("__mo")).alias("selection_inflation"),
     )

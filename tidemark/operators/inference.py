@@ -1,23 +1,21 @@
 """Resampling tests and Sharpe inference.
 
-Replicates are rows of ``spark.range``: every task draws its own replicates from a
-seed and the replicate's id, over a broadcast return series of checked length.
+Replicates are rows: draws are hashes of a seed, the replicate and the place, and meet
+the numbered rows by an equi join, so no series passes through the driver or a worker
+whole and results repeat wherever they run.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import kurtosis_unbiased, skew_unbiased
 
 EULER = 0.5772156649015329
-MOST_RETURNS = 5_000_000
 
 
 def _phi(x: float) -> float:
@@ -93,93 +91,68 @@ def haircut(tests: DataFrame, p: str, *, key: list[str]) -> DataFrame:
     return t.withColumns({"p_bonferroni": F.least(one, F.col("__m") * F.col(p)), "p_holm": F.least(one, F.max("__h").over(upto)), "p_bhy": F.least(one, F.min("__y").over(after))}).drop("__m", "__i", "__h", "__y")
 
 
-def _checked(df: DataFrame, cols: list[str], order: list[str]) -> np.ndarray:
-    n = df.count()
-    if n > MOST_RETURNS:
-        raise ValueError(f"{n} returns; a resampling series may hold {MOST_RETURNS}: aggregate to days first")
-    return df.orderBy(*order).select(*cols).toPandas().to_numpy(float)
+def _draw(kind: str, seed: int, *cols: str) -> Column:
+    """A seeded number of 32 bits from a hash of the columns."""
+    name = F.concat_ws(":", F.lit(kind), F.lit(seed), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
 
 
-def block_indices(n: int, block: float, rng: np.random.Generator) -> np.ndarray:
-    """Stationary bootstrap: blocks of geometric length, wrapping round."""
-    new = rng.random(n) < 1 / max(1.0, block)
-    new[0] = True
-    starts = rng.integers(0, n, n)
-    at = np.flatnonzero(new)
-    lead = np.repeat(at, np.diff(np.append(at, n)))
-    return (starts[lead] + np.arange(n) - lead) % n
+def stationary_draws(places: DataFrame, replicates: int, *, key: list[str], at: str, n: str, seed: int = 1, permute: bool = False) -> DataFrame:
+    """(key, replicate, p, at): the rows that each replicate takes, in order.
 
-
-def _measures(r: np.ndarray, ppy: float) -> tuple[float, float, float]:
-    sd = r.std(ddof=1) if len(r) > 1 else 0.0
-    eq = np.cumprod(1 + r)
-    return (float(r.mean() / sd * math.sqrt(ppy)) if sd else 0.0, float(eq[-1] - 1), float((1 - eq / np.maximum.accumulate(np.maximum(eq, 1.0))).max()))
-
-
-def bootstrap(spark: SparkSession, returns: DataFrame, r: str, order: list[str], replicates: int, ppy: float, *, seed: int = 1, permute: bool = False, centre: bool = False) -> DataFrame:
-    """(replicate, sharpe, total_return, max_drawdown) of resampled series."""
-    x = _checked(returns.where(F.col(r).isNotNull()), [r], order)[:, 0]
-    if centre:
-        x = x - x.mean()
-    data = spark.sparkContext.broadcast(x)
-    block = max(1.0, len(x) ** (1 / 3))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                own = rng.permutation(data.value) if permute else data.value[block_indices(len(data.value), block, rng)]
-                rows.append((int(i), *_measures(own, ppy)))
-            yield pd.DataFrame(rows, columns=["replicate", "sharpe", "total_return", "max_drawdown"])
-
-    return spark.range(replicates).mapInPandas(run, "replicate long, sharpe double, total_return double, max_drawdown double")
+    ``places`` holds the places 0 .. n - 1 of each key. Blocks of geometric length with
+    mean n^(1/3) start at random places and wrap round (stationary bootstrap); with
+    ``permute`` every place is taken once, in random order. All draws are hashes of
+    (seed, key, replicate, place), made where the rows are.
+    """
+    d = places.select(*key, F.col(n).alias("__n"), F.col(at).alias("p")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    w = Window.partitionBy(*key, "replicate")
+    if permute:
+        order = w.orderBy(_draw("p", seed, *key, "replicate", "p"), "p")
+        return d.withColumn("at", (F.row_number().over(order) - 1).cast("long")).select(*key, "replicate", "p", "at")
+    fresh = (F.col("p") == 0) | (_draw("b", seed, *key, "replicate", "p") / 4294967296.0 < 1 / F.greatest(F.lit(1.0), F.pow(F.col("__n"), F.lit(1 / 3))))
+    start = F.when(fresh, F.struct(F.col("p").alias("p"), (_draw("s", seed, *key, "replicate", "p") % F.col("__n")).alias("s")))
+    last = F.last(start, ignorenulls=True).over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("__b", last)
+    return d.select(*key, "replicate", "p", ((F.col("__b.s") + F.col("p") - F.col("__b.p")) % F.col("__n")).alias("at"))
+
+
+def _numbered(rows: DataFrame, order: list[str], key: list[str]) -> DataFrame:
+    """``rows`` with __at, 0, 1, ... in order, and __n per key."""
+    w = Window.partitionBy(*key)
+    return rows.withColumns({"__at": F.row_number().over(w.orderBy(*order)).cast("long") - 1, "__n": F.count(F.lit(1)).over(w)})
 
 
-def bootstrap_by_key(returns: DataFrame, r: str, order: list[str], replicates: int, ppy: float, *, key: list[str], seed: int = 1) -> DataFrame:
-    """(key, replicate, sharpe, total_return, max_drawdown) of every key's series, resampled on Spark.
+def bootstrap_by_key(
+    returns: DataFrame, r: str, order: list[str], replicates: int, ppy: float, *, key: list[str], seed: int = 1, permute: bool = False, centre: bool = False
+) -> DataFrame:
+    """(key, replicate, sharpe, sortino, total_return, max_drawdown) of every key's series, resampled on Spark.
 
-    Tasks draw the blocks of a (key, replicate), not its rows; blocks meet the numbered
-    rows by index, so no series is collected or broadcast and none is too long.
+    ``permute`` shuffles instead (the permutation null: only path measures move);
+    ``centre`` takes the mean off first, for a null of no skill. Null keys are kept apart.
     """
-    spark, names = returns.sparkSession, [f"__k{i}" for i in range(len(key))]
-    rows = returns.where(F.col(r).isNotNull()).withColumn("__at", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long") - 1)
-    rows = rows.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("__at").alias("__row"), F.col(r).cast("double").alias("__x"))
-    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).withColumn("__h", F.pmod(F.xxhash64(*names), F.lit(1 << 31)))
-    asked = counts.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *names, "replicate")
-    kept = [*names, "replicate", "n"]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for i in range(len(pdf)):
-                n = int(pdf["n"].iloc[i])
-                rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[i]), int(pdf["__h"].iloc[i])])
-                share, lengths, left = 1 / max(1.0, n ** (1 / 3)), [], n
-                while left > 0:
-                    got = rng.geometric(share, max(16, int(left * share)))
-                    lengths.append(got)
-                    left -= int(got.sum())
-                length = np.concatenate(lengths)
-                first = np.cumsum(length) - length
-                length, first = length[first < n], first[first < n]
-                length = np.minimum(length, n - first)
-                out = pdf[kept].iloc[np.full(len(first), i)].reset_index(drop=True)
-                yield out.assign(first=first, start=rng.integers(0, n, len(first)), length=length)
-
-    schema = ", ".join(f"`{c}` {dict(asked.dtypes)[c]}" for c in kept) + ", first long, start long, length long"
-    blocks = asked.mapInPandas(run, schema).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
-    picked = blocks.select(*[F.col(c).alias(f"__b{c}") for c in names], "replicate", (F.col("first") + F.col("__i")).alias("__p"), F.pmod(F.col("start") + F.col("__i"), F.col("n")).alias("__at"))
-    same = F.col("__at") == F.col("__row")
-    for c in names:
-        same &= F.col(c).eqNullSafe(F.col(f"__b{c}"))
-    drawn = picked.hint("merge").join(rows, same).select(*names, "replicate", "__p", "__x")
-    upto = Window.partitionBy(*names, "replicate").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"__k{i}" for i in range(len(key))]
+    rows = _numbered(returns.where(F.col(r).isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(c) for k, c in zip(key, names)], *order, F.col(r).cast("double").alias("__x"), *[F.col(k).alias(f"__v{i}") for i, k in enumerate(key)]), order, names)
+    if centre:
+        rows = rows.withColumn("__x", F.col("__x") - F.avg("__x").over(Window.partitionBy(*names)))
+    draws = stationary_draws(rows, replicates, key=names, at="__at", n="__n", seed=seed, permute=permute)
+    drawn = draws.join(rows.select(*names, F.col("__at").alias("at"), "__x", *[f"__v{i}" for i in range(len(key))]), [*names, "at"])
+    upto = Window.partitionBy(*names, "replicate").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.withColumn("__e", F.product(1 + F.col("__x")).over(upto))
     drawn = drawn.withColumn("__d", 1 - F.col("__e") / F.greatest(F.lit(1.0), F.max("__e").over(upto)))
-    sd = F.stddev_samp("__x")
-    sharpe = F.when(sd > 0, F.avg("__x") / sd * math.sqrt(ppy)).otherwise(0.0)
-    out = drawn.groupBy(*names, "replicate").agg(sharpe.alias("sharpe"), (F.product(1 + F.col("__x")) - 1).alias("total_return"), F.max("__d").alias("max_drawdown"))
-    return out.withColumnsRenamed(dict(zip(names, key)))
+    x = F.col("__x")
+    sd, down = F.stddev_samp(x), F.stddev_samp(F.when(x < 0, x))
+    out = drawn.groupBy(*names, "replicate").agg(
+        F.when(sd > 0, F.avg(x) / sd * math.sqrt(ppy)).otherwise(0.0).alias("sharpe"), F.when(down > 0, F.avg(x) / down * math.sqrt(ppy)).alias("sortino"), (F.product(1 + x) - 1).alias("total_return"), F.max("__d").alias("max_drawdown"),
+        *[F.first(f"__v{i}").alias(k) for i, k in enumerate(key)],
+    )
+    return out.select(*key, "replicate", "sharpe", "sortino", "total_return", "max_drawdown")
+
+
+def null_p_value(replicates: DataFrame, x: str, observed: DataFrame, *, key: list[str]) -> DataFrame:
+    """(key, observed, p): (1 + replicates at or above the observed value) / (1 + replicates)."""
+    j = replicates.join(observed.select(*key, F.col(x).alias("__o")), key)
+    return j.groupBy(*key).agg(F.first("__o").alias("observed"), ((F.count(F.when(F.col(x) >= F.col("__o"), 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
 def interval(replicates: DataFrame, x: str, level: float = 0.95, key: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -187,64 +160,51 @@ def interval(replicates: DataFrame, x: str, level: float = 0.95, key: tuple[str,
     return replicates.groupBy(*key).agg(F.percentile(x, F.lit(a)).alias("lo"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(1 - a)).alias("hi"), F.count(x).alias("n"))
 
 
-def reality_check(spark: SparkSession, returns: DataFrame, names: list[str], order: list[str], replicates: int, *, seed: int = 1) -> DataFrame:
+def reality_check(returns: DataFrame, strategy: str, r: str, ts: str, replicates: int, *, seed: int = 1) -> DataFrame:
     """White, Hansen (three centrings) and step-down p-values from joint resamples.
 
-    ``returns`` is wide: one column per strategy, rows complete. (strategy, mean, t,
-    p_reality, p_spa_lower, p_spa, p_spa_upper, p_step).
+    ``returns`` is long: (strategy, ts, r); times that miss a strategy are left out.
+    Replicates draw times, so strategies keep their dependence. p-values are
+    (k + 1) / (replicates + 1). (strategy, mean, t, p_reality, p_spa_lower, p_spa,
+    p_spa_upper, p_step).
     """
-    x = _checked(returns.dropna(subset=names), names, order)
-    n, m = x.shape
-    mean = x.mean(0)
-    data = spark.sparkContext.broadcast(x)
-    block = max(1.0, n ** (1 / 3))
-    schema = "replicate long, " + ", ".join(f"d{i} double" for i in range(m))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for i in pdf["id"]:
-                at = block_indices(n, block, np.random.default_rng([seed, int(i)]))
-                rows.append((int(i), *(math.sqrt(n) * (data.value[at].mean(0) - mean))))
-            yield pd.DataFrame(rows, columns=["replicate", *[f"d{j}" for j in range(m)]])
-
-    draws = spark.range(replicates).mapInPandas(run, schema)
-    sd = draws.agg(*[F.stddev_pop(f"d{j}").alias(f"s{j}") for j in range(m)]).first()
-    s = np.maximum(np.array([sd[f"s{j}"] for j in range(m)]), 1e-12)
-    root = math.sqrt(n)
-    t = root * mean / s
-    bound = -np.sqrt(2 * np.log(np.log(max(n, 16))))
-    shift = {"lower": np.minimum(root * mean / s, 0) , "": np.where(t <= bound, t, 0.0), "upper": np.zeros(m)}
-    best = F.greatest(*[F.col(f"d{j}") for j in range(m)]) if m > 1 else F.col("d0")
-    exceed = {"p_reality": F.avg((best >= float(root * mean.max())).cast("double"))}
-    for k, mu in shift.items():
-        z = [F.col(f"d{j}") / float(s[j]) + float(mu[j]) for j in range(m)] + [F.lit(0.0)]
-        exceed[f"p_spa_{k}".rstrip("_")] = F.avg((F.greatest(*z) >= float(max(t.max(), 0.0))).cast("double"))
-    order_t = np.argsort(-t, kind="stable")
-    for rank, j in enumerate(order_t):
-        z = [F.col(f"d{i}") / float(s[i]) for i in order_t[rank:]]
-        exceed[f"step{j}"] = F.avg(((F.greatest(*z) if len(z) > 1 else z[0]) >= float(t[j])).cast("double"))
-    got = draws.agg(*[c.alias(k) for k, c in exceed.items()]).first()
-    step, worst = {}, 0.0
-    for j in order_t:
-        worst = max(worst, got[f"step{j}"])
-        step[j] = worst
-    rows = [(names[j], float(mean[j]), float(t[j]), got["p_reality"], got["p_spa_lower"], got["p_spa"], got["p_spa_upper"], float(step[j])) for j in range(m)]
-    return spark.createDataFrame(rows, "strategy string, mean double, t double, p_reality double, p_spa_lower double, p_spa double, p_spa_upper double, p_step double")
-
-
-def cluster_bootstrap(spark: SparkSession, groups: DataFrame, replicates: int, *, seed: int = 1) -> DataFrame:
-    """(replicate, mean) resampling whole groups by their sums ``s`` and counts ``n``."""
-    x = _checked(groups, ["s", "n"], ["s", "n"])
-    data = spark.sparkContext.broadcast(x)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                own = data.value[rng.integers(0, len(data.value), len(data.value))]
-                rows.append((int(i), float(own[:, 0].sum() / own[:, 1].sum())))
-            yield pd.DataFrame(rows, columns=["replicate", "mean"])
-
-    return spark.range(replicates).mapInPandas(run, "replicate long, mean double")
+    x = returns.where(F.col(r).isNotNull()).groupBy(F.col(ts).alias("__ts"), F.col(strategy).alias("strategy")).agg(F.first(r).cast("double").alias("x"))
+    m = x.select("strategy").distinct().count()
+    times = x.groupBy("__ts").agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") == m).select("__ts")
+    times = _numbered(times, ["__ts"], [])  # one narrow row a time
+    rows = x.join(times, "__ts")
+    means = rows.groupBy("strategy").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    draws = stationary_draws(times, replicates, key=[], at="__at", n="__n", seed=seed)
+    drawn = draws.join(rows.select(F.col("__at").alias("at"), "strategy", "x"), "at").groupBy("strategy", "replicate").agg(F.avg("x").alias("y"))
+    d = drawn.join(means, "strategy").withColumn("d", F.sqrt("n") * (F.col("y") - F.col("mean")))
+    sds = d.groupBy("strategy").agg(F.greatest(F.lit(1e-12), F.stddev_pop("d")).alias("s"))
+    one = means.join(sds, "strategy").withColumns({"v": F.sqrt("n") * F.col("mean"), "t": F.sqrt("n") * F.col("mean") / F.col("s")})
+    bound = -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(16)))))
+    one = one.withColumns({
+        "shift_lower": F.least("t", F.lit(0.0)), "shift": F.when(F.col("t") <= bound, F.col("t")).otherwise(0.0),
+        "rank": F.row_number().over(Window.orderBy(F.col("t").desc(), "strategy")),  # one row a strategy
+    })
+    z = d.select("strategy", "replicate", "d").join(one, "strategy").withColumn("z", F.col("d") / F.col("s"))
+    zero = F.lit(0.0)
+    best = z.groupBy("replicate").agg(
+        F.max("d").alias("b"), F.greatest(zero, F.max(F.col("z") + F.col("shift_lower"))).alias("b_lower"), F.greatest(zero, F.max(F.col("z") + F.col("shift"))).alias("b_mid"), F.greatest(zero, F.max("z")).alias("b_upper"), F.max("v").alias("v"),
+        F.greatest(zero, F.max("t")).alias("t_best"),
+    )
+    p = lambda hit: (F.count(F.when(hit, 1)) + 1) / (F.count(F.lit(1)) + 1)
+    joint = best.agg(
+        p(F.col("b") >= F.col("v")).alias("p_reality"), p(F.col("b_lower") >= F.col("t_best")).alias("p_spa_lower"), p(F.col("b_mid") >= F.col("t_best")).alias("p_spa"), p(F.col("b_upper") >= F.col("t_best")).alias("p_spa_upper")
+    )
+    rest = Window.partitionBy("replicate").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    step = z.withColumn("__b", F.max("z").over(rest)).groupBy("strategy", "rank").agg(p(F.col("__b") >= F.col("t")).alias("__p"))
+    step = step.withColumn("p_step", F.max("__p").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    out = one.select("strategy", "mean", "t").join(step.select("strategy", "p_step"), "strategy").join(F.broadcast(joint))
+    return out.select("strategy", "mean", "t", "p_reality", "p_spa_lower", "p_spa", "p_spa_upper", "p_step")
+
+
+def cluster_bootstrap(groups: DataFrame, replicates: int, *, order: list[str], seed: int = 1) -> DataFrame:
+    """(replicate, mean) resampling whole groups by their sums ``s`` and counts ``n``; one narrow row a group."""
+    rows = _numbered(groups.select(*order, "s", F.col("n").alias("c")), order, [])
+    d = rows.select(F.col("__at").alias("p"), "__n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    d = d.withColumn("at", _draw("c", seed, "replicate", "p") % F.col("__n"))
+    j = d.join(rows.select(F.col("__at").alias("at"), "s", "c"), "at")
+    return j.groupBy("replicate").agg((F.sum("s") / F.sum("c")).alias("mean"))

@@ -19,7 +19,7 @@ def zones(swings: DataFrame, every: int, life: int, tol: float, least: int, *, k
     s = swings.where("is_high OR is_low").select(*key, F.col("confirmed_idx").cast("long").alias("c"), F.explode(F.filter(F.array(F.when(F.col("is_high"), F.col("high")), F.when(F.col("is_low"), F.col("low"))), lambda x: x.isNotNull())).alias("price"))
     first = F.ceil(F.col("c") / every).cast("long")
     last = F.floor((F.col("c") + life - 1) / every).cast("long")
-    dealt = s.where(last >= first).withColumn("at", F.explode(F.sequence(first, last)) * every)
+    dealt = s.where(last >= first).withColumn("at", F.explode(F.sequence(first, last))).withColumn("at", F.col("at") * every)
     w = Window.partitionBy(*key, "at").orderBy("price", "c")
     gap = F.try_divide(F.col("price"), F.lag("price").over(w)) - 1
     dealt = dealt.withColumn("__n", F.when(gap <= tol, 0).otherwise(1)).withColumn("__z", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))

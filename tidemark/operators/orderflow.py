@@ -107,6 +107,13 @@ def heat_grid(books: DataFrame, levels: str, seconds: int, tick: float, *, key:
     return x.groupBy(*key, "t", (F.floor(F.col("l.px") / tick) * tick).alias("px")).agg(F.avg("l.sz").alias("size"))
 
 
+def force_and_barrier(grid: DataFrame, wall: str, bought: str, k: int, seconds: int, *, key: list[str], ts: str = "ts") -> DataFrame:
+    """Rate of buying over the last ``k`` steps and the seconds it needs to eat the wall."""
+    w = ordered(key, ts).rowsBetween(-(k - 1), 0)
+    rate = F.when(F.count(F.lit(1)).over(w) == k, F.sum(F.coalesce(F.col(bought), F.lit(0.0))).over(w) / (k * seconds))
+    return grid.withColumn("buy_rate", rate).withColumn("seconds_to_eat", F.col(wall) / F.nullif(F.col("buy_rate"), F.lit(0.0)))
+
+
 def feed_statistics(rows: DataFrame, *, key: list[str], ts: str = "ts") -> DataFrame:
     """Coverage, gaps and rate of a feed."""
     from pyspark.sql import Window

@@ -46,11 +46,43 @@ def half_life(df: DataFrame, x: str, *, key: list[str], ts: str = "ts") -> DataF
 def shuffled_panel(prices: DataFrame, r: str, seed: int, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
     """Each key's returns in a seeded order on its own times: marginals stay, links go."""
     at = prices.where(F.col(r).isNotNull()).withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(ts)))
-    mixed = at.select(key, F.col(r).alias("shuffled"), F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, ts))).alias("__i"))
+    mixed = at.select(key, F.col(r).alias("shuffled"), F.row_number().over(Window.partitionBy(key).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.unix_timestamp(ts), key)), ts)).alias("__i"))
     out = at.select(key, ts, "__i").join(mixed, [key, "__i"]).drop("__i")
     return out.withColumn("lp", F.sum("shuffled").over(Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def trailing_refit(pairs: DataFrame, days: int, *, ts: str = "ts", least: int = 20) -> DataFrame:
+    """Residual and z of each day's rows under the regression of the ``days`` days before it.
+
+    A row enters the fits of the ``days`` days after its own, so refits are one grouping;
+    days with under ``least`` rows before them have no fit.
+    """
+    day = F.floor(F.unix_timestamp(ts) / 86_400)
+    dealt = pairs.withColumn("__d", F.explode(F.sequence(day + 1, day + days)))
+    fits = regress(dealt, ["__d"]).where(F.col("n") >= least).select("a", "b", "__d", "alpha", "beta", "resid_sd")
+    rows = pairs.withColumn("__d", day).join(fits, ["a", "b", "__d"])
+    resid = F.col("va") - F.col("alpha") - F.col("beta") * F.col("vb")
+    return rows.withColumn("resid", resid).withColumn("z", resid / F.nullif(F.col("resid_sd"), F.lit(0.0))).drop("__d")
+
+
+def funding_index(bars: DataFrame, funding: DataFrame, *, key: str = "symbol", ts: str = "ts", rate: str = "rate") -> DataFrame:
+    """``bars`` with ``funding_paid``: what a long position has paid by each bar."""
+    from tidemark.operators.joins import asof_join
+
+    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    paid = funding.withColumn("funding_paid", F.sum(rate).over(w))
+    return asof_join(bars, paid.select(key, ts, "funding_paid"), ["funding_paid"], key=[key], ts=ts).withColumn("funding_paid", F.coalesce("funding_paid", F.lit(0.0)))
+
+
+def weighted_spread(prices: DataFrame, weights: dict[str, float], x: Column, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """(ts, spread): sum of weight times ``x`` over the legs, at times that have all of them."""
+    w = F.lit(0.0)
+    for leg, v in weights.items():
+        w = F.when(F.col(key) == leg, float(v)).otherwise(w)
+    g = prices.where(F.col(key).isin(*weights)).groupBy(ts).agg(F.count(x).alias("__n"), F.sum(w * x).alias("spread"))
+    return g.where(F.col("__n") == len(weights)).drop("__n")
+
+
 def null_cutoff(shuffled_stats: DataFrame, q: float) -> DataFrame:
     """The q-quantile of a statistic under the shuffled panel."""
     return shuffled_stats.agg(F.percentile("t", F.lit(q)).alias("cutoff"))

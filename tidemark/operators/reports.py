@@ -77,7 +77,7 @@ def drift_verdict(forward: DataFrame, r: str, lo: float, hi: float, ppy: float,
     rolled = rolling(F.avg, c, w, window) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0)) * math.sqrt(ppy)
     d = d.withColumn("__low", rolled < lo).withColumn("__eq", running_product(c, key, ts))
     d = d.withColumn("__dd", 1 - F.col("__eq") / F.greatest(F.lit(1.0), F.max("__eq").over(up_to_now(key, ts))))
-    d = d.withColumn("__i", F.when(F.col("__low").isNotNull(), F.row_number().over(ordered(key, ts))))
+    d = d.withColumn("__i", F.when(F.col("__low").isNotNull(), F.count("__low").over(up_to_now(key, ts))))
     g = d.groupBy(*key).agg(
         F.count(c).alias("n"), sharpe(c, ppy).alias("sharpe"), (F.product(1 + c) - 1).alias("total_return"), F.max("__dd").alias("max_drawdown"), F.stddev_samp(c).alias("volatility"),
         F.coalesce(F.max("__i") - F.coalesce(F.max(F.when(~F.col("__low"), F.col("__i"))), F.min(F.when(F.col("__low"), F.col("__i"))) - 1), F.lit(0)).alias("__streak"),

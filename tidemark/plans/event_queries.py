@@ -169,18 +169,30 @@ def leave_one_out(spark, sf):
     return d.select("symbol", "n", *[F.round(c, 4).alias(c) for c in ("mean_without", "share", "cluster_t")])
 
 
-@query("pair_trades", None)
+_PT = PAIR + """, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY t) AS rn FROM rs),
+ pt AS (SELECT DISTINCT a, b, 0::BIGINT AS t, 0::BIGINT AS rn, 0 AS side, 0::BIGINT AS held, 0.0::DOUBLE AS x0, 0::BIGINT AS trade, NULL::DOUBLE AS pnl, 0::BIGINT AS out_held FROM n
+  UNION ALL SELECT n.a, n.b, n.t, n.rn,
+   CASE WHEN k.side <> 0 THEN CASE WHEN n.z IS NOT NULL AND (abs(n.z) <= 0.5 OR abs(n.z) >= 4 OR k.held + 1 >= 48 OR n.z * k.side > 0) THEN 0 ELSE k.side END WHEN abs(n.z) >= 2 AND abs(n.z) < 4 THEN CASE WHEN n.z > 0 THEN -1 ELSE 1 END ELSE 0 END,
+   CASE WHEN k.side <> 0 THEN k.held + 1 ELSE 0 END, CASE WHEN k.side = 0 THEN n.resid ELSE k.x0 END, CASE WHEN k.side = 0 AND abs(n.z) >= 2 AND abs(n.z) < 4 THEN k.trade + 1 ELSE k.trade END,
+   CASE WHEN k.side <> 0 AND n.z IS NOT NULL AND (abs(n.z) <= 0.5 OR abs(n.z) >= 4 OR k.held + 1 >= 48 OR n.z * k.side > 0) THEN (n.resid - k.x0) * k.side END, k.held + 1
+  FROM pt k JOIN n ON n.a = k.a AND n.b = k.b AND n.rn = k.rn + 1)"""
+
+
+@query("pair_trades", out(_PT, "a b t trade held", "resid z pnl", "SELECT pt.a, pt.b, pt.t, n.resid, n.z, trade, pnl, out_held AS held FROM pt JOIN n ON n.a = pt.a AND n.b = pt.b AND n.rn = pt.rn WHERE pnl IS NOT NULL"))
 def pair_trades(spark, sf):
     return pairs.pair_trades(residuals(spark, sf).select("a", "b", "ts", "resid", "z"), "z", 2.0, 0.5, 4.0, 48, key=["a", "b"])
 
 
-@query("shuffled_panel_cutoff", None)
+_SHUFFLED = RETS + ", sx AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM rets WHERE r IS NOT NULL), sy AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws(':', 7, t, symbol)), t) AS i FROM rets WHERE r IS NOT NULL), sp AS (SELECT sx.symbol, sx.t, sum(sy.r) OVER (PARTITION BY sx.symbol ORDER BY sx.t) AS lp FROM sx JOIN sy ON sy.symbol = sx.symbol AND sy.i = sx.i), pp AS (SELECT x.symbol AS a, y.symbol AS b, x.t, x.lp AS va, y.lp AS vb FROM sp x JOIN sp y ON x.t = y.t AND x.symbol < y.symbol), ft AS (SELECT a, b, regr_slope(va, vb) AS beta, regr_intercept(va, vb) AS alpha FROM pp GROUP BY 1, 2), rs AS (SELECT a, b, t, va - alpha - beta * vb AS resid FROM pp JOIN ft USING (a, b)), dl AS (SELECT a, b, resid - lag(resid) OVER k AS d, lag(resid) OVER k AS l FROM rs WINDOW k AS (PARTITION BY a, b ORDER BY t)), sm AS (SELECT a, b, count(*) AS n, sum(l * l) AS sxx, sum(l * d) AS sxy, sum(d * d) AS syy FROM dl WHERE l IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("shuffled_panel_cutoff", out(_SHUFFLED, "", "cutoff", "SELECT quantile_cont(sxy / sxx / sqrt((syy - sxy / sxx * sxy) / (n - 1) / sxx), 0.05) AS cutoff FROM sm", 4))
 def shuffled_panel_cutoff(spark, sf):
     """Five-per-cent cutoff of the pair statistic when links between symbols are cut."""
     p = pairs.shuffled_panel(with_returns(spark, sf), "r", 7)
     q = joins.symbol_pairs(p, "lp")
     r = pairs.residuals(q, pairs.regress(q, []), on=["a", "b"]).withColumnsRenamed({"a": "pa", "b": "pb"})
-    return pairs.null_cutoff(pairs.dickey_fuller(r, "resid", key=["pa", "pb"]), 0.05)
+    return pairs.null_cutoff(pairs.dickey_fuller(r, "resid", key=["pa", "pb"]), 0.05).select(F.round("cutoff", 4).alias("cutoff"))
 
 
 SIDE = TICKS + ", tr AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN amount ELSE -amount END AS sv FROM ticks)"

@@ -171,36 +171,108 @@ def adjusted_p_values(spark, sf):
     return inference.haircut(c, "p", key=["nation"]).select("id", "p", "p_bonferroni", "p_holm", "p_bhy")
 
 
-@query("overfit_statistics", None)
+_OVERFIT = f"""c AS (SELECT symbol || '-' || (t // 3600 % 24) AS trial, {{train}} AS train, {{test}} AS test FROM (SELECT *, CASE WHEN t < epoch(TIMESTAMP '2024-01-20') THEN r END AS a, CASE WHEN t >= epoch(TIMESTAMP '2024-01-20') THEN r END AS b FROM rets) GROUP BY 1),
+ k AS (SELECT *, row_number() OVER (ORDER BY train, trial) AS rt, row_number() OVER (ORDER BY test, trial) AS ro FROM c), h AS (SELECT quantile_cont(train, 0.5) AS mt, quantile_cont(test, 0.5) AS mo, count(*) AS n FROM k),
+ o AS (SELECT last(ro ORDER BY rt) / (max(n) + 1) AS omega, max(n) AS n, corr(rt, ro) AS spearman, regr_slope(test, train) AS slope, regr_intercept(test, train) AS intercept, avg(CASE WHEN train >= mt THEN (test < mo)::INT END) * 100 AS top_below_median_pct, max(train) - last(test ORDER BY train, trial) AS best_gap, last(test ORDER BY train, trial) - max(mo) AS best_over_median, max(test) - max(mo) AS selection_inflation FROM k CROSS JOIN h)""".format(
+    train=SHARPE.replace("(r)", "(a)"), test=SHARPE.replace("(r)", "(b)")
+)
+
+
+@query("overfit_statistics", out(RETS + ", " + _OVERFIT, "n", "spearman slope intercept top_below_median_pct logit best_gap best_over_median selection_inflation", "SELECT *, ln(omega / (1 - omega)) AS logit FROM o", 4))
 def overfit_statistics(spark, sf):
     r = with_returns(spark, sf).withColumn("trial", F.concat_ws("-", "symbol", F.hour("ts").cast("string")))
     c = r.groupBy("trial").agg(metrics.sharpe(F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp"), F.col("r")), HOUR_PPY).alias("train"), metrics.sharpe(F.when(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"), F.col("r")), HOUR_PPY).alias("test"))
-    return folds.overfit_statistics(c, train="train", test="test", trial="trial")
+    d = folds.overfit_statistics(c, train="train", test="test", trial="trial")
+    return d.select("n", *[F.round(c, 4).alias(c) for c in d.columns if c != "n"])
+
 
+def phi(z: str) -> str:
+    """Standard normal distribution function, by Simpson's rule."""
+    return f"(0.5 + ({z}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow(i * ({z}) / 400.0, 2)))))"
 
-@query("probabilistic_sharpe", None)
+
+@query("probabilistic_sharpe", out(RETS + ", mo AS (SELECT symbol, count(r) AS n, avg(r) / nullif(stddev_samp(r), 0) AS sr, skewness(r) AS skew, kurtosis(r) AS kurt FROM rets GROUP BY 1), z AS (SELECT symbol, n, sr, sr * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt + 2) / 4 * pow(sr, 2))) AS z FROM mo)", "symbol n", "sr z psr", f"SELECT *, {phi('z')} AS psr FROM z"))
 def probabilistic_sharpe(spark, sf):
     return inference.probabilistic_sharpe(with_returns(spark, sf), "r", key=KEY)
 
 
-@query("bootstrap_interval", None)
-def bootstrap_interval(spark, sf):
-    """Interval of every symbol's daily Sharpe ratio under the stationary bootstrap."""
-    return inference.interval(inference.bootstrap_by_key(daily(spark, sf), "ret", ["ts"], 500, 365.0, key=KEY), "sharpe", key=KEY)
+def _h(kind: str, *cols: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '{kind}', 1, {', '.join(cols)})), 1, 8))::BIGINT"
 
 
-@query("reality_check", None)
+def draws_sql(keys: list[str], replicates: int, source: str, permute: bool = False) -> str:
+    """CTEs up to pk (keys, rep, p, at_) over ``source`` (keys, p, n)."""
+    k = "".join(f"{x}, " for x in keys)
+    dr = f"dr AS (SELECT {k}n, p, k AS rep FROM {source} CROSS JOIN range({replicates}) r(k))"
+    if permute:
+        return dr + f", pk AS (SELECT {k}rep, p, row_number() OVER (PARTITION BY {k}rep ORDER BY {_h('p', *keys, 'rep', 'p')}, p) - 1 AS at_ FROM dr)"
+    return (
+        dr + f", st AS (SELECT *, p = 0 OR {_h('b', *keys, 'rep', 'p')} / 4294967296.0::DOUBLE < 1 / greatest(1.0, pow(n, {1 / 3!r}::DOUBLE)) AS fresh, {_h('s', *keys, 'rep', 'p')} % n AS s FROM dr), "
+        f"bl AS (SELECT *, last_value(CASE WHEN fresh THEN p END IGNORE NULLS) OVER w AS bp, last_value(CASE WHEN fresh THEN s END IGNORE NULLS) OVER w AS bs FROM st WINDOW w AS (PARTITION BY {k}rep ORDER BY p)), pk AS (SELECT {k}rep, p, (bs + p - bp) % n AS at_ FROM bl)"
+    )
+
+
+def replicates_sql(x: str, replicates: int, permute: bool = False) -> str:
+    """CTEs up to rp (symbol, rep, sharpe, sortino, total_return, max_drawdown) over DAILY."""
+    return (
+        DAILY + f", nb AS (SELECT symbol, {x} AS x, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM day), " + draws_sql(["symbol"], replicates, "nb", permute)
+        + ", dn AS (SELECT pk.*, nb.x FROM pk JOIN nb ON nb.symbol = pk.symbol AND nb.p = at_), pe AS (SELECT *, product(1 + x) OVER (PARTITION BY symbol, rep ORDER BY p ROWS UNBOUNDED PRECEDING) AS e FROM dn), "
+        "pd AS (SELECT *, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY symbol, rep ORDER BY p)) AS dd FROM pe), "
+        "rp AS (SELECT symbol, rep, CASE WHEN stddev_samp(x) > 0 THEN avg(x) / stddev_samp(x) * sqrt(365) ELSE 0 END AS sharpe, CASE WHEN stddev_samp(x) FILTER (x < 0) > 0 THEN avg(x) / (stddev_samp(x) FILTER (x < 0)) * sqrt(365) END AS sortino, product(1 + x) - 1 AS total_return, max(dd) AS max_drawdown FROM pd GROUP BY 1, 2)"
+    )
+
+
+@query("bootstrap_interval", out(replicates_sql("ret", 500), "symbol n", "lo median hi", "SELECT symbol, quantile_cont(sharpe, 0.025) AS lo, quantile_cont(sharpe, 0.5) AS median, quantile_cont(sharpe, 0.975) AS hi, count(sharpe) AS n FROM rp GROUP BY 1", 4))
+def bootstrap_interval(spark, sf):
+    """Interval of every symbol's daily Sharpe ratio under the stationary bootstrap."""
+    d = inference.interval(inference.bootstrap_by_key(daily(spark, sf), "ret", ["ts"], 500, 365.0, key=KEY), "sharpe", key=KEY)
+    return d.select("symbol", "n", *[F.round(c, 4).alias(c) for c in ("lo", "median", "hi")])
+
+
+@query("bootstrap_null", out(replicates_sql("ret - avg(ret) OVER (PARTITION BY symbol)", 300) + ", ob AS (SELECT symbol, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END AS o FROM day GROUP BY 1)", "symbol", "observed p", "SELECT rp.symbol, max(o) AS observed, (count(*) FILTER (sharpe >= o) + 1) / (count(*) + 1) AS p FROM rp JOIN ob USING (symbol) GROUP BY 1", 4))
+def bootstrap_null(spark, sf):
+    """p-value of every symbol's daily Sharpe ratio against resamples without a mean."""
+    d = daily(spark, sf)
+    drawn = inference.bootstrap_by_key(d, "ret", ["ts"], 300, 365.0, key=KEY, centre=True)
+    sd = F.stddev_samp("ret")
+    seen = d.groupBy("symbol").agg(F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(365.0))).otherwise(0.0).alias("sharpe"))
+    got = inference.null_p_value(drawn, "sharpe", seen, key=KEY)
+    return got.select("symbol", F.round("observed", 4).alias("observed"), F.round("p", 4).alias("p"))
+
+
+@query("permutation_null", out(replicates_sql("ret", 200, True), "symbol n", "return_from return_to drawdown_lo drawdown_median drawdown_hi", "SELECT symbol, count(*) AS n, min(total_return) AS return_from, max(total_return) AS return_to, quantile_cont(max_drawdown, 0.05) AS drawdown_lo, quantile_cont(max_drawdown, 0.5) AS drawdown_median, quantile_cont(max_drawdown, 0.95) AS drawdown_hi FROM rp GROUP BY 1", 5))
+def permutation_null(spark, sf):
+    """Drawdowns of shuffled days; the total return cannot move."""
+    g = inference.bootstrap_by_key(daily(spark, sf), "ret", ["ts"], 200, 365.0, key=KEY, permute=True).groupBy("symbol")
+    q = lambda p: F.round(F.percentile("max_drawdown", F.lit(p)), 5)
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("total_return"), 5).alias("return_from"), F.round(F.max("total_return"), 5).alias("return_to"), q(0.05).alias("drawdown_lo"), q(0.5).alias("drawdown_median"), q(0.95).alias("drawdown_hi"))
+
+
+_P = "(count(*) FILTER ({hit}) + 1) / (count(*) + 1)"
+_REALITY = (
+    DAILY + ", xx AS (SELECT symbol AS strategy, t, ret AS x FROM day), nb AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p, count(*) OVER () AS n FROM (SELECT t FROM xx GROUP BY t HAVING count(*) = (SELECT count(DISTINCT strategy) FROM xx))), "
+    + draws_sql([], 300, "nb") + ", rw AS (SELECT xx.*, nb.p FROM xx JOIN nb USING (t)), mn AS (SELECT strategy, avg(x) AS mean, count(*) AS n FROM rw GROUP BY 1), "
+    "yy AS (SELECT strategy, rep, avg(x) AS y FROM pk JOIN rw ON rw.p = at_ GROUP BY 1, 2), dd AS (SELECT yy.*, sqrt(n) * (y - mean) AS d FROM yy JOIN mn USING (strategy)), sd AS (SELECT strategy, greatest(1e-12, stddev_pop(d)) AS s FROM dd GROUP BY 1), "
+    "o1 AS (SELECT strategy, mean, n, sqrt(n) * mean AS v, sqrt(n) * mean / s AS t, s FROM mn JOIN sd USING (strategy)), "
+    "o2 AS (SELECT *, least(t, 0) AS sl, CASE WHEN t <= -sqrt(2 * ln(ln(greatest(n, 16)))) THEN t ELSE 0 END AS sm, row_number() OVER (ORDER BY t DESC, strategy) AS rk FROM o1), "
+    "z AS (SELECT dd.*, o2.*, d / s AS z FROM dd JOIN o2 USING (strategy)), "
+    "bs AS (SELECT rep, max(d) AS b, greatest(0, max(z + sl)) AS bl, greatest(0, max(z + sm)) AS bm, greatest(0, max(z)) AS bu, max(v) AS v, greatest(0, max(t)) AS tb FROM z GROUP BY 1), "
+    f"jt AS (SELECT {_P.format(hit='b >= v')} AS p_reality, {_P.format(hit='bl >= tb')} AS p_spa_lower, {_P.format(hit='bm >= tb')} AS p_spa, {_P.format(hit='bu >= tb')} AS p_spa_upper FROM bs), "
+    f"s1 AS (SELECT strategy, rk, {_P.format(hit='sb >= t')} AS p FROM (SELECT *, max(z) OVER (PARTITION BY rep ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sb FROM z) GROUP BY 1, 2), s2 AS (SELECT strategy, max(p) OVER (ORDER BY rk) AS p_step FROM s1)"
+)
+
+
+@query("reality_check", out(_REALITY, "strategy", "mean t p_reality p_spa_lower p_spa p_spa_upper p_step", "SELECT o2.strategy, mean, t, p_reality, p_spa_lower, p_spa, p_spa_upper, p_step FROM o2 JOIN s2 USING (strategy) CROSS JOIN jt", 4))
 def reality_check(spark, sf):
-    d = daily(spark, sf).where("symbol IS NOT NULL")
-    names = sorted(r["symbol"] for r in d.select("symbol").distinct().collect())
-    wide = d.groupBy("ts").pivot("symbol", names).agg(F.first("ret"))
-    return inference.reality_check(spark, wide, names, ["ts"], 300)
+    d = inference.reality_check(daily(spark, sf), "symbol", "ret", "ts", 300)
+    return d.select("strategy", *[F.round(c, 4).alias(c) for c in d.columns if c != "strategy"])
 
 
-@query("cluster_bootstrap", None)
+@query("cluster_bootstrap", out(TRADES + ", g AS (SELECT symbol, date_trunc('month', entry) AS m, sum(pnl) AS s, count(pnl) AS c FROM trades GROUP BY 1, 2), nb AS (SELECT *, row_number() OVER (ORDER BY symbol, m) - 1 AS p, count(*) OVER () AS n FROM g), dr AS (SELECT n, p, k AS rep FROM nb CROSS JOIN range(500) r(k)), pk AS (SELECT rep, " + _h("c", "rep", "p") + " % n AS at_ FROM dr), mn AS (SELECT rep, sum(s) / sum(c) AS mean FROM pk JOIN nb ON nb.p = at_ GROUP BY 1)", "n", "lo median hi", "SELECT count(*) AS n, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.975) AS hi FROM mn", 4))
 def cluster_bootstrap(spark, sf):
     g = trades(spark, sf).groupBy("symbol", F.date_trunc("month", "entry").alias("m")).agg(F.sum("pnl").alias("s"), F.count("pnl").cast("double").alias("n"))
-    return inference.interval(inference.cluster_bootstrap(spark, g, 500), "mean")
+    d = inference.interval(inference.cluster_bootstrap(g, 500, order=["symbol", "m"]), "mean")
+    return d.select("n", *[F.round(c, 4).alias(c) for c in ("lo", "median", "hi")])
 
 
 @query("roll_spread_daily", out(TICKS + ", m AS (SELECT symbol, s // 60 AS m, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close FROM ticks GROUP BY 1, 2), r AS (SELECT *, m // 1440 AS d, close / nullif(lag(close) OVER (PARTITION BY symbol, m // 1440 ORDER BY m), 0) - 1 AS r FROM m), q AS (SELECT *, lag(r) OVER (PARTITION BY symbol, d ORDER BY m) AS r0 FROM r), g AS (SELECT symbol, (d * 86400)::BIGINT AS bucket_start, covar_samp(r, r0) AS cov, count(r) AS n_bars, avg((high - low) / nullif(close, 0)) AS hl FROM q GROUP BY 1, 2)", "symbol bucket_start n_bars fallback", "spread_bps", "SELECT symbol, bucket_start, n_bars, NOT coalesce(n_bars >= 30 AND cov < 0, false) AS fallback, greatest(0.5, CASE WHEN n_bars >= 30 AND cov < 0 THEN 2 * sqrt(-cov) * 1e4 ELSE hl * 0.5 * 1e4 END) AS spread_bps FROM g", 3))

@@ -129,7 +129,7 @@ def stream_running_delta(spark, sf):
     return d.groupBy("symbol").agg(F.max_by("cvd", "batch").alias("cvd"), F.max_by("trades", "batch").alias("trades"))
 
 
-@query("stream_throttle", None)
+@query("stream_throttle", "WITH RECURSIVE n AS MATERIALIZED (SELECT event_type AS symbol, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events), k AS (SELECT symbol, rn, ms AS kept, 1 AS hit FROM n WHERE rn = 1 UNION ALL SELECT n.symbol, n.rn, CASE WHEN n.ms - k.kept >= 600000 THEN n.ms ELSE k.kept END, (n.ms - k.kept >= 600000)::INT FROM k JOIN n ON n.symbol = k.symbol AND n.rn = k.rn + 1) SELECT symbol, sum(hit)::BIGINT AS n FROM k GROUP BY 1")
 def stream_throttle(spark, sf):
     """One snapshot per symbol in ten minutes since the last one."""
     b = trade_stream(spark, sf).select("symbol", F.unix_millis("ts").alias("ts_exchange"))
