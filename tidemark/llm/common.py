@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: are dealt to several tasks, one for each pair of blocks.
 BLOCK_ROWS = 4096
 #: Bits of a filter that keeps rows from travelling in vain (16 MB).
-BITMAP_BITS = 1 << 27
+BITMAP_BITS, BITMAP_PIECES = 1 << 27, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +57,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter of the column ``v``, of a fixed size whatever the input."""
+    """A one-hash Bloom filter of the column ``v`` (long), of a fixed size whatever the input.
+
+    Tasks fill the pieces that values are dealt to; the driver only lines them up.
+    """
     at = F.col("v").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    words = values.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v & 31 AS int))")).alias("b"))
-    found = words.toPandas()  # at most BITMAP_BITS / 32 rows
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
-    return out
+    piece = BITMAP_BITS // BITMAP_PIECES
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            own, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i in np.unique(own).tolist():
+                words = pieces.setdefault(i, np.zeros(piece // 32, np.uint32))
+                x = bit[own == i] % piece
+                np.bitwise_or.at(words, x >> 5, np.uint32(1) << (x & 31).astype(np.uint32))
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([w.tobytes() for w in pieces.values()], pa.binary())], ["i", "words"])
+
+    dealt = values.select(F.floor(at / piece).cast("int").alias("i"), at.alias("at")).repartition("i")
+    found = dealt.mapInArrow(fill, "i int, words binary").toArrow()  # at most BITMAP_BITS / 8 bytes
+    out = np.zeros((BITMAP_PIECES, piece // 32), np.uint32)
+    for i, words in zip(found.column("i").to_pylist(), found.column("words")):
+        out[i] = np.frombuffer(words.as_py(), np.uint32)
+    return out.ravel()
 
 
 def set_bits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
