@@ -54,14 +54,28 @@ def range_join(points: DataFrame, intervals: DataFrame, *, key: list[str], at: s
     return joined.drop(p["__b"]).drop(i["__b"]) if how == "inner" else joined.drop("__b")
 
 
+#: Intervals that are broadcast at most; more are joined through time buckets.
+MOST_INTERVALS = 10_000
+
+
+def _inside(df: DataFrame, spans: DataFrame, ts: str, start: str, end: str, how: str) -> DataFrame:
+    """``df`` joined to the intervals that hold its time, on the columns of ``spans`` as they are."""
+    if spans.limit(MOST_INTERVALS + 1).count() <= MOST_INTERVALS:
+        return df.join(F.broadcast(spans), (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)), how)
+    day = lambda c: F.floor(F.unix_micros(c) / 86_400_000_000)
+    p = df.withColumn("__b", day(F.col(ts).cast("timestamp")))
+    i = spans.where(F.col(end) > F.col(start)).withColumn("__c", F.explode(F.sequence(day(F.col(start).cast("timestamp")), day(F.col(end).cast("timestamp")))))
+    return p.join(i, (F.col("__b") == F.col("__c")) & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end)), how).drop("__b", "__c")
+
+
 def in_any_interval(df: DataFrame, intervals: DataFrame, *, ts: str = "ts", start: str = "start", end: str = "end") -> DataFrame:
-    """Rows inside at least one half-open interval; ``intervals`` is a small fold table."""
-    return df.join(F.broadcast(intervals.select(F.col(start).alias("__s"), F.col(end).alias("__e"))), (F.col(ts) >= F.col("__s")) & (F.col(ts) < F.col("__e")), "left_semi")
+    """Rows inside at least one half-open interval."""
+    return _inside(df, intervals.select(F.col(start).alias("__s"), F.col(end).alias("__e")), ts, "__s", "__e", "left_semi")
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, *, ts: str = "ts") -> DataFrame:
-    """A row for each fold that holds the time; ``folds`` is (fold, role, start, end), small."""
-    return df.join(F.broadcast(folds), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).drop("start", "end")
+    """A row for each fold that holds the time; ``folds`` is (fold, role, start, end)."""
+    return _inside(df, folds, ts, "start", "end", "inner").drop("start", "end")
 
 
 def symbol_pairs(df: DataFrame, value: str, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
@@ -71,14 +85,17 @@ def symbol_pairs(df: DataFrame, value: str, *, key: str = "symbol", ts: str = "t
     return a.join(b, ts).where("a < b")
 
 
-def within_radius(points: DataFrame, dims: list[str], radius: float, *, pid: str = "pid") -> DataFrame:
-    """(p, q) of points at most ``radius`` apart, p < q, joined through cells of that side."""
-    cell = F.floor(F.col(dims[0]) / radius)
-    a = points.select(F.col(pid).alias("p"), *[F.col(d).alias(f"a_{d}") for d in dims], cell.alias("__c"))
-    near = F.explode(F.array(cell - 1, cell, cell + 1))
-    b = points.select(F.col(pid).alias("q"), *[F.col(d).alias(f"b_{d}") for d in dims], near.alias("__c"))
+def within_radius(points: DataFrame, dims: list[str], radius: float, *, pid: str = "pid", most_cells: int = 3) -> DataFrame:
+    """(p, q) of points at most ``radius`` apart, p < q, joined through cells of that side in up to ``most_cells`` dimensions."""
+    celled = dims[:most_cells]
+    a = points.select(F.col(pid).alias("p"), *[F.col(d).alias(f"a_{d}") for d in dims], *[F.floor(F.col(d) / radius).alias(f"__c{n}") for n, d in enumerate(celled)])
+    b = points.select(F.col(pid).alias("q"), *[F.col(d).alias(f"b_{d}") for d in dims])
+    for n, d in enumerate(celled):
+        cell = F.floor(F.col(f"b_{d}") / radius)
+        b = b.withColumn(f"__c{n}", F.explode(F.array(cell - 1, cell, cell + 1)))
     gap = sum(((F.col(f"a_{d}") - F.col(f"b_{d}")) ** 2 for d in dims), F.lit(0.0))
-    return a.join(b, "__c").where("p < q").withColumn("distance", F.sqrt(gap)).where(F.col("distance") <= radius).select("p", "q", "distance")
+    met = a.join(b, [f"__c{n}" for n in range(len(celled))])
+    return met.where("p < q").withColumn("distance", F.sqrt(gap)).where(F.col("distance") <= radius).select("p", "q", "distance")
 
 
 def trailing_count(events: DataFrame, seconds: int, *, ts: str = "ts", block_seconds: int = 86_400) -> DataFrame:
@@ -103,10 +120,12 @@ def outer_align(df: DataFrame, value: str, *, key: str = "symbol", ts: str = "ts
     return out.withColumn(value, F.coalesce(value, F.first(value, ignorenulls=True).over(ahead)))
 
 
-def _all_times(df: DataFrame, key: str, ts: str) -> DataFrame:
-    """(key, ts) pairs through one sorted array of times; times of a grid are few."""
-    times = df.agg(F.array_sort(F.collect_set(ts)).alias("__ts"))
-    return df.select(key).distinct().join(F.broadcast(times)).select(key, F.explode("__ts").alias(ts))
+def _all_times(df: DataFrame, key: str, ts: str, parts: int = 16) -> DataFrame:
+    """(key, ts) of every key and every time, dealt over parts of the keys and parts of the times."""
+    keys = df.select(key).distinct().groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("__g")).agg(F.collect_list(key).alias("__keys"))
+    keys = keys.withColumn("__h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    times = df.select(ts).distinct().withColumn("__h", F.pmod(F.xxhash64(ts), F.lit(parts)).cast("long")).withColumn("__g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return times.join(keys, ["__g", "__h"]).select(F.explode("__keys").alias(key), ts)
 
 
 def joined_with_accounting(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *, narrowing: bool = False) -> tuple[DataFrame, DataFrame]:

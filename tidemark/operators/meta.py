@@ -48,21 +48,31 @@ def precision_recall(scored: DataFrame, p: str, label: str, threshold: float = 0
     return scored.agg((tp / F.nullif(F.count(F.when(hit, 1)), F.lit(0))).alias("precision"), (tp / F.nullif(F.count(F.when(real, 1)), F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("n"))
 
 
+#: Groups within which a feature's values are dealt anew.
+SHUFFLE_GROUPS = 256
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, *, order: list[str], seed: int = 1) -> DataFrame:
-    """Rise of the log loss when one feature's values are shuffled."""
+    """Rise of the log loss when one feature's values are shuffled.
+
+    Values move within ``SHUFFLE_GROUPS`` random groups of rows, so that each ranking is
+    of one group and the work spreads.
+    """
     eps = 1e-9
 
     def loss(d: DataFrame, name: str) -> DataFrame:
         q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
         return predict(model, d).agg(F.lit(name).alias("feature"), F.avg(-F.when(F.col(label) == 1, F.log(q)).otherwise(F.log(1 - q))).alias("loss"))
 
-    at = df.withColumn("__i", F.row_number().over(Window.orderBy(*order)))
+    group = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(SHUFFLE_GROUPS)).alias("__g")
+    w = Window.partitionBy("__g")
+    at = df.withColumn("__g", group).withColumn("__i", F.row_number().over(w.orderBy(*order)))
     out = loss(df, "")
     base = out.select(F.col("loss").alias("base"))
     rows = None
     for i, f in enumerate(features):
-        mixed = df.select(F.col(f).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + i), *order))).alias("__i"))
-        shuffled = at.drop(f).join(mixed, "__i").withColumnRenamed("__v", f)
+        mixed = df.select(group, F.col(f).alias("__v"), *order).withColumn("__i", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1 + i), *order)))).select("__g", "__i", "__v")
+        shuffled = at.drop(f).join(mixed, ["__g", "__i"]).withColumnRenamed("__v", f)
         one = loss(shuffled.select(*df.columns), f)
         rows = one if rows is None else rows.unionByName(one)
     return rows.join(F.broadcast(base)).select("feature", (F.col("loss") - F.col("base")).alias("importance"))
@@ -74,15 +84,17 @@ def decile_lift(scored: DataFrame, p: str, outcome: str, *, key: list[str]) -> D
 
 
 def expanding_forest(events: DataFrame, features: list[str], target: str, *, order: str, cuts: tuple[float, ...] = (0.4, 0.55, 0.7, 0.85, 1.0)) -> DataFrame:
-    """Scores of each later slice by trees fitted on all rows before it."""
-    w = Window.orderBy(order)
-    n = events.count()
-    at = events.withColumn("__i", F.row_number().over(w)).na.fill(0.0, features)
+    """Scores of each later slice by trees fitted on all rows before it; slices end at quantiles of ``order``, a time."""
+    s = F.col(order).cast("double")
+    ends = events.agg(F.percentile(s, F.array(*[F.lit(c) for c in cuts])).alias("q")).first()["q"]
+    if ends is None:
+        return events.withColumns({"slice": F.lit(0.0), "score": F.lit(0.0)})
+    at = events.withColumn("__s", s).na.fill(0.0, features)
     assembler = VectorAssembler(inputCols=features, outputCol="__x")
     out = None
-    for lo, hi in zip(cuts, cuts[1:]):
-        model = Pipeline(stages=[assembler, GBTRegressor(featuresCol="__x", labelCol=target, maxIter=10, maxDepth=3, seed=1, predictionCol="score")]).fit(at.where(F.col("__i") <= n * lo))
-        part = model.transform(at.where((F.col("__i") > n * lo) & (F.col("__i") <= n * hi))).withColumn("slice", F.lit(lo)).select(*events.columns, "slice", "score")
+    for k, lo in enumerate(cuts[:-1]):
+        model = Pipeline(stages=[assembler, GBTRegressor(featuresCol="__x", labelCol=target, maxIter=10, maxDepth=3, seed=1, predictionCol="score")]).fit(at.where(F.col("__s") <= ends[k]))
+        part = model.transform(at.where((F.col("__s") > ends[k]) & (F.col("__s") <= ends[k + 1]))).withColumn("slice", F.lit(lo)).select(*events.columns, "slice", "score")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,22 +40,43 @@ def top_share(df: DataFrame, score: str, share: float) -> DataFrame:
     return df.join(F.broadcast(q)).where(F.col(score) >= F.col("__q")).drop("__q")
 
 
-def scan_symbols(df: DataFrame, fn: Callable[[str, pd.DataFrame], pd.DataFrame], schema: T.StructType, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """``fn(symbol, rows)`` per symbol; a failure becomes a row with ``error``, others go on."""
+def scan_symbols(df: DataFrame, scanner: Callable[[str], object], schema: T.StructType, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Rows of ``scanner(symbol)`` per symbol; a failure becomes a row with ``error``, others go on.
+
+    A scanner has ``add(rows)``, called with batches in time order, and ``rows()``; what
+    it holds is its own matter, the symbol's rows are never gathered.
+    """
     out = T.StructType([T.StructField(key, T.StringType()), *schema.fields, T.StructField("error", T.StringType())])
     names = [f.name for f in schema.fields]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        symbol = pdf[key].iloc[0]
-        try:
-            got = fn(symbol, pdf.sort_values(ts))
-            return got.assign(**{key: symbol, "error": None})[[key, *names, "error"]]
-        except Exception as e:  # reported, not hidden
-            return pd.DataFrame([{key: symbol, **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"}])
-
-    return df.groupBy(key).applyInPandas(run, out)
-
-
-def flags(row: dict[str, Column]) -> Column:
-    """Names of the rules that hold, as an array."""
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in row.items()]), lambda x: x.isNotNull())
+    def finish(symbol, own, error) -> pd.DataFrame:
+        if error is None:
+            try:
+                return own.rows().assign(**{key: symbol, "error": None})[[key, *names, "error"]]
+            except Exception as e:  # reported, not hidden
+                error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([{key: symbol, **dict.fromkeys(names), "error": error}])
+
+    def run(parts):
+        at, own, error, begun = None, None, None, False
+        for pdf in parts:
+            change = pdf[key].ne(pdf[key].shift()) & ~(pdf[key].isna() & pdf[key].shift().isna())
+            for _, rows in pdf.groupby(change.cumsum(), sort=False):
+                symbol = rows[key].iloc[0]
+                if not begun or symbol != at:
+                    if begun:
+                        yield finish(at, own, error)
+                    at, error, begun = symbol, None, True
+                    try:
+                        own = scanner(symbol)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                if error is None:
+                    try:
+                        own.add(rows)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+        if begun:
+            yield finish(at, own, error)
+
+    return df.repartition(key).sortWithinPartitions(key, ts).mapInPandas(run, out)

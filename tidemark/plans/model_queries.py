@@ -37,10 +37,18 @@ def symbol_scan(spark, sf):
     import pandas as pd
     from pyspark.sql import types as T
 
-    def fn(symbol: str, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [len(rows)], "top": [rows["close"].max()]})
+    class Top:
+        def __init__(self, symbol: str):
+            self.n, self.top = 0, None
 
-    return sweep.scan_symbols(bars(spark, sf), fn, T.StructType([T.StructField("n", T.LongType()), T.StructField("top", T.DoubleType())]))
+        def add(self, rows: pd.DataFrame) -> None:
+            self.n += len(rows)
+            self.top = max(x for x in (self.top, rows["close"].max()) if x is not None)
+
+        def rows(self) -> pd.DataFrame:
+            return pd.DataFrame({"n": [self.n], "top": [self.top]})
+
+    return sweep.scan_symbols(bars(spark, sf), Top, T.StructType([T.StructField("n", T.LongType()), T.StructField("top", T.DoubleType())]))
 
 
 def labelled_events(spark, sf) -> DataFrame:

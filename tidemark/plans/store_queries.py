@@ -149,14 +149,12 @@ def stream_feed_statistics(spark, sf):
     return drained(live.feed_statistics(s, "1 hour"))
 
 
-@query("stream_all_metrics", out(TICKS + ", tr AS (SELECT *, user_id % 2 = 0 AS buy FROM ticks)", "symbol t trades sells buys", "cvd volume vwap buy_fraction last high low largest mean_size range_bps", "SELECT symbol, (s // 3600 * 3600)::BIGINT AS t, count(*) AS trades, count(*) FILTER (NOT buy) AS sells, count(*) FILTER (buy) AS buys, sum(CASE WHEN buy THEN amount ELSE -amount END) AS cvd, sum(amount) AS volume, sum(price * amount) / nullif(sum(amount), 0) AS vwap, sum(CASE WHEN buy THEN amount ELSE 0 END) / nullif(sum(amount), 0) AS buy_fraction, last(price ORDER BY ts) AS last, max(price) AS high, min(price) AS low, max(amount) AS largest, avg(amount) AS mean_size, (max(price) - min(price)) / nullif(min(price), 0) * 1e4 AS range_bps FROM tr GROUP BY symbol, s // 3600 HAVING s // 3600 * 3600 + 3600 <= (SELECT max(s) - 600 FROM ticks)", 4))
+@query("stream_all_metrics", out(TICKS + ", tr AS (SELECT *, user_id % 2 = 0 AS buy FROM ticks)", "symbol t trades sells buys", "cvd volume vwap buy_fraction last high low largest mean_size range_bps", "SELECT symbol, (s // 3600 * 3600)::BIGINT AS t, count(*) AS trades, count(*) FILTER (NOT buy) AS sells, count(*) FILTER (buy) AS buys, sum(CASE WHEN buy THEN amount ELSE -amount END) AS cvd, sum(amount) AS volume, sum(price * amount) / nullif(sum(amount), 0) AS vwap, sum(CASE WHEN buy THEN amount ELSE 0 END) / nullif(sum(amount), 0) AS buy_fraction, last(price ORDER BY ts) AS last, max(price) AS high, min(price) AS low, max(amount) AS largest, avg(amount) AS mean_size, (max(price) - min(price)) / nullif(min(price), 0) * 1e4 AS range_bps FROM tr GROUP BY symbol, s // 3600 HAVING s // 3600 * 3600 + 3600 <= (SELECT max(s) - 600 FROM ticks)"))
 def stream_all_metrics(spark, sf):
     """Every metric of the registry, by hour."""
     from tidemark.plans.model_queries import drained, trade_stream
 
-    d = drained(live.windowed_metrics(trade_stream(spark, sf), list(live.metric_registry()), "1 hour"))
-    doubles = [f.name for f in d.schema.fields if f.dataType.simpleString() == "double"]
-    return d.withColumns({c: F.round(c, 4) for c in doubles})
+    return drained(live.windowed_metrics(trade_stream(spark, sf), list(live.metric_registry()), "1 hour"))
 
 
 @query("typed_streams", "WITH " + TICKS + " SELECT symbol, count(*) AS n, round(sum(price), 4) AS total FROM ticks GROUP BY 1")
