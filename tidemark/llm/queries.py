@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substrings.OP2_SQL, "op7_mix_sources": mixing.OP7_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {
+        "op2_substring_dedup": substrings.OP2_SQL,
+        "op7_mix_sources": mixing.OP7_SQL,
+        "op9_decontaminate": decontaminate.OP9_SQL,
+        "op10_simhash": simhash.OP10_SQL,
+    }

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BLOCK_ROWS, Forest, connected_components, cut, link_groups, pairs_of_groups, table
+from tidemark.llm.xxh64_sql import xxh64_ctes
 
 #: Choices of four of the eight byte positions, as bit masks; 0 is the lowest byte.
 CHOICES = list(combinations(range(8), 4))
@@ -149,3 +150,25 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: DuckDB: fingerprints bit by bit, all pairs of distinct fingerprints, and what is reachable over them.
+OP10_SQL = (
+    r"""WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT r, array_to_string(w[p : p + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)
+), ds AS MATERIALIZED (SELECT DISTINCT s FROM sh), """
+    + xxh64_ctes("ds", 42)
+    + ", votes AS (SELECT r, count(*) AS n, "
+    + ", ".join(f"sum(((h >> {b}) & 1)::INT) AS b{b}" for b in range(64))
+    + " FROM sh JOIN xx USING (s) GROUP BY r), fps AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN (SELECT r, ("
+    + " + ".join(f"CASE WHEN b{b} * 2 > n THEN {2**b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    + """)::UBIGINT AS fp FROM votes) USING (r)
+), nodes AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM fps GROUP BY fp
+), edges AS MATERIALIZED (SELECT x.fp AS a, y.fp AS b FROM nodes x JOIN nodes y ON bit_count(xor(x.fp, y.fp)::BIT) <= 4
+), reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), comp AS (SELECT a AS fp, min(least) AS component_id FROM reach JOIN nodes ON nodes.fp = reach.b GROUP BY a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM fps JOIN comp USING (fp)
+"""
+)
