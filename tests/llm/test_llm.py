@@ -101,7 +101,7 @@ def test_substrings_of_long_repeated_and_clashing_rows(spark):
     assert max(len(r["spans"]) for r in substrings.repeated_spans(keyed.where("text IS NOT NULL")).collect()) < third
 
 
-@pytest.mark.parametrize("name", ["op2_substring_dedup", "op7_mix_sources"])
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op7_mix_sources", "op10_simhash"])
 def test_matches_sql(spark, duck, name):
     ours, theirs = normal(queries.queries()[name](spark, SF).toPandas()), normal(duck.execute(queries.oracle_sql()[name]).df())
     assert ours == theirs and len(ours[1]) > 0
@@ -380,13 +380,9 @@ def test_quality_held_out_accuracy_and_shrinkage(spark, corpus):
     assert quality.classify(df.limit(0), model).count() == 0
 
 
-def test_quality_against_brute_force(spark, corpus, monkeypatch):
-    """Both posterior levels and the judgement, from the classifier's evidence."""
-    df, rows = corpus
-    rng = np.random.default_rng(4)
-    k = len(quality.MEASURES)
-    model = quality.Classifier(np.zeros(k), np.ones(k), rng.normal(size=2 * k + 1))
-    evidence = [float(model(quality.measure((r[1] or "").encode())[None, :])[0]) for r in rows]
+def judged(rows, model):
+    """Quality of (host, path, text) rows from the classifier's evidence and both posterior levels."""
+    evidence = [float(model(quality.measure((t or "").encode())[None, :])[0]) for _, _, t in rows]
 
     def posterior(groups, prior):
         n = sum(g[0] for g in groups.values())
@@ -404,7 +400,7 @@ def test_quality_against_brute_force(spark, corpus, monkeypatch):
         return out
 
     mean = (sum(evidence) + 1) / (len(rows) + 2)
-    hosts, paths = grouped([r[3] for r in rows]), grouped([(r[3], r[2]) for r in rows])
+    hosts, paths = grouped([r[0] for r in rows]), grouped([r[:2] for r in rows])
     by_host = posterior(hosts, {h: mean for h in hosts})
     by_path = posterior(paths, {x: by_host[x[0]] for x in paths})
 
@@ -412,13 +408,96 @@ def test_quality_against_brute_force(spark, corpus, monkeypatch):
         p = min(max(p, 1e-4), 1 - 1e-4)
         return np.log(p / (1 - p))
 
-    want = sorted((r[0], 1 / (1 + np.exp(-(logit(e) + logit(by_path[r[3], r[2]]) - logit(mean))))) for r, e in zip(rows, evidence))
+    return [1 / (1 + np.exp(-(logit(e) + logit(by_path[r[:2]]) - logit(mean)))) for r, e in zip(rows, evidence)]
+
+
+def test_quality_against_brute_force(spark, corpus, monkeypatch):
+    df, rows = corpus
+    k = len(quality.MEASURES)
+    model = quality.Classifier(np.zeros(k), np.ones(k), np.random.default_rng(4).normal(size=2 * k + 1))
+    want = sorted(zip([r[0] for r in rows], judged([(r[3], r[2], r[1]) for r in rows], model)))
     for most in (100_000, 0):  # sites broadcast, and joined
         monkeypatch.setattr(quality, "BROADCAST_SITES", most)
         got = sorted((r["doc_id"], r["quality"]) for r in quality.judge(df, model, keys=["doc_id"]).collect())
         assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([q for _, q in got], [q for _, q in want])
 
 
+def dropped_lines(rows):
+    """{row number: line numbers} that repeat, by all pairs of different lines; rows are (id, text) in order."""
+    places = [(k, i, line) for k, (_, t) in enumerate(rows) for i, line in enumerate((t or "").split("\n")) if line.strip()]
+    texts = list(dict.fromkeys(line for _, _, line in places))
+    sets = [lines.shingles(t) for t in texts]
+    comp = components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if lines.jaccard(sets[i], sets[j]) >= 0.8])
+    at = {t: comp[i] for i, t in enumerate(texts)}
+    seen, out = set(), {}
+    for k, i, line in places:
+        if at[line] in seen:
+            out.setdefault(k, []).append(i)
+        seen.add(at[line])
+    return out
+
+
+def simhash_of(t):
+    w = (t or "").encode().lower().split()
+    sh = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_pipeline_against_brute_force(spark, corpus, tmp_path):
+    """Every stage of the pipeline, and ``run`` as a whole, against plain loops over the same rows."""
+    import duckdb
+
+    rng = random.Random(12)
+    rows = list(dict.fromkeys(corpus[1]))
+    rows += [(100 + i, "BUY NOW!!! $$$ %%% ### " * rng.randint(5, 30), "en", "spam", 9) for i in range(12)]
+    long = rows[5][1].split()
+    items = [(1, " ".join(long[50:90])), (2, words(rng, 30))]
+    labels = [(r[0], int(r[0] < 100), 0) for r in rows if r[0] % 3]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame(rows, DOC)
+    docs.coalesce(2).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, rows):
+        return sorted(map(tuple, stages[name](spark, spark.createDataFrame(rows, DOC), sf).collect()), key=lambda r: (r[0], r[1] or "", r[5:]))
+
+    text = {r[0]: r[1] for r in rows}
+    train = [(quality.measure((text[d] or "").encode()), q) for d, q, _ in labels if zlib.crc32(str(d).encode()) % 5]
+    model = quality.Classifier.fit(np.array([x for x, _ in train]), np.array([float(q) for _, q in train]))
+    rows = [r for r, q in zip(rows, judged([(r[3], r[2], r[1]) for r in rows], model)) if q >= 0.5]
+    assert after("quality", list(dict.fromkeys(corpus[1])) + [r for r in docs.collect() if r[0] >= 100]) == sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    assert 10 < len(rows) < len(text)
+
+    before, gone = rows, dropped_lines([(r[0], r[1]) for r in rows])
+    rows = [(r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone.get(k, [])), *r[2:]) for k, r in enumerate(rows)]
+    assert after("line_dedup", before) == rows and gone
+
+    before, fps = rows, [simhash_of(r[1]) for r in rows]
+    comp = components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    rows = [r for i, r in enumerate(rows) if comp[i] == i]
+    assert after("near_dedup", before) == rows and len(rows) < len(before)
+
+    def holds(t, x):
+        w, iw = decontaminate.words_of((t or "").encode()), decontaminate.words_of(x.encode())
+        own = decontaminate.shingles_of(iw, 5)
+        return len(own & decontaminate.shingles_of(w, 5)) >= 0.8 * len(own)
+
+    before = rows
+    rows = [r for r in rows if not any(holds(r[1], x) for _, x in items)]
+    assert after("benchmark_free", before) == rows and len(rows) < len(before)
+
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(r) for r in rows])
+    times = {d: taken // size for d, size, taken in duck.execute(f"SELECT doc_id, size, taken FROM ({mixing.OP7_SQL})").fetchall() if size}
+    mixed = [(*r, k) for r in rows for k in range(1, times.get(r[0], 0) + 1)]
+    assert after("mixing", rows) == mixed
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=lambda r: (r[0], r[5])) == mixed
+
+
 def test_lines(spark, corpus):
     df, rows = corpus
     by_id = {r[0]: (r[1] or "") for r in rows}
