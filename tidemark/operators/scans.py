@@ -140,27 +140,75 @@ def cooldown(df: DataFrame, seconds: str, gap: float, *, key: list[str]) -> Data
     return ordered_scan(df, [seconds], [seconds], machine, T.StructType([T.StructField("__k", T.BooleanType())]), key=key).where("__k").drop("__k")
 
 
-def latch(df: DataFrame, long_in: str, long_out: str, short_in: str, short_out: str, *, key: list[str], ts: str = "ts", out: str = "latched") -> DataFrame:
-    """Hysteresis over -1, 0, 1: exits first, then entries, flips allowed; a null entry resets to 0."""
+def finite_scan(df: DataFrame, step: Callable, states: list[float], cols: list[str], out: str, *, key: list[str], ts: str, block_seconds: int) -> DataFrame:
+    """``df`` with the state of a machine of few ``states``, each key in time blocks of its own.
+
+    ``step(state, *values of cols)`` gives the next state; the first of ``states`` is the
+    start. A block runs from every state at once; its map of start to end states is
+    composed over the blocks before it, one small row a block, so a long key is as many
+    tasks as it has blocks.
+    """
+    at = {s: i for i, s in enumerate(states)}
+    blocked = df.withColumn("__blk", F.floor(F.unix_timestamp(ts) / block_seconds))
+    n = len(states)
+
+    def block_machine():
+        now = list(states)
+
+        def run(*values):
+            now[:] = [step(s, *values) for s in now]
+            return tuple(now)
+
+        return run
+
+    by = [*key, "__blk"]
+    made = T.StructType([T.StructField(f"__s{i}", T.DoubleType()) for i in range(n)])
+    scanned = ordered_scan(blocked, [ts], cols, block_machine, made, key=by)
+    ends = scanned.groupBy(*by).agg(*[F.max_by(f"__s{i}", ts).alias(f"__e{i}") for i in range(n)])
+
+    def carry_machine():
+        now = [states[0]]
+
+        def run(*ends):
+            before, now[0] = now[0], ends[at[now[0]]]
+            return (float(at[before]),)
+
+        return run
+
+    carry = ordered_scan(ends, ["__blk"], [f"__e{i}" for i in range(n)], carry_machine, T.StructType([T.StructField("__c", T.DoubleType())]), key=key).select(*by, "__c")
+    state = F.element_at(F.array(*[F.col(f"__s{i}") for i in range(n)]), F.col("__c").cast("int") + 1)
+    return scanned.join(carry, by).withColumn(out, state).drop("__blk", "__c", *[f"__s{i}" for i in range(n)])
+
+
+def _hysteresis(pos, li, lo, si, so):
+    if li is None or si is None:
+        return 0.0
+    if (pos > 0 and lo) or (pos < 0 and so):
+        pos = 0.0
+    if li and pos <= 0:
+        return 1.0
+    return -1.0 if si and pos >= 0 else pos
+
+
+def latch(df: DataFrame, long_in: str, long_out: str, short_in: str, short_out: str, *, key: list[str], ts: str = "ts", out: str = "latched", block_seconds: int | None = None) -> DataFrame:
+    """Hysteresis over -1, 0, 1: exits first, then entries, flips allowed; a null entry resets to 0.
+
+    With ``block_seconds`` a key runs in time blocks of its own (``finite_scan``).
+    """
+    cols = [long_in, long_out, short_in, short_out]
+    if block_seconds is not None:
+        return finite_scan(df, _hysteresis, [0.0, 1.0, -1.0], cols, out, key=key, ts=ts, block_seconds=block_seconds)
 
     def machine():
         pos = [0.0]
 
-        def step(li, lo, si, so):
-            if li is None or si is None:
-                pos[0] = 0.0
-            else:
-                if (pos[0] > 0 and lo) or (pos[0] < 0 and so):
-                    pos[0] = 0.0
-                if li and pos[0] <= 0:
-                    pos[0] = 1.0
-                elif si and pos[0] >= 0:
-                    pos[0] = -1.0
+        def step(*values):
+            pos[0] = _hysteresis(pos[0], *values)
             return (pos[0],)
 
         return step
 
-    return ordered_scan(df, [ts], [long_in, long_out, short_in, short_out], machine, T.StructType([T.StructField(out, T.DoubleType())]), key=key)
+    return ordered_scan(df, [ts], cols, machine, T.StructType([T.StructField(out, T.DoubleType())]), key=key)
 
 
 def bracket_latch(

@@ -260,10 +260,10 @@ Z = BARS + ", zz AS (SELECT symbol, t, close, CASE WHEN count(close) OVER k >= 2
 NET = Z + ", g AS (SELECT b.symbol, b.t, close, position, lag(position, 1, 0) OVER w * coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) / 100 - abs(position - lag(position, 1, 0) OVER w) * 0.0005 AS net FROM (SELECT b.*, ps.position FROM bars b JOIN ps USING (symbol, t)) b WINDOW w AS (PARTITION BY symbol ORDER BY t))"
 
 
-def latched(spark, sf):
+def latched(spark, sf, block_seconds=None):
     b = bars(spark, sf).withColumn("z", rolling.zscore(F.col("close"), rolling.last_k(20, KEY), 20))
     b = b.withColumns({"li": F.col("z") <= -1, "lo": F.col("z") >= -0.25, "si": F.col("z") >= 1, "so": F.col("z") <= 0.25})
-    d = scans.latch(b, "li", "lo", "si", "so", key=KEY)
+    d = scans.latch(b, "li", "lo", "si", "so", key=KEY, block_seconds=block_seconds)
     return d.withColumn("position", F.lag("latched", 1, 0.0).over(ordered(KEY)))
 
 
@@ -280,6 +280,12 @@ def zscore_latch(spark, sf):
     return latched(spark, sf).select("symbol", "ts", "position")
 
 
+@query("zscore_latch_in_blocks", out(Z, "symbol t", "position", "SELECT * FROM ps"))
+def zscore_latch_in_blocks(spark, sf):
+    """The same latch with two days of a symbol a block."""
+    return latched(spark, sf, 172_800).select("symbol", "ts", "position")
+
+
 FLAGSHIP_SQL = out(NET + ", e AS (SELECT symbol, t, net, product(1 + net) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS eq FROM g), d AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY t) - 1 AS dd FROM e)", "symbol bars", "sharpe max_drawdown total_return", "SELECT symbol, count(*) AS bars, CASE WHEN coalesce(stddev_samp(net), 0) = 0 THEN 0 ELSE avg(net) / stddev_samp(net) * sqrt(8760) END AS sharpe, -min(dd) AS max_drawdown, last(eq ORDER BY t) - 1 AS total_return FROM d GROUP BY 1")
 
 
