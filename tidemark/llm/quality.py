@@ -206,7 +206,8 @@ def classify(docs: DataFrame, classifier: Classifier, *, host: str = "source", p
     input stay as they are, whatever their names, unless they begin with two
     underscores. Empty input gives an empty table.
     """
-    keyed = docs.withColumns({"__k": F.xxhash64(host, path, text), "__k2": F.xxhash64(F.lit(1), host, path, text)})
+    parts = [x for c in (host, path, text) for x in (F.col(c).isNull(), F.col(c))]  # a hash passes over nulls
+    keyed = docs.withColumns({"__k": F.xxhash64(*parts), "__k2": F.xxhash64(F.lit(1), *parts)})
     judged = judge(keyed, classifier, keys=["__k", "__k2"], host=host, path=path, text=text, least=least)
     judged = judged.dropDuplicates(["__k", "__k2"]).withColumnsRenamed({"evidence": "__evidence", "quality": "__quality", "keep": "__keep"})
     return keyed.join(judged, ["__k", "__k2"], "left").drop("__k", "__k2")
