@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, events, folds, inference, joins, returns, scans
@@ -179,3 +180,88 @@ def test_stop_breaker_counts_kept_stops_only(spark):
     got = events.stop_breaker(df, 10, 2, key=["symbol"], at="s", stopped="stopped", tie=["id"]).collect()
     assert sorted(r["s"] for r in got if r["symbol"] == "a") == kept
     assert sorted(r["id"] for r in got if r["symbol"] == "b") == [0, 1]
+
+
+def test_latch_in_blocks_is_the_latch(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, at(i), *[None if rng.random() < 0.03 else bool(rng.random() < p) for p in (0.1, 0.1, 0.1, 0.1)]) for k in ("a", "b", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, li boolean, lo boolean, si boolean, so boolean").where("symbol IS NOT NULL OR ts > '2024-01-02'")
+    want = {(r["symbol"], r["ts"]): r["latched"] for r in scans.latch(df, "li", "lo", "si", "so", key=["symbol"]).collect()}
+    for seconds in (3600, 50_000, 10**9):
+        got = {(r["symbol"], r["ts"]): r["latched"] for r in scans.latch(df.where("symbol IS NOT NULL"), "li", "lo", "si", "so", key=["symbol"], block_seconds=seconds).collect()}
+        assert got == {k: v for k, v in want.items() if k[0] is not None}
+
+
+def test_scan_reports_failures_and_goes_on(spark):
+    from tidemark.operators import sweep
+    from pyspark.sql import types as T
+
+    class Count:
+        def __init__(self, symbol):
+            self.n, self.last = 0, None
+            if symbol == "bad":
+                raise ValueError("no such symbol")
+
+        def add(self, rows):
+            assert self.last is None or rows["ts"].iloc[0] >= self.last
+            self.n, self.last = self.n + len(rows), rows["ts"].iloc[-1]
+
+        def rows(self):
+            import pandas as pd
+
+            return pd.DataFrame({"n": [self.n]})
+
+    df = spark.createDataFrame([(k, at(i), 1.0) for k in ("a", "bad", "c") for i in range(30)], "symbol string, ts timestamp, close double")
+    got = {r["symbol"]: (r["n"], r["error"]) for r in sweep.scan_symbols(df, Count, T.StructType([T.StructField("n", T.LongType())])).collect()}
+    assert got == {"a": (30, None), "bad": (None, "ValueError: no such symbol"), "c": (30, None)}
+
+
+def test_features_are_resolved_and_warm(spark):
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import registry
+
+    registry.feature("t_prev", lookback=timedelta(hours=1))(lambda d: d.withColumn("t_prev", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))))
+    registry.feature("t_twice", deps=("t_prev",), lookback=timedelta(hours=1))(lambda d: d.withColumn("t_twice", F.lag("t_prev").over(Window.partitionBy("symbol").orderBy("ts"))))
+    registry.feature("t_round", deps=("t_square",))(lambda d: d)
+    registry.feature("t_square", deps=("t_round",))(lambda d: d)
+    df = spark.createDataFrame([("a", at(i), float(i)) for i in range(20)], "symbol string, ts timestamp, close double")
+    assert registry.warm_up(["t_twice"]) == timedelta(hours=2)
+    start = datetime.fromisoformat(str(at(5)))
+    got = registry.compute(df, ["t_twice"], start, start + timedelta(hours=3), keys=["symbol"]).orderBy("ts").collect()
+    assert [r["t_twice"] for r in got] == [3.0, 4.0, 5.0]
+    with pytest.raises(ValueError):
+        registry.resolved(["t_round"])
+    with pytest.raises(KeyError):
+        registry.resolved(["t_nothing"])
+
+
+def test_many_intervals_take_the_bucketed_join(spark, monkeypatch):
+    df = spark.createDataFrame([("a", at(i)) for i in range(60)], "symbol string, ts timestamp")
+    spans = spark.createDataFrame([(str(k), "r", at(7 * k), at(7 * k + 3)) for k in range(8)] + [("long", "r", at(0), at(50)), ("none", "r", at(9), at(9))], "fold string, role string, start timestamp, end timestamp")
+    rows = lambda d: sorted((r["ts"], r["fold"]) for r in d.collect())
+    want, inside = rows(joins.assign_folds(df, spans)), joins.in_any_interval(df, spans).count()
+    monkeypatch.setattr(joins, "MOST_INTERVALS", 2)
+    assert rows(joins.assign_folds(df, spans)) == want and joins.in_any_interval(df, spans).count() == inside > 50
+
+
+def test_points_within_a_radius_in_four_dimensions(spark):
+    rng = np.random.default_rng(9)
+    x = rng.random((120, 4))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "pid int, a double, b double, c double, d double")
+    got = {(r["p"], r["q"]) for r in joins.within_radius(df, ["a", "b", "c", "d"], 0.25).collect()}
+    assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if np.linalg.norm(x[i] - x[j]) <= 0.25} and got
+
+
+def test_stationary_draws(spark):
+    places = spark.createDataFrame([(k, i, n) for k, n in (("a", 64), ("b", 1)) for i in range(n)], "k string, i long, n long")
+    got = inference.stationary_draws(places, 40, key=["k"], at="i", n="n").collect()
+    assert len(got) == 40 * 65 and all(0 <= r["at"] < (64 if r["k"] == "a" else 1) for r in got)
+    runs = {}
+    for r in got:
+        if r["k"] == "a":
+            runs.setdefault(r["replicate"], {})[r["p"]] = r["at"]
+    follow = np.mean([(d[p] + 1) % 64 == d[p + 1] for d in runs.values() for p in range(63)])
+    assert 0.65 < follow < 0.85  # blocks of four on average
+    dealt = inference.stationary_draws(places, 5, key=["k"], at="i", n="n", permute=True).where("k = 'a'").groupBy("replicate").agg(F.sort_array(F.collect_list("at")).alias("x")).collect()
+    assert all(r["x"] == list(range(64)) for r in dealt)
