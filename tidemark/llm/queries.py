@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, periodic, quality, search, simhash, substrings, tokens, toxicity
+from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, periodic, quality, rules, search, simhash, substrings, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": tokens.op8_token_counts,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash.op10_simhash,
+        "op11_quality_rules": rules.op11_quality_rules,
         "op12_periodic_runs": periodic.op12_periodic_runs,
         "op13_ranked_search": search.op13_ranked_search,
     }
@@ -32,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mixing.OP7_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_simhash": simhash.OP10_SQL,
+        "op11_quality_rules": rules.OP11_SQL,
         "op12_periodic_runs": periodic.OP12_SQL,
         "op13_ranked_search": search.OP13_SQL,
     }
