@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.grid import ordered, up_to_now
 from tidemark.operators.joins import range_join
+from tidemark.operators.touch import extremes_ahead, first_touch, last_place, values_at
 
 
 def indexed(bars: DataFrame, *, key: list[str], ts: str = "ts") -> DataFrame:
@@ -33,14 +34,32 @@ def forward_path(events: DataFrame, bars: DataFrame, horizon: int, *, key: list[
     return j.withColumn("step", F.col("__idx") - F.col("__at")).withColumnRenamed("__at", at).drop("__idx", "__from", "__to")
 
 
-def triple_barrier(events: DataFrame, bars: DataFrame, horizon: int, up: str | Column, down: str | Column, *, key: list[str], event_id: str, price: str = "close", side: Column | None = None) -> DataFrame:
+def triple_barrier(
+    events: DataFrame, bars: DataFrame, horizon: int, up: str | Column, down: str | Column, *, key: list[str], event_id: str, price: str = "close", side: Column | None = None, by_path: bool = False,
+) -> DataFrame:
     """First touch of +up or -down (returns in the event's direction) within the horizon.
 
     (event_id, label, touch_step, ret): 1 profit, -1 loss, 0 neither; a bar that
-    touches both counts as profit. A null or non-positive width has no barriers.
+    touches both counts as profit. A null or non-positive width has no barriers. Events without
+    a bar ahead are left out. ``by_path`` makes a row for each bar ahead instead of a search by blocks.
     """
     s = side if side is not None else F.lit(1.0)
     e = events.withColumns({"__u": up if isinstance(up, Column) else F.col(up), "__d": down if isinstance(down, Column) else F.col(down), "__s": s, "__p0": F.col(price)})
+    if by_path:
+        return _barriers_by_path(e, bars, horizon, key=key, event_id=event_id, price=price)
+    ret = lambda p: (F.try_divide(p, F.col("__p0")) - 1) * F.col("__s")
+    profit = lambda r: F.coalesce((F.col("__u") > 0) & (r >= F.col("__u")), F.lit(False))
+    loss = lambda r: F.coalesce((F.col("__d") > 0) & (r <= -F.col("__d")), F.lit(False))
+    hit = first_touch(e, bars, horizon, lambda k, _: profit(ret(k["hi"])) | profit(ret(k["lo"])) | loss(ret(k["hi"])) | loss(ret(k["lo"])), key=key, high=price, low=price, out="__x")
+    hit = hit.join(last_place(bars, key=key, out="__last"), key).where(F.col("idx") < F.col("__last"))
+    end = F.coalesce("__x", F.least(F.col("idx") + horizon, F.col("__last")))
+    hit = values_at(hit.withColumn("__end", end), bars, {price: "__p"}, F.col("__end"), key=key)
+    r = ret(F.col("__p"))
+    label = F.when(F.col("__x").isNull(), 0).when(profit(r), 1).otherwise(-1)
+    return hit.select(event_id, label.alias("label"), (F.col("__end") - F.col("idx")).alias("touch_step"), r.alias("ret"))
+
+
+def _barriers_by_path(e: DataFrame, bars: DataFrame, horizon: int, *, key: list[str], event_id: str, price: str) -> DataFrame:
     p = forward_path(e, bars, horizon, key=key, cols=[price]).withColumn("__r", (F.try_divide(F.col(f"f_{price}"), F.col("__p0")) - 1) * F.col("__s"))
     a = p.groupBy(event_id).agg(
         F.min(F.when((F.col("__u") > 0) & (F.col("__r") >= F.col("__u")), F.col("step"))).alias("__pt"),
@@ -55,24 +74,26 @@ def triple_barrier(events: DataFrame, bars: DataFrame, horizon: int, up: str | C
 def first_barrier(events: DataFrame, bars: DataFrame, horizon: int, width: float, *, key: list[str], event_id: str) -> DataFrame:
     """Symmetric first touch on highs and lows: both in one bar is a loss; none is null."""
     e = events.withColumn("__p0", F.col("close"))
-    p = forward_path(e, bars, horizon, key=key, cols=["high", "low"])
-    a = p.groupBy(event_id).agg(
-        F.min(F.when(F.col("f_high") >= F.col("__p0") * (1 + width), F.col("step"))).alias("u"), F.min(F.when(F.col("f_low") <= F.col("__p0") * (1 - width), F.col("step"))).alias("d")
-    )
-    return a.select(event_id, F.when(F.col("d").isNotNull() & (F.col("u").isNull() | (F.col("d") <= F.col("u"))), -1).when(F.col("u").isNotNull(), 1).alias("label"))
+    up, down = (lambda p: p >= F.col("__p0") * (1 + width)), (lambda p: p <= F.col("__p0") * (1 - width))
+    hit = first_touch(e, bars, horizon, lambda k, _: up(k["hi"]) | down(k["lo"]), key=key, out="__x")
+    hit = hit.join(last_place(bars, key=key, out="__last"), key).where(F.col("idx") < F.col("__last"))
+    hit = values_at(hit, bars, {"low": "__lo"}, F.col("__x"), key=key)
+    return hit.select(event_id, F.when(F.col("__x").isNull(), None).when(down(F.col("__lo")), -1).otherwise(1).alias("label"))
 
 
 def outcomes(events: DataFrame, bars: DataFrame, horizons: list[int], stop: float, *, key: list[str], event_id: str) -> DataFrame:
     """Short return at each horizon with a catastrophe stop on highs, and the adverse excursion."""
     e = events.withColumn("__p0", F.col("close"))
-    p = forward_path(e, bars, max(horizons), key=key, cols=["close", "high", "low"])
-    stopped = F.min(F.when(F.col("f_high") >= F.col("__p0") * (1 + stop), F.col("step")))
-    a = p.groupBy(event_id).agg(
-        stopped.alias("stop_step"), F.min(F.try_divide(F.col("f_low"), F.col("__p0")) - 1).alias("worst_low"), F.max(F.try_divide(F.col("f_high"), F.col("__p0")) - 1).alias("best_high"),
-        *[F.max(F.when(F.col("step") == h, 1 - F.try_divide(F.col("f_close"), F.col("__p0")))).alias(f"raw{h}") for h in horizons],
+    most = max(horizons)
+    hit = first_touch(e, bars, most, lambda k, _: k["hi"] >= F.col("__p0") * (1 + stop), key=key, out="__x")
+    hit = extremes_ahead(hit, bars, most, key=key).where("ahead_high IS NOT NULL OR ahead_low IS NOT NULL")
+    for h in horizons:
+        hit = values_at(hit, bars, {"close": f"__c{h}"}, F.col("idx") + h, key=key)
+    step = F.col("__x") - F.col("idx")
+    return hit.select(
+        event_id, step.alias("stop_step"), (F.try_divide(F.col("ahead_low"), F.col("__p0")) - 1).alias("worst_low"), (F.try_divide(F.col("ahead_high"), F.col("__p0")) - 1).alias("best_high"),
+        *[F.when(step <= h, F.lit(-stop)).otherwise(1 - F.try_divide(F.col(f"__c{h}"), F.col("__p0"))).alias(f"pnl{h}") for h in horizons],
     )
-    cols = [F.when(F.col("stop_step") <= h, F.lit(-stop)).otherwise(F.col(f"raw{h}")).alias(f"pnl{h}") for h in horizons]
-    return a.select(event_id, "stop_step", "worst_low", "best_high", *cols)
 
 
 def rollover_exit(events: DataFrame, bars: DataFrame, horizon: int, give_back: float, *, key: list[str], event_id: str) -> DataFrame:
@@ -100,11 +121,10 @@ def stall_exit(events: DataFrame, bars: DataFrame, horizon: int, m: int, *, key:
 
 def run_up_levels(events: DataFrame, bars: DataFrame, horizon: int, levels: list[float], *, key: list[str], event_id: str) -> DataFrame:
     """(event_id, level, cross_step): when the running high first reaches each level."""
-    e = events.withColumn("__p0", F.col("close"))
-    p = forward_path(e, bars, horizon, key=key, cols=["high"])
-    up = F.try_divide(F.col("f_high"), F.col("__p0")) - 1
-    one = p.groupBy(event_id).agg(*[F.min(F.when(up >= x, F.col("step"))).alias(f"l{i}") for i, x in enumerate(levels)])
-    return one.select(event_id, F.explode(F.array(*[F.struct(F.lit(float(x)).alias("level"), F.col(f"l{i}").alias("cross_step")) for i, x in enumerate(levels)])).alias("e")).select(event_id, "e.*")
+    e = events.withColumn("__p0", F.col("close")).withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
+    hit = first_touch(e, bars, horizon, lambda k, _: F.try_divide(k["hi"], F.col("__p0")) - 1 >= F.col("level"), key=key, out="__x")
+    hit = hit.join(last_place(bars, key=key, out="__last"), key).where(F.col("idx") < F.col("__last"))
+    return hit.select(event_id, "level", (F.col("__x") - F.col("idx")).alias("cross_step"))
 
 
 def mean_path(events: DataFrame, bars: DataFrame, before: int, after: int, *, key: list[str]) -> DataFrame:
