@@ -120,17 +120,17 @@ def bracket_chain(
     hit = cut(hit.select(*key, "__ts", "__i", "__side", F.coalesce("__x", F.col("__i") + max(1, max_hold)).alias("__x")))
     linked = next_place(hit.select(*key, "__i", "__x"), F.col("__x") + 1, key=key, place="__i", width=float(1 << 16))
     taken = hit.join(on_chain(linked, key=key, place="__i", succ="succ"), [*key, "__i"], "left_semi")
-    spans = values_at(taken, bars, {"__ts": "__until"}, F.col("__x"), key=key, at="__i").select(*key, F.col("__ts").alias("__in"), "__until", "__side")
-    held = asof_join(df, spans, ["__in", "__until", "__side"], key=key, ts=ts, right_ts="__in", block_seconds=block_seconds)
-    inside = F.col("__in").isNotNull() & (F.col("__until").isNull() | (F.col(ts) < F.col("__until")))
-    return held.withColumn(out, F.when(inside, F.col("__side").cast("double")).otherwise(0.0)).drop("__in", "__until", "__side")
+    spans = values_at(taken, bars, {"__ts": "__span_out"}, F.col("__x"), key=key, at="__i").select(*key, F.col("__ts").alias("__span_in"), "__span_out", F.col("__side").alias("__span_side"))
+    held = asof_join(df, spans, ["__span_in", "__span_out", "__span_side"], key=key, ts=ts, right_ts="__span_in", block_seconds=block_seconds)
+    inside = F.col("__span_in").isNotNull() & (F.col("__span_out").isNull() | (F.col(ts) < F.col("__span_out")))
+    return held.withColumn(out, F.when(inside, F.col("__span_side").cast("double")).otherwise(0.0)).drop("__span_in", "__span_out", "__span_side")
 
 
-def step_fill_chain(rows: DataFrame, step: float, *, key: list[str], at: str = "idx", price: str = "close", horizon: int = 1 << 18) -> DataFrame:
+def step_fill_chain(rows: DataFrame, step: float, *, key: list[str], at: str = "idx", price: str = "close") -> DataFrame:
     """``events.price_step_fills`` by links: the first priced row, then each first one ``step`` under the last.
 
     The next fill depends on the last one alone, so it is a first touch of its price less ``step``.
-    ``horizon`` must be no less than the rows of a key. Places of a key are distinct.
+    Places of a key are distinct.
     """
     priced = place_rows(rows.where(F.col(price).isNotNull()), at, key=key, out="__i", width=1 << 16)
     bars = cut(priced.select(*key, "__i", F.col(price).cast("double").alias("__px"), F.col(at).alias("__at")))

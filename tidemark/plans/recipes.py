@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
-from tidemark.operators import rolling, scans
+from tidemark.operators import chains, rolling, scans
 from tidemark.operators.grid import daily_pivots, higher_timeframe, ordered, up_to_now
 from tidemark.operators.joins import asof_join
 from tidemark.operators.rolling import last_k
@@ -40,9 +40,13 @@ def hysteresis(df: DataFrame, li: Column, lo: Column, si: Column, so: Column) ->
     return lagged(scans.latch(df.withColumns({"__li": li, "__lo": lo, "__si": si, "__so": so}), "__li", "__lo", "__si", "__so", key=KEY))
 
 
-def bracket(df: DataFrame, enter: Column, stop: Column, target: Column, hold: int, *, trail: bool = False, leave: Column | None = None, size: Column | None = None) -> DataFrame:
+def bracket(
+    df: DataFrame, enter: Column, stop: Column, target: Column, hold: int, *, trail: bool = False, leave: Column | None = None, size: Column | None = None, by_chain: bool = False,
+) -> DataFrame:
+    """Positions of ``scans.bracket_latch``; ``by_chain`` finds them without a task for each key."""
     df = df.withColumns({"__in": F.coalesce(enter, F.lit(0)).cast("double"), "__stop": stop.cast("double"), "__target": target.cast("double"), "__leave": F.coalesce(leave, F.lit(False)) if leave is not None else F.lit(False)})
-    df = scans.bracket_latch(df, "__in", "close", "__stop", "__target", hold, key=KEY, trail=trail, exit_flag="__leave")
+    latch = chains.bracket_chain if by_chain else scans.bracket_latch
+    df = latch(df, "__in", "close", "__stop", "__target", hold, key=KEY, trail=trail, exit_flag="__leave")
     return lagged(df if size is None else df.withColumn("latched", _c("latched") * F.coalesce(size, F.lit(1.0))))
 
 
@@ -77,11 +81,11 @@ def band_break_trend(b, k=2.0, hold=96):
 
 
 @recipe
-def camarilla_break(b, k=3.0, hold=24, target_vol=0.5):
+def camarilla_break(b, k=3.0, hold=24, target_vol=0.5, by_chain=False):
     d = ind.rsi(ind.adx(ind.atr(ind.width_rank(ind.camarilla(b, 24), 50))))
     hot = (_c("width_rank") > 0.3) & (_c("adx") > prev("adx"))
     enter = side((_c("close") > _c("cam_r4")) & hot & (_c("rsi") < 80), (_c("close") < _c("cam_s4")) & hot & (_c("rsi") > 20))
-    return bracket(d, enter, k * _c("atr"), F.lit(1e9), hold, trail=True, size=ind.inverse_vol_size(target_vol, F.try_divide(_c("atr"), _c("close"))))
+    return bracket(d, enter, k * _c("atr"), F.lit(1e9), hold, trail=True, size=ind.inverse_vol_size(target_vol, F.try_divide(_c("atr"), _c("close"))), by_chain=by_chain)
 
 
 @recipe
@@ -187,9 +191,9 @@ def pivoted(b: DataFrame) -> DataFrame:
 
 
 @recipe
-def pivot_break(b, stop=0.3, target=0.6, hold=24):
+def pivot_break(b, stop=0.3, target=0.6, hold=24, by_chain=False):
     d = ind.rsi(pivoted(b), smooth="simple", undefined=None)
-    return bracket(d, side((_c("close") > _c("r1")) & (_c("rsi") > 50), (_c("close") < _c("s1")) & (_c("rsi") < 50)), stop * _c("close"), target * _c("close"), hold)
+    return bracket(d, side((_c("close") > _c("r1")) & (_c("rsi") > 50), (_c("close") < _c("s1")) & (_c("rsi") < 50)), stop * _c("close"), target * _c("close"), hold, by_chain=by_chain)
 
 
 @recipe
@@ -266,7 +270,7 @@ def volume_break(b, n=20, surge=1.5, stop=0.3, target=0.6, hold=24, crowd=3, wor
     """Break with volume behind it; spells that start with a crowd after a fall are dropped."""
     d = ind.donchian(b, n)
     busy = F.max(_c("volume") > surge * F.avg("volume").over(last_k(n, KEY))).over(last_k(3, KEY))
-    out = bracket(d, side((_c("close") > _c("dc_up")) & busy, (_c("close") < _c("dc_low")) & busy), stop * _c("close"), target * _c("close"), hold)
+    out = bracket(d, side((_c("close") > _c("dc_up")) & busy, (_c("close") < _c("dc_low")) & busy), stop * _c("close"), target * _c("close"), hold, by_chain=by_chain)
     out = rolling.runs(out, "position", "spell", KEY)
     out = out.withColumn("fresh", (_c("position") < 0) & (_c("spell") != F.coalesce(prev("spell"), F.lit(-1))))
     moves = b.select("symbol", "ts", rolling.simple_return("close", KEY, k=6).alias("m"))

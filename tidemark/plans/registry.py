@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import base
 
-MODULES = ["grid_queries", "window_queries", "metric_queries", "event_queries", "model_queries", "recipes", "store_queries", "report_queries", "desk_queries"]
+MODULES = ["grid_queries", "window_queries", "metric_queries", "event_queries", "model_queries", "recipes", "store_queries", "report_queries", "desk_queries", "chain_queries"]
 
 for _name in MODULES:
     import_module(f"tidemark.plans.{_name}")
