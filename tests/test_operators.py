@@ -113,7 +113,7 @@ def test_noise_is_not_called_skill(spark):
     only = {r["strategy"]: r for r in inference.reality_check(df.where("s <> 'win'"), "s", "x", "i", 200).collect()}
     assert min(r["p_step"] for r in only.values()) > 0.05
     assert min(r["p_step"] for r in got.values()) >= 1 / 201
-    assert only["a"]["p_spa_lower"] <= only["a"]["p_spa"] <= only["a"]["p_spa_upper"]
+    assert only["a"]["p_hansen_lower"] <= only["a"]["p_hansen"] <= only["a"]["p_hansen_upper"]
 
 
 def resampled(x, rng):

@@ -134,6 +134,7 @@ def step_fill_chain(rows: DataFrame, step: float, *, key: list[str], at: str = "
     """
     priced = place_rows(rows.where(F.col(price).isNotNull()), at, key=key, out="__i", width=1 << 16)
     bars = cut(priced.select(*key, "__i", F.col(price).cast("double").alias("__px"), F.col(at).alias("__at")))
+    horizon = (bars.agg(F.max("__i")).first()[0] or 0) + 1  # one number: the rows of the longest key
     hit = first_touch(bars, bars.select(*key, "__i", "__px"), horizon, lambda k, _: k["lo"] <= F.col("__px") * (1 - step), key=key, at="__i", high="__px", low="__px", out="__x")
     taken = bars.join(on_chain(hit.select(*key, "__i", "__x"), key=key, place="__i", succ="__x"), [*key, "__i"], "left_semi")
     return rows.join(taken.select(*key, F.col("__at").alias(at)), [*key, at], "left_semi").select(*rows.columns)

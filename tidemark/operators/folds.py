@@ -88,19 +88,26 @@ def label_windows(ts, train_end: str, valid_end: str, test_end: str):
 def overfit_statistics(trials: DataFrame, *, train: str, test: str, trial: str) -> DataFrame:
     """Rank agreement, regression of test on train, and how the best of train fares.
 
-    Ranks break ties by trial. One row; trials are driver-sized, their ranking is not
-    partitioned.
+    ``logit`` is the negative log odds of the share of test values under that of the trial
+    best in training (with half a trial for ties, clipped at half a trial from 0 and 1), so
+    positive means overfit. Ranks break ties by trial. One row; all but ``n`` is null with
+    fewer than four trials. Trials are driver-sized, their ranking is not partitioned.
     """
     t = trials.where(F.col(train).isNotNull() & F.col(test).isNotNull())
-    t = t.withColumns({"__rt": F.row_number().over(Window.orderBy(train, trial)), "__ro": F.row_number().over(Window.orderBy(test, trial))})
-    half = t.agg(F.percentile(train, F.lit(0.5)).alias("__mt"), F.percentile(test, F.lit(0.5)).alias("__mo"), F.count(F.lit(1)).alias("__n"))
+    t = t.withColumns({
+        "__rt": F.row_number().over(Window.orderBy(train, trial)), "__ro": F.row_number().over(Window.orderBy(test, trial)), "__first": F.row_number().over(Window.orderBy(F.desc(train), trial)),
+    })
+    best = F.max(F.when(F.col("__first") == 1, F.col(test)))
+    half = t.agg(F.percentile(train, F.lit(0.5)).alias("__mt"), F.percentile(test, F.lit(0.5)).alias("__mo"), F.count(F.lit(1)).alias("__n"), best.alias("__best"))
     t = t.join(F.broadcast(half))
     top = F.col(train) >= F.col("__mt")
-    best = F.max_by("__ro", F.struct("__rt"))
-    omega = best / (F.first("__n") + 1)
+    n, eps = F.first("__n"), 1 / (2 * F.first("__n"))
+    under = (F.count(F.when(F.col(test) < F.col("__best"), 1)) + 0.5) / n
+    under = F.greatest(eps, F.least(1 - eps, under))
+    known = lambda c: F.when(n >= 4, c)
     return t.agg(
-        F.first("__n").alias("n"), F.corr("__rt", "__ro").alias("spearman"), F.regr_slope(test, train).alias("slope"), F.regr_intercept(test, train).alias("intercept"),
-        (F.avg(F.when(top, (F.col(test) < F.col("__mo")).cast("double"))) * 100).alias("top_below_median_pct"), F.log(omega / (1 - omega)).alias("logit"),
-        (F.max(train) - F.max_by(test, F.struct(train, trial))).alias("best_gap"),
-        (F.max_by(test, F.struct(train, trial)) - F.first("__mo")).alias("best_over_median"), (F.max(test) - F.first("__mo")).alias("selection_inflation"),
+        F.count(F.lit(1)).alias("n"), known(F.corr("__rt", "__ro")).alias("spearman"), known(F.regr_slope(test, train)).alias("slope"), known(F.regr_intercept(test, train)).alias("intercept"),
+        known(F.avg(F.when(top, (F.col(test) < F.col("__mo")).cast("double"))) * 100).alias("top_below_median_pct"), known(-F.log(under / (1 - under))).alias("logit"),
+        known(F.max(train) - F.first("__best")).alias("best_gap"), known(F.first("__best") - F.first("__mo")).alias("best_over_median"),
+        known(F.max(test) - F.first("__mo")).alias("selection_inflation"),
     )

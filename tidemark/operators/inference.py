@@ -161,12 +161,16 @@ def interval(replicates: DataFrame, x: str, level: float = 0.95, key: tuple[str,
 
 
 def reality_check(returns: DataFrame, strategy: str, r: str, ts: str, replicates: int, *, seed: int = 1) -> DataFrame:
-    """White, Hansen (three centrings) and step-down p-values from joint resamples.
+    """White, superior-predictive-ability (masks and centrings) and step-down p-values from joint resamples.
 
+    ``p_spa_lower`` takes the largest studentised resample over all strategies, ``p_spa`` over those
+    with t at or over -sqrt(2 ln ln n), ``p_spa_upper`` over those with a mean of 0 or more, so
+    lower >= spa >= upper. ``p_hansen_lower``, ``p_hansen`` and ``p_hansen_upper`` keep all strategies and
+    shift poor ones by their t instead (Hansen 2005), so lower <= hansen <= upper.
     ``returns`` is long: (strategy, ts, r); times that miss a strategy are left out.
     Replicates draw times, so strategies keep their dependence. p-values are
     (k + 1) / (replicates + 1). (strategy, mean, t, p_reality, p_spa_lower, p_spa,
-    p_spa_upper, p_step).
+    p_spa_upper, p_hansen_lower, p_hansen, p_hansen_upper, p_step).
     """
     x = returns.where(F.col(r).isNotNull()).groupBy(F.col(ts).alias("__ts"), F.col(strategy).alias("strategy")).agg(F.first(r).cast("double").alias("x"))
     m = x.select("strategy").distinct().count()
@@ -177,28 +181,32 @@ def reality_check(returns: DataFrame, strategy: str, r: str, ts: str, replicates
     draws = stationary_draws(times, replicates, key=[], at="__at", n="__n", seed=seed)
     drawn = draws.join(rows.select(F.col("__at").alias("at"), "strategy", "x"), "at").groupBy("strategy", "replicate").agg(F.avg("x").alias("y"))
     d = drawn.join(means, "strategy").withColumn("d", F.sqrt("n") * (F.col("y") - F.col("mean")))
-    sds = d.groupBy("strategy").agg(F.greatest(F.lit(1e-12), F.stddev_pop("d")).alias("s"))
+    sds = d.groupBy("strategy").agg(F.greatest(F.lit(1e-12), F.stddev_samp("d")).alias("s"))
     one = means.join(sds, "strategy").withColumns({"v": F.sqrt("n") * F.col("mean"), "t": F.sqrt("n") * F.col("mean") / F.col("s")})
     bound = -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(16)))))
     one = one.withColumns({
         "shift_lower": F.least("t", F.lit(0.0)), "shift": F.when(F.col("t") <= bound, F.col("t")).otherwise(0.0),
+        "fair": F.col("t") >= -F.sqrt(2 * F.log(F.greatest(F.lit(1.0), F.log(F.greatest(F.col("n"), F.lit(3)))))),
         "rank": F.row_number().over(Window.orderBy(F.col("t").desc(), "strategy")),  # one row a strategy
     })
     z = d.select("strategy", "replicate", "d").join(one, "strategy").withColumn("z", F.col("d") / F.col("s"))
     zero = F.lit(0.0)
     best = z.groupBy("replicate").agg(
         F.max("d").alias("b"), F.greatest(zero, F.max(F.col("z") + F.col("shift_lower"))).alias("b_lower"), F.greatest(zero, F.max(F.col("z") + F.col("shift"))).alias("b_mid"), F.greatest(zero, F.max("z")).alias("b_upper"), F.max("v").alias("v"),
-        F.greatest(zero, F.max("t")).alias("t_best"),
+        F.greatest(zero, F.max("t")).alias("t_best"), F.max("z").alias("m_all"), F.max(F.when(F.col("fair"), F.col("z"))).alias("m_fair"), F.max(F.when(F.col("mean") >= 0, F.col("z"))).alias("m_good"),
+        F.max("t").alias("t_max"),
     )
     p = lambda hit: (F.count(F.when(hit, 1)) + 1) / (F.count(F.lit(1)) + 1)
     joint = best.agg(
-        p(F.col("b") >= F.col("v")).alias("p_reality"), p(F.col("b_lower") >= F.col("t_best")).alias("p_spa_lower"), p(F.col("b_mid") >= F.col("t_best")).alias("p_spa"), p(F.col("b_upper") >= F.col("t_best")).alias("p_spa_upper")
+        p(F.col("b") >= F.col("v")).alias("p_reality"), p(F.col("b_lower") >= F.col("t_best")).alias("p_hansen_lower"), p(F.col("b_mid") >= F.col("t_best")).alias("p_hansen"),
+        p(F.col("b_upper") >= F.col("t_best")).alias("p_hansen_upper"), p(F.col("m_all") >= F.col("t_max")).alias("p_spa_lower"), p(F.col("m_fair") >= F.col("t_max")).alias("p_spa"),
+        p(F.col("m_good") >= F.col("t_max")).alias("p_spa_upper"),
     )
     rest = Window.partitionBy("replicate").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
     step = z.withColumn("__b", F.max("z").over(rest)).groupBy("strategy", "rank").agg(p(F.col("__b") >= F.col("t")).alias("__p"))
     step = step.withColumn("p_step", F.max("__p").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     out = one.select("strategy", "mean", "t").join(step.select("strategy", "p_step"), "strategy").join(F.broadcast(joint))
-    return out.select("strategy", "mean", "t", "p_reality", "p_spa_lower", "p_spa", "p_spa_upper", "p_step")
+    return out.select("strategy", "mean", "t", "p_reality", "p_spa_lower", "p_spa", "p_spa_upper", "p_hansen_lower", "p_hansen", "p_hansen_upper", "p_step")
 
 
 def cluster_bootstrap(groups: DataFrame, replicates: int, *, order: list[str], seed: int = 1) -> DataFrame:

@@ -8,23 +8,56 @@ from pyspark.sql import functions as F
 from tidemark.operators.joins import range_join
 
 
-def zones(swings: DataFrame, every: int, life: int, tol: float, least: int, *, key: list[str]) -> DataFrame:
+def _anchored(prices: Column, tol: float) -> Column:
+    """(total, n) of greedy zones over ascending prices: a price joins while it is within ``tol`` of the zone's first."""
+    kind = "array<struct<anchor: double, total: double, n: bigint>>"
+
+    def zone(anchor: Column, total: Column, n: Column) -> Column:
+        return F.array(F.struct(anchor.alias("anchor"), total.alias("total"), n.alias("n")))
+
+    def take(found: Column, x: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        near = F.coalesce(F.try_divide(x - last["anchor"], last["anchor"]) <= tol, F.lit(False))
+        grown = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), zone(last["anchor"], last["total"] + x, last["n"] + 1))
+        return F.when(near, grown).otherwise(F.concat(found, zone(x, x, F.lit(1).cast("long"))))
+
+    return F.aggregate(prices, F.array().cast(kind), take)
+
+
+def _merged(prices: Column, tol: float) -> Column:
+    """(total, n) of zones over ascending prices: the two with the smallest relative gap merge, while it is at most ``tol``."""
+    mean = lambda z: z["total"] / z["n"]
+    start = F.transform(prices, lambda x: F.struct(x.alias("total"), F.lit(1).cast("long").alias("n")))
+
+    def merge(z: Column, _: Column) -> Column:
+        gaps = F.transform(z, lambda c, i: F.try_divide(mean(F.get(z, i + 1)) - mean(c), mean(c)))  # null after the last
+        least = F.array_min(gaps)
+        j = F.array_position(gaps, least).cast("int")
+        a, b = F.get(z, j - 1), F.get(z, j)
+        both = F.array(F.struct((a["total"] + b["total"]).alias("total"), (a["n"] + b["n"]).alias("n")))
+        joined = F.concat(F.slice(z, F.lit(1), j - 1), both, F.slice(z, j + 2, F.greatest(F.size(z) - j - 1, F.lit(0))))
+        return F.when(F.coalesce(least <= tol, F.lit(False)), joined).otherwise(z)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(prices) - 1, F.lit(1))), start, merge)
+
+
+def zones(swings: DataFrame, every: int, life: int, tol: float, least: int, *, key: list[str], merge: str = "anchor") -> DataFrame:
     """(key, at, level, strength): swings confirmed in the last ``life`` bars, clustered every ``every`` bars.
 
-    Prices within ``tol`` of the one below belong to one zone; a zone is the mean of
-    its swings, with ``least`` of them or more, from ``at`` for ``every`` bars. Every
-    swing is dealt to the life / every recomputations that see it, so a zone is a
-    window over few rows and no key is gathered.
+    With ``merge`` "anchor" a price belongs to a zone while it is at most ``tol`` above the
+    zone's first; with "centroid" neighbouring zones merge, smallest relative gap of their means first,
+    while that is at most ``tol``. A zone is the mean of its swings, with ``least`` of them or
+    more, from ``at`` for ``every`` bars. Every swing is dealt to the life / every recomputations
+    that see it; one of these holds the swings of ``life`` bars, so no key is gathered.
     """
     s = swings.where("is_high OR is_low").select(*key, F.col("confirmed_idx").cast("long").alias("c"), F.explode(F.filter(F.array(F.when(F.col("is_high"), F.col("high")), F.when(F.col("is_low"), F.col("low"))), lambda x: x.isNotNull())).alias("price"))
     first = F.ceil(F.col("c") / every).cast("long")
     last = F.floor((F.col("c") + life - 1) / every).cast("long")
     dealt = s.where(last >= first).withColumn("at", F.explode(F.sequence(first, last))).withColumn("at", F.col("at") * every)
-    w = Window.partitionBy(*key, "at").orderBy("price", "c")
-    gap = F.try_divide(F.col("price"), F.lag("price").over(w)) - 1
-    dealt = dealt.withColumn("__n", F.when(gap <= tol, 0).otherwise(1)).withColumn("__z", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = dealt.groupBy(*key, "at", "__z").agg(F.avg("price").alias("level"), F.count(F.lit(1)).alias("strength"))
-    return g.where(F.col("strength") >= least).drop("__z")
+    prices = dealt.groupBy(*key, "at").agg(F.sort_array(F.collect_list(F.col("price").cast("double"))).alias("__p"))  # bounded by ``life``
+    found = {"anchor": _anchored, "centroid": _merged}[merge](F.col("__p"), tol)
+    g = prices.withColumn("__z", F.explode(found)).select(*key, "at", (F.col("__z.total") / F.col("__z.n")).alias("level"), F.col("__z.n").alias("strength"))
+    return g.where(F.col("strength") >= least)
 
 
 def strongest(found: DataFrame, m: int, *, key: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -48,34 +50,59 @@ def precision_recall(scored: DataFrame, p: str, label: str, threshold: float = 0
     return scored.agg((tp / F.nullif(F.count(F.when(hit, 1)), F.lit(0))).alias("precision"), (tp / F.nullif(F.count(F.when(real, 1)), F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("n"))
 
 
-#: Groups within which a feature's values are dealt anew.
-SHUFFLE_GROUPS = 256
+#: Rows of one ranking task when values are dealt anew.
+SHUFFLE_ROWS = 4096
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, *, order: list[str], seed: int = 1) -> DataFrame:
-    """Rise of the log loss when one feature's values are shuffled.
+def _shuffled_place(df: DataFrame, out: str, n: int, name: list, order: list[str]) -> DataFrame:
+    """``df`` numbered from 0 by the MD5 of ``name`` and ``order``: one permutation of all rows.
 
-    Values move within ``SHUFFLE_GROUPS`` random groups of rows, so that each ranking is
-    of one group and the work spreads.
+    Rows are ranked within blocks of neighbouring hashes, about ``SHUFFLE_ROWS`` each; what lies
+    before a block is a running sum over one small row a block.
     """
-    eps = 1e-9
-
-    def loss(d: DataFrame, name: str) -> DataFrame:
-        q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
-        return predict(model, d).agg(F.lit(name).alias("feature"), F.avg(-F.when(F.col(label) == 1, F.log(q)).otherwise(F.log(1 - q))).alias("loss"))
-
-    group = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(SHUFFLE_GROUPS)).alias("__g")
-    w = Window.partitionBy("__g")
-    at = df.withColumn("__g", group).withColumn("__i", F.row_number().over(w.orderBy(*order)))
-    out = loss(df, "")
-    base = out.select(F.col("loss").alias("base"))
+    blocks = max(1, -(-n // SHUFFLE_ROWS))
+    digest = F.md5(F.concat_ws(":", *[F.lit(x) for x in name], *order))
+    block = F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * blocks / (1 << 32))
+    d = df.withColumn("__h", digest).withColumn("__b", block)
+    sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *order)) - 1
+    placed = d.withColumn("__i", inside).join(sizes.select("__b", before.alias("__o")), "__b")
+    return placed.withColumn(out, F.col("__i") + F.col("__o")).drop("__h", "__b", "__i", "__o")
+
+
+def permutation_importance(
+    model: PipelineModel | Callable[[DataFrame], DataFrame], df: DataFrame, features: list[str], label: str, *, order: list[str], seed: int = 1, repeats: int = 1, score: str = "log_loss",
+) -> DataFrame:
+    """(feature, importance): how much worse ``model`` does when one feature's values are permuted.
+
+    ``model`` is a fitted pipeline or a function that adds ``p``. With ``score`` "log_loss" the
+    importance is the rise of the log loss of ``p`` on a 0/1 label, with "r2" the fall of the
+    coefficient of determination. It is the mean over ``repeats`` permutations, each of all rows
+    whatever their number. ``order`` names a row; rows that agree in it are permuted in any order.
+    """
+    eps, n = 1e-9, df.count()
+    apply = model if callable(model) and not hasattr(model, "stages") else (lambda d: predict(model, d))
+
+    def cost(d: DataFrame, name: str) -> DataFrame:
+        d = apply(d)
+        if score == "log_loss":
+            q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
+            c = F.avg(-F.when(F.col(label) == 1, F.log(q)).otherwise(F.log(1 - q)))
+        else:
+            c = F.sum(F.pow(F.col(label) - F.col("p"), 2)) / F.nullif(F.var_pop(label) * F.count(label), F.lit(0.0))
+        return d.agg(F.lit(name).alias("feature"), c.alias("cost"))
+
+    at = _shuffled_place(df, "__at", n, [seed, "rows"], order)
+    base = cost(df, "").select(F.col("cost").alias("base"))
     rows = None
-    for i, f in enumerate(features):
-        mixed = df.select(group, F.col(f).alias("__v"), *order).withColumn("__i", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1 + i), *order)))).select("__g", "__i", "__v")
-        shuffled = at.drop(f).join(mixed, ["__g", "__i"]).withColumnRenamed("__v", f)
-        one = loss(shuffled.select(*df.columns), f)
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.join(F.broadcast(base)).select("feature", (F.col("loss") - F.col("base")).alias("importance"))
+    for f in features:
+        for k in range(repeats):
+            mixed = _shuffled_place(df.select(F.col(f).alias("__v"), *order), "__at", n, [seed, k, f], order).select("__at", "__v")
+            one = cost(at.drop(f).join(mixed, "__at").withColumnRenamed("__v", f).select(*df.columns), f)
+            rows = one if rows is None else rows.unionByName(one)
+    mean = rows.groupBy("feature").agg(F.avg("cost").alias("cost"))
+    return mean.join(F.broadcast(base)).select("feature", (F.col("cost") - F.col("base")).alias("importance"))
 
 
 def decile_lift(scored: DataFrame, p: str, outcome: str, *, key: list[str]) -> DataFrame:

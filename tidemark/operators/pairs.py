@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators.inference import normal_cdf
 from tidemark.operators.joins import symbol_pairs
 
 
@@ -25,14 +31,71 @@ def residuals(pairs: DataFrame, fits: DataFrame, *, on: list[str]) -> DataFrame:
 
 
 def dickey_fuller(resid: DataFrame, x: str, *, key: list[str], ts: str = "ts") -> DataFrame:
-    """Slope of change on level without a constant, its t, rho and half-life, from sums."""
+    """(key, n, rho, t, half_life): change on level with a constant, from sums.
+
+    ``rho`` is the slope, the coefficient of the residual on itself less one, and ``t`` its t
+    with n - 2 degrees of freedom; half-life is ln 0.5 / ln(1 + rho) rows where -1 < rho < 0.
+    """
     w = Window.partitionBy(*key).orderBy(ts)
-    d = resid.withColumn("__l", F.lag(x).over(w)).where("__l IS NOT NULL").withColumn("__d", F.col(x) - F.col("__l"))
-    s = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__l") * F.col("__l")).alias("sxx"), F.sum(F.col("__l") * F.col("__d")).alias("sxy"), F.sum(F.col("__d") * F.col("__d")).alias("syy"))
-    b = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
-    s = s.withColumn("b", b).withColumn("__s2", (F.col("syy") - F.col("b") * F.col("sxy")) / F.nullif(F.col("n") - 1, F.lit(0)))
-    s = s.withColumn("t", F.col("b") / F.sqrt(F.nullif(F.col("__s2") / F.col("sxx"), F.lit(0.0)))).withColumn("rho", 1 + F.col("b"))
-    return s.withColumn("half_life", F.when((F.col("b") < 0) & (F.col("b") > -1), -F.log(F.lit(2.0)) / F.log(1 + F.col("b")))).drop("sxx", "sxy", "syy", "__s2")
+    d = resid.withColumn("__l", F.lag(x).over(w)).where(F.col("__l").isNotNull() & F.col(x).isNotNull()).withColumn("__d", F.col(x) - F.col("__l"))
+    s = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.regr_sxx("__d", "__l").alias("__sxx"), F.regr_sxy("__d", "__l").alias("__sxy"), F.regr_syy("__d", "__l").alias("__syy"))
+    s = s.withColumn("rho", F.col("__sxy") / F.nullif(F.col("__sxx"), F.lit(0.0)))
+    s2 = (F.col("__syy") - F.col("rho") * F.col("__sxy")) / F.nullif(F.col("n") - 2, F.lit(0))
+    s = s.withColumn("t", F.col("rho") / F.nullif(F.sqrt(s2 / F.nullif(F.col("__sxx"), F.lit(0.0))), F.lit(0.0)))
+    return s.withColumn("half_life", F.when((F.col("rho") < 0) & (F.col("rho") > -1), -F.log(F.lit(2.0)) / F.log(1 + F.col("rho")))).drop("__sxx", "__sxy", "__syy")
+
+
+def unit_root_lags(resid: DataFrame, x: str, lags: int, *, key: list[str], ts: str = "ts") -> DataFrame:
+    """(key, n, rho, t, p): augmented Dickey-Fuller with a constant and ``lags`` lagged changes.
+
+    Each row adds to the Gram matrix of (1, level, lagged changes, change), sums that merge in
+    any order; one small system is solved for each key. ``p`` is MacKinnon's (1994) approximation for
+    one series with a constant. Keys with no more rows than coefficients give null statistics.
+    """
+    w = Window.partitionBy(*key).orderBy(ts)
+    d = resid.where(F.col(x).isNotNull()).select(*key, ts, F.col(x).cast("double").alias("__x"))
+    d = d.withColumn("__x", F.col("__x") - F.avg("__x").over(Window.partitionBy(*key)))
+    d = d.withColumns({"__l": F.lag("__x").over(w)}).withColumn("__d", F.col("__x") - F.col("__l"))
+    names = ["__l", *[f"__d{j}" for j in range(1, lags + 1)], "__d"]
+    d = d.withColumns({f"__d{j}": F.lag("__d", j).over(w) for j in range(1, lags + 1)}).where(F.col(names[-2]).isNotNull())
+    k = len(names)
+    terms = [F.lit(1.0), *[F.col(c) for c in names]]
+    cells = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    g = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(terms[i] * terms[j]) for i, j in cells]).alias("__g"))
+    schema = T.StructType([*[f for f in g.schema.fields if f.name != "__g"], *[T.StructField(c, T.DoubleType()) for c in ("rho", "t")]])
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rho, t = [], []
+            for n, cells_of in zip(pdf["n"], pdf["__g"]):
+                m = np.zeros((k + 1, k + 1))
+                for (i, j), v in zip(cells, cells_of):
+                    m[i, j] = m[j, i] = v
+                free = n - k
+                if free <= 0 or np.linalg.matrix_rank(m[:k, :k]) < k:
+                    rho.append(None)
+                    t.append(None)
+                    continue
+                inverse = np.linalg.inv(m[:k, :k])
+                beta = inverse @ m[:k, k]
+                s2 = max(0.0, m[k, k] - beta @ m[:k, k]) / free
+                rho.append(float(beta[1]))
+                t.append(float(beta[1] / np.sqrt(s2 * inverse[1, 1])) if s2 > 0 else None)
+            yield pdf.drop(columns="__g").assign(rho=pd.array(rho, "Float64"), t=pd.array(t, "Float64"))
+
+    return g.mapInPandas(solve, schema).withColumn("p", unit_root_p(F.col("t")))
+
+
+#: MacKinnon (1994), one series with a constant: bounds of t, where the two polynomials meet, and their coefficients.
+_T_LEAST, _T_MOST, _T_MEET = -18.83, 2.74, -1.61
+_P_LOW = [2.1659, 1.4412, 0.038269]
+_P_HIGH = [1.7339, 0.93202, -0.12745, -0.010368]
+
+
+def unit_root_p(t: Column) -> Column:
+    """Approximate p-value of a unit-root t."""
+    poly = lambda c: sum((F.lit(v) * F.pow(t, F.lit(float(i))) for i, v in enumerate(c)), F.lit(0.0))
+    return F.when(t > _T_MOST, 1.0).when(t < _T_LEAST, 0.0).when(t <= _T_MEET, normal_cdf(poly(_P_LOW))).when(t > _T_MEET, normal_cdf(poly(_P_HIGH)))
 
 
 def half_life(df: DataFrame, x: str, *, key: list[str], ts: str = "ts") -> DataFrame:
@@ -54,13 +117,25 @@ def shuffled_panel(prices: DataFrame, r: str, seed: int, *, key: str = "symbol",
 def trailing_refit(pairs: DataFrame, days: int, *, ts: str = "ts", least: int = 20) -> DataFrame:
     """Residual and z of each day's rows under the regression of the ``days`` days before it.
 
-    A row enters the fits of the ``days`` days after its own, so refits are one grouping;
-    days with under ``least`` rows before them have no fit.
+    A day of a pair is one row of sums about the pair's means; a fit adds the sums of its days,
+    so no row is copied. Days with under ``least`` rows before them have no fit.
     """
     day = F.floor(F.unix_timestamp(ts) / 86_400)
-    dealt = pairs.withColumn("__d", F.explode(F.sequence(day + 1, day + days)))
-    fits = regress(dealt, ["__d"]).where(F.col("n") >= least).select("a", "b", "__d", "alpha", "beta", "resid_sd")
-    rows = pairs.withColumn("__d", day).join(fits, ["a", "b", "__d"])
+    centre = pairs.groupBy("a", "b").agg(F.avg("va").alias("__ma"), F.avg("vb").alias("__mb"))
+    rows = pairs.withColumn("__d", day)
+    y, x = F.col("va") - F.col("__ma"), F.col("vb") - F.col("__mb")
+    sums = rows.join(centre, ["a", "b"]).where("va IS NOT NULL AND vb IS NOT NULL").groupBy("a", "b", "__d").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"), F.first("__ma").alias("__ma"), F.first("__mb").alias("__mb"),
+    )
+    asked = rows.select("a", "b", "__d").distinct()
+    past = Window.partitionBy("a", "b").orderBy("__d").rangeBetween(-days, -1)
+    total = asked.join(sums, ["a", "b", "__d"], "left")
+    total = total.select("a", "b", "__d", *[F.sum(c).over(past).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy")], *[F.max(c).over(Window.partitionBy("a", "b")).alias(c) for c in ("__ma", "__mb")])
+    n, sxx = F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    sxy, syy = F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    fits = total.where(n >= least).withColumn("beta", sxy / F.nullif(sxx, F.lit(0.0)))
+    fits = fits.withColumns({"alpha": F.col("__ma") + F.col("sy") / n - F.col("beta") * (F.col("__mb") + F.col("sx") / n), "resid_sd": F.sqrt(F.greatest(F.lit(0.0), syy - F.col("beta") * sxy) / n)})
+    rows = rows.join(fits.select("a", "b", "__d", "alpha", "beta", "resid_sd"), ["a", "b", "__d"])
     resid = F.col("va") - F.col("alpha") - F.col("beta") * F.col("vb")
     return rows.withColumn("resid", resid).withColumn("z", resid / F.nullif(F.col("resid_sd"), F.lit(0.0))).drop("__d")
 

@@ -69,6 +69,24 @@ def decile_lift(spark, sf):
     return meta.decile_lift(d, "v", "f", key=KEY)
 
 
+def _permuted(feature: str) -> str:
+    return f"SELECT symbol, t, {feature} AS v, row_number() OVER (ORDER BY md5(concat_ws(':', 1, 0, '{feature}', symbol, t)), symbol, t) AS i FROM x"
+
+
+_IMPORTANCE = RETS + f""", x AS (SELECT symbol, t, volume, r, lead(r) OVER w AS y FROM rets {W} QUALIFY r IS NOT NULL AND y IS NOT NULL),
+ a AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', 1, 'rows', symbol, t)), symbol, t) AS i FROM x), pv AS ({_permuted('volume')}), pr AS ({_permuted('r')}),
+ e AS (SELECT '' AS feature, y, -0.4 * r + 0.01 * volume AS p FROM x UNION ALL SELECT 'volume', y, -0.4 * a.r + 0.01 * pv.v FROM a JOIN pv USING (i) UNION ALL SELECT 'r', y, -0.4 * pr.v + 0.01 * a.volume FROM a JOIN pr USING (i)),
+ c AS (SELECT feature, sum(pow(y - p, 2)) / (var_pop(y) * count(y)) AS cost FROM e GROUP BY 1)"""
+
+
+@query("permutation_importance", out(_IMPORTANCE, "feature", "importance", "SELECT feature, cost - (SELECT cost FROM c WHERE feature = '') AS importance FROM c WHERE feature <> ''"))
+def permutation_importance(spark, sf):
+    """What a fixed linear forecast of the next return loses in R2 when a feature is permuted."""
+    d = with_returns(spark, sf).withColumn("y", F.lead("r").over(ordered(KEY))).where("r IS NOT NULL AND y IS NOT NULL")
+    d = d.select("symbol", F.unix_timestamp("ts").alias("t"), "volume", "r", "y")
+    return meta.permutation_importance(lambda x: x.withColumn("p", -0.4 * F.col("r") + 0.01 * F.col("volume")), d, ["volume", "r"], "y", order=["symbol", "t"], score="r2")
+
+
 @query("candidate_scores", out(RETS + ", c AS (SELECT k AS candidate, symbol, avg(CASE WHEN volume >= a THEN r END) * 100 AS m, count(*) FILTER (volume >= a) AS n FROM rets CROSS JOIN (VALUES (0::BIGINT, 5.0::DOUBLE), (1, 10.0), (2, 15.0), (3, 20.0)) v(k, a) GROUP BY 1, 2)", "candidate", "mean std trades score", "SELECT *, mean - 0.5 * std - greatest(0.0, (30 - trades) / 30) AS score FROM (SELECT candidate, avg(m) AS mean, coalesce(stddev_samp(m), 0) AS std, avg(n) AS trades FROM c GROUP BY 1)"))
 def candidate_scores(spark, sf):
     """Volume thresholds on a linear axis, scored over symbols."""

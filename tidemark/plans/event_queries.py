@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import book, events, joins, metrics, orderflow, pairs, returns, rolling, scans
 from tidemark.operators.grid import ordered
 from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, TRADES, W, bars, out, query, ticks, trades, with_returns
+from tidemark.plans.metric_queries import phi
 
 IDX = BARS + ", ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS idx FROM bars)"
 EV = IDX + ", ev AS (SELECT symbol || '-' || idx AS eid, symbol, idx, close FROM ix WHERE volume >= 40)"
@@ -124,11 +125,18 @@ def residuals(spark, sf):
     return r.withColumn("z", F.col("resid") / F.nullif(F.col("resid_sd"), F.lit(0.0)))
 
 
-@query("cointegration_statistics", out(PAIR + ", d AS (SELECT a, b, resid - lag(resid) OVER w AS d, lag(resid) OVER w AS l FROM rs WINDOW w AS (PARTITION BY a, b ORDER BY t)), s AS (SELECT a, b, count(*) AS n, sum(l * l) AS sxx, sum(l * d) AS sxy, sum(d * d) AS syy FROM d WHERE l IS NOT NULL GROUP BY 1, 2)", "a b n", "b1 t rho half_life", "SELECT a, b, n, sxy / sxx AS b1, sxy / sxx / sqrt((syy - sxy / sxx * sxy) / (n - 1) / sxx) AS t, 1 + sxy / sxx AS rho, CASE WHEN sxy / sxx < 0 AND sxy / sxx > -1 THEN -ln(2) / ln(1 + sxy / sxx) END AS half_life FROM s"))
+#: Slope, t and half-life of change ``d`` on level ``l`` with a constant, as text over a table of (d, l).
+_RHO = "regr_slope(d, l)"
+_UNIT_ROOT = f"{_RHO} / sqrt((regr_syy(d, l) - {_RHO} * regr_sxy(d, l)) / (count(*) - 2) / regr_sxx(d, l))"
+_HALF_LIFE = f"CASE WHEN {_RHO} < 0 AND {_RHO} > -1 THEN -ln(2) / ln(1 + {_RHO}) END"
+
+
+@query("cointegration_statistics", out(
+    PAIR + ", d AS (SELECT a, b, resid - lag(resid) OVER w AS d, lag(resid) OVER w AS l FROM rs WINDOW w AS (PARTITION BY a, b ORDER BY t))",
+    "a b n", "t rho half_life", f"SELECT a, b, count(*) AS n, {_UNIT_ROOT} AS t, {_RHO} AS rho, {_HALF_LIFE} AS half_life FROM d WHERE l IS NOT NULL GROUP BY 1, 2",
+))
 def cointegration_statistics(spark, sf):
-    d = residuals(spark, sf).withColumn("pair_b", F.col("b")).withColumn("pair_a", F.col("a")).drop("a", "b")
-    d = pairs.dickey_fuller(d, "resid", key=["pair_a", "pair_b"])
-    return d.select(F.col("pair_a").alias("a"), F.col("pair_b").alias("b"), "n", F.col("b").alias("b1"), "t", "rho", "half_life")
+    return pairs.dickey_fuller(residuals(spark, sf), "resid", key=["a", "b"])
 
 
 @query("half_lives", out(PAIR + ", d AS (SELECT a, b, resid - lag(resid) OVER w AS d, lag(resid) OVER w AS l FROM rs WINDOW w AS (PARTITION BY a, b ORDER BY t))", "a b", "slope half_life", "SELECT a, b, regr_slope(d, l) AS slope, CASE WHEN regr_slope(d, l) < 0 AND regr_slope(d, l) > -1 THEN -ln(2) / ln(1 + regr_slope(d, l)) END AS half_life FROM d GROUP BY 1, 2"))
@@ -141,19 +149,52 @@ def reversion_curve(spark, sf):
     return pairs.reversion_curve(residuals(spark, sf), "z", [1, 6], 0.5, key=["a", "b"])
 
 
-WEEKS = PAIR + ", fm AS (SELECT a, b, t // 604800 AS w, regr_slope(va, vb) AS beta, regr_intercept(va, vb) AS alpha FROM pp GROUP BY 1, 2, 3), rw AS (SELECT pp.a, pp.b, w, t, va - alpha - beta * vb AS resid FROM pp JOIN fm ON pp.a = fm.a AND pp.b = fm.b AND t // 604800 = w), d AS (SELECT a, b, w, resid - lag(resid) OVER k AS d, lag(resid) OVER k AS l FROM rw WINDOW k AS (PARTITION BY a, b, w ORDER BY t)), s AS (SELECT a, b, w, count(*) AS n, sum(l * l) AS sxx, sum(l * d) AS sxy, sum(d * d) AS syy FROM d WHERE l IS NOT NULL GROUP BY 1, 2, 3), st AS (SELECT a, b, w, sxy / sxx / sqrt((syy - sxy / sxx * sxy) / (n - 1) / sxx) AS score, CASE WHEN sxy / sxx < 0 AND sxy / sxx > -1 THEN -ln(2) / ln(1 + sxy / sxx) END AS half_life FROM s WHERE n >= 20), ch AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score, a, b) AS rank FROM st WHERE score <= -3 AND half_life BETWEEN 0.05 AND 24)"
-
-
-@query("pair_formation", out(WEEKS, "a b trade_week rank n", "half_life drift", "SELECT ch.a, ch.b, (ch.w + 1)::BIGINT AS trade_week, rank, count(*) AS n, any_value(half_life) AS half_life, avg(va - alpha - beta * vb) AS drift FROM ch JOIN fm ON fm.a = ch.a AND fm.b = ch.b AND fm.w = ch.w JOIN pp ON pp.a = ch.a AND pp.b = ch.b AND t // 604800 = ch.w + 1 WHERE rank <= 3 GROUP BY ch.a, ch.b, ch.w, rank"))
+def unit_root_sql(source: str, by: str, lags: int) -> str:
+    """CTEs from ``source`` (``by``, t, resid) to ``ur`` (``by``, n, rho, ut, p): the lagged changes are taken out one by one, then change on level."""
+    names = [f"d{j}" for j in range(1, lags + 1)]
+    over = f"OVER (PARTITION BY {by})"
+    rest = ["l", "d"]
+    ctes = f"u0 AS (SELECT {by}, t, lag(resid) OVER k AS l, resid - lag(resid) OVER k AS d FROM {source} WINDOW k AS (PARTITION BY {by} ORDER BY t)), "
+    ctes += f"u1 AS (SELECT *, {', '.join(f'lag(d, {j}) OVER k AS d{j}' for j in range(1, lags + 1))} FROM u0 WINDOW k AS (PARTITION BY {by} ORDER BY t)), "
+    ctes += f"g0 AS (SELECT {by}, {', '.join(f'{c} - avg({c}) {over} AS {c}' for c in names + rest)} FROM u1 WHERE d{lags} IS NOT NULL)"
+    for j, q in enumerate(names):
+        left = names[j + 1 :] + rest
+        ctes += f", g{j + 1} AS (SELECT {by}, {', '.join(f'{c} - sum({c} * {q}) {over} / sum({q} * {q}) {over} * {q} AS {c}' for c in left)} FROM g{j})"
+    free = lags + 2
+    ctes += f", ur AS (SELECT *, rho / sqrt((syy - rho * sxy) / (n - {free}) / sxx) AS ut FROM (SELECT {by}, count(*) AS n, sum(l * d) / sum(l * l) AS rho, sum(l * l) AS sxx, sum(l * d) AS sxy, sum(d * d) AS syy FROM g{lags} GROUP BY {by} HAVING count(*) > {free}))"
+    low, high = "2.1659 + 1.4412 * ut + 0.038269 * ut * ut", "1.7339 + 0.93202 * ut - 0.12745 * ut * ut - 0.010368 * ut * ut * ut"
+    return ctes + f", up AS (SELECT *, CASE WHEN ut > 2.74 THEN 1.0 WHEN ut < -18.83 THEN 0.0 WHEN ut <= -1.61 THEN {phi(low)} ELSE {phi(high)} END AS p FROM ur)"
+
+
+@query("unit_root_lags", out(PAIR + ", " + unit_root_sql("rs", "a, b", 6), "a b n", "rho t p", "SELECT a, b, n, rho, ut AS t, p FROM up"))
+def unit_root_lags(spark, sf):
+    return pairs.unit_root_lags(residuals(spark, sf), "resid", 6, key=["a", "b"])
+
+
+WEEKS = (
+    PAIR + ", fm AS (SELECT a, b, t // 604800 AS w, regr_slope(va, vb) AS beta, regr_intercept(va, vb) AS alpha FROM pp GROUP BY 1, 2, 3), "
+    "rw AS (SELECT pp.a, pp.b, w, t, va - alpha - beta * vb AS resid FROM pp JOIN fm ON pp.a = fm.a AND pp.b = fm.b AND t // 604800 = w), "
+    "dw AS (SELECT a, b, w, resid - lag(resid) OVER k AS d, lag(resid) OVER k AS l FROM rw WINDOW k AS (PARTITION BY a, b, w ORDER BY t)), "
+    f"hl AS (SELECT a, b, w, {_HALF_LIFE} AS half_life FROM dw WHERE l IS NOT NULL GROUP BY 1, 2, 3), " + unit_root_sql("rw", "a, b, w", 6) +
+    ", ch AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY p, a, b) AS rank FROM up JOIN hl USING (a, b, w) WHERE n >= 20 AND p <= 0.2 AND half_life BETWEEN 0.05 AND 24)"
+)
+
+
+@query("pair_formation", out(
+    WEEKS, "a b trade_week rank n", "half_life drift",
+    "SELECT ch.a, ch.b, (ch.w + 1)::BIGINT AS trade_week, rank, count(*) AS n, any_value(half_life) AS half_life, avg(va - alpha - beta * vb) AS drift FROM ch JOIN fm ON fm.a = ch.a AND fm.b = ch.b AND fm.w = ch.w "
+    "JOIN pp ON pp.a = ch.a AND pp.b = ch.b AND t // 604800 = ch.w + 1 WHERE rank <= 3 GROUP BY ch.a, ch.b, ch.w, rank",
+))
 def pair_formation(spark, sf):
-    """Pairs formed on each week and followed through the next with the coefficients frozen."""
+    """Pairs formed on each week by the unit-root test with six lags, and followed through the next with the coefficients frozen."""
     p = joins.symbol_pairs(bars(spark, sf).withColumn("lp", F.log1p("close")), "lp").withColumn("w", F.floor(F.unix_timestamp("ts") / 604800))
     fits = pairs.regress(p, ["w"])
-    r = pairs.residuals(p, fits, on=["a", "b", "w"]).withColumnsRenamed({"a": "pa", "b": "pb"})
-    stats = pairs.dickey_fuller(r, "resid", key=["pa", "pb", "w"]).where("n >= 20").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "w", F.col("t").alias("score"), "half_life")
-    chosen = pairs.top_pairs(stats, F.lit(-3.0), 0.05, 24.0, 3, by="score", window=["w"])
-    frozen = chosen.join(fits.select("a", "b", "w", "alpha", "beta"), ["a", "b", "w"]).withColumn("w", F.col("w") + 1)
-    d = p.join(frozen, ["a", "b", "w"]).groupBy("a", "b", F.col("w").alias("trade_week"), "rank")
+    r = pairs.residuals(p, fits, on=["a", "b", "w"])
+    by = ["a", "b", "w"]
+    stats = pairs.unit_root_lags(r, "resid", 6, key=by).where("n >= 20").join(pairs.dickey_fuller(r, "resid", key=by).select(*by, "half_life"), by)
+    chosen = pairs.top_pairs(stats, F.lit(0.2), 0.05, 24.0, 3, by="p", window=["w"])
+    frozen = chosen.select(*by, "rank", "half_life").join(fits.select(*by, "alpha", "beta"), by).withColumn("w", F.col("w") + 1)
+    d = p.join(frozen, by).groupBy("a", "b", F.col("w").alias("trade_week"), "rank")
     return d.agg(F.count(F.lit(1)).alias("n"), F.first("half_life").alias("half_life"), F.avg(F.col("va") - F.col("alpha") - F.col("beta") * F.col("vb")).alias("drift"))
 
 
@@ -183,10 +224,10 @@ def pair_trades(spark, sf):
     return pairs.pair_trades(residuals(spark, sf).select("a", "b", "ts", "resid", "z"), "z", 2.0, 0.5, 4.0, 48, key=["a", "b"])
 
 
-_SHUFFLED = RETS + ", sx AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM rets WHERE r IS NOT NULL), sy AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws(':', 7, t, symbol)), t) AS i FROM rets WHERE r IS NOT NULL), sp AS (SELECT sx.symbol, sx.t, sum(sy.r) OVER (PARTITION BY sx.symbol ORDER BY sx.t) AS lp FROM sx JOIN sy ON sy.symbol = sx.symbol AND sy.i = sx.i), pp AS (SELECT x.symbol AS a, y.symbol AS b, x.t, x.lp AS va, y.lp AS vb FROM sp x JOIN sp y ON x.t = y.t AND x.symbol < y.symbol), ft AS (SELECT a, b, regr_slope(va, vb) AS beta, regr_intercept(va, vb) AS alpha FROM pp GROUP BY 1, 2), rs AS (SELECT a, b, t, va - alpha - beta * vb AS resid FROM pp JOIN ft USING (a, b)), dl AS (SELECT a, b, resid - lag(resid) OVER k AS d, lag(resid) OVER k AS l FROM rs WINDOW k AS (PARTITION BY a, b ORDER BY t)), sm AS (SELECT a, b, count(*) AS n, sum(l * l) AS sxx, sum(l * d) AS sxy, sum(d * d) AS syy FROM dl WHERE l IS NOT NULL GROUP BY 1, 2)"
+_SHUFFLED = RETS + ", sx AS (SELECT symbol, t, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM rets WHERE r IS NOT NULL), sy AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws(':', 7, t, symbol)), t) AS i FROM rets WHERE r IS NOT NULL), sp AS (SELECT sx.symbol, sx.t, sum(sy.r) OVER (PARTITION BY sx.symbol ORDER BY sx.t) AS lp FROM sx JOIN sy ON sy.symbol = sx.symbol AND sy.i = sx.i), pp AS (SELECT x.symbol AS a, y.symbol AS b, x.t, x.lp AS va, y.lp AS vb FROM sp x JOIN sp y ON x.t = y.t AND x.symbol < y.symbol), ft AS (SELECT a, b, regr_slope(va, vb) AS beta, regr_intercept(va, vb) AS alpha FROM pp GROUP BY 1, 2), rs AS (SELECT a, b, t, va - alpha - beta * vb AS resid FROM pp JOIN ft USING (a, b)), dl AS (SELECT a, b, resid - lag(resid) OVER k AS d, lag(resid) OVER k AS l FROM rs WINDOW k AS (PARTITION BY a, b ORDER BY t))"+f", sm AS (SELECT a, b, {_UNIT_ROOT} AS t FROM dl WHERE l IS NOT NULL GROUP BY 1, 2)"
 
 
-@query("shuffled_panel_cutoff", out(_SHUFFLED, "", "cutoff", "SELECT quantile_cont(sxy / sxx / sqrt((syy - sxy / sxx * sxy) / (n - 1) / sxx), 0.05) AS cutoff FROM sm", 4))
+@query("shuffled_panel_cutoff", out(_SHUFFLED, "", "cutoff", "SELECT quantile_cont(t, 0.05) AS cutoff FROM sm", 4))
 def shuffled_panel_cutoff(spark, sf):
     """Five-per-cent cutoff of the pair statistic when links between symbols are cut."""
     p = pairs.shuffled_panel(with_returns(spark, sf), "r", 7)

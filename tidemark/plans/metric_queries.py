@@ -173,12 +173,14 @@ def adjusted_p_values(spark, sf):
 
 _OVERFIT = f"""c AS (SELECT symbol || '-' || (t // 3600 % 24) AS trial, {{train}} AS train, {{test}} AS test FROM (SELECT *, CASE WHEN t < epoch(TIMESTAMP '2024-01-20') THEN r END AS a, CASE WHEN t >= epoch(TIMESTAMP '2024-01-20') THEN r END AS b FROM rets) GROUP BY 1),
  k AS (SELECT *, row_number() OVER (ORDER BY train, trial) AS rt, row_number() OVER (ORDER BY test, trial) AS ro FROM c), h AS (SELECT quantile_cont(train, 0.5) AS mt, quantile_cont(test, 0.5) AS mo, count(*) AS n FROM k),
- o AS (SELECT last(ro ORDER BY rt) / (max(n) + 1) AS omega, max(n) AS n, corr(rt, ro) AS spearman, regr_slope(test, train) AS slope, regr_intercept(test, train) AS intercept, avg(CASE WHEN train >= mt THEN (test < mo)::INT END) * 100 AS top_below_median_pct, max(train) - last(test ORDER BY train, trial) AS best_gap, last(test ORDER BY train, trial) - max(mo) AS best_over_median, max(test) - max(mo) AS selection_inflation FROM k CROSS JOIN h)""".format(
+ bt AS (SELECT test AS best FROM k ORDER BY train DESC, trial LIMIT 1),
+ o AS (SELECT max(n) AS n, (count(*) FILTER (test < best) + 0.5) / count(*) AS share, corr(rt, ro) AS spearman, regr_slope(test, train) AS slope, regr_intercept(test, train) AS intercept,
+  avg(CASE WHEN train >= mt THEN (test < mo)::INT END) * 100 AS top_below_median_pct, max(train) - max(best) AS best_gap, max(best) - max(mo) AS best_over_median, max(test) - max(mo) AS selection_inflation FROM k CROSS JOIN h CROSS JOIN bt)""".format(
     train=SHARPE.replace("(r)", "(a)"), test=SHARPE.replace("(r)", "(b)")
 )
 
 
-@query("overfit_statistics", out(RETS + ", " + _OVERFIT, "n", "spearman slope intercept top_below_median_pct logit best_gap best_over_median selection_inflation", "SELECT *, ln(omega / (1 - omega)) AS logit FROM o", 4))
+@query("overfit_statistics", out(RETS + ", " + _OVERFIT, "n", "spearman slope intercept top_below_median_pct logit best_gap best_over_median selection_inflation", "SELECT *, -ln(share / (1 - share)) AS logit FROM o", 4))
 def overfit_statistics(spark, sf):
     r = with_returns(spark, sf).withColumn("trial", F.concat_ws("-", "symbol", F.hour("ts").cast("string")))
     c = r.groupBy("trial").agg(metrics.sharpe(F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp"), F.col("r")), HOUR_PPY).alias("train"), metrics.sharpe(F.when(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"), F.col("r")), HOUR_PPY).alias("test"))
@@ -252,17 +254,17 @@ _P = "(count(*) FILTER ({hit}) + 1) / (count(*) + 1)"
 _REALITY = (
     DAILY + ", xx AS (SELECT symbol AS strategy, t, ret AS x FROM day), nb AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p, count(*) OVER () AS n FROM (SELECT t FROM xx GROUP BY t HAVING count(*) = (SELECT count(DISTINCT strategy) FROM xx))), "
     + draws_sql([], 300, "nb") + ", rw AS (SELECT xx.*, nb.p FROM xx JOIN nb USING (t)), mn AS (SELECT strategy, avg(x) AS mean, count(*) AS n FROM rw GROUP BY 1), "
-    "yy AS (SELECT strategy, rep, avg(x) AS y FROM pk JOIN rw ON rw.p = at_ GROUP BY 1, 2), dd AS (SELECT yy.*, sqrt(n) * (y - mean) AS d FROM yy JOIN mn USING (strategy)), sd AS (SELECT strategy, greatest(1e-12, stddev_pop(d)) AS s FROM dd GROUP BY 1), "
+    "yy AS (SELECT strategy, rep, avg(x) AS y FROM pk JOIN rw ON rw.p = at_ GROUP BY 1, 2), dd AS (SELECT yy.*, sqrt(n) * (y - mean) AS d FROM yy JOIN mn USING (strategy)), sd AS (SELECT strategy, greatest(1e-12, stddev_samp(d)) AS s FROM dd GROUP BY 1), "
     "o1 AS (SELECT strategy, mean, n, sqrt(n) * mean AS v, sqrt(n) * mean / s AS t, s FROM mn JOIN sd USING (strategy)), "
-    "o2 AS (SELECT *, least(t, 0) AS sl, CASE WHEN t <= -sqrt(2 * ln(ln(greatest(n, 16)))) THEN t ELSE 0 END AS sm, row_number() OVER (ORDER BY t DESC, strategy) AS rk FROM o1), "
+    "o2 AS (SELECT *, least(t, 0) AS sl, CASE WHEN t <= -sqrt(2 * ln(ln(greatest(n, 16)))) THEN t ELSE 0 END AS sm, t >= -sqrt(2 * ln(greatest(ln(greatest(n, 3)), 1))) AS fair, row_number() OVER (ORDER BY t DESC, strategy) AS rk FROM o1), "
     "z AS (SELECT dd.*, o2.*, d / s AS z FROM dd JOIN o2 USING (strategy)), "
-    "bs AS (SELECT rep, max(d) AS b, greatest(0, max(z + sl)) AS bl, greatest(0, max(z + sm)) AS bm, greatest(0, max(z)) AS bu, max(v) AS v, greatest(0, max(t)) AS tb FROM z GROUP BY 1), "
-    f"jt AS (SELECT {_P.format(hit='b >= v')} AS p_reality, {_P.format(hit='bl >= tb')} AS p_spa_lower, {_P.format(hit='bm >= tb')} AS p_spa, {_P.format(hit='bu >= tb')} AS p_spa_upper FROM bs), "
+    "bs AS (SELECT rep, max(d) AS b, greatest(0, max(z + sl)) AS bl, greatest(0, max(z + sm)) AS bm, greatest(0, max(z)) AS bu, max(v) AS v, greatest(0, max(t)) AS tb, max(z) AS ma, max(z) FILTER (fair) AS mf, max(z) FILTER (mean >= 0) AS mp, max(t) AS mt FROM z GROUP BY 1), "
+    f"jt AS (SELECT {_P.format(hit='b >= v')} AS p_reality, {_P.format(hit='bl >= tb')} AS p_hansen_lower, {_P.format(hit='bm >= tb')} AS p_hansen, {_P.format(hit='bu >= tb')} AS p_hansen_upper, {_P.format(hit='ma >= mt')} AS p_spa_lower, {_P.format(hit='mf >= mt')} AS p_spa, {_P.format(hit='mp >= mt')} AS p_spa_upper FROM bs), "
     f"s1 AS (SELECT strategy, rk, {_P.format(hit='sb >= t')} AS p FROM (SELECT *, max(z) OVER (PARTITION BY rep ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sb FROM z) GROUP BY 1, 2), s2 AS (SELECT strategy, max(p) OVER (ORDER BY rk) AS p_step FROM s1)"
 )
 
 
-@query("reality_check", out(_REALITY, "strategy", "mean t p_reality p_spa_lower p_spa p_spa_upper p_step", "SELECT o2.strategy, mean, t, p_reality, p_spa_lower, p_spa, p_spa_upper, p_step FROM o2 JOIN s2 USING (strategy) CROSS JOIN jt", 4))
+@query("reality_check", out(_REALITY, "strategy", "mean t p_reality p_spa_lower p_spa p_spa_upper p_hansen_lower p_hansen p_hansen_upper p_step", "SELECT o2.strategy, mean, t, p_reality, p_spa_lower, p_spa, p_spa_upper, p_hansen_lower, p_hansen, p_hansen_upper, p_step FROM o2 JOIN s2 USING (strategy) CROSS JOIN jt", 4))
 def reality_check(spark, sf):
     d = inference.reality_check(daily(spark, sf), "symbol", "ret", "ts", 300)
     return d.select("strategy", *[F.round(c, 4).alias(c) for c in d.columns if c != "strategy"])

@@ -191,26 +191,35 @@ def autocorrelation_ranks(spark, sf):
 
 ZONES = SWING + """, cf AS (SELECT symbol, conf AS c, high AS price FROM piv WHERE is_high UNION ALL SELECT symbol, conf, low FROM piv WHERE is_low),
  dl AS (SELECT symbol, unnest(range((ceil(c / 24))::BIGINT, (c + 95) // 24 + 1)) * 24 AS at_, price, c FROM cf),
- ng AS (SELECT *, CASE WHEN price / nullif(lag(price) OVER (PARTITION BY symbol, at_ ORDER BY price, c), 0) - 1 <= 0.02 THEN 0 ELSE 1 END AS n FROM dl),
- zn AS (SELECT *, sum(n) OVER (PARTITION BY symbol, at_ ORDER BY price, c ROWS UNBOUNDED PRECEDING) AS z FROM ng),
- zo AS (SELECT symbol, at_ AS at, avg(price) AS level, count(*) AS strength FROM zn GROUP BY symbol, at_, z HAVING count(*) >= 2)""".replace("AS at,", "AS atx,")
+ dn AS (SELECT *, row_number() OVER (PARTITION BY symbol, at_ ORDER BY price, c) AS rn FROM dl)"""
+ANCHORED = ZONES + """, an AS (SELECT symbol, at_, rn, price, price AS anchor FROM dn WHERE rn = 1
+  UNION ALL SELECT n.symbol, n.at_, n.rn, n.price, CASE WHEN (n.price - k.anchor) / nullif(k.anchor, 0) <= 0.02 THEN k.anchor ELSE n.price END FROM an k JOIN dn n ON n.symbol = k.symbol AND n.at_ = k.at_ AND n.rn = k.rn + 1),
+ ch AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, at_ ORDER BY rn) AS z FROM (SELECT *, anchor IS DISTINCT FROM lag(anchor) OVER (PARTITION BY symbol, at_ ORDER BY rn) AS fresh FROM an)),
+ zo AS (SELECT symbol, at_ AS atx, avg(price) AS level, count(*) AS strength FROM ch GROUP BY symbol, at_, z HAVING count(*) >= 2)"""
+CENTROID = ZONES + """, ce AS (SELECT symbol, at_, 0 AS step, list({'p': price, 'n': 1.0::DOUBLE} ORDER BY price) AS z FROM dn GROUP BY 1, 2
+  UNION ALL SELECT n.symbol, n.at_, n.step + 1, list_concat(list_concat(z[1 : j - 1], [{'p': (z[j].p * z[j].n + z[j + 1].p * z[j + 1].n) / (z[j].n + z[j + 1].n), 'n': z[j].n + z[j + 1].n}]), z[j + 2 :])
+  FROM (SELECT *, list_position(gaps, list_min(gaps)) AS j FROM (SELECT *, list_transform(range(1, len(z)), lambda i: (z[i + 1].p - z[i].p) / nullif(z[i].p, 0)) AS gaps FROM ce WHERE len(z) > 1) WHERE list_min(gaps) <= 0.02) n),
+ fl AS (SELECT symbol, at_, unnest(arg_max(z, step)) AS c FROM ce GROUP BY 1, 2), zo AS (SELECT symbol, at_ AS atx, c.p AS level, c.n::BIGINT AS strength FROM fl WHERE c.n >= 2)"""
 
 
-def zones(spark, sf):
-    return levels.zones(rolling.swing_points(bars(spark, sf), 3, KEY), 24, 96, 0.02, 2, key=KEY)
+def zones(spark, sf, merge="anchor"):
+    return levels.zones(rolling.swing_points(bars(spark, sf), 3, KEY), 24, 96, 0.02, 2, key=KEY, merge=merge)
 
 
-@query("level_zones", out(ZONES, "symbol at_bar strength", "level", "SELECT symbol, atx AS at_bar, level, strength FROM zo"))
+@query("level_zones", out(ANCHORED, "symbol at_bar strength", "level", "SELECT symbol, atx AS at_bar, level, strength FROM zo"))
 def level_zones(spark, sf):
     return zones(spark, sf).withColumnRenamed("at", "at_bar")
 
 
-@query("strongest_zones", out(ZONES, "symbol at_bar strength rank", "level", "SELECT * FROM (SELECT symbol, atx AS at_bar, level, strength, row_number() OVER (PARTITION BY symbol, atx ORDER BY strength DESC, level) AS rank FROM zo) WHERE rank <= 3"))
+_TOP_ZONES = "SELECT * FROM (SELECT symbol, atx AS at_bar, level, strength, row_number() OVER (PARTITION BY symbol, atx ORDER BY strength DESC, level) AS rank FROM zo) WHERE rank <= 3"
+
+
+@query("strongest_zones", out(CENTROID, "symbol at_bar strength rank", "level", _TOP_ZONES))
 def strongest_zones(spark, sf):
-    return levels.strongest(zones(spark, sf), 3, key=KEY).withColumnRenamed("at", "at_bar")
+    return levels.strongest(zones(spark, sf, "centroid"), 3, key=KEY).withColumnRenamed("at", "at_bar")
 
 
-@query("distance_profile", out(ZONES + ", sp AS (SELECT *, abs(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY idx), 0) - 1) AS speed FROM ix), nr AS (SELECT b.symbol, b.idx, min(abs(b.close - z.level) / nullif(abs(z.level), 0)) AS d, any_value(b.speed) AS x FROM sp b JOIN zo z ON z.symbol = b.symbol AND b.idx >= z.atx AND b.idx < z.atx + 24 GROUP BY 1, 2)", "bin n", "mean", "SELECT CASE WHEN d < 0.01 THEN 0 WHEN d < 0.05 THEN 1 WHEN d < 0.2 THEN 2 ELSE 3 END AS bin, count(*) AS n, avg(x) AS mean FROM nr WHERE d IS NOT NULL GROUP BY 1"))
+@query("distance_profile", out(ANCHORED + ", sp AS (SELECT *, abs(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY idx), 0) - 1) AS speed FROM ix), nr AS (SELECT b.symbol, b.idx, min(abs(b.close - z.level) / nullif(abs(z.level), 0)) AS d, any_value(b.speed) AS x FROM sp b JOIN zo z ON z.symbol = b.symbol AND b.idx >= z.atx AND b.idx < z.atx + 24 GROUP BY 1, 2)", "bin n", "mean", "SELECT CASE WHEN d < 0.01 THEN 0 WHEN d < 0.05 THEN 1 WHEN d < 0.2 THEN 2 ELSE 3 END AS bin, count(*) AS n, avg(x) AS mean FROM nr WHERE d IS NOT NULL GROUP BY 1"))
 def distance_profile(spark, sf):
     """Size of the bar's move by its distance from the nearest zone."""
     b = indexed(spark, sf).withColumn("speed", F.abs(rolling.simple_return("close", KEY)))
