@@ -63,7 +63,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
             for i, tag, text in zip(b.column(0), b.column(1), b.column(2)):
                 counts = Counter(terms_of(text.as_py()))
                 n = len(counts)
-                cols = [pa.array([i.as_py()] * n, pa.int64()), pa.array([tag.as_py()] * n), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
+                cols = [pa.array([i.as_py()] * n, pa.int64()), pa.array([tag.as_py()] * n, pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["item_id", "tag", "term", "n"])
 
     tagged = items.withColumn("tag", F.md5("text")).select("item_id", "tag", "text").distinct()
