@@ -7,13 +7,14 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF, normal
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, embeddings, lines, mixing, pages, quality, queries, simhash, substrings, tokens, toxicity
+from tidemark.llm import common, decontaminate, embeddings, lines, mixing, pages, quality, queries, simhash, substrings, tokens, toxicity
 from tidemark.llm.common import connected_components, labelled_sample, table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -674,8 +675,9 @@ def test_simhash(spark, corpus):
     assert kept.columns == twice.columns
 
 
-@pytest.mark.parametrize("block_rows", [4096, 20])
-def test_simhash_links_are_complete_for_close_fingerprints(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "one_in"), [(4096, 64), (20, 64), (20, 1)])
+def test_simhash_links_are_complete_for_close_fingerprints(spark, monkeypatch, block_rows, one_in):
+    monkeypatch.setattr(common, "SAMPLE_ONE_IN", one_in)  # with 1 every hot key is split in its first exchange
     rng = np.random.default_rng(2)
     centre = int(rng.integers(0, 1 << 63))
     fps = {centre}
@@ -693,6 +695,42 @@ def test_simhash_links_are_complete_for_close_fingerprints(spark, block_rows):
     assert {x: found.get(x, x) for x in fps} == want
 
 
+def test_count_filter_rejects_pairs_and_no_near_one():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    near = a.copy()
+    for i in range(len(a)):
+        for b in rng.choice(64, int(rng.integers(0, 5)), replace=False):
+            near[i] ^= np.uint64(1 << int(b))
+    assert (simhash.shared_bytes(a ^ near) >= 4).all()
+    # pairs of one list agree in its three bytes; of those that agree in no other by plan, chance alone adds a fourth
+    other = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    mask = np.uint64(simhash.MASKS[0])
+    met = (other & ~mask) | (a & mask)
+    kept = (simhash.shared_bytes(a ^ met) >= 4).mean()
+    assert len(simhash.MASKS) == 56 and 0.005 < kept < 0.04
+
+
+@pytest.mark.parametrize("one_in", [64, 1])
+def test_hot_keys_meet_in_blocks_whatever_the_sample_shows(spark, monkeypatch, one_in):
+    monkeypatch.setattr(common, "SAMPLE_ONE_IN", one_in)
+    rows = [(k, i) for k, n in ((1, 300), (2, 40), (3, 1), (4, 12)) for i in range(1000 * k, 1000 * k + n)]
+
+    def pairs(groups):
+        for whole, starts in groups:
+            k, v = whole.column("k").to_numpy(), whole.column("v").to_numpy()
+            blk, diag = whole.column("blk").to_numpy(), whole.column("diag").to_numpy()
+            for i, j in common.pairs_of_groups(starts):
+                met = diag[i] | (blk[i] != blk[j])
+                i, j = i[met], j[met]
+                assert (k[i] == k[j]).all()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], ["a", "b"])
+
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = sorted(map(tuple, common.map_groups(df, ["k"], "v", pairs, "a long, b long", block_rows=16).collect()))
+    assert got == sorted((a, b) for k, a in rows for k2, b in rows if k == k2 and a < b)
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     columns = docs.columns

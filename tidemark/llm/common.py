@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 #: Rows of one key that a single task compares with each other; larger groups
 #: are dealt to several tasks, one for each pair of blocks.
 BLOCK_ROWS = 4096
+#: One row in so many is counted to see which keys may be hot; fewer than so many of a key in the sample tell nothing.
+SAMPLE_ONE_IN, LEAST_SAMPLED = 64, 8
+#: Keys that are broadcast at most; they are no more than rows / block rows.
+MOST_SUSPECTS = 100_000
 #: Bits of a filter that keeps rows from travelling in vain (16 MB).
 BITMAP_BITS, BITMAP_PIECES = 1 << 27, 256
 
@@ -143,6 +147,29 @@ def _starts(whole: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+def _by_heat(rows: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of keys with 2 to ``block_rows`` rows, lying together; rows of hot keys with ``nb``, their number of blocks).
+
+    A sample, counted with map-side combining, shows which keys are hot before anything is dealt by
+    key, so their rows go to blocks in their first exchange. The sample only places rows: a
+    key that it misses is under about two blocks, counted exactly, and split after that.
+    """
+    seen = F.count(F.lit(1))
+    guess = rows.sample(fraction=1 / SAMPLE_ONE_IN, seed=5).groupBy(*keys).agg(seen.alias("__seen")).where((F.col("__seen") >= LEAST_SAMPLED) & (F.col("__seen") * SAMPLE_ONE_IN > block_rows))
+    guess = cut(guess.select(*keys, F.ceil(F.col("__seen") * SAMPLE_ONE_IN / block_rows).cast("int").alias("nb")))
+    found = guess.limit(MOST_SUSPECTS + 1).count()
+    hot = None
+    if found:
+        small_side = F.broadcast(guess) if found <= MOST_SUSPECTS else guess
+        hot = rows.join(small_side, keys)
+        rows = rows.join(small_side, keys, "left_anti")
+    dealt = rows.repartition(*keys)
+    counted = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1")
+    met = dealt.join(counted, keys)
+    missed = met.where(F.col("n_key") > block_rows).withColumn("nb", F.ceil(F.col("n_key") / block_rows).cast("int")).drop("n_key")
+    return met.where(F.col("n_key") <= block_rows).drop("n_key"), missed if hot is None else missed.unionByName(hot)
+
+
 def map_groups(
     rows: DataFrame,
     keys: list[str],
@@ -160,31 +187,20 @@ def map_groups(
     ``blk`` (the row's block) and ``diag`` (true: compare all rows; false: compare
     only rows of different blocks).
     """
-    dealt = rows.repartition(*keys)
-    counted = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1")
-    met = dealt.join(counted, keys)
+    few, hot = _by_heat(rows, keys, block_rows)
 
     def run(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
         yield from fn(complete_groups(batches, by))
 
-    small = (
-        met.where(F.col("n_key") <= block_rows)
-        .drop("n_key")
-        .withColumns({"blk": F.lit(0), "diag": F.lit(True)})
-        .sortWithinPartitions(*keys)
-        .mapInArrow(lambda it: run(it, keys), schema)
-    )
-    nb = F.ceil(F.col("n_key") / block_rows).cast("int")
+    small = few.withColumns({"blk": F.lit(0), "diag": F.lit(True)}).sortWithinPartitions(*keys).mapInArrow(lambda it: run(it, keys), schema)
     big = (
-        met.where(F.col("n_key") > block_rows)
-        .withColumn("nb", nb)
-        .withColumn("blk", F.pmod(F.xxhash64(salt), F.col("nb")).cast("int"))
+        hot.withColumn("blk", F.pmod(F.xxhash64(salt), F.col("nb")).cast("int"))
         .withColumn(
             "cell",
             F.explode(F.expr("transform(sequence(0, nb - 1), j -> least(blk, j) * nb + greatest(blk, j))")),
         )
         .withColumn("diag", F.expr("cell div nb = cell % nb"))
-        .drop("n_key", "nb")
+        .drop("nb")
         .repartition(*keys, "cell")
         .sortWithinPartitions(*keys, "cell")
         .mapInArrow(lambda it: run(it, [*keys, "cell"]), schema)
@@ -208,11 +224,8 @@ def link_groups(
     group, in parts of at most about ``block_rows``. A hot group of rows that belong
     together costs about one copy a row, whatever its size.
     """
-    dealt = rows.repartition(*keys)
-    counted = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1")
-    met = dealt.join(counted, keys)
-    nb = F.ceil(F.col("n_key") / block_rows).cast("int")
-    hot = met.where(F.col("n_key") > block_rows).withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
+    few, hot = _by_heat(rows, keys, block_rows)
+    hot = hot.withColumn("blk", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch], by: list[str], mark: bool = False) -> Iterator[pa.RecordBatch]:
         if mark:  # a row without dst tells that there are hot groups
@@ -224,16 +237,10 @@ def link_groups(
         yield from fn(complete_groups(batches, by))
 
     schema = "src long, dst long"
-    small = (
-        met.where(F.col("n_key") <= block_rows)
-        .drop("n_key")
-        .withColumns({"blk": F.lit(0), "diag": F.lit(True)})
-        .sortWithinPartitions(*keys)
-        .mapInArrow(lambda it: run(it, keys), schema)
-    )
+    small = few.withColumns({"blk": F.lit(0), "diag": F.lit(True)}).sortWithinPartitions(*keys).mapInArrow(lambda it: run(it, keys), schema)
     by_block = [*keys, "blk"]
     blocks = (
-        hot.drop("n_key", "nb")
+        hot.drop("nb")
         .withColumn("diag", F.lit(True))
         .repartition(*by_block)
         .sortWithinPartitions(*by_block)
@@ -245,7 +252,7 @@ def link_groups(
         return links
     comps = connected_components(links)
     named = hot.join(comps.withColumnsRenamed({"id": "__id", "component_id": "__comp"}), F.col(node) == F.col("__id"), "left")
-    named = cut(named.withColumn("__comp", F.coalesce("__comp", node)).drop("__id", "n_key"))
+    named = cut(named.withColumn("__comp", F.coalesce("__comp", node)).drop("__id"))
     sizes = named.groupBy(*keys, "nb", "__comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy(*keys, "nb").agg(F.max_by("__comp", "n").alias("__main"), (F.sum("n") - F.max("n")).alias("away"))
     main = main.where("away > 0").withColumn("nv", F.ceil(F.col("away") / block_rows).cast("int"))

@@ -1,13 +1,14 @@
-"""Operator 10: SimHash near-duplicates by a byte-position inverted index.
+"""Operator 10: SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints at distance 4 or less
-differ in at most four bytes, so they share at least four positional bytes. Lists of
-single positional bytes would each hold 1/256 of all fingerprints; the index therefore
-posts every distinct fingerprint under each choice of four byte positions, the
-guaranteed minimum of matches, and lists stay short at any size. For the pairs of a
-list the positional bytes that they share are tallied; pairs below the minimum go,
-the others are verified by the Hamming distance of whole fingerprints. A pair that
-meets in several lists is linked under the first choice that it shares.
+differ in at most four bytes, so they share at least four positional bytes, the guaranteed
+minimum of matches. Lists of single positional bytes would each hold 1/256 of all
+fingerprints, lists of pairs 1/65,536; the index posts every distinct fingerprint under each of the 56
+choices of three positions, so a list holds 1/16,777,216 of them and is short at any
+size. For the pairs of a list the positional bytes that they share are tallied: most share
+the three of the list and no other and go by the count alone, the rest are verified by the
+Hamming distance of whole fingerprints. A pair that meets in several lists is linked
+under the first choice that it shares.
 
 Equal fingerprints (copies) are one entry with the smallest document id. Inside a
 list only links that join two parts are kept, so a large group of near copies yields
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import BLOCK_ROWS, Forest, connected_components, cut, link_groups, pairs_of_groups, table
 from tidemark.llm.xxh64_sql import xxh64_ctes
 
-#: Choices of four of the eight byte positions, as bit masks; 0 is the lowest byte.
-CHOICES = list(combinations(range(8), 4))
+#: Choices of three of the eight byte positions, as bit masks; 0 is the lowest byte.
+CHOICES = list(combinations(range(8), 3))
 MASKS = [sum(0xFF << (8 * p) for p in c) for c in CHOICES]
 
 
@@ -72,6 +73,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *carried]))
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """Positional bytes that are zero in each of the differences ``x``."""
+    return np.count_nonzero(x.view(np.uint8).reshape(-1, 8) == 0, axis=1)
+
+
 def near_links(fps: DataFrame, max_bits: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst): links that connect all distinct ``fp`` within ``max_bits`` <= 4.
 
@@ -91,8 +97,7 @@ def near_links(fps: DataFrame, max_bits: int = 4, block_rows: int = BLOCK_ROWS)
             forest = Forest(len(fp))
             for i, j in pairs_of_groups(starts):
                 x = fp[i] ^ fp[j]
-                tally = np.count_nonzero(x.view(np.uint8).reshape(-1, 8) == 0, axis=1)
-                near = np.flatnonzero((tally >= 8 - max_bits) & (diag[i] | (blk[i] != blk[j])))
+                near = np.flatnonzero((shared_bytes(x) >= 8 - max_bits) & (diag[i] | (blk[i] != blk[j])))
                 near = near[np.bitwise_count(x[near]) <= max_bits]
                 if not len(near):
                     continue
