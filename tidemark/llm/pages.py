@@ -4,7 +4,8 @@ The standard library's parser streams start, end and text events; blocks of text
 ("lines") end where block-level elements begin or end. Every line has a text-to-tag
 ratio, its characters over its tags. The ratios are smoothed by a Gaussian over
 neighbouring lines and split in two clusters by a threshold between the cluster
-means; the upper cluster marks the content. Lines count by their characters, marked
+means; the upper cluster marks the content, its runs cut to lines that are over the
+threshold by themselves at both ends. Lines count by their characters, marked
 ones in full, unmarked prose by half. The content region is the innermost article or
 main that holds most of this mass, with the articles beside it that have a quarter of
 its mass or more; where these hold no more than half, it is the innermost element that
@@ -13,7 +14,8 @@ without runs of unmarked lines of links. All lines of the region are the text, b
 those inside boilerplate elements: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments.
 A block that only its class, id or role (or a form tag) makes boilerplate is kept when
-it outweighs the rest of the page: it is then a wrapper of the content.
+it outweighs the rest of the page and either holds the page's h1 or leaves no line of prose
+outside: it is then a wrapper of the content. Weight alone brings no sidebar back.
 
 Pages are handled one by one inside tasks, as large batches; nothing is shuffled.
 """
@@ -82,19 +84,24 @@ class _Lines(HTMLParser):
         self.state: tuple[bool, int, bool, int, int] = (False, -1, False, -1, -1)
         self.texts: list[str] = []
         self.tags = self.linked = 0
+        self.heading = False  # the line has text of an h1
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.kinds: list[str] = []  # of region elements
         self.parents: list[int] = []
         self.readers: list[bool] = []  # of doubtful wrappers
         self.chains: list[tuple[int, int]] = []  # (wrapper, chain before it)
+        self.headed: set[int] = set()  # chains around an h1
 
     def end_line(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
                 self.lines.append((text, max(1, self.tags), self.linked, self.state[1], self.state[3]))
+                if self.heading and self.state[3] >= 0:
+                    self.headed.add(self.state[3])
             self.texts = []
         self.tags = self.linked = 0
+        self.heading = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -174,6 +181,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.state[0]:
             self.texts.append(data)
+            if self.open.get("h1"):
+                self.heading = True
             if self.open.get("a"):
                 self.linked += len(data)
 
@@ -204,20 +213,41 @@ def content_cluster(chars: np.ndarray, tags: np.ndarray, sigma: float = 1.0) ->
         if abs(new - threshold) < 1e-9:
             break
         threshold = new
-    return smooth >= min(threshold, smooth.max())
+    threshold = min(threshold, smooth.max())
+    return _trimmed(smooth >= threshold, ratio >= threshold)
+
+
+def _trimmed(marked: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """``marked`` without what lies in its runs before the first or after the last line ``above`` by itself.
+
+    Smoothing bridges short lines inside content; it must not carry over its edge.
+    """
+    if not (marked & above).any():
+        return marked
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).astype(np.int8)))
+    out = np.zeros(len(marked), bool)
+    for a, b in zip(edges[::2], edges[1::2]):
+        own = np.flatnonzero(above[a:b])
+        if len(own):
+            out[a + own[0] : a + own[-1] + 1] = True
+    return out
+
+
+def _is_prose(line: tuple) -> bool:
+    return len(line[0]) >= PROSE_CHARS and len(line[0]) >= PROSE_RATIO * line[1]
 
 
 def _weights(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """(marked, mass) of lines: characters of marked lines, half of other prose, next to nothing else."""
     chars = np.array([len(t) for t, *_ in lines], float)
     tags = np.array([n for _, n, *_ in lines], float)
+    prose = np.array([_is_prose(x) for x in lines])
     marked = content_cluster(chars, tags)
-    prose = (chars >= PROSE_CHARS) & (chars / tags >= PROSE_RATIO)
     return marked, chars * np.where(marked, 1.0, np.where(prose, 0.5, 0.001))
 
 
-def _without_boilerplate(lines: list[tuple], readers: list[bool], chains: list[tuple[int, int]]) -> list[tuple]:
-    """Lines outside doubtful wrappers, and of those that outweigh the lines outside."""
+def _without_boilerplate(lines: list[tuple], readers: list[bool], chains: list[tuple[int, int]], headed: set[int]) -> list[tuple]:
+    """Lines outside doubtful wrappers, and of those that outweigh the lines outside and hold the h1 or all prose."""
     if all(c < 0 for *_, c in lines):
         return lines
     _, mass = _weights(lines)
@@ -239,6 +269,11 @@ def _without_boilerplate(lines: list[tuple], readers: list[bool], chains: list[t
     for c, (w, up) in enumerate(chains):
         if up >= 0 and count[up] == count[c] and readers[w] == readers[wrapper[up]]:
             top[c] = top[up]
+    titled: set[int] = set()  # wrappers around an h1
+    for c in headed:
+        while c >= 0:
+            titled.add(int(top[c]))
+            c = chains[c][1]
     groups: dict[int, list] = {}
     for c in range(n):
         if top[c] == wrapper[c]:
@@ -252,9 +287,10 @@ def _without_boilerplate(lines: list[tuple], readers: list[bool], chains: list[t
         for c, (_, up) in enumerate(chains):
             free[c] = free[up] and int(top[c]) in kept
         rest = sum(m for (*_, c), m in zip(lines, mass) if free[c])
+        prose = any(free[x[-1]] and _is_prose(x) for x in lines)
         open_ = [
             (m, -w) for w, (m, k, most) in groups.items()
-            if w not in kept and m > rest * (2 if readers[w] else 1) and (k > 1 or (most >= WRAPPED_CHARS and not rest))
+            if w not in kept and (w in titled or not prose) and m > rest * (2 if readers[w] else 1) and (k > 1 or (most >= WRAPPED_CHARS and not rest))
         ]
         if not open_:
             return [x for x in lines if free[x[-1]]]
@@ -322,7 +358,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = _without_boilerplate(parser.lines, parser.readers, parser.chains)
+    lines = _without_boilerplate(parser.lines, parser.readers, parser.chains, parser.headed)
     if not lines:
         return ""
     chosen, named, marked = _regions(lines, parser.kinds, parser.parents)
