@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
-from tidemark.operators import rolling, scans
+from tidemark.operators import order_stats, rolling, scans
 from tidemark.operators.grid import ordered, up_to_now
 from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, W, bars, ewm_sql, out, query, ticks, with_returns
 from tidemark.operators.rolling import last_k
@@ -263,3 +263,25 @@ def flat_regime_gate(spark, sf):
 @query("width_rank", out(BARS + f", b AS (SELECT symbol, t, 4 * CASE WHEN count(close) OVER w >= 20 THEN stddev_samp(close) OVER w END / nullif(avg(close) OVER w, 0) AS bw FROM bars WINDOW w AS {_frame(20)})", "symbol t", "width_rank", f"SELECT symbol, t, CASE WHEN len(xs) >= 100 THEN (len(list_filter(xs, lambda v: v < bw)) + (len(list_filter(xs, lambda v: v = bw)) + 1) / 2.0) / len(xs) END AS width_rank FROM (SELECT symbol, t, bw, list(bw) FILTER (bw IS NOT NULL) OVER {_frame(100)} AS xs FROM b)"))
 def width_rank(spark, sf):
     return ind.width_rank(bars(spark, sf), 100).select("symbol", "ts", "width_rank")
+
+
+_LONG_WINDOW = 240
+
+
+@query("rolling_quantiles_long", out(
+    BARS, "symbol t", "q10 med",
+    f"SELECT symbol, t, CASE WHEN count(close) OVER w >= 24 THEN quantile_cont(close, 0.1) OVER w END AS q10, CASE WHEN count(close) OVER w >= 24 THEN quantile_cont(close, 0.5) OVER w END AS med FROM bars WINDOW w AS {_frame(_LONG_WINDOW)}",
+))
+def rolling_quantiles_long(spark, sf):
+    """Quantiles over ten days of hours, a row at the cost of the window's logarithm."""
+    d = order_stats.rolling_order(bars(spark, sf), "close", _LONG_WINDOW, key=KEY, quantiles={"q10": 0.1, "med": 0.5}, least=24, block_rows=300)
+    return d.select("symbol", "ts", "q10", "med")
+
+
+@query("rolling_rank_long", out(
+    BARS, "symbol t", "rank_pct",
+    "SELECT symbol, t, CASE WHEN len(xs) >= 24 THEN (len(list_filter(xs, lambda v: v < close)) + (len(list_filter(xs, lambda v: v = close)) + 1) / 2.0) / len(xs) END AS rank_pct "
+    f"FROM (SELECT symbol, t, close, list(close) OVER {_frame(_LONG_WINDOW)} AS xs FROM bars)",
+))
+def rolling_rank_long(spark, sf):
+    return order_stats.rolling_order(bars(spark, sf), "close", _LONG_WINDOW, key=KEY, rank="rank_pct", least=24, block_rows=300).select("symbol", "ts", "rank_pct")
