@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.grid import higher_timeframe, ordered, up_to_now
 from tidemark.operators.rolling import last_k, log_return, mean_abs_deviation, rolling, rolling_quantile, rolling_rank_pct, weighted_average, zscore
-from tidemark.operators.scans import affine_scan, ema, ewm, wilder
+from tidemark.operators import recurrences as rec
+from tidemark.operators.recurrences import Part, together
+from tidemark.operators.scans import affine_scan, ema, ewm
 
 KEY = ["symbol"]
 
@@ -19,24 +22,36 @@ def true_range(key: list[str] = KEY, ts: str = "ts") -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
+def atr_part(n: int = 14, out: str = "atr", *, key: list[str] = KEY, span: bool = False) -> Part:
+    return Part({"__tr": true_range(key)}, [rec.span(out, "__tr", n, n) if span else rec.wilder(out, "__tr", n)], {})
+
+
 def atr(bars: DataFrame, n: int = 14, out: str = "atr", *, key: list[str] = KEY, span: bool = False) -> DataFrame:
-    df = bars.withColumn("__tr", true_range(key))
-    df = ema(df, "__tr", n, out, key=key, least=n) if span else wilder(df, "__tr", n, out, key=key)
-    return df.drop("__tr")
+    return together(bars, atr_part(n, out, key=key, span=span), key=key)
+
+
+def _ups_and_downs(key: list[str]) -> dict[str, Column]:
+    d = F.col("close") - F.lag("close").over(ordered(key))
+    return {"__up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "__dn": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))}
+
+
+def _rsi_of(out: str, undefined: float | None) -> dict[str, Column]:
+    value = F.when(F.col("__ad") == 0, F.lit(undefined).cast("double")).otherwise(100 - 100 / (1 + F.col("__au") / F.col("__ad")))
+    return {out: F.when(F.col("__au").isNotNull(), value)}
+
+
+def rsi_part(n: int = 14, out: str = "rsi", *, key: list[str] = KEY, undefined: float | None = 100.0) -> Part:
+    return Part(_ups_and_downs(key), [rec.wilder("__au", "__up", n), rec.wilder("__ad", "__dn", n)], _rsi_of(out, undefined))
 
 
 def rsi(bars: DataFrame, n: int = 14, out: str = "rsi", *, key: list[str] = KEY, smooth: str = "wilder", undefined: float | None = 100.0) -> DataFrame:
     """Wilder (recursive) or simple (rolling mean) form; ``undefined`` where nothing was lost."""
-    d = F.col("close") - F.lag("close").over(ordered(key))
-    df = bars.withColumns({"__up": F.greatest(d, F.lit(0.0)), "__dn": F.greatest(-d, F.lit(0.0))})
-    df = df.withColumns({"__up": F.when(d.isNotNull(), F.col("__up")), "__dn": F.when(d.isNotNull(), F.col("__dn"))})
     if smooth == "wilder":
-        df = wilder(wilder(df, "__up", n, "__au", key=key), "__dn", n, "__ad", key=key)
-    else:
-        w = last_k(n, key)
-        df = df.withColumns({"__au": rolling(F.avg, F.col("__up"), w, n), "__ad": rolling(F.avg, F.col("__dn"), w, n)})
-    value = F.when(F.col("__ad") == 0, F.lit(undefined).cast("double")).otherwise(100 - 100 / (1 + F.col("__au") / F.col("__ad")))
-    return df.withColumn(out, F.when(F.col("__au").isNotNull(), value)).drop("__up", "__dn", "__au", "__ad")
+        return together(bars, rsi_part(n, out, key=key, undefined=undefined), key=key)
+    w = last_k(n, key)
+    df = bars.withColumns(_ups_and_downs(key))
+    df = df.withColumns({"__au": rolling(F.avg, F.col("__up"), w, n), "__ad": rolling(F.avg, F.col("__dn"), w, n)})
+    return df.withColumns(_rsi_of(out, undefined)).drop("__up", "__dn", "__au", "__ad")
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, *, key: list[str] = KEY) -> DataFrame:
@@ -47,26 +62,36 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, *, key: list[str] =
 
 
 def keltner(bars: DataFrame, n: int = 20, k: float = 2.0, *, key: list[str] = KEY) -> DataFrame:
-    df = atr(ema(bars, "close", n, "kc_mid", key=key), n, "__atr", key=key)
-    return df.withColumns({"kc_up": F.col("kc_mid") + k * F.col("__atr"), "kc_low": F.col("kc_mid") - k * F.col("__atr")}).drop("__atr")
+    mid = Part({}, [rec.span("kc_mid", "close", n)], {"kc_up": F.col("kc_mid") + k * F.col("__atr"), "kc_low": F.col("kc_mid") - k * F.col("__atr")})
+    return together(bars, atr_part(n, "__atr", key=key), mid, key=key)
+
+
+def macd_part(fast: int = 12, slow: int = 26, signal: int = 9) -> Part:
+    gap = rec.Derived("macd", lambda f, s: f - s, ("__f", "__s"))
+    return Part({}, [rec.span("__f", "close", fast), rec.span("__s", "close", slow), gap, rec.span("macd_signal", "macd", signal)], {})
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, *, key: list[str] = KEY) -> DataFrame:
-    df = ema(ema(bars, "close", fast, "__f", key=key), "close", slow, "__s", key=key)
-    df = df.withColumn("macd", F.col("__f") - F.col("__s")).drop("__f", "__s")
-    return ema(df, "macd", signal, "macd_signal", key=key)
+    return together(bars, macd_part(fast, slow, signal), key=key)
 
 
-def adx(bars: DataFrame, n: int = 14, *, key: list[str] = KEY) -> DataFrame:
+def _share(x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return 100 * x / np.where(base == 0, np.nan, base)
+
+
+def adx_part(n: int = 14, *, key: list[str] = KEY) -> Part:
     w = ordered(key)
     up, dn = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    df = bars.withColumns({"__p": F.when(up.isNotNull(), F.when((up > dn) & (up > 0), up).otherwise(0.0)), "__m": F.when(up.isNotNull(), F.when((dn > up) & (dn > 0), dn).otherwise(0.0)), "__tr": true_range(key)})
-    for c in ("__p", "__m", "__tr"):
-        df = wilder(df, c, n, f"{c}s", key=key)
-    base = F.nullif(F.col("__trs"), F.lit(0.0))
-    df = df.withColumns({"di_plus": 100 * F.col("__ps") / base, "di_minus": 100 * F.col("__ms") / base})
-    df = df.withColumn("__dx", 100 * F.abs(F.col("di_plus") - F.col("di_minus")) / F.nullif(F.col("di_plus") + F.col("di_minus"), F.lit(0.0)))
-    return wilder(df, "__dx", n, "adx", key=key).drop("__p", "__m", "__tr", "__ps", "__ms", "__trs", "__dx")
+    before = {"__p": F.when(up.isNotNull(), F.when((up > dn) & (up > 0), up).otherwise(0.0)), "__m": F.when(up.isNotNull(), F.when((dn > up) & (dn > 0), dn).otherwise(0.0)), "__tr": true_range(key)}
+    steps = [
+        rec.wilder("__ps", "__p", n), rec.wilder("__ms", "__m", n), rec.wilder("__trs", "__tr", n), rec.Derived("di_plus", _share, ("__ps", "__trs")), rec.Derived("di_minus", _share, ("__ms", "__trs")),
+        rec.Derived("__dx", lambda p, m: _share(np.abs(p - m), p + m), ("di_plus", "di_minus")), rec.wilder("adx", "__dx", n),
+    ]
+    return Part(before, steps, {})
+
+
+def adx(bars: DataFrame, n: int = 14, *, key: list[str] = KEY) -> DataFrame:
+    return together(bars, adx_part(n, key=key), key=key)
 
 
 def cci(bars: DataFrame, n: int = 20, *, key: list[str] = KEY) -> DataFrame:
@@ -147,7 +172,7 @@ def realised_vol(bars: DataFrame, n: int = 30, *, key: list[str] = KEY) -> DataF
 
 def trend_regime(bars: DataFrame, fast: int = 50, slow: int = 200, k: int = 250, *, key: list[str] = KEY) -> DataFrame:
     """EMA gap and a class 0..3: twice (volatility above its rolling median) plus (trend up)."""
-    df = ema(ema(bars, "close", fast, "__f", key=key), "close", slow, "__s", key=key)
+    df = rec.recurrences(bars, [rec.span("__f", "close", fast), rec.span("__s", "close", slow)], key=key)
     df = realised_vol(df.withColumn("trend", F.col("__f") / F.nullif(F.col("__s"), F.lit(0.0)) - 1), key=key)
     med = rolling_quantile(F.col("realised_vol"), 0.5, last_k(k, key), 50)
     cls = F.when(med.isNotNull() & F.col("trend").isNotNull(), (F.col("realised_vol") > med).cast("int") * 2 + (F.col("trend") > 0).cast("int"))

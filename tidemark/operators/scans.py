@@ -13,78 +13,61 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.recurrences import Mean, affine, recurrences
+
 
 def affine_scan(df: DataFrame, a: str, b: str, out: str, *, key: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
     """``df`` with y_i = a_i * y_(i-1) + b_i, y_(-1) = 0, per key in time order."""
     if block is None:
-        return _streamed_affine(df, a, b, out, key=key, ts=ts)
+        return _streamed_affine(df, [(a, b, out, 0.0)], key=key, ts=ts)
     w = Window.partitionBy(*key).orderBy(ts)
+    by = [*key, "__blk"]
     numbered = df.withColumn("__blk", F.floor((F.row_number().over(w) - 1) / block))
-    schema = T.StructType([*numbered.schema.fields, T.StructField("__scan_y", T.DoubleType()), T.StructField("__scan_a", T.DoubleType())])
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        x, c = pdf[a].to_numpy(float), pdf[b].to_numpy(float)
-        y, at = np.empty(len(x)), 0.0
-        for i in range(len(x)):
-            at = x[i] * at + c[i]
-            y[i] = at
-        return pdf.assign(__scan_y=y, __scan_a=np.cumprod(x))
-
-    scanned = numbered.groupBy(*key, "__blk").applyInPandas(local, schema)
-    ends = scanned.groupBy(*key, "__blk").agg(F.max_by(F.struct(F.col("__scan_a").alias("a"), F.col("__scan_y").alias("y")), ts).alias("e"))
-    ends = ends.select(*key, "__blk", "e.a", "e.y")
-    carry_schema = T.StructType([f for f in ends.schema.fields if f.name in (*key, "__blk")] + [T.StructField("__carry", T.DoubleType())])
-
-    def hand_on(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__blk")
-        carry, at = [], 0.0
-        for x, y in zip(pdf["a"], pdf["y"]):
-            carry.append(at)
-            at = x * at + y
-        return pdf[[*key, "__blk"]].assign(__carry=carry)
-
-    carries = ends.groupBy(*key).applyInPandas(hand_on, carry_schema)
-    return scanned.join(carries, [*key, "__blk"]).withColumn(out, F.col("__scan_y") + F.col("__scan_a") * F.col("__carry")).drop("__blk", "__scan_y", "__scan_a", "__carry")
-
-
-def _streamed_affine(df: DataFrame, a: str, b: str, out: str, *, key: list[str], ts: str) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, y = None, 0.0
-        for pdf in parts:
-            x, c, made = pdf[a].to_numpy(float), pdf[b].to_numpy(float), np.empty(len(pdf))
-            for i, k in enumerate(zip(*[pdf[k] for k in key])):
-                if k != at:
-                    at, y = k, 0.0
-                y = x[i] * y + c[i]
-                made[i] = y
-            yield pdf.assign(**{out: made})
-
-    return df.repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(run, schema)
+    scanned = _streamed_affine(numbered, [(a, b, "__scan_y", 0.0), (a, None, "__scan_a", 1.0)], key=by, ts=ts)
+    ends = scanned.groupBy(*by).agg(F.max_by(F.struct(F.col("__scan_a").alias("a"), F.col("__scan_y").alias("y")), ts).alias("e")).select(*by, F.col("e.a").alias("__ea"), F.col("e.y").alias("__ey"))
+    handed = _streamed_affine(ends, [("__ea", "__ey", "__upto", 0.0)], key=key, ts="__blk")
+    carries = handed.select(*by, F.coalesce(F.lag("__upto").over(Window.partitionBy(*key).orderBy("__blk")), F.lit(0.0)).alias("__carry"))
+    return scanned.join(carries, by).withColumn(out, F.col("__scan_y") + F.col("__scan_a") * F.col("__carry")).drop("__blk", "__scan_y", "__scan_a", "__carry")
+
+
+def _streamed_affine(df: DataFrame, scans: list[tuple[str, str | None, str, float]], *, key: list[str], ts: str) -> DataFrame:
+    """``df`` with y = a * y_before + b for each (a, b or None for 0, name of y, y before a key's first row), in one pass."""
+    names = [name for *_, name, _ in scans]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, [0.0] * len(scans)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)  # rows that begin a key
+            for k in key:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = tuple(batch.column(k)[0].as_py() for k in key) != at
+            at = tuple(batch.column(k)[-1].as_py() for k in key)
+            value = lambda c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            made = []
+            for i, (a, b, _, start) in enumerate(scans):
+                x, c = value(a), value(b) if b else np.zeros(batch.num_rows)
+                made.append(affine(np.where(new, 0.0, x), np.where(new, c + x * start, c) if start else c, last[i]))
+                last[i] = float(made[-1][-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(y, pa.float64(), from_pandas=True) for y in made]], schema.names)
+
+    return df.repartition(*key).sortWithinPartitions(*key, ts).mapInArrow(run, schema)
 
 
 def ewm(df: DataFrame, x: str, alpha: float, out: str, *, key: list[str], ts: str = "ts", least: int = 1) -> DataFrame:
-    """Recursive exponential mean (no bias adjustment); nulls carry the value and age it."""
-    w = Window.partitionBy(*key).orderBy(ts)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count(x).over(upto)
-    rn = F.row_number().over(w)
-    prev = F.last(F.when(F.col(x).isNotNull(), F.col("__rn")), ignorenulls=True).over(before)
-    out_df = df.withColumn("__rn", rn).withColumn("__n", n)
-    old = F.pow(F.lit(1 - alpha), F.col("__rn") - prev)
-    a = F.when(F.col(x).isNull(), 1.0).when(F.col("__n") == 1, 0.0).otherwise(old / (old + alpha))
-    b = F.when(F.col(x).isNull(), 0.0).when(F.col("__n") == 1, F.col(x)).otherwise(alpha * F.col(x) / (old + alpha))
-    out_df = out_df.withColumns({"__ea": a, "__eb": b.cast("double")})
-    scanned = affine_scan(out_df, "__ea", "__eb", "__ey", key=key, ts=ts)
-    return scanned.withColumn(out, F.when(F.col("__n") >= least, F.col("__ey"))).drop("__rn", "__n", "__ea", "__eb", "__ey")
+    """Recursive exponential mean (no bias adjustment); nulls carry the value and age it.
+
+    Several means of one frame belong in one call of ``recurrences.recurrences``.
+    """
+    return recurrences(df, [Mean(out, x, alpha, least)], key=key, ts=ts)
 
 
 def ema(df: DataFrame, x: str, span: int, out: str, *, key: list[str], ts: str = "ts", least: int = 1) -> DataFrame:
@@ -95,32 +78,55 @@ def wilder(df: DataFrame, x: str, n: int, out: str, *, key: list[str], ts: str =
     return ewm(df, x, 1.0 / n, out, key=key, ts=ts, least=n if least is None else least)
 
 
-def ordered_scan(df: DataFrame, order: list[str], cols: list[str], machine: Callable[[], Callable], out: T.StructType, *, key: list[str]) -> DataFrame:
+def ordered_scan(df: DataFrame, order: list[str], cols: list[str], machine: Callable[[], Callable], out: T.StructType, *, key: list[str], long_keys: bool = False) -> DataFrame:
     """``df`` with the columns of ``out`` from a state machine over each key's rows.
 
     ``machine()`` makes a fresh step function for a key; step(*values of cols) returns
     a tuple for ``out``. Rows stream through in order; nothing of a key is gathered.
+    ``long_keys`` is for keys of many rows: it follows a window over the same key and order
+    without an exchange of its own, at the cost of one call for each key.
     """
     schema = T.StructType([*df.schema.fields, *out.fields])
-    names = [f.name for f in out.fields]
+    fields = [f.name for f in df.schema.fields]
+
+    def steps(batch: pa.RecordBatch, now: Callable, values: list[list]) -> pa.RecordBatch:
+        made = [now(*row) for row in zip(*values)]
+        columns = list(zip(*made)) if made else [[]] * len(out.fields)
+        kinds = [pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.int64() if isinstance(f.dataType, T.LongType) else pa.bool_() for f in out.fields]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in fields], *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema.names)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def known(batch: pa.RecordBatch) -> list[list]:
+        return [[None if v is None or v != v else v for v in batch.column(c).to_pylist()] for c in cols]
+
+    if long_keys:
+        numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step, after = machine(), 0
+            for batch in batches:
+                number = batch.column("__rn").to_numpy()
+                if len(number) and (number[0] != after + 1 or (np.diff(number) != 1).any()):
+                    raise RuntimeError("rows of a key came out of order")
+                after += len(number)
+                yield steps(batch, step, known(batch))
+
+        return numbered.groupBy(*key).applyInArrow(one, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, step = None, None
-        for pdf in parts:
-            keys = list(zip(*[pdf[k] for k in key])) if key else [()] * len(pdf)
-            made = []
-            columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in cols]
-            for k, *values in zip(keys, *columns):
+        for batch in batches:
+            keys = list(zip(*[batch.column(k).to_pylist() for k in key])) if key else [()] * batch.num_rows
+            rows = list(zip(*known(batch)))
+
+            def follow(k, *row):
+                nonlocal at, step
                 if step is None or k != at:
                     at, step = k, machine()
-                made.append(step(*values))
-            extra = pd.DataFrame(made, columns=names, index=pdf.index, dtype=object) if made else pd.DataFrame(columns=names, dtype=object)
-            for f in out.fields:
-                if isinstance(f.dataType, T.DoubleType):
-                    extra[f.name] = extra[f.name].astype(float)
-            yield pd.concat([pdf, extra], axis=1)
+                return step(*row)
+
+            yield steps(batch, follow, [keys, *[list(c) for c in zip(*rows)]] if rows else [[]])
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
 def cooldown(df: DataFrame, seconds: str, gap: float, *, key: list[str]) -> DataFrame:
@@ -208,7 +214,7 @@ def latch(df: DataFrame, long_in: str, long_out: str, short_in: str, short_out:
 
         return step
 
-    return ordered_scan(df, [ts], cols, machine, T.StructType([T.StructField(out, T.DoubleType())]), key=key)
+    return ordered_scan(df, [ts], cols, machine, T.StructType([T.StructField(out, T.DoubleType())]), key=key, long_keys=True)
 
 
 def bracket_latch(
@@ -239,4 +245,4 @@ def bracket_latch(
         return step
 
     cols = [enter, price, stop, target] + ([exit_flag] if exit_flag else [])
-    return ordered_scan(df, [ts], cols, machine, T.StructType([T.StructField(out, T.DoubleType())]), key=key)
+    return ordered_scan(df, [ts], cols, machine, T.StructType([T.StructField(out, T.DoubleType())]), key=key, long_keys=True)

@@ -15,6 +15,7 @@ from tidemark.functions import indicators as ind
 from tidemark.operators import chains, rolling, scans
 from tidemark.operators.grid import daily_pivots, higher_timeframe, ordered, up_to_now
 from tidemark.operators.joins import asof_join
+from tidemark.operators.recurrences import together
 from tidemark.operators.rolling import last_k
 from tidemark.plans.base import KEY, bars, query
 from tidemark.plans.recipe_sql import RECIPE_SQL
@@ -82,7 +83,7 @@ def band_break_trend(b, k=2.0, hold=96):
 
 @recipe
 def camarilla_break(b, k=3.0, hold=24, target_vol=0.5, by_chain=False):
-    d = ind.rsi(ind.adx(ind.atr(ind.width_rank(ind.camarilla(b, 24), 50))))
+    d = together(ind.width_rank(ind.camarilla(b, 24), 50), ind.atr_part(), ind.adx_part(), ind.rsi_part(), key=KEY)
     hot = (_c("width_rank") > 0.3) & (_c("adx") > prev("adx"))
     enter = side((_c("close") > _c("cam_r4")) & hot & (_c("rsi") < 80), (_c("close") < _c("cam_s4")) & hot & (_c("rsi") > 20))
     return bracket(d, enter, k * _c("atr"), F.lit(1e9), hold, trail=True, size=ind.inverse_vol_size(target_vol, F.try_divide(_c("atr"), _c("close"))), by_chain=by_chain)
