@@ -112,6 +112,6 @@ def coarsest_width(rows: int, cap: int = 5000, minutes: tuple[int, ...] = (1, 5,
     return next((m for m in minutes if rows / m <= cap), minutes[-1])
 
 
-def panel(df: DataFrame, value: str, symbols: list[str], *, key: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Wide table, one column per symbol; for export only."""
+def panel(df: DataFrame, value: str, symbols: list[str] | None = None, *, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Wide table, one column per symbol, all of the data where none are named; for export only."""
     return df.groupBy(ts).pivot(key, symbols).agg(F.first(value))

@@ -182,14 +182,17 @@ def iteration_flags(*, sharpe_: Column, trades: Column, in_position_pct: Column,
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
 
 
-def trailing_autocorrelation_ranks(returns: DataFrame, r: str, months: DataFrame, days: int, k: int, *, key: str = "symbol", ts: str = "ts", least: int = 30) -> DataFrame:
-    """(month, key, autocorrelation, side, weight): k most and k least autocorrelated keys of the days before each month.
+def trailing_autocorrelation_ranks(returns: DataFrame, r: str, every: str, days: int, k: int, *, key: str = "symbol", ts: str = "ts", least: int = 30) -> DataFrame:
+    """(month, key, autocorrelation, side, weight): k most and k least autocorrelated keys of the ``days`` days before each period.
 
-    ``months`` is (month), one row each, so it is broadcast. Equal weights on both sides.
+    Periods (``every``: "month", "week", ...) are those that begin within the data and have rows. A row
+    is dealt to the starts that look back to it, so nothing is compared with all dates. Equal weights on both sides.
     """
     d = returns.withColumn("__l", F.lag(r).over(ordered([key], ts))).where(F.col(r).isNotNull() & F.col("__l").isNotNull())
-    m = months.select(F.col("month").alias("__m"))
-    j = d.join(F.broadcast(m), (F.col(ts) < F.col("__m")) & (F.col(ts) >= F.col("__m") - F.make_dt_interval(F.lit(days))))
+    m = returns.select(F.date_trunc(every, ts).alias("__m")).distinct()
+    step = F.expr(f"interval 1 {every}")
+    starts = F.sequence(F.date_trunc(every, ts), F.date_trunc(every, F.col(ts) + F.make_dt_interval(F.lit(days))), step)
+    j = d.withColumn("__m", F.explode(starts)).where((F.col("__m") > F.col(ts)) & (F.col("__m") <= F.col(ts) + F.make_dt_interval(F.lit(days)))).join(m, "__m")
     g = j.groupBy(F.col("__m").alias("month"), key).agg(F.count(F.lit(1)).alias("n"), F.corr(r, "__l").alias("autocorrelation")).where((F.col("n") >= least) & F.col("autocorrelation").isNotNull())
     up = F.row_number().over(Window.partitionBy("month").orderBy(F.col("autocorrelation").desc(), key))
     down = F.row_number().over(Window.partitionBy("month").orderBy("autocorrelation", key))

@@ -60,7 +60,7 @@ def clean_first_per_minute(spark, sf):
 
 @query("panel_export", out(BARS, "t", "click error purchase signup view", "SELECT t, " + ", ".join(f"max(close) FILTER (symbol = '{s}') AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + " FROM bars GROUP BY t"))
 def panel_export(spark, sf):
-    return grid.panel(bars(spark, sf), "close", ["click", "error", "purchase", "signup", "view"])
+    return grid.panel(bars(spark, sf), "close")
 
 
 @query("window_labels", "WITH " + BARS + " SELECT symbol, CASE WHEN t < epoch(TIMESTAMP '2024-01-10') THEN 'TRAIN' WHEN t < epoch(TIMESTAMP '2024-01-20') THEN 'VALID' WHEN t < epoch(TIMESTAMP '2024-01-28') THEN 'TEST' ELSE 'OUT' END AS label, count(*) AS n FROM bars GROUP BY 1, 2")

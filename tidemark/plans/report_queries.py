@@ -182,11 +182,22 @@ def iteration_flags(spark, sf):
     return g.select("symbol", F.array_join(f, ",").alias("flags"))
 
 
-@query("autocorrelation_ranks", out(RETS + ", d AS (SELECT * FROM (SELECT symbol, t, r, lag(r) OVER w AS l FROM rets " + W + ") WHERE r IS NOT NULL AND l IS NOT NULL), m AS (SELECT epoch(x)::BIGINT AS m FROM (VALUES (TIMESTAMP '2024-01-15'), (TIMESTAMP '2024-01-22'), (TIMESTAMP '2024-01-29')) v(x)), g AS (SELECT m, symbol, corr(r, l) AS c FROM d JOIN m ON t < m AND t >= m - 14 * 86400 GROUP BY 1, 2 HAVING count(*) >= 30), k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY c DESC, symbol) AS up, row_number() OVER (PARTITION BY m ORDER BY c, symbol) AS dn FROM g), s AS (SELECT m, symbol, c, CASE WHEN up <= 2 THEN 1 WHEN dn <= 2 THEN -1 END AS side FROM k)", "month symbol side", "autocorrelation weight", "SELECT m AS month, symbol, side, c AS autocorrelation, side / count(*) OVER (PARTITION BY m) AS weight FROM s WHERE side IS NOT NULL"))
+_AUTOCORRELATED = (
+    RETS + ", d AS (SELECT * FROM (SELECT symbol, t, r, lag(r) OVER w AS l FROM rets " + W + ") WHERE r IS NOT NULL AND l IS NOT NULL), "
+    "m AS (SELECT DISTINCT (((t // 86400) + 3) // 7 * 7 - 3) * 86400 AS m FROM rets), "
+    "g AS (SELECT m, symbol, corr(r, l) AS c FROM d JOIN m ON t < m AND t >= m - 14 * 86400 GROUP BY 1, 2 HAVING count(*) >= 30), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY c DESC, symbol) AS up, row_number() OVER (PARTITION BY m ORDER BY c, symbol) AS dn FROM g), "
+    "s AS (SELECT m, symbol, c, CASE WHEN up <= 2 THEN 1 WHEN dn <= 2 THEN -1 END AS side FROM k)"
+)
+
+
+@query("autocorrelation_ranks", out(
+    _AUTOCORRELATED, "month symbol side", "autocorrelation weight",
+    "SELECT m AS month, symbol, side, c AS autocorrelation, side / count(*) OVER (PARTITION BY m) AS weight FROM s WHERE side IS NOT NULL",
+))
 def autocorrelation_ranks(spark, sf):
-    """Two most and two least autocorrelated symbols of the 14 days before each of three dates."""
-    m = spark.createDataFrame([("2024-01-15",), ("2024-01-22",), ("2024-01-29",)], "d string").select(F.col("d").cast("timestamp").alias("month"))
-    return reports.trailing_autocorrelation_ranks(with_returns(spark, sf), "r", m, 14, 2)
+    """Two most and two least autocorrelated symbols of the 14 days before each week of the data."""
+    return reports.trailing_autocorrelation_ranks(with_returns(spark, sf), "r", "week", 14, 2)
 
 
 ZONES = SWING + """, cf AS (SELECT symbol, conf AS c, high AS price FROM piv WHERE is_high UNION ALL SELECT symbol, conf, low FROM piv WHERE is_low),
