@@ -768,6 +768,22 @@ def test_hot_keys_meet_in_blocks_whatever_the_sample_shows(spark, monkeypatch, o
     assert got == sorted((a, b) for k, a in rows for k2, b in rows if k == k2 and a < b)
 
 
+def test_a_prefix_is_scored_once_for_all_words_and_batches(monkeypatch):
+    r = random.Random(8)
+    scores = {p: -r.random() - 1 for p in ["a", "b", "ab", "ba", "abb", "é", "▁", "▁a", "aa", "bab"]}
+    words = ["".join(r.choice("abé日") for _ in range(r.choice([1, 2, 5, 20, 70, 200]))) for _ in range(300)]
+    words += ["ab" * 8 + x for x in ("", "a", "b" * 60, "a" * 300)]  # one prefix across all classes of length
+    scored = []
+    score = tokens.TrieCounter._score
+    monkeypatch.setattr(tokens.TrieCounter, "_score", lambda self, node, *a: (scored.extend(node.tolist()), score(self, node, *a))[1])
+    trie = tokens.TrieCounter(scores)
+    got = np.concatenate([trie(words[i : i + 37]) for i in range(0, len(words), 37)])
+    assert got.tolist() == [trie._count_one(w) for w in words]
+    assert len(scored) == len(set(scored)) == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    trie.forget()
+    assert trie(words[:50]).tolist() == got[:50].tolist()
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     columns = docs.columns

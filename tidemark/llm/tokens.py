@@ -1,13 +1,13 @@
 """Operator 8: token counts under a unigram model, by a trie of pre-tokens.
 
 Texts are cut into pre-tokens at white space, each with the word-start mark of the
-vocabulary. A task inserts the distinct pre-tokens of its texts in a trie and runs
-the forward (Viterbi) recurrence over the trie's nodes: the best score and token
-count of a prefix are computed once, however many pre-tokens share it, and the
-counts at the terminal nodes are stored. A document's count is the sum over its
+vocabulary. A task has one trie that grows by the distinct pre-tokens of its texts, batch
+after batch. The forward (Viterbi) recurrence runs over new nodes alone: the best score and
+token count of a prefix are computed once, however many pre-tokens share it and whenever they
+come, and the counts at the terminal nodes are stored. A document's count is the sum over its
 pre-tokens. Nothing is shuffled, and a task starts a new trie when the distinct
-pre-tokens at hand reach a bound, which changes no result. Very long pre-tokens run
-the same recurrence alone. Pieces are found by hash and compared by character.
+pre-tokens or the nodes at hand reach a bound, which changes no result. Pre-tokens of over
+512 characters run the same recurrence alone. Pieces are found by hash and compared by character.
 
 The vocabulary is a public one, given by path; its pieces are ordered by rank and
 piece r has log probability -log((r + 1) * H), H making the sum one (a unigram
@@ -32,6 +32,8 @@ VOCABULARY = "piece_bpe_32k.model"
 WORD_START = "▁"
 #: Distinct pre-tokens that one trie holds at most.
 TRIE_WORDS = 400_000
+#: Nodes after which a task starts a new trie (some 150 bytes each).
+TRIE_NODES = 1_500_000
 #: Pre-tokens of more characters run by themselves: they hardly share prefixes, and the
 #: recurrence over the trie takes its steps for all words at once.
 LONG_WORD = 512
@@ -56,7 +58,7 @@ def unigram_scores(pieces: list[str]) -> dict[str, float]:
 
 
 class TrieCounter:
-    """Best-path token counts of many distinct strings at once."""
+    """Best-path token counts of strings by a trie that grows from call to call."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = {piece: s for piece, s in scores.items() if piece}
@@ -70,16 +72,19 @@ class TrieCounter:
             order = np.argsort(h, kind="stable")
             chars = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
             self.tables[n] = (h[order], np.array([self.scores[p] for p in pieces])[order], chars[order])
+        self.forget()
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """Tokens of each word, by the highest sum of scores, then by fewest tokens.
+    def forget(self) -> None:
+        """Start a new trie."""
+        #: of each node, the root first: best score, tokens and hash of its prefix; (parent, character) -> node
+        self.best, self.tokens, self.hash = np.zeros(1 << 12), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
+        self.nodes, self.child = 1, {}
 
-        Words are sorted, so those that share a prefix stand together: a trie node
-        at depth d is a run of words that agree in their first d characters.
-        """
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word, by the highest sum of scores, then by fewest tokens."""
         out = np.zeros(len(words), np.int64)
         lens = np.array([len(w) for w in words], np.int64)
-        # long strings apart, so that the character matrix stays near the text's size
+        # long strings apart, so that the character matrix stays near the text's size; the trie is one
         edges = [0, 16, 64, LONG_WORD]
         for lo, hi in zip(edges, edges[1:]):
             at = np.flatnonzero((lens > lo) & (lens <= hi))
@@ -112,59 +117,75 @@ class TrieCounter:
         return tokens[-1]
 
     def _count(self, words: list[str], lens: np.ndarray) -> np.ndarray:
+        """Walk the words down the trie together, by depth; only nodes that are new are scored.
+
+        Words are sorted, so those of one prefix stand together: at depth d a node is a run of words.
+        """
         width = int(lens.max())
         chars = np.zeros((len(words), width), np.uint32)
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         chars[np.arange(width)[None, :] < lens[:, None]] = flat
         order = np.lexsort(chars.T[::-1]) if width <= 64 else np.array(sorted(range(len(words)), key=words.__getitem__))
         chars, sizes = chars[order], lens[order]
-        back = max(self.lengths)
-        # node of every word at each of the last ``back`` depths, and the nodes' state
-        node = np.zeros(len(words), np.int64)
-        history = [(node, np.zeros(1), np.zeros(1, np.int64))]  # by depth, newest last
-        prefix = [np.zeros(len(words), np.uint64)]
+        back = max(self.lengths, default=1)
+        path = [np.zeros(len(words), np.int64)]  # the node of each word at the last ``back`` depths, newest last
         terminal = np.zeros(len(words), np.int64)
         live = np.arange(len(words))
         for d in range(1, width + 1):
             keep = sizes[live] >= d
-            live = live[keep]
-            history = [(n[keep], s, c) for n, s, c in history]
-            prefix = [p[keep] for p in prefix]
-            ch = chars[live, d - 1]
-            parent = history[-1][0]
-            new = np.ones(len(live), bool)
-            new[1:] = (parent[1:] != parent[:-1]) | (ch[1:] != ch[:-1])
-            node = np.cumsum(new) - 1
-            first = np.flatnonzero(new)  # a word that stands for each node
-            prefix.append(prefix[-1] * _BASE + (ch.astype(np.uint64) + np.uint64(1)))
-            width_utf8 = _utf8_bytes(ch[first])
-            n_up, s_up, c_up = history[-1]
-            best = s_up[n_up[first]] + _UNKNOWN * width_utf8
-            count = c_up[n_up[first]] + width_utf8
-            for n in self.lengths:
-                if n > d:
-                    break
-                h, s, pieces = self.tables[n]
-                own = prefix[-1][first] - prefix[-1 - n][first] * _power(n)
-                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                hit = np.flatnonzero(h[at] == own)
-                if len(hit):
-                    hit = hit[(chars[live[first[hit]], d - n : d] == pieces[at[hit]]).all(axis=1)]
-                if not len(hit):
-                    continue
-                n_old, s_old, c_old = history[-n]
-                before = n_old[first[hit]]
-                score, tokens = s_old[before] + s[at[hit]], c_old[before] + 1
-                better = (score > best[hit] + 1e-9) | ((np.abs(score - best[hit]) <= 1e-9) & (tokens < count[hit]))
-                best[hit[better]], count[hit[better]] = score[better], tokens[better]
+            live, path = live[keep], [p[keep] for p in path]
+            ch, parent = chars[live, d - 1].astype(np.int64), path[-1]
+            run = np.ones(len(live), bool)
+            run[1:] = (parent[1:] != parent[:-1]) | (ch[1:] != ch[:-1])
+            first = np.flatnonzero(run)  # a word that stands for each node
+            keys = (parent[first] << 21 | ch[first]).tolist()
+            before = self.nodes
+            at = np.array([self._node(k) for k in keys], np.int64)
+            fresh = np.flatnonzero(at >= before)
+            if len(fresh):
+                self._score(at[fresh], [p[first[fresh]] for p in path], chars, live[first[fresh]], d)
+            node = at[np.cumsum(run) - 1]
             ends = sizes[live] == d
-            terminal[live[ends]] = count[node[ends]]
-            history.append((node, best, count))
-            history, prefix = history[-back:], prefix[-back - 1 :]
+            terminal[live[ends]] = self.tokens[node[ends]]
+            path = [*path, node][-back:]
         out = np.empty(len(words), np.int64)
         out[order] = terminal
         return out
 
+    def _node(self, key: int) -> int:
+        """The node of (parent, character), made where there is none."""
+        i = self.child.get(key)
+        if i is None:
+            i = self.child[key] = self.nodes
+            self.nodes += 1
+        return i
+
+    def _score(self, node: np.ndarray, path: list[np.ndarray], chars: np.ndarray, word: np.ndarray, d: int) -> None:
+        """Best score and tokens of new nodes at depth ``d``; ``path`` has their ancestors, ``word`` a word through each."""
+        if self.nodes > len(self.best):
+            more = max(self.nodes, 2 * len(self.best)) - len(self.best)
+            self.best, self.tokens, self.hash = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.best, self.tokens, self.hash))
+        ch = chars[word, d - 1]
+        own_hash = self.hash[path[-1]] * _BASE + (ch.astype(np.uint64) + np.uint64(1))
+        size = _utf8_bytes(ch)
+        best, count = self.best[path[-1]] + _UNKNOWN * size, self.tokens[path[-1]] + size
+        for n in self.lengths:
+            if n > d:
+                break
+            h, s, pieces = self.tables[n]
+            old = path[-n]
+            own = own_hash - self.hash[old] * _power(n)
+            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+            hit = np.flatnonzero(h[at] == own)
+            if len(hit):
+                hit = hit[(chars[word[hit], d - n : d] == pieces[at[hit]]).all(axis=1)]
+            if not len(hit):
+                continue
+            score, tokens = self.best[old[hit]] + s[at[hit]], self.tokens[old[hit]] + 1
+            better = (score > best[hit] + 1e-9) | ((np.abs(score - best[hit]) <= 1e-9) & (tokens < count[hit]))
+            best[hit[better]], count[hit[better]] = score[better], tokens[better]
+        self.best[node], self.tokens[node], self.hash[node] = best, count, own_hash
+
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
@@ -204,8 +225,9 @@ def token_counts(docs: DataFrame, scores: dict[str, float], *, doc_id: str = "do
                 for row, own in zip(at, held):
                     n_tokens[row] += int(known[own].sum()) if own else 0
                 at, held, fresh = [], [], []
-                if len(ids) > trie_words:
+                if len(ids) > trie_words or count.nodes > TRIE_NODES:
                     ids, known = {}, np.empty(0, np.int64)
+                    count.forget()
 
             for row, t in enumerate(b.column(1)):
                 words = (t.as_py() or "").split()
