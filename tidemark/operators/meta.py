@@ -25,7 +25,7 @@ def fit_meta(train: DataFrame, features: list[str], label: str = "y", *, trees:
     n = train.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("share")).first()
     if n["n"] < least_events or not least_share <= (n["share"] or 0.0) <= 1 - least_share:
         return None
-    imputed = [f"__{f}" for f in features]
+    imputed = [f"__imputed_{f}" for f in features]
     head = [Imputer(strategy="median", inputCols=features, outputCols=imputed), VectorAssembler(inputCols=imputed, outputCol="__raw")]
     tail = (
         [GBTClassifier(featuresCol="__raw", labelCol=label, maxIter=20, maxDepth=3, seed=1)]

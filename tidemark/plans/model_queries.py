@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import events, folds, inference, joins, meta, metrics, rolling, sweep
 from tidemark.operators.grid import ordered
-from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, bars, out, query, shared_paths, table, with_returns
+from tidemark.plans.base import BARS, HOUR_PPY, KEY, ORACLES, RETS, TICKS, bars, out, query, shared_paths, table, with_returns
 from tidemark.streaming import live
 
 
@@ -196,3 +196,12 @@ def matched_null_levels(spark, sf):
         return F.count(F.when(F.col(c).between(F.col("low"), F.col("high")), 1))
 
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), touched("level").alias("touched"), touched("moved").alias("moved_touched"))
+
+
+@query("meta_labels", f"SELECT eid, CASE WHEN label = 1 THEN 1 ELSE 0 END AS y FROM ({ORACLES['triple_barrier']})")
+def meta_labels(spark, sf):
+    """Whether an event's own direction reached its profit barrier first."""
+    from tidemark.plans.event_queries import busy, indexed
+
+    lab = events.triple_barrier(busy(spark, sf), indexed(spark, sf), 24, F.lit(0.8), F.lit(0.5), key=KEY, event_id="eid")
+    return meta.meta_labels(lab).select("eid", "y")
