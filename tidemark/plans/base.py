@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.grid import resample_ohlcv
 from tidemark.operators.rolling import log_return
+from tidemark.operators.shared import checkpoint_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,11 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_paths(spark: SparkSession, *kinds: str) -> list[str]:
     """New paths in the folder that all executors share; a local one only where Spark runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
+    root = checkpoint_root(spark)
     return [f"{root}/{kind}-{uuid.uuid4().hex}" for kind in kinds]
 
 

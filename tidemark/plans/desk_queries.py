@@ -10,7 +10,7 @@ from tidemark.functions import indicators as ind
 from tidemark.operators import events, levels, meta, metrics, orderflow, pairs, registry, reports, returns, rolling, sweep
 from tidemark.operators.grid import ordered, spine
 from tidemark.operators.rolling import last_k
-from tidemark.plans.base import BARS, KEY, RETS, W, bars, ewm_sql, out, query, with_returns
+from tidemark.plans.base import BARS, KEY, ORACLES, RETS, W, bars, ewm_sql, out, query, shared_paths, with_returns
 from tidemark.plans.event_queries import IDX, NET, SWING, Z, indexed, latched, netted
 from tidemark.plans.metric_queries import SHARPE
 from tidemark.plans.recipe_sql import PARTS, frame
@@ -121,6 +121,15 @@ def feature_frame(spark, sf):
     return registry.compute(bars(spark, sf), ["ret_1", "vol_24", "vol_rank"], START, END, keys=KEY)
 
 
+@query("feature_read_through", ORACLES["feature_frame"])
+def feature_read_through(spark, sf):
+    """The same features kept by week: four days are asked for first, so the rest adds what is missing."""
+    root, names = shared_paths(spark, "features")[0], ["ret_1", "vol_24", "vol_rank"]
+    b = bars(spark, sf)
+    registry.read_through(b, names, START, START + timedelta(days=4), root, unit="week")
+    return registry.read_through(b, names, START, END, root, unit="week")
+
+
 @registry.research_tool("volatility_split")
 def _volatility_tool(df, *, k: int = 24):
     return reports.volatility_split(df, "r", k, 3, key=KEY)
