@@ -21,7 +21,7 @@ def series(spark, seed, n, keys=2, levels=12):
     return spark.createDataFrame(rows, "symbol string, idx long, s long, close double, high double, low double, sig int, stop double, target double, leave boolean").withColumn("ts", F.timestamp_seconds("s")).coalesce(2)
 
 
-@pytest.mark.parametrize("horizon", [1, 24, 64, 100, 1440])
+@pytest.mark.parametrize("horizon", [1, 64, 100, 1440])
 def test_first_touch_and_extremes_match_loops(spark, horizon):
     df = series(spark, horizon, 700).cache()
     got = touch.first_touch(df, df, horizon, lambda k, _: (k["hi"] >= F.col("close") + 2 * F.col("target")) | (k["lo"] <= F.col("close") - 2 * F.col("stop")), key=KEY)
@@ -53,8 +53,7 @@ def test_triple_barrier_by_touch_matches_the_path(spark):
         assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
-@pytest.mark.parametrize("trail", [False, True])
-@pytest.mark.parametrize("hold", [1, 5, 90])
+@pytest.mark.parametrize(("trail", "hold"), [(False, 1), (False, 90), (True, 5)])
 def test_bracket_chain_equals_the_streamed_latch(spark, trail, hold):
     df = series(spark, hold, 300).withColumn("close", F.when(F.col("idx") % 17 != 3, F.col("close")))
     args = ("sig", "close", "stop", "target", hold)
@@ -63,7 +62,7 @@ def test_bracket_chain_equals_the_streamed_latch(spark, trail, hold):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("gap", [1, 200, 5000])
+@pytest.mark.parametrize("gap", [1, 200])
 def test_cooldown_chain_equals_the_streamed_one(spark, gap):
     df = series(spark, gap, 300).where("sig = 1").select("symbol", (F.col("s") / 120).cast("long").alias("s"))
     want = scans.cooldown(df, "s", gap / 100, key=KEY)

@@ -167,19 +167,49 @@ def held_out_days(spark, sf):
     return reports.held_out_days(e, f, key=KEY)
 
 
-@query("iteration_flags", out(NET + ", q AS (SELECT symbol, avg(net) / nullif(stddev_samp(net), 0) * sqrt(8760) AS s, product(1 + net) - 1 AS ret, avg((position <> 0)::INT) * 100 AS pct, count(*) FILTER (position <> 0) AS n, sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0) AS pf FROM g GROUP BY 1)", "symbol flags", "", "SELECT symbol, array_to_string(list_filter([CASE WHEN s >= 1.5 THEN 'strong_sharpe' END, CASE WHEN s < 0 THEN 'negative_sharpe' END, CASE WHEN n = 0 THEN 'no_trades' END, CASE WHEN n > 0 AND n < 50 THEN 'few_trades' END, CASE WHEN pct < 5 THEN 'almost_no_position' END, CASE WHEN pct >= 5 AND pct < 20 THEN 'low_activity' END, CASE WHEN s > 1 AND abs(ret) < 0.01 THEN 'inflated_sharpe' END, CASE WHEN pf < 1 THEN 'losses_dominate' END, CASE WHEN pf >= 1 AND pf < 1.3 THEN 'thin_edge' END, CASE WHEN s > 0.5 AND ret < 0 THEN 'calendar_bias' END], lambda x: x IS NOT NULL), ',') AS flags FROM q"))
+_FLAGS = {
+    "strong_sharpe": "s >= 1.5", "negative_sharpe": "s < 0", "all_windows_positive": "windows > 0 AND positive = windows", "all_windows_negative": "windows > 0 AND positive = 0",
+    "one_window_positive": "windows > 1 AND positive = 1", "train_gap": "gap > 1", "one_window_dominates": "windows >= 3 AND top > 0.5", "no_trades": "n = 0", "few_trades": "n > 0 AND n < 50",
+    "almost_no_position": "pct < 5", "low_activity": "pct >= 5 AND pct < 20", "inflated_sharpe": "s > 1 AND abs(ret) < 0.01", "one_trade_dominates": "largest > 30", "red_streak": "streak >= 3",
+    "losses_dominate": "pf < 1", "thin_edge": "pf >= 1 AND pf < 1.3", "calendar_bias": "s > 0.5 AND ret < 0",
+}
+_FLAG_INPUTS = (
+    NET + ", q AS (SELECT symbol, avg(net) / nullif(stddev_samp(net), 0) * sqrt(8760) AS s, product(1 + net) - 1 AS ret, avg((position <> 0)::INT) * 100 AS pct, count(*) FILTER (position <> 0) AS n, "
+    "sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0) AS pf FROM g GROUP BY 1), "
+    "w0 AS (SELECT symbol, t // 432000 AS win, product(1 + net) - 1 AS r, avg(net) / nullif(stddev_samp(net), 0) * sqrt(8760) AS ws FROM g GROUP BY 1, 2), "
+    "w1 AS (SELECT *, lag(ws) OVER k - ws AS d, sum((r >= 0)::INT) OVER k AS grp FROM w0 WINDOW k AS (PARTITION BY symbol ORDER BY win)), "
+    "w2 AS (SELECT *, sum((r < 0)::INT) OVER (PARTITION BY symbol, grp) AS reds FROM w1), "
+    "ww AS (SELECT symbol, count(*) AS windows, count(*) FILTER (r > 0) AS positive, max(d) AS gap, max(r) / nullif(sum(r) FILTER (r > 0), 0) AS top, max(reds) AS streak FROM w2 GROUP BY 1), "
+    "dy AS (SELECT symbol, max(abs(r)) / nullif(sum(abs(r)), 0) * 100 AS largest FROM (SELECT symbol, t // 86400 AS d, product(1 + net) - 1 AS r FROM g GROUP BY 1, 2) GROUP BY 1)"
+)
+
+
+@query("iteration_flags", out(
+    _FLAG_INPUTS, "symbol flags", "",
+    f"SELECT symbol, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _FLAGS.items())}], lambda x: x IS NOT NULL), ',') AS flags FROM q JOIN ww USING (symbol) JOIN dy USING (symbol)",
+))
 def iteration_flags(spark, sf):
-    n = F.col("net")
-    g = netted(spark, sf).groupBy("symbol").agg(
-        (F.avg(n) / F.nullif(F.stddev_samp(n), F.lit(0.0)) * math.sqrt(HOUR_PPY)).alias("s"), (F.product(1 + n) - 1).alias("ret"), (F.avg((F.col("position") != 0).cast("double")) * 100).alias("pct"),
+    """All rules over the run of each symbol: windows of five days stand for folds, days for trades."""
+    n, seconds = F.col("net"), F.unix_timestamp("ts")
+    sharpe = F.avg(n) / F.nullif(F.stddev_samp(n), F.lit(0.0)) * math.sqrt(HOUR_PPY)
+    net = netted(spark, sf)
+    g = net.groupBy("symbol").agg(
+        sharpe.alias("s"), (F.product(1 + n) - 1).alias("ret"), (F.avg((F.col("position") != 0).cast("double")) * 100).alias("pct"),
         F.count(F.when(F.col("position") != 0, 1)).alias("n"), (F.sum(F.when(n > 0, n)) / F.nullif(-F.sum(F.when(n < 0, n)), F.lit(0.0))).alias("pf"),
     )
-    none = F.lit(0)
+    w = net.groupBy("symbol", F.floor(seconds / 432_000).alias("win")).agg((F.product(1 + n) - 1).alias("r"), sharpe.alias("ws"))
+    by_win, r = Window.partitionBy("symbol").orderBy("win"), F.col("r")
+    w = w.withColumns({"gap": F.lag("ws").over(by_win) - F.col("ws"), "grp": F.sum((r >= 0).cast("int")).over(by_win)})
+    w = w.withColumn("reds", F.sum((r < 0).cast("int")).over(Window.partitionBy("symbol", "grp")))
+    w = w.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("windows"), F.count(F.when(r > 0, 1)).alias("positive"), F.max("gap").alias("gap"), (F.max("r") / F.nullif(F.sum(F.when(r > 0, r)), F.lit(0.0))).alias("top"), F.max("reds").alias("streak"),
+    )
+    d = net.groupBy("symbol", F.floor(seconds / 86_400).alias("day")).agg((F.product(1 + n) - 1).alias("r")).groupBy("symbol").agg((F.max(F.abs("r")) / F.nullif(F.sum(F.abs("r")), F.lit(0.0)) * 100).alias("largest"))
     f = reports.iteration_flags(
-        sharpe_=F.col("s"), trades=F.col("n"), in_position_pct=F.col("pct"), total_return=F.col("ret"), largest_pct=none, red_streak=none, profit_factor=F.col("pf"),
-        windows=none, positive_windows=none, worst_gap=none, top_share=none,
+        sharpe_=F.col("s"), trades=F.col("n"), in_position_pct=F.col("pct"), total_return=F.col("ret"), largest_pct=F.col("largest"), red_streak=F.col("streak"), profit_factor=F.col("pf"),
+        windows=F.col("windows"), positive_windows=F.col("positive"), worst_gap=F.col("gap"), top_share=F.col("top"),
     )
-    return g.select("symbol", F.array_join(f, ",").alias("flags"))
+    return g.join(w, "symbol").join(d, "symbol").select("symbol", F.array_join(f, ",").alias("flags"))
 
 
 _AUTOCORRELATED = (
