@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -79,3 +80,13 @@ def test_a_recipe_of_many_smoothings_has_four_exchanges_and_two_python_stages(sp
     plan = registry.queries()["recipe_camarilla_break"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 4
     assert len(re.findall(r"InArrow|InPandas|ArrowEvalPython", plan)) == 2
+
+
+def test_order_holds_after_a_window_with_a_finer_key(spark):
+    """Spark moves the window that numbers the rows under the finer one; rows must still come in order."""
+    pdf, df = frame(spark, 400)
+    finer = df.withColumn("part", F.col("i") % 7).withColumn("m", F.max("i").over(Window.partitionBy("symbol", "part").orderBy(F.desc("i"))))
+    got = recurrences(finer, [Mean("y", "x", 0.3)], key=["symbol"], ts="i").toPandas().sort_values(["symbol", "i"])
+    for symbol, own in pdf.groupby("symbol"):
+        np.testing.assert_allclose(got[got["symbol"] == symbol]["y"].to_numpy(float), own["x"].ewm(alpha=0.3, adjust=False).mean().to_numpy(), rtol=1e-9, atol=1e-11)
+    assert got["m"].notna().all()

@@ -105,7 +105,8 @@ def recurrences(df: DataFrame, steps: list[Mean | Derived], *, key: list[str], t
     """
     names = [s.out for s in steps if s.out not in drop]
     inputs = {c for s in steps for c in ((s.x,) if isinstance(s, Mean) else s.of)} & set(df.columns)
-    numbered = df.withColumn("__rn", F.row_number().over(ordered(key, ts)))
+    # the window deals rows by key; Spark may move it under one with a finer key, so the order is asked for (no sort where it holds)
+    numbered = df.withColumn("__rn", F.row_number().over(ordered(key, ts))).sortWithinPartitions(*key, "__rn")
     kept = [f for f in numbered.schema.fields if f.name not in {"__rn", *drop, *[s.out for s in steps]}]
     schema = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in names]])
 

@@ -99,7 +99,7 @@ def ordered_scan(df: DataFrame, order: list[str], cols: list[str], machine: Call
         return [[None if v is None or v != v else v for v in batch.column(c).to_pylist()] for c in cols]
 
     if long_keys:
-        numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+        numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).sortWithinPartitions(*key, "__rn")
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step, after = machine(), 0
