@@ -121,9 +121,12 @@ def feature_frame(spark, sf):
     return registry.compute(bars(spark, sf), ["ret_1", "vol_24", "vol_rank"], START, END, keys=KEY)
 
 
-@query("feature_read_through", ORACLES["feature_frame"])
+@query("feature_read_through", ORACLES["feature_frame"].replace("TIMESTAMP '2024-01-03'", "TIMESTAMP '2024-01-01'"))
 def feature_read_through(spark, sf):
-    """The same features kept by week: four days are asked for first, so the rest adds what is missing."""
+    """The same features kept by week: four days are asked for first, so the rest adds what is missing.
+
+    Weeks are computed whole, so the warm-up begins seven days before the first week.
+    """
     root, names = shared_paths(spark, "features")[0], ["ret_1", "vol_24", "vol_rank"]
     b = bars(spark, sf)
     registry.read_through(b, names, START, START + timedelta(days=4), root, unit="week")
