@@ -103,6 +103,11 @@ def test_zones_of_a_chain_of_close_prices(spark):
     assert [(r.level, r.strength) for r in one] == [(50.0, 1)]
 
 
+def test_zones_of_prices_of_zero(spark):
+    got = levels.zones(swings(spark, [0.0, 0.0, 0.01, 0.01, 5.0, 0.0]), 24, 96, 0.02, 1, key=["symbol"]).where("at = 24").orderBy("level").collect()
+    assert [(r.level, r.strength) for r in got] == [(0.0, 3), (0.01, 2), (5.0, 1)]
+
+
 def test_importance_does_not_depend_on_the_number_of_rows(spark):
     def forecast(d):
         return d.withColumn("p", 1 / (1 + F.exp(-3 * F.col("u"))))

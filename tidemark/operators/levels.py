@@ -9,7 +9,7 @@ from tidemark.operators.joins import range_join
 
 
 def _anchored(prices: Column, tol: float) -> Column:
-    """(total, n) of greedy zones over ascending prices: a price joins while it is within ``tol`` of the zone's first."""
+    """(total, n) of greedy zones over ascending prices: a price joins while it is within ``tol`` of the zone's first or equals it, as zeros do."""
     kind = "array<struct<anchor: double, total: double, n: bigint>>"
 
     def zone(anchor: Column, total: Column, n: Column) -> Column:
@@ -17,7 +17,7 @@ def _anchored(prices: Column, tol: float) -> Column:
 
     def take(found: Column, x: Column) -> Column:
         last = F.get(found, F.size(found) - 1)
-        near = F.coalesce(F.try_divide(x - last["anchor"], last["anchor"]) <= tol, F.lit(False))
+        near = F.coalesce(F.try_divide(x - last["anchor"], last["anchor"]) <= tol, F.lit(False)) | F.coalesce(x == last["anchor"], F.lit(False))
         grown = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), zone(last["anchor"], last["total"] + x, last["n"] + 1))
         return F.when(near, grown).otherwise(F.concat(found, zone(x, x, F.lit(1).cast("long"))))
 
