@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import folds, inference, levels, meta, pairs
+from tidemark.plans.base import rounded, tidy
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -108,6 +109,17 @@ def test_zones_of_prices_of_zero(spark):
     assert [(r.level, r.strength) for r in got] == [(0.0, 3), (0.01, 2), (5.0, 1)]
 
 
+def test_decimals_are_rounded_as_sql_does(spark, duck):
+    tie = 2.4782154333333333 - 2.4730399333333333  # 0.0051754999999999996, whose product with 10^6 is a tie
+    rng = np.random.default_rng(3)
+    x = [tie, -tie, 0.0, 1e300, 1e305, -1e305, 123456789.0000005, float("inf"), float("nan"), None, *(float(a - b) for a, b in rng.integers(1, 10**7, (3000, 2)) / 9e7)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")
+    got = [(r.x, r.y) for r in tidy(df).join(df.select("i", rounded("x", 4).alias("y")), "i").orderBy("i").collect()]
+    assert got[0] == (0.005176, 0.0052)
+    want = [duck.execute("SELECT round(?::DOUBLE, 6), round(?::DOUBLE, 4)", [v, v]).fetchone() for v in x]
+    assert [str(r) for r in got] == [str(r) for r in want]
+
+
 def test_importance_does_not_depend_on_the_number_of_rows(spark):
     def forecast(d):
         return d.withColumn("p", 1 / (1 + F.exp(-3 * F.col("u"))))

@@ -265,3 +265,22 @@ def test_stationary_draws(spark):
     assert 0.65 < follow < 0.85  # blocks of four on average
     dealt = inference.stationary_draws(places, 5, key=["k"], at="i", n="n", permute=True).where("k = 'a'").groupBy("replicate").agg(F.sort_array(F.collect_list("at")).alias("x")).collect()
     assert all(r["x"] == list(range(64)) for r in dealt)
+
+
+def test_radius_pairs_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    from tidemark.plans import registry
+
+    rng = np.random.default_rng(5)
+    rows = [(k, int(c), float(p)) for k, (c, p) in enumerate(zip(rng.integers(0, 40, 400), np.round(rng.random(400) * 4e5, 2)))]
+    o = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double")
+    want = {}
+    for _, c, p in rows:
+        n, s = want.get(c, (0, 0.0))
+        want[c] = n + 1, s + p
+    at = {c: (s / n / 100000.0, n / 10.0) for c, (n, s) in want.items()}
+    gap = lambda a, b: float(np.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1])))
+    near = {(p, q): gap(at[p], at[q]) for p in at for q in at if p < q and gap(at[p], at[q]) <= 0.02}
+    for parts in (1, 7):
+        o.orderBy(F.rand(parts)).repartition(parts).write.parquet(f"{tmp_path}/{parts}/orders.parquet")
+        got = {(r["p"], r["q"]): r["distance"] for r in registry.queries()["radius_pairs"](spark, f"{tmp_path}/{parts}").collect()}
+        assert got == {k: float(np.floor(v * 1e6 + 0.5)) / 1e6 for k, v in near.items()} and got

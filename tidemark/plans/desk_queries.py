@@ -10,7 +10,7 @@ from tidemark.functions import indicators as ind
 from tidemark.operators import events, levels, meta, metrics, orderflow, pairs, registry, reports, returns, rolling, sweep
 from tidemark.operators.grid import ordered, spine
 from tidemark.operators.rolling import last_k
-from tidemark.plans.base import BARS, KEY, ORACLES, RETS, W, bars, ewm_sql, out, query, shared_paths, with_returns
+from tidemark.plans.base import BARS, KEY, ORACLES, RETS, W, bars, ewm_sql, out, query, rounded, shared_paths, with_returns
 from tidemark.plans.event_queries import IDX, NET, SWING, Z, indexed, latched, netted
 from tidemark.plans.metric_queries import SHARPE
 from tidemark.plans.recipe_sql import PARTS, frame
@@ -44,13 +44,13 @@ def hedge_legs(spark, sf):
 def composite_scores(spark, sf):
     g = netted(spark, sf).groupBy("symbol").agg(metrics.sharpe(F.col("net"), 8760.0).alias("s"), F.count(F.when(F.col("position") != 0, 1)).alias("n"), (F.product(1 + F.col("net")) - 1).alias("ret"))
     score = metrics.composite_score(F.col("s"), F.lit(0.1), F.col("n"), F.col("ret"), least_trades=400)
-    return g.select("symbol", "n", F.round(score, 4).alias("score"))
+    return g.select("symbol", "n", rounded(score, 4).alias("score"))
 
 
 @query("annualised_volatility", out(RETS, "symbol", "volatility", "SELECT symbol, stddev_samp(r) * sqrt(8760) AS volatility FROM rets GROUP BY 1", 4))
 def annualised_volatility(spark, sf):
     d = with_returns(spark, sf).groupBy("symbol").agg((F.stddev_samp("r") * F.sqrt(F.lit(metrics.periods_per_year(3600)))).alias("volatility"))
-    return d.select("symbol", F.round("volatility", 4).alias("volatility"))
+    return d.select("symbol", rounded("volatility", 4).alias("volatility"))
 
 
 @query("modulated_positions", out(Z + f", m AS (SELECT b.symbol, b.t, position, CASE WHEN count(*) OVER {frame(10)} = 10 THEN avg((close > open)::INT) OVER {frame(10)} END AS p FROM bars b JOIN ps USING (symbol, t))".replace("OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 9", "OVER (PARTITION BY b.symbol ORDER BY b.t ROWS BETWEEN 9"), "symbol t", "scaled gated", "SELECT symbol, t, position * coalesce(p, 0.5) AS scaled, position * (coalesce(p, 0.5) >= 0.45)::INT AS gated FROM m"))

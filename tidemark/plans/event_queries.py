@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import book, events, joins, metrics, orderflow, pairs, returns, rolling, scans
 from tidemark.operators.grid import ordered
-from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, TRADES, W, bars, out, query, ticks, trades, with_returns
+from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, TRADES, W, bars, out, query, rounded, ticks, trades, with_returns
 from tidemark.plans.metric_queries import phi
 
 IDX = BARS + ", ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS idx FROM bars)"
@@ -63,7 +63,7 @@ def run_up_levels(spark, sf):
 @query("mean_event_path", out(EV, "\"offset\" n", "mean_rel", "SELECT b.idx - e.idx AS \"offset\", count(*) AS n, avg(b.close / nullif(e.close, 0)) AS mean_rel FROM ev e JOIN ix b ON b.symbol = e.symbol AND b.idx BETWEEN e.idx - 5 AND e.idx + 5 GROUP BY 1", 4))
 def mean_event_path(spark, sf):
     d = events.mean_path(busy(spark, sf), indexed(spark, sf), 5, 5, key=KEY)
-    return d.select("offset", "n", F.round("mean_rel", 4).alias("mean_rel"))
+    return d.select("offset", "n", rounded("mean_rel", 4).alias("mean_rel"))
 
 
 @query("fill_schedules", out("f AS (SELECT o_custkey AS event, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), s AS (SELECT 'equal' AS name, i, 0.25 AS weight FROM range(1, 5) r(i) UNION ALL SELECT 'ramp', i, i / 10.0 FROM range(1, 5) r(i))", "name event fills", "entry deployed", "SELECT name, event, sum(weight * price) / sum(weight) AS entry, least(1.0, sum(weight)) AS deployed, count(*) AS fills FROM f JOIN s USING (i) GROUP BY 1, 2", 4))
@@ -73,7 +73,7 @@ def fill_schedules(spark, sf):
     f = table(spark, sf, "orders").select(F.col("o_custkey").alias("event"), "o_orderkey", F.col("o_totalprice").alias("price"))
     s = spark.createDataFrame([("equal", i, 0.25) for i in range(1, 5)] + [("ramp", i, i / 10.0) for i in range(1, 5)], "name string, i int, weight double")
     d = events.fill_schedules(f, s, event="event", order="o_orderkey")
-    return d.select("name", "event", "fills", F.round("entry", 4).alias("entry"), F.round("deployed", 4).alias("deployed"))
+    return d.select("name", "event", "fills", rounded("entry", 4).alias("entry"), rounded("deployed", 4).alias("deployed"))
 
 
 SWING = IDX + ", sw AS (SELECT *, list(high) OVER a AS hs, list(low) OVER a AS ls FROM ix WINDOW a AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), piv AS (SELECT symbol, idx, high, low, idx + 3 AS conf, (high = list_max(hs) AND len(list_filter(hs, lambda v: v = high)) = 1) AS is_high, (low = list_min(ls) AND len(list_filter(ls, lambda v: v = low)) = 1) AS is_low FROM sw WHERE len(hs) = 7)"
@@ -207,7 +207,7 @@ def pair_persistence(spark, sf):
 @query("leave_one_out", out(TRADES + ", g AS (SELECT symbol, sum(pnl) AS s, count(pnl) AS n FROM trades GROUP BY 1), x AS (SELECT *, sum(s) OVER () AS st, sum(n) OVER () AS nt FROM g)", "symbol n", "mean_without share cluster_t", "SELECT symbol, n, (st - s) / (nt - n) AS mean_without, s / abs(st) AS share, (st / nt) / (sqrt(sum(pow(s - n * (st / nt), 2)) OVER ()) / nt) AS cluster_t FROM x", 4))
 def leave_one_out(spark, sf):
     d = pairs.leave_one_out(trades(spark, sf), "pnl", KEY)
-    return d.select("symbol", "n", *[F.round(c, 4).alias(c) for c in ("mean_without", "share", "cluster_t")])
+    return d.select("symbol", "n", *[rounded(c, 4).alias(c) for c in ("mean_without", "share", "cluster_t")])
 
 
 _PT = PAIR + """, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY t) AS rn FROM rs),
@@ -233,7 +233,7 @@ def shuffled_panel_cutoff(spark, sf):
     p = pairs.shuffled_panel(with_returns(spark, sf), "r", 7)
     q = joins.symbol_pairs(p, "lp")
     r = pairs.residuals(q, pairs.regress(q, []), on=["a", "b"]).withColumnsRenamed({"a": "pa", "b": "pb"})
-    return pairs.null_cutoff(pairs.dickey_fuller(r, "resid", key=["pa", "pb"]), 0.05).select(F.round("cutoff", 4).alias("cutoff"))
+    return pairs.null_cutoff(pairs.dickey_fuller(r, "resid", key=["pa", "pb"]), 0.05).select(rounded("cutoff", 4).alias("cutoff"))
 
 
 SIDE = TICKS + ", tr AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN amount ELSE -amount END AS sv FROM ticks)"
@@ -412,4 +412,4 @@ def cvd_grid_divergence(spark, sf):
     g = g.withColumns({"dc": F.sum("d").over(w.rowsBetween(-5, 0)), "dp": F.col("p") - F.lag("p", 6).over(w), "f": rolling.forward_return("p", KEY, k=6)}).where("dp IS NOT NULL")
     kind = F.when((F.col("dc") > 0) & (F.col("dp") < 0), "bullish").when((F.col("dc") < 0) & (F.col("dp") > 0), "bearish").otherwise("none")
     d = g.groupBy("symbol", kind.alias("kind")).agg(F.count("f").alias("n"), F.avg("f").alias("fwd"))
-    return d.select("symbol", "kind", "n", F.round("fwd", 4).alias("fwd"))
+    return d.select("symbol", "kind", "n", rounded("fwd", 4).alias("fwd"))

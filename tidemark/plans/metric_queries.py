@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import folds, inference, metrics, orderflow, returns, rolling, sweep
 from tidemark.operators.grid import ordered
-from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, TRADES, W, bars, out, query, table, ticks, trades, with_returns
+from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TICKS, TRADES, W, bars, out, query, rounded, table, ticks, trades, with_returns
 
 SHARPE = "CASE WHEN count(r) < 2 OR coalesce(stddev_samp(r), 0) = 0 THEN 0 ELSE avg(r) / stddev_samp(r) * sqrt(8760) END"
 EQ = RETS + ", eq AS (SELECT symbol, t, exp(sum(coalesce(r, 0) / 10) OVER w) AS equity FROM rets " + W + ")"
@@ -29,7 +29,7 @@ def risk_summary(spark, sf):
 @query("drawdown_summary", out(DD, "symbol", "max_drawdown ulcer_index growth years cagr calmar", "SELECT *, pow(growth, 1 / years) - 1 AS cagr, (pow(growth, 1 / years) - 1) / max_drawdown AS calmar FROM (SELECT symbol, -min(dd) AS max_drawdown, sqrt(avg(dd * dd)) AS ulcer_index, last(equity ORDER BY t) / first(equity ORDER BY t) AS growth, (max(t) - min(t)) / 31557600.0 AS years FROM dd GROUP BY 1)", 4))
 def drawdown_summary(spark, sf):
     d = metrics.drawdown_summary(equity(spark, sf), "equity", key=KEY)
-    return d.select("symbol", *[F.round(c, 4).alias(c) for c in ("max_drawdown", "ulcer_index", "growth", "years", "cagr", "calmar")])
+    return d.select("symbol", *[rounded(c, 4).alias(c) for c in ("max_drawdown", "ulcer_index", "growth", "years", "cagr", "calmar")])
 
 
 @query("drawdown_episodes", "WITH " + DD + ", f AS (SELECT *, CASE WHEN lag(dd < 0) OVER w = (dd < 0) THEN 0 ELSE 1 END AS ch FROM dd " + W + "), g AS (SELECT *, sum(ch) OVER w AS run FROM f " + W + "), e AS (SELECT symbol, min(t) AS start, max(t) AS \"end\", min(dd) AS depth, count(*) AS bars FROM g WHERE dd < 0 GROUP BY symbol, run) SELECT symbol, start, \"end\", round(depth, 6) AS depth, bars, row_number() OVER (PARTITION BY symbol ORDER BY depth, start) AS rank FROM e QUALIFY rank <= 5")
@@ -83,7 +83,7 @@ def pnl_concentration(spark, sf):
 @query("trade_shape", out(TRADES, "symbol n", "pnl win_pct payoff median_win median_loss largest_share expectancy profit_factor", "SELECT symbol, count(pnl) AS n, sum(pnl) AS pnl, avg((pnl > 0)::INT) * 100 AS win_pct, avg(pnl) FILTER (pnl > 0) / abs(avg(pnl) FILTER (pnl < 0)) AS payoff, quantile_cont(pnl, 0.5) FILTER (pnl > 0) AS median_win, quantile_cont(pnl, 0.5) FILTER (pnl < 0) AS median_loss, max(abs(pnl)) / sum(abs(pnl)) AS largest_share, avg(pnl) AS expectancy, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor FROM trades GROUP BY 1", 4))
 def trade_shape(spark, sf):
     d = metrics.trade_shape(trades(spark, sf), "pnl", key=KEY)
-    return d.select("symbol", "n", *[F.round(c, 4).alias(c) for c in d.columns[2:]])
+    return d.select("symbol", "n", *[rounded(c, 4).alias(c) for c in d.columns[2:]])
 
 
 @query("trade_duration", out(TRADES, "symbol", "mean median", "SELECT symbol, avg(hours) AS mean, quantile_cont(hours, 0.5) AS median FROM trades GROUP BY 1"))
@@ -94,8 +94,8 @@ def trade_duration(spark, sf):
 @query("slice_table", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(sum(round(l_extendedprice * (l_discount - 0.05), 4)), 2) AS pnl FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_returnflag, l_linestatus), ())")
 def slice_table(spark, sf):
     """Several key sets in one pass."""
-    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.round(F.col("l_extendedprice") * (F.col("l_discount") - 0.05), 4).alias("pnl"))
-    return li.groupingSets([[F.col("flag")], [F.col("status")], [F.col("flag"), F.col("status")], []], "flag", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl"), 2).alias("pnl"))
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), rounded(F.col("l_extendedprice") * (F.col("l_discount") - 0.05), 4).alias("pnl"))
+    return li.groupingSets([[F.col("flag")], [F.col("status")], [F.col("flag"), F.col("status")], []], "flag", "status").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("pnl"), 2).alias("pnl"))
 
 
 @query("describe_by_window", out(RETS, "w n", "mean median win std q10 q90 ratio sum", "SELECT CASE WHEN t < epoch(TIMESTAMP '2024-01-10') THEN 'TRAIN' WHEN t < epoch(TIMESTAMP '2024-01-20') THEN 'VALID' WHEN t < epoch(TIMESTAMP '2024-01-28') THEN 'TEST' ELSE 'OUT' END AS w, count(r) AS n, avg(r) AS mean, quantile_cont(r, 0.5) AS median, avg((r > 0)::INT) FILTER (r IS NOT NULL) AS win, stddev_samp(r) AS std, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.9) AS q90, avg(r) / stddev_samp(r) AS ratio, sum(r) AS sum FROM rets GROUP BY 1"))
@@ -146,7 +146,7 @@ def variance_ratio(spark, sf):
 @query("regime_table", out(RETS + ", v AS (SELECT symbol, t, r, stddev_samp(r) OVER k AS vol, avg(r) OVER k AS trend, count(r) OVER k AS n FROM rets WINDOW k AS (PARTITION BY symbol ORDER BY t ROWS 23 PRECEDING)), f AS (SELECT * FROM v WHERE n >= 24), e AS (SELECT symbol, quantile_cont(vol, 0.25) a, quantile_cont(vol, 0.5) b, quantile_cont(vol, 0.75) c, quantile_cont(trend, 1/3.0) d, quantile_cont(trend, 2/3.0) g FROM f GROUP BY 1), q AS (SELECT f.symbol, r, (vol > a)::INT + (vol > b)::INT + (vol > c)::INT AS vol_q, (trend > d)::INT + (trend > g)::INT AS trend_q FROM f JOIN e USING (symbol))", "symbol vol_q trend_q n", "sharpe mean_bps hit_pct", f"SELECT symbol, vol_q, trend_q, count(r) AS n, CASE WHEN count(r) >= 5 THEN {SHARPE} END AS sharpe, CASE WHEN count(r) >= 5 THEN avg(r) * 1e4 END AS mean_bps, CASE WHEN count(r) >= 5 THEN avg((r > 0)::INT) FILTER (r IS NOT NULL) * 100 END AS hit_pct FROM q GROUP BY 1, 2, 3", 4))
 def regime_table(spark, sf):
     d = metrics.regime_table(with_returns(spark, sf), "r", 24, HOUR_PPY, key=KEY)
-    return d.select("symbol", "vol_q", "trend_q", "n", *[F.round(c, 4).alias(c) for c in ("sharpe", "mean_bps", "hit_pct")])
+    return d.select("symbol", "vol_q", "trend_q", "n", *[rounded(c, 4).alias(c) for c in ("sharpe", "mean_bps", "hit_pct")])
 
 
 @query("sweep_report", "WITH c AS (SELECT c_nationkey AS nation, o_orderpriority AS prio, avg(o_totalprice) - 150000 AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT nation, prio, count(m) AS n, round(avg((m > 0)::INT), 6) AS breadth, round(quantile_cont(m, 0.5), 4) AS median, round(quantile_cont(m, 0.75) - quantile_cont(m, 0.25), 4) AS iqr FROM c GROUP BY GROUPING SETS ((nation), (prio), ())")
@@ -154,7 +154,7 @@ def sweep_report(spark, sf):
     j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     c = j.groupBy(F.col("c_nationkey").alias("nation"), F.col("o_orderpriority").alias("prio")).agg((F.avg("o_totalprice") - 150000).alias("m"))
     d = metrics.sweep_report(c, "m", ["nation", "prio"])
-    return d.select("nation", "prio", "n", "breadth", F.round("median", 4).alias("median"), F.round("iqr", 4).alias("iqr"))
+    return d.select("nation", "prio", "n", "breadth", rounded("median", 4).alias("median"), rounded("iqr", 4).alias("iqr"))
 
 
 @query("fold_walk_forward", out(RETS + f", c AS (SELECT symbol, t // 432000 AS fold, {SHARPE} AS sharpe, product(1 + r / 10) - 1 AS ret FROM rets GROUP BY 1, 2)", "symbol folds", "mean std median worst stitched", "SELECT symbol, count(*) AS folds, avg(sharpe) AS mean, stddev_samp(sharpe) AS std, quantile_cont(sharpe, 0.5) AS median, min(sharpe) AS worst, product(1 + ret) - 1 AS stitched FROM c GROUP BY 1", 4))
@@ -162,7 +162,7 @@ def fold_walk_forward(spark, sf):
     r = with_returns(spark, sf).withColumn("fold", F.floor(F.unix_timestamp("ts") / 432000))
     c = r.groupBy("symbol", "fold").agg(metrics.sharpe(F.col("r"), HOUR_PPY).alias("sharpe"), (F.product(1 + F.col("r") / 10) - 1).alias("ret"))
     d = metrics.walk_forward_summary(c, "sharpe", "ret", key=KEY)
-    return d.select("symbol", "folds", *[F.round(c, 4).alias(c) for c in ("mean", "std", "median", "worst", "stitched")])
+    return d.select("symbol", "folds", *[rounded(c, 4).alias(c) for c in ("mean", "std", "median", "worst", "stitched")])
 
 
 @query("adjusted_p_values", out("p AS (SELECT c_custkey AS id, (abs(c_acctbal) + 1) / 123457.0 AS p, c_nationkey AS nation FROM customer), r AS (SELECT *, count(*) OVER (PARTITION BY nation) AS m, row_number() OVER (PARTITION BY nation ORDER BY p) AS i FROM p)", "id", "p p_bonferroni p_holm p_bhy", "SELECT id, p, least(1.0, m * p) AS p_bonferroni, least(1.0, max((m - i + 1) * p) OVER (PARTITION BY nation ORDER BY p ROWS UNBOUNDED PRECEDING)) AS p_holm, least(1.0, min(m * c / i * p) OVER (PARTITION BY nation ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bhy FROM (SELECT r.*, list_sum(list_transform(range(1, m + 1), lambda k: 1.0::DOUBLE / k)) AS c FROM r)"))
@@ -185,7 +185,7 @@ def overfit_statistics(spark, sf):
     r = with_returns(spark, sf).withColumn("trial", F.concat_ws("-", "symbol", F.hour("ts").cast("string")))
     c = r.groupBy("trial").agg(metrics.sharpe(F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp"), F.col("r")), HOUR_PPY).alias("train"), metrics.sharpe(F.when(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"), F.col("r")), HOUR_PPY).alias("test"))
     d = folds.overfit_statistics(c, train="train", test="test", trial="trial")
-    return d.select("n", *[F.round(c, 4).alias(c) for c in d.columns if c != "n"])
+    return d.select("n", *[rounded(c, 4).alias(c) for c in d.columns if c != "n"])
 
 
 def phi(z: str) -> str:
@@ -228,7 +228,7 @@ def replicates_sql(x: str, replicates: int, permute: bool = False) -> str:
 def bootstrap_interval(spark, sf):
     """Interval of every symbol's daily Sharpe ratio under the stationary bootstrap."""
     d = inference.interval(inference.bootstrap_by_key(daily(spark, sf), "ret", ["ts"], 500, 365.0, key=KEY), "sharpe", key=KEY)
-    return d.select("symbol", "n", *[F.round(c, 4).alias(c) for c in ("lo", "median", "hi")])
+    return d.select("symbol", "n", *[rounded(c, 4).alias(c) for c in ("lo", "median", "hi")])
 
 
 @query("bootstrap_null", out(replicates_sql("ret - avg(ret) OVER (PARTITION BY symbol)", 300) + ", ob AS (SELECT symbol, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END AS o FROM day GROUP BY 1)", "symbol", "observed p", "SELECT rp.symbol, max(o) AS observed, (count(*) FILTER (sharpe >= o) + 1) / (count(*) + 1) AS p FROM rp JOIN ob USING (symbol) GROUP BY 1", 4))
@@ -239,15 +239,15 @@ def bootstrap_null(spark, sf):
     sd = F.stddev_samp("ret")
     seen = d.groupBy("symbol").agg(F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(365.0))).otherwise(0.0).alias("sharpe"))
     got = inference.null_p_value(drawn, "sharpe", seen, key=KEY)
-    return got.select("symbol", F.round("observed", 4).alias("observed"), F.round("p", 4).alias("p"))
+    return got.select("symbol", rounded("observed", 4).alias("observed"), rounded("p", 4).alias("p"))
 
 
 @query("permutation_null", out(replicates_sql("ret", 200, True), "symbol n", "return_from return_to drawdown_lo drawdown_median drawdown_hi", "SELECT symbol, count(*) AS n, min(total_return) AS return_from, max(total_return) AS return_to, quantile_cont(max_drawdown, 0.05) AS drawdown_lo, quantile_cont(max_drawdown, 0.5) AS drawdown_median, quantile_cont(max_drawdown, 0.95) AS drawdown_hi FROM rp GROUP BY 1", 5))
 def permutation_null(spark, sf):
     """Drawdowns of shuffled days; the total return cannot move."""
     g = inference.bootstrap_by_key(daily(spark, sf), "ret", ["ts"], 200, 365.0, key=KEY, permute=True).groupBy("symbol")
-    q = lambda p: F.round(F.percentile("max_drawdown", F.lit(p)), 5)
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("total_return"), 5).alias("return_from"), F.round(F.max("total_return"), 5).alias("return_to"), q(0.05).alias("drawdown_lo"), q(0.5).alias("drawdown_median"), q(0.95).alias("drawdown_hi"))
+    q = lambda p: rounded(F.percentile("max_drawdown", F.lit(p)), 5)
+    return g.agg(F.count(F.lit(1)).alias("n"), rounded(F.min("total_return"), 5).alias("return_from"), rounded(F.max("total_return"), 5).alias("return_to"), q(0.05).alias("drawdown_lo"), q(0.5).alias("drawdown_median"), q(0.95).alias("drawdown_hi"))
 
 
 _P = "(count(*) FILTER ({hit}) + 1) / (count(*) + 1)"
@@ -267,20 +267,20 @@ _REALITY = (
 @query("reality_check", out(_REALITY, "strategy", "mean t p_reality p_spa_lower p_spa p_spa_upper p_hansen_lower p_hansen p_hansen_upper p_step", "SELECT o2.strategy, mean, t, p_reality, p_spa_lower, p_spa, p_spa_upper, p_hansen_lower, p_hansen, p_hansen_upper, p_step FROM o2 JOIN s2 USING (strategy) CROSS JOIN jt", 4))
 def reality_check(spark, sf):
     d = inference.reality_check(daily(spark, sf), "symbol", "ret", "ts", 300)
-    return d.select("strategy", *[F.round(c, 4).alias(c) for c in d.columns if c != "strategy"])
+    return d.select("strategy", *[rounded(c, 4).alias(c) for c in d.columns if c != "strategy"])
 
 
 @query("cluster_bootstrap", out(TRADES + ", g AS (SELECT symbol, date_trunc('month', entry) AS m, sum(pnl) AS s, count(pnl) AS c FROM trades GROUP BY 1, 2), nb AS (SELECT *, row_number() OVER (ORDER BY symbol, m) - 1 AS p, count(*) OVER () AS n FROM g), dr AS (SELECT n, p, k AS rep FROM nb CROSS JOIN range(500) r(k)), pk AS (SELECT rep, " + _h("c", "rep", "p") + " % n AS at_ FROM dr), mn AS (SELECT rep, sum(s) / sum(c) AS mean FROM pk JOIN nb ON nb.p = at_ GROUP BY 1)", "n", "lo median hi", "SELECT count(*) AS n, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.975) AS hi FROM mn", 4))
 def cluster_bootstrap(spark, sf):
     g = trades(spark, sf).groupBy("symbol", F.date_trunc("month", "entry").alias("m")).agg(F.sum("pnl").alias("s"), F.count("pnl").cast("double").alias("n"))
     d = inference.interval(inference.cluster_bootstrap(g, 500, order=["symbol", "m"]), "mean")
-    return d.select("n", *[F.round(c, 4).alias(c) for c in ("lo", "median", "hi")])
+    return d.select("n", *[rounded(c, 4).alias(c) for c in ("lo", "median", "hi")])
 
 
 @query("roll_spread_daily", out(TICKS + ", m AS (SELECT symbol, s // 60 AS m, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close FROM ticks GROUP BY 1, 2), r AS (SELECT *, m // 1440 AS d, close / nullif(lag(close) OVER (PARTITION BY symbol, m // 1440 ORDER BY m), 0) - 1 AS r FROM m), q AS (SELECT *, lag(r) OVER (PARTITION BY symbol, d ORDER BY m) AS r0 FROM r), g AS (SELECT symbol, (d * 86400)::BIGINT AS bucket_start, covar_samp(r, r0) AS cov, count(r) AS n_bars, avg((high - low) / nullif(close, 0)) AS hl FROM q GROUP BY 1, 2)", "symbol bucket_start n_bars fallback", "spread_bps", "SELECT symbol, bucket_start, n_bars, NOT coalesce(n_bars >= 30 AND cov < 0, false) AS fallback, greatest(0.5, CASE WHEN n_bars >= 30 AND cov < 0 THEN 2 * sqrt(-cov) * 1e4 ELSE hl * 0.5 * 1e4 END) AS spread_bps FROM g", 3))
 def roll_spread_daily(spark, sf):
     d = orderflow.roll_spread(bars(spark, sf, "1 minute"), "day", key=KEY)
-    return d.select("symbol", "bucket_start", "n_bars", "fallback", F.round("spread_bps", 3).alias("spread_bps"))
+    return d.select("symbol", "bucket_start", "n_bars", "fallback", rounded("spread_bps", 3).alias("spread_bps"))
 
 
 @query("portfolio_value", out(EQ + ", day AS (SELECT symbol, t // 86400 AS d, last(equity ORDER BY t) AS e FROM eq GROUP BY 1, 2), x AS (SELECT symbol, d, e / first_value(e) OVER (PARTITION BY symbol ORDER BY d) * 1000 AS v FROM day), g AS (SELECT s.symbol, k.d, x.v FROM (SELECT DISTINCT symbol FROM x) s CROSS JOIN (SELECT DISTINCT d FROM x) k LEFT JOIN x ON x.symbol = s.symbol AND x.d = k.d), f AS (SELECT d, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d), first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM g)", "t", "value", "SELECT (d * 86400)::BIGINT AS t, sum(v) AS value FROM f GROUP BY 1", 3))
@@ -288,7 +288,7 @@ def portfolio_value(spark, sf):
     e = equity(spark, sf).select(F.col("symbol").alias("strategy"), "ts", "equity")
     cap = e.select("strategy").distinct().withColumn("capital", F.lit(1000.0))
     d = returns.portfolio(e, cap)
-    return d.select("ts", F.round("value", 3).alias("value"))
+    return d.select("ts", rounded("value", 3).alias("value"))
 
 
 @query("continuation_grid", out(BARS, "l h n", "p", "SELECT l, h, count(*) AS n, avg((past = fut)::INT) AS p FROM (" + " UNION ALL ".join(f"SELECT {a} AS l, {b} AS h, sign(close - lag(close, {a}) OVER w) AS past, sign(lead(close, {b}) OVER w - close) AS fut FROM bars {W}" for a in (1, 6) for b in (1, 6)) + ") WHERE past IS NOT NULL AND fut IS NOT NULL GROUP BY 1, 2"))
@@ -341,4 +341,4 @@ def nonzero_volume_share(spark, sf):
 @query("feed_statistics", out(TICKS + ", g AS (SELECT symbol, epoch(ts) AS s, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM ticks)", "symbol rows", "span_s median_gap p95_gap rows_per_minute", "SELECT symbol, count(*) AS rows, max(s) - min(s) AS span_s, quantile_cont(g, 0.5) AS median_gap, quantile_cont(g, 0.95) AS p95_gap, count(*) / ((max(s) - min(s)) / 60) AS rows_per_minute FROM g GROUP BY 1", 3))
 def feed_statistics(spark, sf):
     d = orderflow.feed_statistics(ticks(spark, sf), key=KEY)
-    return d.select("symbol", "rows", *[F.round(c, 3).alias(c) for c in d.columns[2:]])
+    return d.select("symbol", "rows", *[rounded(c, 3).alias(c) for c in d.columns[2:]])

@@ -12,7 +12,7 @@ from tidemark.operators import events, inference, levels, meta, metrics, pairs,
 from tidemark.operators.grid import ordered
 from tidemark.operators.joins import asof_join
 from tidemark.operators.rolling import last_k
-from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TRADES, W, bars, out, query, trades, with_returns
+from tidemark.plans.base import BARS, HOUR_PPY, KEY, RETS, TRADES, W, bars, out, query, rounded, trades, with_returns
 from tidemark.plans.event_queries import IDX, NET, SWING, indexed, netted
 from tidemark.plans.metric_queries import DAILY, daily, phi
 from tidemark.plans.recipe_sql import frame
@@ -46,26 +46,26 @@ def trial_sharpes(spark, sf):
 def spread_summary(spark, sf):
     s = bars(spark, sf).select("symbol", (F.try_divide(F.col("high") - F.col("low"), F.col("close")) * 1e4).alias("spread_bps"), (F.col("volume") < 20).alias("fallback"))
     d = reports.spread_summary(s, key=KEY)
-    return d.select("symbol", "n", *[F.round(c, 3).alias(c) for c in ("mean", "median", "p95", "fallback_pct")])
+    return d.select("symbol", "n", *[rounded(c, 3).alias(c) for c in ("mean", "median", "p95", "fallback_pct")])
 
 
 @query("trial_sharpe_summary", recursive(out(TRIALS + ", g AS (SELECT count(*) AS n, min(s) AS least, max(s) AS most, avg(s) AS mean, quantile_cont(s, 0.5) AS median, coalesce(stddev_samp(s), 0) AS std FROM tr), sizes AS (SELECT n FROM g), " + BEST, "n", "least most mean median std expected_best premium", "SELECT g.*, best * std AS expected_best, most - best * std AS premium FROM g JOIN best USING (n)", 4)))
 def trial_sharpe_summary(spark, sf):
     d = reports.trial_summary(trial_sharpes(spark, sf), "s")
-    return d.select("n", *[F.round(c, 4).alias(c) for c in ("least", "most", "mean", "median", "std", "expected_best", "premium")])
+    return d.select("n", *[rounded(c, 4).alias(c) for c in ("least", "most", "mean", "median", "std", "expected_best", "premium")])
 
 
 @query("trial_sharpe_histogram", out(TRIALS + ", e AS (SELECT min(s) AS a, max(s) AS b, least(30, greatest(5, count(s) // 2)) AS k FROM tr)", "bin n", "lo hi", "SELECT bin, n, a + bin * ((b - a) / k) AS lo, a + (bin + 1) * ((b - a) / k) AS hi FROM (SELECT least(k - 1, floor((s - a) / ((b - a) / k)))::INT AS bin, count(*) AS n FROM tr CROSS JOIN e GROUP BY 1) CROSS JOIN e", 4))
 def trial_sharpe_histogram(spark, sf):
     d = reports.equal_width_counts(trial_sharpes(spark, sf), "s")
-    return d.select("bin", "n", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return d.select("bin", "n", rounded("lo", 4).alias("lo"), rounded("hi", 4).alias("hi"))
 
 
 @query("path_distribution", out(RETS + f", c AS (SELECT symbol, t // 432000 AS fold, {SH} AS s FROM rets GROUP BY 1, 2)", "symbol n_paths", "median mean std q25 q75 p05 p95 positive_pct above_1_pct", "SELECT symbol, count(*) AS n_paths, quantile_cont(s, 0.5) AS median, avg(s) AS mean, coalesce(stddev_samp(s), 0) AS std, quantile_cont(s, 0.25) AS q25, quantile_cont(s, 0.75) AS q75, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.95) AS p95, avg((s > 0)::INT) * 100 AS positive_pct, avg((s > 1)::INT) * 100 AS above_1_pct FROM c GROUP BY 1", 4))
 def path_distribution(spark, sf):
     r = with_returns(spark, sf).withColumn("fold", F.floor(F.unix_timestamp("ts") / 432000))
     d = reports.path_summary(r.groupBy("symbol", "fold").agg(metrics.sharpe(F.col("r"), HOUR_PPY).alias("s")), "s", key=KEY)
-    return d.select("symbol", "n_paths", *[F.round(c, 4).alias(c) for c in d.columns[2:]])
+    return d.select("symbol", "n_paths", *[rounded(c, 4).alias(c) for c in d.columns[2:]])
 
 
 _PSR = "(1 - skew * sr + (kurt + 2) / 4 * pow(sr, 2))"
@@ -78,7 +78,7 @@ def deflated_sharpe(spark, sf):
     r = with_returns(spark, sf)
     one = r.groupBy("symbol").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sr")).agg(F.count("sr").alias("n"), F.stddev_samp("sr").alias("sd")).first()
     d = inference.probabilistic_sharpe(r, "r", inference.expected_max_sharpe(one["n"], one["sd"] or 0.0), key=KEY)
-    return d.select("symbol", "n", *[F.round(c, 5).alias(c) for c in ("sr", "z", "psr")])
+    return d.select("symbol", "n", *[rounded(c, 5).alias(c) for c in ("sr", "z", "psr")])
 
 
 DRIFT = DAILY + f""", f AS (SELECT symbol, t, ret, CASE WHEN count(ret) OVER {frame(5)} >= 5 THEN avg(ret) OVER {frame(5)} END / nullif(stddev_samp(ret) OVER {frame(5)}, 0) * sqrt(365) < -1 AS low, product(1 + ret) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS eq FROM day),
@@ -91,7 +91,7 @@ DRIFT = DAILY + f""", f AS (SELECT symbol, t, ret, CASE WHEN count(ret) OVER {fr
 @query("drift_verdict", out(DRIFT, "symbol n in_interval streak flag", "sharpe total_return max_drawdown volatility psr z", f"SELECT *, {phi('pz')} AS psr, CASE WHEN n < 10 THEN 'unknown' WHEN z < -1.5 OR streak >= 14 THEN 'alert' WHEN z < 0 OR streak >= 7 THEN 'warn' ELSE 'ok' END AS flag FROM v", 5))
 def drift_verdict(spark, sf):
     d = reports.drift_verdict(daily(spark, sf), "ret", -1.0, 3.0, 365.0, key=KEY, window=5)
-    return d.select("symbol", "n", "in_interval", "streak", "flag", *[F.round(c, 5).alias(c) for c in ("sharpe", "total_return", "max_drawdown", "volatility", "psr", "z")])
+    return d.select("symbol", "n", "in_interval", "streak", "flag", *[rounded(c, 5).alias(c) for c in ("sharpe", "total_return", "max_drawdown", "volatility", "psr", "z")])
 
 
 FUNDING = "fu AS (SELECT symbol, t, (close - open) / 1000 AS rate FROM bars WHERE t % 28800 = 0)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import grid, joins, orderflow
 from tidemark.operators.folds import folds_table, train_test
-from tidemark.plans.base import BARS, KEY, TICKS, W, bars, out, query, shared_paths, table, ticks
+from tidemark.plans.base import BARS, KEY, TICKS, W, bars, out, query, rounded, shared_paths, table, ticks
 from tidemark.sources import market
 from tidemark.streaming import live
 
@@ -137,7 +137,7 @@ def latest_quotes(spark, sf):
     d = drained(live.latest_quote(quotes(spark, sf)), "update")
     cols = ["ts", "last", "mid", "spread_bps", "open_interest", "funding_rate", "premium_bps"]
     one = d.groupBy("symbol").agg(F.max_by(F.struct(*cols), "batch").alias("q")).select("symbol", "q.*")
-    return one.select("symbol", "ts", *[F.round(c, 4).alias(c) for c in cols[1:]])
+    return one.select("symbol", "ts", *[rounded(c, 4).alias(c) for c in cols[1:]])
 
 
 @query("stream_feed_statistics", out(TICKS, "symbol t rows", "lag_s rows_per_second", "SELECT symbol, (s // 3600 * 3600)::BIGINT AS t, count(*) AS rows, avg(event_id % 7) AS lag_s, count(*) / 3600 AS rows_per_second FROM ticks GROUP BY symbol, s // 3600 HAVING s // 3600 * 3600 + 3600 <= (SELECT max(s) - 600 FROM ticks)"))
@@ -167,7 +167,7 @@ def typed_streams(spark, sf):
     t = ticks(spark, sf).select(at.alias("ts_exchange"), at.alias("ts_local"), "symbol", "price", "amount", F.lit("buy").alias("side"), F.col("event_id").cast("string").alias("id"))
     t.repartition(4).write.parquet(root)
     s = live.with_event_time(live.file_stream(spark, root, market.TRADES))
-    return drained(s.select("symbol", "ts", "price")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 4).alias("total"))
+    return drained(s.select("symbol", "ts", "price")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("price"), 4).alias("total"))
 
 
 @query("auto_width_bars", out(TICKS + ", m AS (SELECT symbol, s // 60 AS m FROM ticks GROUP BY 1, 2), c AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM m GROUP BY symbol)), k AS (SELECT CASE WHEN n <= 500 THEN 60 WHEN n / 5 <= 500 THEN 300 WHEN n / 15 <= 500 THEN 900 WHEN n / 60 <= 500 THEN 3600 WHEN n / 240 <= 500 THEN 14400 ELSE 86400 END AS w FROM c)", "symbol t", "close", "SELECT symbol, (s // w * w)::BIGINT AS t, last(price ORDER BY ts, event_id) AS close FROM ticks CROSS JOIN k GROUP BY symbol, s // w, w"))
