@@ -284,3 +284,20 @@ def test_radius_pairs_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
         o.orderBy(F.rand(parts)).repartition(parts).write.parquet(f"{tmp_path}/{parts}/orders.parquet")
         got = {(r["p"], r["q"]): r["distance"] for r in registry.queries()["radius_pairs"](spark, f"{tmp_path}/{parts}").collect()}
         assert got == {k: float(np.floor(v * 1e6 + 0.5)) / 1e6 for k, v in near.items()} and got
+
+
+def test_throttle_of_a_batch_in_many_parts_and_no_order(spark, tmp_path, monkeypatch):
+    from tidemark.plans import registry  # noqa: F401 - the modules of queries in their order
+    from tidemark.plans.model_queries import drained
+    from tidemark.streaming import live
+
+    monkeypatch.setattr(live, "THROTTLE_ROWS", 5000, raising=False)
+    t = np.random.default_rng(2).integers(0, 40_000_000, 25_000)
+    pd.DataFrame({"symbol": "a", "ts_exchange": [*t.tolist(), *t[:100].tolist()]}).to_parquet(f"{tmp_path}/rows.parquet")  # Arrow hands over 10,000 rows at a time
+    books = live.file_stream(spark, str(tmp_path), "symbol string, ts_exchange long")
+    want, last = [], None
+    for x in sorted(t.tolist()):
+        if last is None or x - last >= 20_000:
+            want.append(x)
+            last = x
+    assert sorted(r["ts_exchange"] for r in drained(live.throttle(books, 20_000)).collect()) == want

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.orderflow import regime_label, signed_volume
 
+#: Rows of a symbol that ``throttle`` takes up before it sorts them into those it holds.
+THROTTLE_ROWS = 1 << 18
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, *, fmt: str = "parquet", files_per_batch: int = 8) -> DataFrame:
     """A typed stream over arriving files."""
@@ -95,21 +99,29 @@ def running_delta(trades: DataFrame) -> DataFrame:
 
 
 def throttle(books: DataFrame, millis: int = 250) -> DataFrame:
-    """At most one snapshot per symbol in each interval since the last one let through."""
+    """At most one snapshot per symbol in each interval since the last one let through.
+
+    A symbol's rows of a batch come in parts and in any order, and each choice depends on all earlier times, so
+    the batch's times (8 bytes for each different one) are sorted together before the first is let through.
+    """
 
     def pick(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
+        arranged = np.unique if millis > 0 else np.sort  # of rows at one time only the first can pass
+        held, new = np.empty(0, np.int64), []
         for p in parts:
-            p = p.sort_values("ts_exchange", kind="stable")
-            keep = []
-            for t in p["ts_exchange"]:
-                ok = last is None or t - last >= millis
-                keep.append(ok)
-                last = t if ok else last
-            if any(keep):
-                yield p[keep][["symbol", "ts_exchange"]]
-        if last is not None:
-            state.update((int(last),))
+            t = p["ts_exchange"].dropna().to_numpy(np.int64)
+            new.append(t if last is None else t[t - last >= millis])
+            if sum(map(len, new)) > max(len(held), THROTTLE_ROWS):
+                held, new = arranged(np.concatenate([held, *new])), []
+        held, keep, i = arranged(np.concatenate([held, *new])), [], 0
+        while i < len(held):
+            last = int(held[i])
+            keep.append(last)
+            i = int(np.searchsorted(held, last + millis)) if millis > 0 else i + 1
+        if keep:
+            yield pd.DataFrame({"symbol": key[0], "ts_exchange": keep})
+            state.update((last,))
 
     return books.select("symbol", "ts_exchange").groupBy("symbol").applyInPandasWithState(pick, "symbol string, ts_exchange long", "last long", "append", GroupStateTimeout.NoTimeout)
 
