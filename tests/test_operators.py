@@ -301,3 +301,20 @@ def test_throttle_of_a_batch_in_many_parts_and_no_order(spark, tmp_path, monkeyp
             want.append(x)
             last = x
     assert sorted(r["ts_exchange"] for r in drained(live.throttle(books, 20_000)).collect()) == want
+
+
+def test_adjusted_p_values_of_ties_and_nulls(spark):
+    p = [0.01, 0.04, 0.04, 0.04, 0.2, None]
+    rows = inference.haircut(spark.createDataFrame([(i, "a", x) for i, x in enumerate(p)], "i int, k string, p double"), "p", key=["k"]).orderBy("i").collect()
+    c = sum(1 / k for k in range(1, 7))
+    assert [r["p_holm"] for r in rows] == pytest.approx([0.06, 0.2, 0.2, 0.2, 0.4, 0.4])
+    assert [r["p_bhy"] for r in rows] == pytest.approx([6 * c * 0.01, *[6 * c / 4 * 0.04] * 3, 6 * c / 5 * 0.2, 1.0])
+    assert [r["p_bonferroni"] for r in rows] == pytest.approx([0.06, 0.24, 0.24, 0.24, 1.0, 1.0])
+
+
+def test_frames_run_on_from_an_end(spark):
+    df = spark.createDataFrame([(i, "a", i / 100) for i in range(9)], "i int, k string, p double")
+    plans = [inference.haircut(df, "p", key=["k"]), joins.outer_align(df.select(F.col("k").alias("symbol"), F.timestamp_seconds("i").alias("ts"), "p"), "p")]
+    for d in plans:  # a frame from each row to the last is read again for every row
+        text = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "currentrow$(), unboundedfollowing$()" not in text and "sequence(" not in text.replace("sequence(0, 15", "")

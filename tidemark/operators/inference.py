@@ -80,15 +80,20 @@ def displaced(rows: DataFrame, col: str, by: str, *, share: float = 0.02, seed:
 
 
 def haircut(tests: DataFrame, p: str, *, key: list[str]) -> DataFrame:
-    """Bonferroni, Holm and BHY adjusted p-values over all rows of a key."""
+    """Bonferroni, Holm and BHY adjusted p-values over all rows of a key; null p-values come last, equal ones get equal results.
+
+    The sum of 1 / i over a key is the last of its running sums, and all frames run on from
+    an end (BHY's from the largest p), so a key costs in proportion to its rows.
+    """
     w = Window.partitionBy(*key)
-    up = w.orderBy(p)
-    upto, after = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(0, Window.unboundedFollowing)
-    t = tests.withColumns({"__m": F.count(F.lit(1)).over(w), "__i": F.row_number().over(up)})
-    c = F.aggregate(F.sequence(F.lit(1), F.col("__m").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
-    t = t.withColumns({"__h": (F.col("__m") - F.col("__i") + 1) * F.col(p), "__y": F.col("__m") * c / F.col("__i") * F.col(p)})
+    upto = w.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    after = w.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
+    t = tests.withColumn("__i", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last())))
+    t = t.withColumn("__c", F.sum(1 / F.col("__i")).over(upto)).withColumns({"__m": F.count(F.lit(1)).over(w), "__c": F.max("__c").over(w)})
+    t = t.withColumns({"__h": (F.col("__m") - F.col("__i") + 1) * F.col(p), "__y": F.col("__m") * F.col("__c") / F.col("__i") * F.col(p)})
     one = F.lit(1.0)
-    return t.withColumns({"p_bonferroni": F.least(one, F.col("__m") * F.col(p)), "p_holm": F.least(one, F.max("__h").over(upto)), "p_bhy": F.least(one, F.min("__y").over(after))}).drop("__m", "__i", "__h", "__y")
+    t = t.withColumn("p_bonferroni", F.least(one, F.col("__m") * F.col(p))).withColumn("p_holm", F.least(one, F.max("__h").over(upto))).withColumn("p_bhy", F.least(one, F.min("__y").over(after)))
+    return t.drop("__m", "__i", "__c", "__h", "__y")
 
 
 def _draw(kind: str, seed: int, *cols: str) -> Column:
@@ -202,7 +207,7 @@ def reality_check(returns: DataFrame, strategy: str, r: str, ts: str, replicates
         p(F.col("b_upper") >= F.col("t_best")).alias("p_hansen_upper"), p(F.col("m_all") >= F.col("t_max")).alias("p_spa_lower"), p(F.col("m_fair") >= F.col("t_max")).alias("p_spa"),
         p(F.col("m_good") >= F.col("t_max")).alias("p_spa_upper"),
     )
-    rest = Window.partitionBy("replicate").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    rest = Window.partitionBy("replicate").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     step = z.withColumn("__b", F.max("z").over(rest)).groupBy("strategy", "rank").agg(p(F.col("__b") >= F.col("t")).alias("__p"))
     step = step.withColumn("p_step", F.max("__p").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     out = one.select("strategy", "mean", "t").join(step.select("strategy", "p_step"), "strategy").join(F.broadcast(joint))

@@ -116,8 +116,8 @@ def outer_align(df: DataFrame, value: str, *, key: str = "symbol", ts: str = "ts
     """Every key at every time of any key, filled forward, then backward at the head."""
     grid = _all_times(df, key, ts)
     out = forward_fill(grid.join(df.select(key, ts, value), [key, ts], "left"), [value], key=[key], ts=ts)
-    ahead = Window.partitionBy(key).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    return out.withColumn(value, F.coalesce(value, F.first(value, ignorenulls=True).over(ahead)))
+    every = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # evaluated once a key
+    return out.withColumn(value, F.coalesce(value, F.first(value, ignorenulls=True).over(every)))
 
 
 def _all_times(df: DataFrame, key: str, ts: str, parts: int = 16) -> DataFrame:
