@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures, and their edge cases."""
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -800,3 +801,12 @@ def test_stages_take_empty_documents(spark):
     empty = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_a_bitmap_stays_packed_on_the_driver(spark):
+    made = common.bitmap(spark.range(0, 3_000_000, 1000).select((F.col("id") * 7919 - 5).alias("v")))
+    assert len(pickle.dumps(made)) < 1 << 20  # 16 MB unpacked
+    bits = pickle.loads(pickle.dumps(made))
+    v = np.arange(0, 3_000_000, 1000) * 7919 - 5
+    assert common.set_bits(v, bits).all() and common.set_bits(v + 1, bits).sum() < 30
+    assert not pickle.loads(pickle.dumps(common.bitmap(spark.range(0).select(F.col("id").alias("v"))))).any()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -60,10 +61,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bitmap(values: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter of the column ``v`` (long), of a fixed size whatever the input.
+class Bitmap:
+    """Compressed pieces of a bit array, which is what ``value`` of its broadcast is in a task; the driver never unpacks it."""
 
-    Tasks fill the pieces that values are dealt to; the driver only lines them up.
+    def __init__(self, pieces: dict[int, bytes]):
+        self.pieces = pieces
+
+    def __reduce__(self):
+        return unpacked, (self.pieces,)
+
+
+def unpacked(pieces: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros((BITMAP_PIECES, BITMAP_BITS // BITMAP_PIECES // 32), np.uint32)
+    for i, words in pieces.items():
+        out[i] = np.frombuffer(zlib.decompress(words), np.uint32)
+    return out.ravel()
+
+
+def bitmap(values: DataFrame) -> Bitmap:
+    """A one-hash Bloom filter of the column ``v`` (long), to be broadcast, of at most a fixed size whatever the input.
+
+    Tasks fill and compress the pieces that values are dealt to; the driver only passes them on.
     """
     at = F.col("v").bitwiseAND(F.lit(BITMAP_BITS - 1))
     piece = BITMAP_BITS // BITMAP_PIECES
@@ -77,14 +95,11 @@ def bitmap(values: DataFrame) -> np.ndarray:
                 x = bit[own == i] % piece
                 np.bitwise_or.at(words, x >> 5, np.uint32(1) << (x & 31).astype(np.uint32))
         if pieces:
-            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([w.tobytes() for w in pieces.values()], pa.binary())], ["i", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([zlib.compress(w.tobytes(), 1) for w in pieces.values()], pa.binary())], ["i", "words"])
 
     dealt = values.select(F.floor(at / piece).cast("int").alias("i"), at.alias("at")).repartition("i")
-    found = dealt.mapInArrow(fill, "i int, words binary").toArrow()  # at most BITMAP_BITS / 8 bytes
-    out = np.zeros((BITMAP_PIECES, piece // 32), np.uint32)
-    for i, words in zip(found.column("i").to_pylist(), found.column("words")):
-        out[i] = np.frombuffer(words.as_py(), np.uint32)
-    return out.ravel()
+    found = dealt.mapInArrow(fill, "i int, words binary").collect()  # at most about BITMAP_BITS / 8 bytes
+    return Bitmap({r["i"]: bytes(r["words"]) for r in found})
 
 
 def set_bits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
