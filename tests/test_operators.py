@@ -1,5 +1,6 @@
 """Operators against small literals of their definitions."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -286,6 +287,25 @@ def test_radius_pairs_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
         assert got == {k: float(np.floor(v * 1e6 + 0.5)) / 1e6 for k, v in near.items()} and got
 
 
+def test_radius_pairs_sum_rows_as_the_files_hold_them(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import registry
+
+    rng = np.random.default_rng(11)
+    o = pd.DataFrame({"o_orderkey": rng.permutation(15_000), "o_custkey": rng.integers(0, 1500, 15_000), "o_totalprice": rng.integers(100_000, 50_000_000, 15_000) / 100})
+    o.loc[::50, "o_totalprice"] = None
+    for parts in (1, 3):
+        os.makedirs(folder := f"{tmp_path}/{parts}/orders.parquet")
+        for k in range(parts):
+            o[k * 15_000 // parts : (k + 1) * 15_000 // parts].to_parquet(f"{folder}/part-{k}.parquet", row_group_size=1000)
+        duck = duckdb.connect()
+        duck.execute("SET threads = 1")
+        duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/*.parquet'")
+        want = duck.execute(registry.oracle_sql()["radius_pairs"]).fetchall()
+        assert sorted(map(tuple, registry.queries()["radius_pairs"](spark, f"{tmp_path}/{parts}").collect())) == sorted(want) and len(want) > 2000
+
+
 def test_throttle_of_a_batch_in_many_parts_and_no_order(spark, tmp_path, monkeypatch):
     from tidemark.plans import registry  # noqa: F401 - the modules of queries in their order
     from tidemark.plans.model_queries import drained
