@@ -254,6 +254,28 @@ def test_points_within_a_radius_in_four_dimensions(spark):
     assert got == {(i, j) for i in range(120) for j in range(i + 1, 120) if np.linalg.norm(x[i] - x[j]) <= 0.25} and got
 
 
+def test_points_at_the_edge_of_a_cell(spark):
+    x = [0.0, 0.02, -1e-18, 0.04, -0.02, 5.0, 5.02, float("inf"), float("-inf"), float("nan"), None, 1e18, 1e300]
+    df = spark.createDataFrame([(i, v, 0.5) for i, v in enumerate(x)], "pid int, x double, y double")
+    at = [(i, v) for i, v in enumerate(x) if v is not None and np.isfinite(v)]
+    for d in (df, df.withColumn("pid", 12 - F.col("pid"))):
+        got = {(r["p"], r["q"]) for r in joins.within_radius(d, ["x", "y"], 0.02).collect()}
+        want = {(i, j) for i, v in at for j, w in at if i < j and abs(v - w) <= 0.02}
+        assert got == (want if d is df else {(12 - j, 12 - i) for i, j in want}) and (1, 2) in want
+
+
+def test_tasks_of_a_radius_join_are_not_merged_by_bytes_and_few_copies_travel(spark, monkeypatch):
+    df, sent = spark.range(3000).select("id", (F.rand(1) * 9).alias("x"), (F.rand(2) * 9).alias("y")), []
+    monkeypatch.setattr(type(df), "join", lambda self, other, *a, f=type(df).join, **k: sent.append(other.count()) or f(self, other, *a, **k))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert joins.within_radius(df, ["x", "y"], 0.02, pid="id").rdd.getNumPartitions() == 12 and 0 < max(sent) <= 4 * 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_stationary_draws(spark):
     places = spark.createDataFrame([(k, i, n) for k, n in (("a", 64), ("b", 1)) for i in range(n)], "k string, i long, n long")
     got = inference.stationary_draws(places, 40, key=["k"], at="i", n="n").collect()
